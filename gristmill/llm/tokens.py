@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from .common import slices
 
 #: Pieces of text whose ids a Python worker remembers (about 200 bytes each); beyond it, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 800_000
 #: The id that ends each document.
 END = 0
 #: A word and the punctuation after it: the pre-tokenizer cuts between them (but an apostrophe may open a contraction).
@@ -137,7 +137,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def ids_of(batch: pa.RecordBatch, path: str, size: int = 16 << 20) -> Iterator[tuple[int | None, bytes]]:
+def ids_of(batch: pa.RecordBatch, path: str, size: int = 6 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id as bytes) of each row of a batch, a bounded part at a time."""
     end = END.to_bytes(4, "little")
     for part in slices(batch, "text", size):
