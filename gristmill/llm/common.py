@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words of every operator that counts words: runs of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,3 +124,21 @@ def gram_hash(data: np.ndarray, length: int) -> np.ndarray:
 
 def _odd(k: int) -> np.uint64:
     return np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF | 1)
+
+
+def bounded_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The n rows with the smallest hash of key for each value of by: first of a share of each value, then of those."""
+    h = rows.withColumn("_h", F.xxhash64(key))
+    for keys in ([by, F.pmod("_h", F.lit(64))], [by]):
+        w = Window.partitionBy(*keys).orderBy("_h", key)
+        h = h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return h.drop("_h", "_r")
+
+
+def letters() -> np.ndarray:
+    """Bytes as letters are counted: those of ASCII letters, in lower case, and of longer characters; all else is a space."""
+    out = np.full(256, 32, np.uint8)
+    out[128:] = np.arange(128, 256)
+    out[97:123] = np.arange(97, 123)
+    out[65:91] = np.arange(97, 123)
+    return out

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import slices, table, utf8
+from .common import bounded_sample, letters, slices, table, utf8
 
 #: Texts of each language that training takes at most.
 PER_LANGUAGE = 1500
@@ -42,16 +41,7 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
-def _letters() -> np.ndarray:
-    """Bytes as they are counted: letters and the bytes of longer characters stay, all else is a space."""
-    out = np.full(256, 32, np.uint8)
-    out[128:] = np.arange(128, 256)
-    out[97:123] = np.arange(97, 123)
-    out[65:91] = np.arange(97, 123)
-    return out
-
-
-_LETTERS = _letters()
+_LETTERS = letters()
 
 
 def _grams(data: np.ndarray) -> list[np.ndarray]:
@@ -190,11 +180,7 @@ def _hashed(n: int) -> F.Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """Trains on rows whose crc32(doc_id) mod 4 is not 2: per_language texts of each language at most."""
     rows = docs.select("doc_id", F.lower("text").alias("text"), "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (_hashed(4) != 2))
-    keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    w = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    part = keys.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)  # a share of each language first
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = part.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("doc_id", F.col("lang").alias("chosen"))
+    chosen = bounded_sample(rows.select("doc_id", "lang"), "lang", "doc_id", per_language).withColumnRenamed("lang", "chosen")
     sample = rows.join(chosen, (rows.doc_id == chosen.doc_id) & (rows.lang == chosen.chosen), "left_semi").select("text", "lang").dropDuplicates()
     got = sample.collect()  # at most per_language texts of each language
     if not got:
