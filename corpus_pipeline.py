@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill import ship
-from gristmill.llm.common import documents, shared_path
+from gristmill.llm.common import shared_path
 from gristmill.llm.exact_dedup import exact_dedup_rows
 from gristmill.llm.language_id import fit, identify
 from gristmill.llm.mixing import Mix
+from gristmill.llm.near_dedup import near_duplicate_rows
 from gristmill.llm.packing import pack
 
 
@@ -25,6 +26,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup_rows(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_duplicate_rows(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: in part, or up to three times."""
     return Mix(docs).documents(docs)
@@ -32,10 +38,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences' pieces with their ids."""
-    return pack(documents(docs))
+    return pack(docs)
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
 #: No SQL can express the learned, hashed and drawn stages; tests compare them with brute force.
 ORACLE_SQL = None
