@@ -36,7 +36,7 @@ def stream_state(arrivals: DataFrame, folder: str, files_per_batch: int = 10_000
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")  # a repeated batch replaces its own
 
-    keys = {"spark.sql.streaming.stateStore.providerClass": _PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    keys = {"spark.sql.streaming.stateStore.providerClass": _PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
