@@ -181,7 +181,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """Trains on rows whose crc32(doc_id) mod 4 is not 2: per_language texts of each language at most."""
     rows = docs.select("doc_id", F.lower("text").alias("text"), "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (_hashed(4) != 2))
     chosen = bounded_sample(rows.select("doc_id", "lang"), "lang", "doc_id", per_language).withColumnRenamed("lang", "chosen")
-    sample = rows.join(chosen, (rows.doc_id == chosen.doc_id) & (rows.lang == chosen.chosen), "left_semi").select("text", "lang").dropDuplicates()
+    sample = rows.join(F.broadcast(chosen), (rows.doc_id == chosen.doc_id) & (rows.lang == chosen.chosen), "left_semi").select("text", "lang").dropDuplicates()
+    # the chosen keys, per_language for each language at most, are broadcast: texts are not shuffled for them
     got = sample.collect()  # at most per_language texts of each language
     if not got:
         return None
