@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, n_terms:
     if not total:
         return None
     chosen = bounded_sample(marks, "toxic", "doc_id", per_label)
-    sample = cut(texts.join(chosen, "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("copies")))
+    sample = cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("copies")))
     size = {r["toxic"]: (r["n"], r["copies"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).collect()}
     if not size:
         return None
