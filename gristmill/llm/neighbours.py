@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import cut, table
 
 PIVOTS, POSTED, ASKED = 256, 128, 64
-SHARE, LEAST = 0.06, 600
+SHARE, LEAST = 0.12, 800
 SHARD, QUERIES = 16384, 1024
 NEAREST = 20
 
