@@ -1,6 +1,511 @@
-"""Queries by name and the SQL that they are compared with."""
+"""Queries by name, over whole tables, and the SQL that they are compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import comparisons as cmp
+from .functions.conditions import holds, trace
+from .functions.usage import Price, Pricing, failure_code, request_cost, retryable
+from .functions.values import bind, literal, number_of, parse, render, text_of
+from .operators import checks as ck
+from .operators import compare as cp
+from .operators import decisions as dc
+from .operators import metrics as mt
+from .operators import summaries as sm
+from .plans.collections import ledger, run_collection
+from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow
+from .sources.envelopes import decode
+from .sources.journal import latest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# values and bindings
+
+
+@query(
+    """SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS found, CAST(NULL AS BIGINT) AS absent, CAST(7 AS BIGINT) AS by_default,
+    CAST(props->>'$.k' AS BIGINT) AS first, '{"a":' || (props->>'$.k') || ',"b":"x"}' AS fields FROM events"""
+)
+def bindings(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("doc", parse(F.col("props")))
+    c = {"/payload": F.col("doc")}
+    k = {"pointer": "/payload/k"}
+    long_ = lambda b: number_of(bind(c, b)).cast("long")
+    return e.select(
+        "event_id", long_(k).alias("found"), long_({"pointer": "/payload/none"}).alias("absent"), long_({"pointer": "/payload/none", "default": 7}).alias("by_default"),
+        long_({"first_of": ["/payload/none", "/payload/k"]}).alias("first"), F.to_json(bind(c, {"fields": {"a": k, "b": {"literal": "x"}}})).alias("fields"),
+    )
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.withColumn("doc", F.to_variant_object(F.struct("lang", "source", "n_chars", "quality", F.array("lang", "source").alias("tags"))))
+
+
+_CONDITIONS = {
+    "present": ({"pointer": "/d/quality", "present": True}, "quality IS NOT NULL"),
+    "is_empty": ({"pointer": "/d/quality", "empty": True}, "quality IS NULL"),
+    "equals_null": ({"pointer": "/d/quality", "equals": None}, "quality IS NULL"),
+    "equals_one": ({"pointer": "/d/quality", "equals": 1.0}, "coalesce(quality = 1, false)"),
+    "not_equals": ({"pointer": "/d/quality", "not_equals": 1}, "coalesce(quality <> 1, true)"),
+    "one_in": ({"pointer": "/d/quality", "in": [0, None]}, "quality IS NULL OR quality = 0"),
+    "not_in": ({"pointer": "/d/lang", "not_in": ["en", "de"]}, "coalesce(lang NOT IN ('en', 'de'), true)"),
+    "gt": ({"pointer": "/d/n_chars", "gt": 500}, "coalesce(n_chars > 500, false)"),
+    "gte": ({"pointer": "/d/n_chars", "gte": 500}, "coalesce(n_chars >= 500, false)"),
+    "lt": ({"pointer": "/d/n_chars", "lt": 500}, "coalesce(n_chars < 500, false)"),
+    "lte_text": ({"pointer": "/d/lang", "lte": 5}, "false"),
+    "not_gt_absent": ({"not": {"pointer": "/d/quality", "gt": 0}}, "NOT coalesce(quality > 0, false)"),
+    "matches": ({"pointer": "/d/source", "matches": "src[0-9]"}, "coalesce(regexp_full_match(source, 'src[0-9]'), false)"),
+    "length_items": ({"pointer": "/d/tags", "length": {"equals": 2}}, "true"),
+    "length_text": ({"pointer": "/d/source", "length": {"gt": 4, "lte": 5}}, "coalesce(length(source) = 5, false)"),
+    "every": ({"all": [{"pointer": "/d/quality", "equals": 1}, {"pointer": "/d/lang", "equals": "en"}]}, "coalesce(quality = 1 AND lang = 'en', false)"),
+    "either": ({"any": [{"pointer": "/d/quality", "equals": 0}, {"first_of": ["/d/none", "/d/lang"], "in": ["fr"]}]}, "coalesce(quality = 0, false) OR coalesce(lang = 'fr', false)"),
+    "deep": ({"pointer": "/d/tags", "equals": ["en", "src1"]}, "coalesce(lang = 'en' AND source = 'src1', false)"),
+}
+
+
+@query(f"SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, sql) in _CONDITIONS.items())} FROM documents LEFT JOIN labels USING (doc_id)")
+def conditions(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("doc_id", *(holds({"/d": F.col("doc")}, c).alias(name) for name, (c, _) in _CONDITIONS.items()))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN coalesce(quality = 1, false) THEN '/all/1 gt incompatible_type' WHEN quality IS NULL THEN '' ELSE '' END AS notes
+    FROM documents LEFT JOIN labels USING (doc_id)"""
+)
+def condition_trace(spark, sf_dir):
+    c = {"all": [{"pointer": "/d/quality", "equals": 1}, {"pointer": "/d/lang", "gt": 3}]}
+    notes = F.array_join(F.transform(trace({"/d": F.col("doc")}, c), lambda n: F.concat_ws(" ", n.location, n.operator, n.reason)), ";")
+    return _labelled(spark, sf_dir).select("doc_id", notes.alias("notes"))
+
+
+@query(
+    """SELECT c_custkey, 'Dear "' || c_name || '", {{' || c_custkey || '}} of ' || '"' || c_mktsegment || '"' AS prompt,
+    sha256('{"key":' || c_custkey || ',"segment":"' || c_mktsegment || '"}') AS fingerprint,
+    trim(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS category FROM customer"""
+)
+def prompts(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    v = {k: F.to_variant_object(F.struct(F.col(col).alias("x"))) for k, col in (("name", "c_name"), ("key", "c_custkey"), ("segment", "c_mktsegment"))}
+    inputs = {k: F.try_variant_get(x, "$.x", "variant") for k, x in v.items()}
+    text = F.concat(F.lit('{"segment": "'), F.col("c_mktsegment"), F.lit('", "key": '), F.col("c_custkey"), F.lit("}"))
+    category = cmp.category_key(F.concat("c_name", F.lit(" / "), "c_mktsegment"))
+    return c.select("c_custkey", render("Dear {{ name }}, {{{{{{ key }}}}}} of {{segment}}", inputs).alias("prompt"), cmp.fingerprint(text).alias("fingerprint"), category.alias("category"))
+
+
+# comparisons and checks
+
+
+@query(
+    """SELECT d.doc_id, lower(d.lang) = lower(upper(d.lang)) AS same_text, contains(lower(d.text), 'the') AS contains_text,
+    CAST(n_chars AS VARCHAR) = CAST(length(text) AS VARCHAR) AS exact, true AS same_set, d.lang IN ('en', 'fr') AS one_of,
+    instr(substr(d.text, 1, 200), 'a') > 0 AS in_span FROM documents d"""
+)
+def comparisons(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    zero = F.lit(0)
+    quoted = F.to_json(F.struct(F.col("lang").alias("x")))
+    quoted = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+    return d.select(
+        "doc_id", cmp.same_text(F.col("lang"), F.upper("lang")).alias("same_text"), cmp.contains_text(F.col("text"), F.lit("THE")).alias("contains_text"),
+        cmp.exact(F.col("n_chars").cast("string"), F.length("text").cast("string")).alias("exact"),
+        cmp.same_set(F.concat(F.lit("[1, "), quoted, F.lit("]")), F.concat(F.lit("["), quoted, F.lit(",1,1]"))).alias("same_set"),
+        cmp.one_of(quoted, F.lit('["en", "fr"]')).alias("one_of"),
+        cmp.in_span(F.lit("a"), F.col("text"), (F.lit(1 << 30), zero), (zero, F.least(F.lit(200), F.length("text")))).alias("in_span"),
+    )
+
+
+_CHECKS_SQL = """SELECT doc_id AS case_id, 1 AS repetition, 0 AS check_ordinal, source, lang,
+ CASE WHEN quality IS NULL THEN (CASE WHEN lang = 'en' THEN 'skipped' WHEN lang = 'de' THEN 'error' ELSE 'missing' END)
+      WHEN (n_chars >= {limit}) = (quality = 1) THEN 'passed' ELSE 'failed' END AS outcome
+ FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def _checks(spark, sf_dir, limit: int = 500) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    owner = F.when(F.col("lang") == "en", "skipped").when(F.col("lang") == "de", "failed").otherwise("completed")
+    matched = (F.col("n_chars") >= limit) == (F.col("quality") == 1)
+    found = ck.outcome(F.col("quality").isNotNull(), matched, owner, F.lit(False), F.lit(False))
+    return d.select(F.col("doc_id").alias("case_id"), F.lit(1).alias("repetition"), F.lit(0).alias("check_ordinal"), "source", "lang", found.alias("outcome"))
+
+
+@query(
+    f"""WITH c AS ({_CHECKS_SQL.format(limit=500)}) SELECT lang, count(*) AS total,
+    {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("passed", "failed", "missing", "skipped", "error"))},
+    count(*) FILTER (outcome = 'passed') / count(*) AS pass_rate, count(*) FILTER (outcome IN ('passed', 'failed')) / count(*) AS coverage FROM c GROUP BY lang"""
+)
+def check_summary(spark, sf_dir):
+    return ck.check_summary(_checks(spark, sf_dir), "lang")
+
+
+@query(
+    f"""WITH c AS ({_CHECKS_SQL.format(limit=500)}), a AS (SELECT lang, source, bool_and(outcome = 'passed') AS ok FROM c GROUP BY lang, source)
+    SELECT lang, count(*) AS attempts, count(*) FILTER (ok) / count(*) AS case_pass_rate FROM a GROUP BY lang"""
+)
+def case_pass_rate(spark, sf_dir):
+    return ck.case_pass_rate(_checks(spark, sf_dir), ["source"], "lang")
+
+
+@query(
+    """SELECT event_id, '/flows/' || event_type || '/steps/a/result/x' AS path,
+    CASE WHEN event_id % 2 = 0 THEN '/flows/' || event_type || '/steps/a' ELSE '/flows/' || event_type END AS owner_path,
+    CASE WHEN event_id % 2 = 0 THEN 'skipped' ELSE 'completed' END AS owner_status FROM events"""
+)
+def check_owners(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/flows/"), "event_type").alias("flow"))
+    records = e.select("event_id", F.col("flow").alias("path"), F.lit("completed").alias("status"))
+    near = e.where("event_id % 2 = 0").select("event_id", F.concat("flow", F.lit("/steps/a")).alias("path"), F.lit("skipped").alias("status"))
+    far = e.select("event_id", F.concat("flow", F.lit("/steps/ab")).alias("path"), F.lit("failed").alias("status"))
+    return ck.owners(e.select("event_id", F.concat("flow", F.lit("/steps/a/result/x")).alias("path")), records.unionByName(near).unionByName(far), "event_id")
+
+
+# summaries
+
+_CODE_SQL = "CASE WHEN event_type = 'error' THEN CASE WHEN value < 20 THEN 'rate_limited' WHEN value < 60 THEN 'request_timeout' ELSE 'forbidden' END END"
+
+
+@query(
+    f"""WITH n AS (SELECT {_CODE_SQL} AS code, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
+    SELECT code, n, CAST(row_number() OVER (ORDER BY n DESC, code) AS INTEGER) AS place FROM n WHERE code IS NOT NULL"""
+)
+def failures_by_code(spark, sf_dir):
+    code = F.when(F.col("value") < 20, failure_code(F.lit(429))).when(F.col("value") < 60, failure_code(F.lit(504))).otherwise(failure_code(F.lit(403)))
+    runs = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), code.alias("code"))
+    return sm.failures_by_code(runs)
+
+
+_SECONDS = "CASE WHEN user_id % 7 <> 0 THEN value END"
+_LATENCY = "count({s}) AS count, count(*) FILTER ({s} IS NULL) AS unavailable, min({s}) AS min, median({s}) AS median, quantile_disc({s}, 0.95) AS p95, max({s}) AS max"
+
+
+@query(f"WITH e AS (SELECT event_type, {_SECONDS} AS s FROM events) SELECT event_type, {_LATENCY.format(s='s')} FROM e GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("s", F.expr(_SECONDS))
+    return sm.latency_summary(e, "s", "event_type")
+
+
+@query(
+    """WITH e AS (SELECT event_type, CASE WHEN event_id % 1000 <> 0 THEN user_id END AS tokens FROM events)
+    SELECT event_type, count(tokens) AS tokens_observed, count(*) FILTER (tokens IS NULL) AS tokens_unknown, CAST(sum(tokens) AS BIGINT) AS tokens_known_total,
+    CASE WHEN count(*) = count(tokens) THEN CAST(sum(tokens) AS BIGINT) END AS tokens_total FROM e GROUP BY event_type"""
+)
+def usage_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("tokens", F.when(F.col("event_id") % 1000 != 0, F.col("user_id")))
+    return sm.usage_summary(e, ["tokens"], "event_type")
+
+
+_PRICES = Pricing(Price(Decimal("3"), Decimal("15"), Decimal("0.3")), Price(Decimal("6"), Decimal("22.5"), Decimal("0.6")), 100_000)
+_COST_SQL = """CASE WHEN l_suppkey % 10 <> 0 THEN CASE WHEN l_partkey * 100 > 100000
+  THEN CAST(l_partkey * 99 * 6 + l_partkey * 0.6 + l_suppkey * 22.5 AS DECIMAL(38, 6)) ELSE CAST(l_partkey * 99 * 3 + l_partkey * 0.3 + l_suppkey * 15 AS DECIMAL(38, 6)) END END"""
+
+
+@query(
+    f"""WITH r AS (SELECT l_returnflag, {_COST_SQL} AS micro FROM lineitem)
+    SELECT l_returnflag, count(micro) AS known, count(*) FILTER (micro IS NULL) AS unknown, CAST(NULL AS BIGINT) AS amount_micro, CAST(round(sum(micro)) AS BIGINT) AS known_micro, 'USD' AS currency FROM r GROUP BY l_returnflag"""
+)
+def cost_summary(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem")
+    cached = F.when(F.col("l_suppkey") % 10 != 0, F.col("l_partkey"))
+    x = x.withColumns({"amount": request_cost(_PRICES, F.col("l_partkey") * 100, F.col("l_suppkey"), cached, F.lit(None)), "currency": F.lit("USD"), "requests": F.lit(1)})
+    whole = sm.cost_summary(x, "l_returnflag")
+    known = x.groupBy("l_returnflag").agg(F.round(F.sum("amount") * 1_000_000).cast("long").alias("known_micro"))
+    return whole.join(known, "l_returnflag").select("l_returnflag", "known", "unknown", (F.col("amount") * 1_000_000).cast("long").alias("amount_micro"), "known_micro", "currency")
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT user_id AS run_id FROM events), r AS (SELECT user_id AS run_id, event_type AS step, min(value) AS seconds FROM events GROUP BY ALL),
+    w AS (SELECT run_id, step, r.seconds, r.run_id IS NOT NULL AS there FROM a CROSS JOIN (VALUES ('click'), ('error'), ('view')) s(step) LEFT JOIN r USING (run_id, step)),
+    x AS (SELECT *, CASE WHEN NOT coalesce(seconds IS NOT NULL, false) THEN NULL WHEN step = 'error' THEN 'failed' WHEN seconds < 5 THEN 'needs_review' ELSE 'completed' END AS status FROM w)
+    SELECT 'f' AS flow, step, count(status) AS invocations, count(*) FILTER (status IS NULL) AS no_record, count(*) FILTER (status = 'completed') AS completed,
+    count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+    CASE WHEN count(status) > 0 THEN count(*) FILTER (status = 'needs_review') / count(status) END AS fallback_rate, {_LATENCY.format(s='seconds')} FROM x GROUP BY step"""
+)
+def step_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    r = e.groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("step")).agg(F.min("value").alias("seconds"))
+    status = F.when(F.col("step") == "error", "failed").when(F.col("seconds") < 5, "needs_review").otherwise("completed")
+    r = r.withColumns({"flow": F.lit("f"), "status": status, "origin": F.when(status == "needs_review", "fallback")})
+    return sm.step_summary(e.select(F.col("user_id").alias("run_id")).distinct(), r, [("f", "click"), ("f", "error"), ("f", "view")])
+
+
+@query("SELECT event_type, CAST(CASE WHEN value <= 1 THEN 1 WHEN value <= 10 THEN 2 WHEN value <= 50 THEN 3 ELSE 4 END AS INTEGER) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def duration_histogram(spark, sf_dir):
+    return sm.duration_histogram(table(spark, sf_dir, "events").where("value IS NOT NULL"), "value", [1.0, 10.0, 50.0], "event_type")
+
+
+@query("SELECT true AS present, false AS member, props->>'$.k' AS key, count(*) AS n, min(event_id) AS group_ordinal FROM events GROUP BY ALL")
+def group_scalar(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("v", bind({"": parse(F.col("props"))}, {"pointer": "/k"}))
+    g = sm.grouped(e, F.col("v"), F.to_json("v"), "event_id")
+    return sm.group_report(g, "event_id", F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL)
+    SELECT true AS present, true AS member, '"' || role || '"' AS key, count(*) AS n, min(conv_id) AS group_ordinal FROM c WHERE role IS NOT NULL GROUP BY role"""
+)
+def group_member(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list("role")).alias("roles"))
+    g = sm.grouped(c, parse(F.col("roles")), F.col("roles"), "conv_id")
+    return sm.group_report(g, "conv_id", F.count(F.lit(1)).alias("n"))
+
+
+# metrics
+
+_LABELS = ["good", "bad"]
+_OBSERVED_SQL = """SELECT CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' END AS gold, lang,
+ CASE WHEN n_chars >= 900 THEN 'good' WHEN n_chars >= 100 THEN 'bad' WHEN n_chars >= 50 THEN 'other' END AS pred,
+ CASE WHEN quality IS NULL THEN 'excluded' WHEN lang = 'es' THEN 'skipped' WHEN lang = 'fr' AND n_chars < 300 THEN 'error' WHEN n_chars IS NULL OR n_chars < 20 THEN 'missing'
+  WHEN n_chars < 50 THEN 'abstained' WHEN n_chars < 100 THEN 'invalid' ELSE 'observed' END AS state FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def _observations(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    n = F.col("n_chars")
+    d = d.withColumns({"gold": F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad"), "pred": F.when(n >= 900, "good").when(n >= 100, "bad").when(n >= 50, "other")})
+    owner = F.when(F.col("lang") == "es", "skipped").when((F.col("lang") == "fr") & (n < 300), "failed").otherwise("completed")
+    return d.select("gold", "lang", "pred", mt.observed_state(F.col("gold"), F.col("pred"), n >= 20, owner, _LABELS).alias("state"))
+
+
+@query(
+    f"""WITH o AS ({_OBSERVED_SQL}), l AS (SELECT * FROM (VALUES (0, 'good'), (1, 'bad')) t(no, label))
+    SELECT CAST(g.no AS INTEGER) AS gold_no, g.label AS gold, CAST(p.no AS INTEGER) AS pred_no, p.label AS pred, count(o.gold) AS n
+    FROM l g CROSS JOIN l p LEFT JOIN o ON o.gold = g.label AND o.pred = p.label AND o.state = 'observed' GROUP BY ALL"""
+)
+def confusion_matrix(spark, sf_dir):
+    return mt.confusion_matrix(_observations(spark, sf_dir), _LABELS)
+
+
+@query(
+    f"""WITH o AS ({_OBSERVED_SQL}) SELECT lang, count(*) FILTER (state <> 'excluded') AS support, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in mt.STATES)},
+    count(*) FILTER (state = 'observed' AND gold = pred) AS correct, count(*) FILTER (state = 'observed' AND gold = pred) / nullif(count(*) FILTER (state <> 'excluded'), 0) AS accuracy,
+    count(*) FILTER (state = 'observed') / nullif(count(*) FILTER (state <> 'excluded'), 0) AS coverage FROM o GROUP BY lang"""
+)
+def metric_summary(spark, sf_dir):
+    return mt.metric_summary(_observations(spark, sf_dir), "lang")
+
+
+_COUNTS_SQL = f"""o AS ({_OBSERVED_SQL}), c AS (SELECT CAST(no AS INTEGER) AS label_no, label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (gold <> label AND pred = label) AS fp,
+ count(*) FILTER (gold = label AND pred <> label) AS fn, count(*) FILTER (gold <> label AND pred <> label) AS tn
+ FROM (SELECT * FROM o WHERE state = 'observed') o CROSS JOIN (VALUES (0, 'good'), (1, 'bad')) t(no, label) GROUP BY no, label)"""
+_RATES_SQL = "tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1"
+
+
+@query(f"WITH {_COUNTS_SQL} SELECT *, {_RATES_SQL} FROM c")
+def label_rates(spark, sf_dir):
+    return mt.rates(mt.label_counts(_observations(spark, sf_dir), _LABELS))
+
+
+_MEANS_SQL = ", ".join(f"CASE WHEN count(*) = count({c}) THEN sum({c}) / count({c}) END" for c in ("precision", "recall", "f1"))
+
+
+@query(
+    f"""WITH {_COUNTS_SQL}, p AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c), r AS (SELECT {_RATES_SQL} FROM c)
+    SELECT 'micro' AS average, {_RATES_SQL} FROM p UNION ALL SELECT 'macro', {_MEANS_SQL} FROM r"""
+)
+def micro_macro(spark, sf_dir):
+    return mt.micro_macro(mt.label_counts(_observations(spark, sf_dir), _LABELS))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, list(role) AS gold, list(role) FILTER (turn < 3) AS pred FROM conversations GROUP BY conv_id),
+    x AS (SELECT label, no, list_contains(gold, label) AS g, coalesce(list_contains(pred, label), false) AS p FROM c CROSS JOIN (VALUES (0, 'user'), (1, 'assistant'), (2, 'system')) t(no, label))
+    SELECT CAST(no AS INTEGER) AS label_no, label, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM x GROUP BY ALL"""
+)
+def multilabel_counts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("gold"), F.collect_set(F.when(F.col("turn") < 3, F.col("role"))).alias("pred"))
+    return mt.label_counts(c.withColumn("state", F.lit("observed")), ["user", "assistant", "system"])
+
+
+_FIELDS_SQL = """SELECT 'quality' AS field, CASE WHEN lang = 'es' THEN 'unavailable' WHEN quality IS NULL THEN (CASE WHEN n_chars < 300 THEN 'correct_null' ELSE 'hallucinated' END)
+ WHEN n_chars < 300 THEN 'missed' WHEN (n_chars >= 900) = (quality = 1) THEN 'correct_value' ELSE 'wrong_value' END AS outcome FROM documents LEFT JOIN labels USING (doc_id)
+ UNION ALL SELECT 'toxic', CASE WHEN lang = 'es' THEN 'unavailable' WHEN toxic IS NULL THEN 'hallucinated' WHEN toxic = 0 THEN 'correct_value' ELSE 'wrong_value' END FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def _fields(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    there, actual = F.col("lang") != "es", F.when(F.col("n_chars") >= 300, (F.col("n_chars") >= 900).cast("int"))
+    q = mt.field_outcome(there, F.col("quality"), actual, actual == F.col("quality"))
+    t = mt.field_outcome(there, F.col("toxic"), F.lit(0), F.col("toxic") == 0)
+    return d.select(F.explode(F.array(F.struct(F.lit("quality").alias("field"), q.alias("outcome")), F.struct(F.lit("toxic").alias("field"), t.alias("outcome")))).alias("f")).select("f.*")
+
+
+@query(
+    f"""WITH f AS ({_FIELDS_SQL}) SELECT field, {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in mt.FIELD_OUTCOMES)}, count(*) AS support,
+    count(*) FILTER (outcome IN ('correct_value', 'correct_null')) / count(*) AS accuracy FROM f GROUP BY ROLLUP (field)"""
+)
+def field_outcomes(spark, sf_dir):
+    return mt.field_summary(_fields(spark, sf_dir))
+
+
+@query(f"WITH f AS ({_FIELDS_SQL}), a AS (SELECT field, count(*) FILTER (outcome IN ('correct_value', 'correct_null')) / count(*) AS r FROM f GROUP BY field) SELECT sum(r) / count(r) AS macro_accuracy FROM a")
+def macro_field_accuracy(spark, sf_dir):
+    return mt.macro_field_accuracy(_fields(spark, sf_dir))
+
+
+# comparison of evaluations
+
+_RANK_SQL = "CASE outcome WHEN 'passed' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END"
+_CASES_SQL = f"""b AS ({_CHECKS_SQL.format(limit=500)}), c AS ({_CHECKS_SQL.format(limit=900)}),
+ p AS (SELECT b.case_id, b.outcome AS bo, c.outcome AS co, c.r - b.r AS step FROM (SELECT *, {_RANK_SQL} AS r FROM b) b JOIN (SELECT *, {_RANK_SQL} AS r FROM c) c USING (case_id))"""
+
+
+@query(
+    f"""WITH {_CASES_SQL} SELECT count(*) FILTER (step > 0) AS improved, count(*) FILTER (step < 0) AS regressed, CAST(0 AS BIGINT) AS mixed, count(*) FILTER (step = 0) AS unchanged,
+    count(*) FILTER (bo = 'passed') / count(*) AS before_pass_rate, count(*) FILTER (bo IN ('passed', 'failed')) / count(*) AS before_coverage,
+    count(*) FILTER (co = 'passed') / count(*) AS after_pass_rate, count(*) FILTER (co IN ('passed', 'failed')) / count(*) AS after_coverage,
+    count(*) FILTER (co = 'passed') / count(*) - count(*) FILTER (bo = 'passed') / count(*) AS pass_rate_delta,
+    count(*) FILTER (co IN ('passed', 'failed')) / count(*) - count(*) FILTER (bo IN ('passed', 'failed')) / count(*) AS coverage_delta FROM p"""
+)
+def variant_compare(spark, sf_dir):
+    return cp.compare_totals(cp.compare_cases(_checks(spark, sf_dir), _checks(spark, sf_dir, 900)))
+
+
+@query(None)
+def bootstrap_intervals(spark, sf_dir):
+    a, b = (cp.case_samples(_checks(spark, sf_dir, n)) for n in (500, 900))
+    rows = [("baseline", *cp.ratio_interval(a)), ("candidate", *cp.ratio_interval(b)), ("difference", *cp.paired_difference_interval(a, b))]
+    return spark.createDataFrame(rows, "rate string, low double, high double")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def checkpoint_latest(spark, sf_dir):
+    return latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+# decisions
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'answerable' WHEN 'O' THEN 'not_answerable' ELSE 'partially_answerable' END AS status,
+    CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS issues, o_custkey % 2 = 0 AS has FROM orders)
+    SELECT o_orderkey, concat_ws(',', CASE WHEN status <> 'answerable' AND issues = 0 THEN 'issues-required' END, CASE WHEN status = 'partially_answerable' THEN 'partial-not-supported' END,
+    CASE WHEN status <> 'not_answerable' AND NOT has THEN 'answer-required' END, CASE WHEN status = 'not_answerable' AND has THEN 'answer-must-be-null' END) AS problems,
+    CASE WHEN status = 'not_answerable' AND issues > 0 THEN 'other' WHEN has THEN 'yes' END AS answer,
+    CASE WHEN status = 'not_answerable' AND issues > 0 THEN 'fallback' WHEN has THEN 'answer' END AS origin,
+    CASE WHEN status = 'answerable' THEN 'completed' ELSE 'needs_review' END AS decided, CASE WHEN issues = 1 THEN 'ask' ELSE 'desk' END AS target FROM d"""
+)
+def decisions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "answerable").when(F.col("o_orderstatus") == "O", "not_answerable").otherwise("partially_answerable")
+    issues = F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("no_supported_answer")))
+    has = F.col("o_custkey") % 2 == 0
+    answer, origin = dc.with_fallback(F.when(has, "yes"), F.col("status"), F.col("issues"), "other", ["no_supported_answer"])
+    o = o.withColumns({"status": status, "issues": issues})
+    problems = dc.answerability_problems("choice", F.col("status"), F.col("issues"), has)
+    target = dc.review_target(F.col("issues"), {"no_supported_answer": "ask"}, "desk")
+    return o.select("o_orderkey", F.array_join(problems, ",").alias("problems"), answer.alias("answer"), origin.alias("origin"), dc.decided_status(F.col("status")).alias("decided"), target.alias("target"))
+
+
+@query(
+    """SELECT s AS status, CASE WHEN s < 400 THEN NULL WHEN s = 401 THEN 'unauthenticated' WHEN s = 403 THEN 'forbidden' WHEN s IN (408, 504) THEN 'request_timeout' WHEN s = 429 THEN 'rate_limited'
+    WHEN s IN (503, 529) THEN 'dependency_overloaded' WHEN s < 500 AND s <> 404 THEN 'request_rejected' ELSE 'dependency_failure' END AS code,
+    s IN (408, 429, 500, 502, 503, 504, 529) AS again, count(*) AS n FROM (SELECT 380 + o_orderkey % 200 AS s FROM orders) GROUP BY s"""
+)
+def failure_codes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((380 + F.col("o_orderkey") % 200).alias("status"))
+    return o.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select("status", failure_code(F.col("status")).alias("code"), retryable(F.col("status")).alias("again"), "n")
+
+
+# workflows
+
+
+def _order_workflow() -> Workflow:
+    urgent = {"pointer": "/payload/priority", "in": ["1-URGENT", "2-HIGH"]}
+    check = Step("check", lambda i: (lambda t: Outcome(i["total"], F.when(t > 300_000, "needs_review").otherwise("completed"), F.when(t < 2_000, "invalid_output")))(number_of(i["total"])), {"total": {"pointer": "/payload/total"}})
+    mark = Step("mark", lambda i: literal("rush"), when={"pointer": "/payload/total", "gt": 150_000})
+    fast = Flow("fast", [check, mark], [({"pointer": "/flows/fast/result/mark", "equals": "rush"}, "ship"), (None, "completed")], "desk", output={"fields": {"mark": {"first_of": ["/steps/mark/result"], "default": "none"}}})
+    slow = Flow("slow", [check], Cases("/payload/status", {"F": "ship", "O": "desk"}, "completed"))
+    ship = Flow("ship", [Step("label", lambda i: literal("box"))], output={"pointer": "/steps/label/result"})
+    desk = Flow("desk", [Step("note", lambda i: Outcome(literal("seen"), F.lit("needs_review")))], output={"pointer": "/steps/note/result"})
+    return Workflow([fast, slow, ship, desk], [(urgent, "fast"), (None, "slow")], {"first_of": ["/flows/ship/result", "/flows/desk/result"], "default": "plain"})
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS run_id, o_totalprice AS t, o_orderstatus AS s, o_orderpriority IN ('1-URGENT', '2-HIGH') AS u FROM orders),
+    a AS (SELECT *, CASE WHEN t < 2000 THEN 'failed' WHEN t > 300000 THEN 'needs_review' ELSE 'completed' END AS c FROM o),
+    b AS (SELECT *, CASE WHEN c = 'failed' THEN NULL WHEN u THEN CASE WHEN c = 'needs_review' THEN 'desk' WHEN t > 150000 THEN 'ship' ELSE 'completed' END
+      ELSE CASE WHEN c = 'needs_review' THEN 'needs_review' WHEN s = 'F' THEN 'ship' WHEN s = 'O' THEN 'desk' ELSE 'completed' END END AS nxt FROM a)
+    SELECT run_id, CASE WHEN c = 'failed' THEN 'failed' WHEN nxt IN ('desk', 'needs_review') THEN 'needs_review' ELSE 'completed' END AS status,
+    CASE WHEN c = 'failed' THEN 'invalid_output' END AS error, CASE WHEN c = 'failed' THEN NULL WHEN nxt = 'ship' THEN 'box' WHEN nxt = 'desk' THEN 'seen' ELSE 'plain' END AS result,
+    CAST(CASE WHEN c = 'failed' THEN 1 ELSE 1 + (u AND c = 'completed' AND t > 150000)::INT + (nxt IN ('ship', 'desk'))::INT END AS INTEGER) AS steps_used,
+    'start>' || CASE WHEN u THEN 'fast' ELSE 'slow' END || CASE WHEN c = 'failed' THEN '' ELSE ' ' || CASE WHEN u THEN 'fast' ELSE 'slow' END || '>' || nxt
+      || CASE nxt WHEN 'ship' THEN ' ship>completed' WHEN 'desk' THEN ' desk>needs_review' ELSE '' END END AS path,
+    CASE WHEN u AND c = 'completed' AND t > 150000 THEN 'completed' WHEN u THEN 'skipped' END AS mark FROM b"""
+)
+def workflow_runs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    payload = F.to_variant_object(F.struct(F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")))
+    runs = _order_workflow().run(o.select(F.col("o_orderkey").alias("run_id"), payload.alias("payload"), F.lit(None).cast("variant").alias("metadata")))
+    path = F.array_join(F.transform("transitions", lambda t: F.concat_ws(">", t.source, t.target)), " ")
+    return runs.select("run_id", "status", "error", F.when(F.col("status") != "failed", text_of(F.col("payload"))).alias("result"), "steps_used", path.alias("path"), F.col("fast.steps.mark.status").alias("mark"))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT event_id, value AS v, 0 AS n FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, v * 2, n + 1 FROM r WHERE n = 0 OR (n < 4 AND v < 100))
+    SELECT event_id AS run_id, CAST(n AS INTEGER) AS attempts, v AS result, CASE WHEN v >= 100 THEN 'until' ELSE 'exhausted' END AS stopped_by FROM r QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC) = 1"""
+)
+def repeat_until(spark, sf_dir):
+    double = Step("double", lambda i: F.try_variant_get(F.to_variant_object(F.struct((number_of(i["v"]) * 2).alias("x"))), "$.x", "variant"), {"v": {"pointer": "/payload/v"}})
+    again = Repeat(4, {"pointer": "/flows/grow/result", "gte": 100}, {"v": {"pointer": "/flows/grow/result"}})
+    flow = Flow("grow", [double], output={"pointer": "/steps/double/result"}, repeat=again)
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    runs = Workflow([flow], "grow").run(e.select(F.col("event_id").alias("run_id"), F.to_variant_object(F.struct(F.col("value").alias("v"))).alias("payload"), F.lit(None).cast("variant").alias("metadata")))
+    return runs.select("run_id", F.col("grow.attempts").alias("attempts"), number_of(F.col("grow.result")).alias("result"), F.col("grow.stopped_by").alias("stopped_by"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id AS run_id, turn AS pos, CASE WHEN length(text) > 400 THEN 'failed' WHEN role = 'system' THEN 'needs_review' ELSE 'completed' END AS status FROM conversations)
+    SELECT run_id, pos, CASE WHEN pos > min(CASE WHEN status = 'failed' THEN pos END) OVER (PARTITION BY run_id) THEN 'skipped' ELSE status END AS status FROM s"""
+)
+def collection_ledger(spark, sf_dir):
+    status = F.when(F.length("text") > 400, "failed").when(F.col("role") == "system", "needs_review").otherwise("completed")
+    return ledger(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), status.alias("status")))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS run_id, turn, role, length(text) AS n, count(*) OVER (PARTITION BY conv_id) AS size, bool_and(role IN ('user', 'assistant')) OVER (PARTITION BY conv_id) AS known,
+      count(DISTINCT turn) OVER (PARTITION BY conv_id) AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+    s AS (SELECT run_id, pos, 't' || turn AS id, role AS flow, CASE WHEN n > 400 THEN 'failed' WHEN role = 'assistant' THEN 'completed' ELSE 'needs_review' END AS status FROM c WHERE known AND size <= 64 AND ids = size)
+    SELECT run_id, CAST(pos AS INTEGER) AS pos, id, flow, CASE WHEN pos > min(CASE WHEN status = 'failed' THEN pos END) OVER (PARTITION BY run_id) THEN 'skipped' ELSE status END AS status FROM s
+    UNION ALL SELECT DISTINCT run_id, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 'invalid_input' FROM c WHERE NOT (known AND size <= 64 AND ids = size)"""
+)
+def collections(spark, sf_dir):
+    item = F.struct("turn", F.struct(F.concat(F.lit("t"), "turn").alias("id"), F.col("role").alias("flow"), F.struct(F.length("text").alias("n")).alias("input")).alias("item"))
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.sort_array(F.collect_list(item)).alias("all"))
+    c = c.select("run_id", F.to_variant_object(F.transform("all", lambda x: x.item)).alias("items"))
+
+    def size(status: str) -> Step:
+        return Step("size", lambda i: Outcome(i["n"], F.lit(status), F.when(number_of(i["n"]) > 400, "invalid_output")), {"n": {"pointer": "/payload/n"}})
+
+    return run_collection(c, [Flow("user", [size("needs_review")]), Flow("assistant", [size("completed")])]).select("run_id", "pos", "id", "flow", "status")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'invalid_input' END AS error, CASE WHEN event_id % 3 <> 0 THEN CAST(props->>'$.k' AS BIGINT) END AS k FROM events"""
+)
+def envelopes(spark, sf_dir):
+    body = F.concat(F.lit('{"payload": '), "props", F.when(F.col("event_id") % 3 == 0, ', "extra": 1}').otherwise(', "metadata": {}}'))
+    d = decode(table(spark, sf_dir, "events").withColumn("value", body))
+    return d.select("event_id", "error", number_of(bind({"/payload": F.col("payload")}, {"pointer": "/payload/k"})).cast("long").alias("k"))
