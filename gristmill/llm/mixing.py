@@ -43,7 +43,7 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
         unit = rest / sum(weights[k] for k in open_)
         over = [k for k in open_ if weights[k] * unit > cap * sizes[k]]
         for k in over or open_:
-            out[k] = cap * sizes[k] if over else weights[k] * unit
+            out[k] = float(cap * sizes[k]) if over else weights[k] * unit
             rest -= out[k] if over else 0
         if not over:
             break
