@@ -252,7 +252,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
             row, number, weight = vectors(part.column("text"), model["known"], model["idf"])
             score, near, cosines = np.full(part.num_rows, model["without"]), [[]] * part.num_rows, [[]] * part.num_rows
             bounds = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-            for a, b in zip(bounds.tolist(), np.r_[bounds[1:], len(row)].tolist(), strict=True):
+            for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(row)][: len(bounds)], strict=True):
                 rows, cosine = index.nearest(number[a:b], weight[a:b], NEIGHBOURS)
                 if len(rows):
                     k = int(row[a])
