@@ -6,8 +6,11 @@ corrected for the chance that differing minima agree in those bits. Candidates w
 confirmed on their full sets; confirmed links make components.
 
 Documents with equal sets are one class, and only the smallest doc_id of a class is compared. Within a band's bucket of at
-most SMALL classes all pairs are candidates; in a larger one all are compared with the smallest doc_id, and then only
-those that are still in different components with each other, so copies of copies never make all pairs.
+most SMALL classes all pairs are candidates; in a larger one all are compared with a few hubs, and then only those that are
+still in different components with each other, and only where they share one of their rarest shingles: of sets with a
+similarity of 0.75 or more, each has a shingle of the other among the rarest quarter (and one) of its own, whatever else
+many documents share. So neither copies of copies nor common passages make all pairs, and no link is lost. Pairs whose
+sizes alone forbid the similarity are no candidates.
 
 Documents with one to four words have their whole sequence of words as one shingle; null texts and texts without words
 have an empty set and link with nothing. Rows with a null doc_id come after all others and have a null component_id if
@@ -31,6 +34,8 @@ SHINGLE = 5
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS = PERMUTATIONS // ROWS
 SMALL = 16
+#: Members of a large bucket that all others are compared with first.
+HUBS = 4
 #: Estimates below it are not confirmed: six standard deviations of the estimate under 0.75.
 LEAST_ESTIMATE = 0.5
 
@@ -183,7 +188,34 @@ def components(edges: DataFrame) -> DataFrame:
     return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _sizes(a: str, b: str) -> Column:
+    """Whether sets of these sizes can have a similarity of 0.75 at all."""
+    return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
+
+
+def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures do not speak against a similarity of 0.75."""
+    pairs = pairs.join(marks.select(F.col("id").alias("b"), F.col("signature").alias("mb")), "b").join(marks.select(F.col("id").alias("a"), F.col("signature").alias("ma")), "a")
+    return pairs.where(estimate(F.col("ma"), F.col("mb")) >= LEAST_ESTIMATE).select("a", "b")
+
+
+def _rare_pairs(apart: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles: all that can have a similarity of 0.75."""
+    sets = docs.join(apart.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
+    shingle = cut(sets.select("id", F.explode("shingles").alias("shingle")))
+    ranked = shingle.join(shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle")
+    rarest = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))  # of one document
+    some = F.size("all") - F.ceil(0.75 * F.size("all")).cast("int") + 1
+    rarest = rarest.select("id", F.explode(F.slice("all", F.lit(1), some)).alias("s")).where("s.n > 1").select("id", F.col("s.shingle").alias("shingle"))
+    rarest = cut(rarest.join(apart, "id"))
+    mixed = rarest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    x = rarest.join(mixed, "shingle", "left_semi")
+    y = x.select("shingle", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
+    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("component") < F.col("component2")) & _sizes("size", "size2"))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets have a similarity of 0.75 at least."""
     candidates = cut(pairs)
     ids = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
@@ -201,29 +233,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     d = documents(docs).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "text")
     sketch = cut(d.mapInArrow(_sketch, _SKETCH))
     classes = sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    first = sketch.select("id", "digest", "signature", "bands").join(classes, (F.col("id") == F.col("rep")) & (sketch.digest == classes.digest), "left_semi")
-    reps = cut(first.dropDuplicates(["id"]).select("id", "signature", "bands"))
-    keys = reps.select("id", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
+    first = sketch.select("id", "n_shingles", "digest", "signature", "bands").join(classes, (F.col("id") == F.col("rep")) & (sketch.digest == classes.digest), "left_semi")
+    reps = cut(first.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("size"), "signature", "bands"))
+    member = F.struct("id", "size")
+    keys = reps.select("id", "size", F.explode("bands").alias("band"))
+    hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size")) for k in range(HUBS - 1)]
+    hubs = F.array_distinct(F.array(F.min(member), *(F.struct(h["id"].alias("id"), h["size"].alias("size")) for h in hubs)))
+    buckets = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), hubs.alias("hubs")).where("n > 1")
     members = cut(keys.join(buckets, "band"))
-    small = members.where(F.col("n") <= SMALL).select("band", "id")
-    pairs = small.select("band", F.col("id").alias("a")).join(small.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b")
+    small = members.where(F.col("n") <= SMALL).select("band", "id", "size")
+    other = small.select("band", F.col("id").alias("id2"), F.col("size").alias("size2"))
+    pairs = small.join(other, "band").where((F.col("id") < F.col("id2")) & _sizes("size", "size2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     large = members.where(F.col("n") > SMALL)
-    pairs = pairs.unionByName(large.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
+    beside = large.select("id", "size", F.explode("hubs").alias("hub")).where((F.col("id") != F.col("hub.id")) & _sizes("size", "hub.size"))
+    pairs = pairs.unionByName(beside.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))).distinct()
     marks = reps.select("id", "signature")
-    pairs = pairs.join(marks.select(F.col("id").alias("b"), F.col("signature").alias("mb")), "b").join(marks.select(F.col("id").alias("a"), F.col("signature").alias("ma")), "a")
-    likely = pairs.where(estimate(F.col("ma"), F.col("mb")) >= LEAST_ESTIMATE).select("a", "b")
-    links = _confirmed(likely, reps, d)
+    links = _confirmed(_likely(pairs, marks), d)
     found = cut(components(links))
-    # in large buckets, whatever is still apart is compared with all that lies in other components
-    apart = large.select("band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # in large buckets, whatever is still apart is compared with what lies in other components
+    apart = large.select("band", "id", "size").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    apart = cut(apart.join(mixed, "band", "left_semi").join(marks, "id"))
+    apart = cut(apart.join(mixed, "band", "left_semi").select("id", "size", "component").distinct())
     if not apart.isEmpty():
-        x = apart.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("ma"))
-        y = apart.select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("mb"))
-        more = x.join(y, (x.band == y.band) & (F.col("ca") < F.col("cb")) & (estimate(F.col("ma"), F.col("mb")) >= LEAST_ESTIMATE))
-        more = _confirmed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, d)
+        more = _confirmed(_likely(_rare_pairs(apart, d), marks), d)
         if not more.isEmpty():
             found = cut(components(links.unionByName(more)))
     ids = sketch.select("id", "n_shingles", "digest").join(classes, "digest", "left")
