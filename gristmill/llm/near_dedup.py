@@ -36,8 +36,8 @@ BANDS = PERMUTATIONS // ROWS
 SMALL = 16
 #: Members of a large bucket that all others are compared with first.
 HUBS = 4
-#: Estimates below it are not confirmed: six standard deviations of the estimate under 0.75.
-LEAST_ESTIMATE = 0.5
+#: Estimates below it are not confirmed: four and a half standard deviations (0.04) of the estimate under 0.75.
+LEAST_ESTIMATE = 0.57
 
 _NULL_ID = (1 << 63) - 1
 _SPACE = np.zeros(256, bool)
@@ -200,7 +200,7 @@ def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(apart: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles: all that can have a similarity of 0.75."""
+    """Likely pairs of different components that share one of their rarest shingles, as all with a similarity of 0.75 do."""
     sets = docs.join(apart.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
     shingle = cut(sets.select("id", F.explode("shingles").alias("shingle")))
     ranked = shingle.join(shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle")
@@ -210,8 +210,9 @@ def _rare_pairs(apart: DataFrame, docs: DataFrame) -> DataFrame:
     rarest = cut(rarest.join(apart, "id"))
     mixed = rarest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     x = rarest.join(mixed, "shingle", "left_semi")
-    y = x.select("shingle", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
-    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("component") < F.col("component2")) & _sizes("size", "size2"))
+    y = x.select("shingle", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("component").alias("component2"), F.col("signature").alias("signature2"))
+    likely = estimate(F.col("signature"), F.col("signature2")) >= LEAST_ESTIMATE
+    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("component") < F.col("component2")) & _sizes("size", "size2") & likely)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -239,13 +240,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = reps.select("id", "size", F.explode("bands").alias("band"))
     hubs = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size")) for k in range(HUBS - 1)]
     hubs = F.array_distinct(F.array(F.min(member), *(F.struct(h["id"].alias("id"), h["size"].alias("size")) for h in hubs)))
-    buckets = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), hubs.alias("hubs")).where("n > 1")
+    buckets = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(keys.join(buckets, "band"))
     small = members.where(F.col("n") <= SMALL).select("band", "id", "size")
     other = small.select("band", F.col("id").alias("id2"), F.col("size").alias("size2"))
     pairs = small.join(other, "band").where((F.col("id") < F.col("id2")) & _sizes("size", "size2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     large = members.where(F.col("n") > SMALL)
-    beside = large.select("id", "size", F.explode("hubs").alias("hub")).where((F.col("id") != F.col("hub.id")) & _sizes("size", "hub.size"))
+    hubs = large.groupBy("band").agg(hubs.alias("hubs"))
+    beside = large.join(hubs, "band").select("id", "size", F.explode("hubs").alias("hub")).where((F.col("id") != F.col("hub.id")) & _sizes("size", "hub.size"))
     pairs = pairs.unionByName(beside.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))).distinct()
     marks = reps.select("id", "signature")
     links = _confirmed(_likely(pairs, marks), d)
@@ -255,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     apart = cut(apart.join(mixed, "band", "left_semi").select("id", "size", "component").distinct())
     if not apart.isEmpty():
-        more = _confirmed(_likely(_rare_pairs(apart, d), marks), d)
+        more = _confirmed(_rare_pairs(apart.join(marks, "id"), d), d)
         if not more.isEmpty():
             found = cut(components(links.unionByName(more)))
     ids = sketch.select("id", "n_shingles", "digest").join(classes, "digest", "left")
