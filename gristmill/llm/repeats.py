@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, gram_hash, mix64, pack_rows, shuffle_partitions, table, utf8
 
 LENGTH = 50
-SEED = 16
+SEED = 24
 #: Strings of a fragment at most; a longer run is cut.
 RUN = 50
 WIDTH = LENGTH + RUN - 1
@@ -169,6 +169,29 @@ def smallest_by_string(contents: np.ndarray, lengths: np.ndarray, doc: np.ndarra
     return np.where(where >= 0, least[group[where]], _LAST)
 
 
+def _squeezed(parts: Iterator[tuple[int, list[bytes]]]) -> Iterator[tuple[int, list[bytes]]]:
+    """The columns of each part compressed, each behind its length."""
+    for part, columns in parts:
+        yield part, [len(c).to_bytes(8, "little") + pa.compress(c, codec="zstd", asbytes=True) for c in columns]
+
+
+def _opened(column: pa.ChunkedArray) -> list[bytes]:
+    return [pa.decompress(c[8:], int.from_bytes(c[:8], "little"), codec="zstd", asbytes=True) for c in column.to_pylist()]
+
+
+def _short(seed: np.ndarray) -> np.ndarray:
+    """The upper six bytes of seeds, which tell whether they are shared; a false alarm only sends a fragment along."""
+    return np.ascontiguousarray(seed.astype("<u8")[:, None].view(np.uint8)[:, 2:]).view("V6").ravel()
+
+
+def _whole(column: pa.ChunkedArray) -> np.ndarray:
+    """Six-byte seeds as numbers."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").ravel()
+
+
 def _table(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(columns[k], t) for k, t in types.items()})
 
@@ -200,10 +223,11 @@ def _seeds(docs: pa.Table, buckets: int) -> pa.Table:
     block = docs.column("block")[0].as_py()
     order = np.argsort(f.seed, kind="stable")
     seed, doc = f.seed[order], ids[f.row[order]]
-    starts = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]]) if len(seed) else np.empty(0, np.int64)
+    high = seed >> np.uint64(16)
+    starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(seed) else np.empty(0, np.int64)
     several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(starts) else np.empty(0, bool)
     seed = seed[starts]
-    return _rows(pack_rows((seed >> np.uint64(20)) % np.uint64(buckets), [seed, several]), _SEEDS, block)
+    return _rows(pack_rows((seed >> np.uint64(20)) % np.uint64(buckets), [_short(seed), several]), _SEEDS, block)
 
 
 def _joined(t: pa.Table, column: str, dtype) -> np.ndarray:
@@ -212,14 +236,14 @@ def _joined(t: pa.Table, column: str, dtype) -> np.ndarray:
 
 def _shared(t: pa.Table) -> pa.Table:
     """Seeds of a bucket that two documents share, by block."""
-    seed, several = _joined(t, "seeds", np.uint64), _joined(t, "several", bool)
-    block = np.repeat(t.column("block").to_numpy(), [len(s) // 8 for s in t.column("seeds").to_pylist()])
+    seed, several = _whole(t.column("seeds")), _joined(t, "several", bool)
+    block = np.repeat(t.column("block").to_numpy(), [len(s) // 6 for s in t.column("seeds").to_pylist()])
     order = np.argsort(seed, kind="stable")
     seed, several, block = seed[order], several[order], block[order]
     starts = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
     count = np.diff(np.r_[starts, len(seed)])
     shared = np.repeat((count > 1) | np.logical_or.reduceat(several, starts), count)
-    parts = list(pack_rows(block[shared], [seed[shared]]))
+    parts = list(pack_rows(block[shared], [_short(seed[shared] << np.uint64(16))]))
     return _table({"block": [p for p, _ in parts], "seeds": [c[0] for _, c in parts]}, _SHARED)
 
 
@@ -228,7 +252,7 @@ def _fragments(docs: pa.Table, seeds: pa.Table, buckets: int) -> pa.Table:
     if not docs.num_rows or not seeds.num_rows:
         return _rows(iter(()), _FRAGMENTS, 0)
     f = Fragments(docs.column("text"))
-    f.take(np.isin(f.seed, _joined(seeds, "seeds", np.uint64)))
+    f.take(np.isin(f.seed >> np.uint64(16), _whole(seeds.column("seeds"))))
     doc = docs.column("id").to_numpy()[f.row]
     contents = f.contents()
     key = content_keys(contents)
@@ -237,14 +261,16 @@ def _fragments(docs: pa.Table, seeds: pa.Table, buckets: int) -> pa.Table:
     first = order[starts]
     several = doc[order[np.r_[starts[1:], len(order)] - 1]] != doc[first]
     columns = [f.seed[first], f.strings[first].astype(np.uint8), contents[first], doc[first], several]
-    return _rows(pack_rows((f.seed[first] >> np.uint64(20)) % np.uint64(buckets), columns), _FRAGMENTS, docs.column("block")[0].as_py())
+    return _rows(_squeezed(pack_rows((f.seed[first] >> np.uint64(20)) % np.uint64(buckets), columns)), _FRAGMENTS, docs.column("block")[0].as_py())
 
 
 def _sorted(t: pa.Table) -> pa.Table:
     """For each block, runs of strings of its fragments with the smallest doc_id that has them."""
-    seed, strings, doc, several = (_joined(t, c, d) for c, d in (("seeds", np.uint64), ("strings", np.uint8), ("docs", np.int64), ("several", bool)))
-    contents = _joined(t, "contents", np.uint8).reshape(-1, WIDTH)
-    block = np.repeat(t.column("block").to_numpy(), [len(s) for s in t.column("strings").to_pylist()])
+    each = _opened(t.column("strings"))
+    block = np.repeat(t.column("block").to_numpy(), [len(s) for s in each])
+    strings = np.frombuffer(b"".join(each), np.uint8)
+    seed, doc, several, contents = (np.frombuffer(b"".join(_opened(t.column(c))), d) for c, d in (("seeds", np.uint64), ("docs", np.int64), ("several", bool), ("contents", np.uint8)))
+    contents = contents.reshape(-1, WIDTH)
     key = content_keys(contents)
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
     least = np.full(len(first), _LAST, np.int64)
