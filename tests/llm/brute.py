@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 
 def repeats(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple]:
@@ -23,3 +26,27 @@ def repeats(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, t
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         out[doc_id] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def losses(rows: list[tuple[int | None, str | None]], good: set[int], mix: float = 0.7) -> list[tuple]:
+    """doc_id, tokens, loss under the target and the background model and their difference, of every row."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    texts = [(k, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None]) for k, t in rows]
+    types = len({w for _, t in texts for w in t})
+
+    def model(chosen):
+        one = Counter(w for t in chosen for w in t)
+        two = Counter(p for t in chosen for p in zip([None, *t], t))
+        tokens = sum(one.values())
+
+        def loss(t):
+            total = 0.0
+            for v, w in zip([None, *t], t):
+                p = (one[w] + 1) / (tokens + types)
+                total -= math.log(mix * two[v, w] / one[v] + (1 - mix) * p if one[v] else p)
+            return total / len(t)
+
+        return loss
+
+    target, background = model([t for k, t in texts if k in good]), model([t for _, t in texts])
+    return [(k, len(t), target(t), background(t), target(t) - background(t)) for k, t in texts]

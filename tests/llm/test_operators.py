@@ -265,3 +265,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert kept.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
     ids = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/near_dedup").collect()}
     assert 900 not in ids and 902 not in ids and len(ids & {100, 101, 102, 103}) <= 1 and set(range(30)) - ids <= {k for k, t in ROWS if len(t or "") < 12}
+
+
+def test_op8_losses(spark, docs):
+    """All words count, also those beyond the 2000 most frequent ones."""
+    rows = [*ROWS, (None, "no id"), *((1000 + k, " ".join(f"Rare{k}x{j} the" for j in range(50))) for k in range(60))]
+    good = {100, 205, 900, 1003, 1004}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in cross_entropy_difference(table, spark.createDataFrame([(k,) for k in good] * 2, "doc_id long")).collect()}
+    for wanted in brute.losses(rows, good):
+        r = got[wanted[0]]
+        assert r["n_tokens"] == wanted[1] and np.allclose([r["loss_target"], r["loss_background"], r["score"]], wanted[2:], atol=1e-9)
+    assert len(got) == len(rows)
