@@ -1,4 +1,8 @@
-"""Operator 7: approximate nearest neighbours with a permutation index.
+"""Operator 7: approximate nearest neighbours (largest inner products) with a permutation index.
+
+Vectors are indexed with one more component, sqrt(M**2 - |v|**2), and queries with 0 there, so that the nearest direction is
+the largest inner product, whatever the lengths. M is the length that LONG of a shard's vectors do not exceed; the few
+longer ones are ranked again for every query, beside the share below.
 
 Each vector is represented by the order of its nearest pivots and posted, with the place in that order, in the inverted
 file of each of its POSTED nearest pivots. A query reads the files of its ASKED nearest pivots and sums, for each vector
@@ -27,6 +31,7 @@ from .common import cut, table
 
 PIVOTS, POSTED, ASKED = 256, 128, 64
 SHARE, LEAST = 0.12, 800
+LONG = 0.99
 SHARD, QUERIES = 16384, 1024
 NEAREST = 20
 
@@ -51,6 +56,11 @@ def pivot_order(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.argsort(-np.round(unit @ pivots.T, 12), axis=1, kind="stable")
 
 
+def lifted(vectors: np.ndarray, length: float) -> np.ndarray:
+    """Vectors with a component that makes shorter ones as long as length."""
+    return np.column_stack([vectors, np.sqrt(np.maximum(length * length - (vectors * vectors).sum(axis=1), 0))])
+
+
 class InvertedFiles:
     """For each pivot, the vectors that have it among their nearest, and its place in their order."""
 
@@ -81,12 +91,18 @@ def search(vectors: pa.Table, queries: pa.Table, pivots: np.ndarray, nearest: in
     if vectors.num_rows and queries.num_rows:
         vectors = vectors.sort_by("vec_id")
         ids, matrix = vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vector"))
-        files = InvertedFiles(pivot_order(matrix, pivots), POSTED, len(pivots))
-        some = min(len(ids), max(LEAST, int(SHARE * len(ids))))
+        size = np.linalg.norm(matrix, axis=1)
+        length = np.quantile(size, LONG, method="higher")
+        long = size > length
+        pivots = lifted(pivots, length)
+        pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+        files = InvertedFiles(pivot_order(lifted(matrix, length), pivots), POSTED, len(pivots))
+        some = min(len(ids), max(LEAST, int(SHARE * len(ids))) + int(long.sum()))
         asked = _matrix(queries.column("vector"))
-        orders = pivot_order(asked, pivots)[:, :ASKED]
+        orders = pivot_order(lifted(asked, 0), pivots)[:, :ASKED]
         for query_id, q, order in zip(queries.column("vec_id").to_pylist(), asked, orders, strict=True):
             rank = files.footrule(order).astype(np.int64) * len(ids) + np.arange(len(ids))
+            rank[long] = -1
             rank[ids == query_id] = np.iinfo(np.int64).max
             rows = np.argpartition(rank, some - 1)[:some]
             rows = np.sort(rows[ids[rows] != query_id])
@@ -108,7 +124,6 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
         return spark.createDataFrame([], schema)
     first = v.select("vec_id", "vector", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(8 * PIVOTS).collect()  # a bounded sample
     pivots = np.array(list(dict.fromkeys(tuple(r["vector"]) for r in first))[:PIVOTS])
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     q = usable(queries).dropDuplicates(["vec_id"]).where(F.size("vector") == pivots.shape[1])
     shards, blocks = max(1, round(n / SHARD)), max(1, round(q.count() / QUERIES))
     shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id"), F.lit(blocks))

@@ -15,6 +15,7 @@ import brute  # noqa: E402
 
 from conftest import DATA  # noqa: E402
 from gristmill.llm import near_dedup as nd  # noqa: E402
+from gristmill.llm import neighbours as nb  # noqa: E402
 from gristmill.llm import registry  # noqa: E402
 from gristmill.llm.exact_dedup import exact_dedup, exact_dedup_rows, stream_state  # noqa: E402
 from gristmill.llm.language_id import fit as fit_languages  # noqa: E402
@@ -277,3 +278,26 @@ def test_op8_losses(spark, docs):
         r = got[wanted[0]]
         assert r["n_tokens"] == wanted[1] and np.allclose([r["loss_target"], r["loss_background"], r["score"]], wanted[2:], atol=1e-9)
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("spread", [0, 0.25, 0.5, "few long"])
+def test_op7_recall(spread):
+    """Of one shard, far larger than LEAST, so that the index decides; vectors of equal and of varied lengths."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = nb.SHARD
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= np.where(np.arange(n) % 5000 == 7, 100, 1)[:, None] if spread == "few long" else np.exp(spread * rng.normal(size=(n, 1)))
+    rows = lambda k: pa.table({"vec_id": k, "vector": pa.array(list(v[k]), pa.list_(pa.float64()))})
+    asked = np.arange(500, 540)
+    assert nb.LEAST < nb.SHARE * n
+    got = nb.search(rows(np.arange(n)), rows(asked), v[: nb.PIVOTS].copy(), 20).to_pandas()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(part.vec_id))
+    print(spread, hits / (20 * len(asked)))
+    assert hits >= 0.9 * 20 * len(asked)
