@@ -1,10 +1,10 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
-Terms are words and their first bytes, in lower case. From a bounded sample of labelled rows come the terms that go with
-toxic examples (by chi-square) and the examples themselves; document frequencies of those terms are counted over all
-documents. A document's nearest examples by exact TF-IDF cosine over the terms are found with an inverted index whose
-postings lie in blocks of examples with the largest weight of each term in each block: blocks are scored from the highest
-bound down, until no bound exceeds the score of the last neighbour held. Neighbours vote, weighted by nearness and by the
+Terms are words and their first bytes, in lower case. A bounded sample of labelled rows are the examples, and all their
+terms count; document frequencies of those terms are counted over all documents. A document's nearest examples by exact
+TF-IDF cosine over the terms are found with an inverted index whose postings lie in blocks of examples with the largest
+weight of each term in each block: the FIRST blocks with the highest bounds are scored, then all whose bound reaches the
+score of the last neighbour held. Neighbours vote, weighted by nearness and by the
 share of their class that was sampled; a logistic curve over left-one-out votes of the examples calibrates the votes.
 Evidence are the doc_ids and cosines of the nearest examples.
 
@@ -25,13 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, letters, mix64, slices, table, utf8
 
-#: Labelled rows of each label that are learned from at most, and terms.
+#: Labelled rows of each label that are learned from at most.
 PER_LABEL = 6000
-TERMS = 2048
-LEAST_EXAMPLES = 4
-LEAST_CHI_SQUARE = 12.0
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST = 16
 PREFIXES = (4, 5, 6, 7)
 
 _LETTERS = letters()
@@ -129,33 +127,43 @@ class BlockMaxIndex:
     """Inverted index of examples, in blocks, with each block's largest weight of each term."""
 
     def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, terms: int):
-        order = np.lexsort((row, number))
+        order = np.argsort(number, kind="stable")  # rows ascend
         self.row, self.weight, number = row[order], weight[order], number[order]
         self.n, self.blocks = n, -(-n // BLOCK)
         block = self.row // BLOCK
-        self.most = np.zeros((terms, self.blocks))
-        np.maximum.at(self.most, (number, block), self.weight)
-        self.first = np.searchsorted(number * self.blocks + block, np.arange(terms * self.blocks + 1))
+        first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else np.empty(0, np.int64)
+        self.block, self.begin, self.end = block[first].astype(np.int32), first.astype(np.int32), np.r_[first[1:], len(number)].astype(np.int32)[: len(first)]
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.first = np.searchsorted(number[first], np.arange(terms + 1))
 
     def nearest(self, number: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with the k largest cosines above 0, the smaller number first at ties, and the cosines."""
-        bound = weight @ self.most[number]
-        best_rows, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1] - 1e-12):
-                break
-            cells = number * self.blocks + block
-            score = np.zeros(BLOCK)
-            for a, b, w in zip(self.first[cells].tolist(), self.first[cells + 1].tolist(), weight.tolist(), strict=True):
-                if a < b:
-                    score[self.row[a:b] - block * BLOCK] += w * self.weight[a:b]
-            if 0 <= but - block * BLOCK < BLOCK:
-                score[but - block * BLOCK] = 0
+        cell, of = _ranges(self.first[number], self.first[number + 1])
+        block, weight = self.block[cell], weight[of]
+        bound = np.bincount(block, weights=weight * self.most[cell], minlength=self.blocks)
+        left = bound > 0
+        rows, best = np.empty(0, np.int64), np.empty(0)
+        for some in (np.argsort(-bound, kind="stable")[:FIRST], slice(None)):
+            now = np.zeros(self.blocks, bool)
+            now[some] = left[some] & ((len(best) < k) | (bound[some] >= (best[-1] if len(best) else 0) - 1e-9))
+            left &= ~now
+            on = now[block]
+            at, of = _ranges(self.begin[cell[on]], self.end[cell[on]])
+            score = np.bincount(self.row[at], weights=weight[on][of] * self.weight[at], minlength=self.n)
+            if but >= 0:
+                score[but] = 0
             hit = np.flatnonzero(score > 0)
-            rows, scores = np.r_[best_rows, hit + block * BLOCK], np.r_[best, score[hit]]
+            rows, scores = np.r_[rows, hit], np.r_[best, score[hit]]
             top = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            best_rows, best = rows[top], scores[top]
-        return best_rows, best
+            rows, best = rows[top], scores[top]
+        return rows, best
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range of each."""
+    size = (end - begin).astype(np.int64)
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
 
 
 def _vote(model: dict, rows: np.ndarray, cosine: np.ndarray) -> float:
@@ -178,7 +186,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, n_terms: int = TERMS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict | None:
     """Index, examples and calibration from labelled rows that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~_held_out())
     marks = cut(marks.dropDuplicates(["doc_id"]))
@@ -191,32 +199,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, n_terms:
     size = {r["toxic"]: (r["n"], r["copies"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).collect()}
     if not size:
         return None
-    n1, n0 = size.get(1, (0, 0))[0], size.get(0, (0, 0))[0]
-    toxic_terms = document_frequency(sample.where("toxic = 1")).where(F.col("n") >= LEAST_EXAMPLES).collect()  # of at most per_label texts
-    term = np.array([r["term"] for r in toxic_terms], np.int64).view(np.uint64)
-    a = np.array([r["n"] for r in toxic_terms], np.float64)
-    order = np.argsort(term)
-    term, a = term[order], a[order]
-    b = _aligned(document_frequency(sample.where("toxic = 0"), term).collect(), term)
-    c, d = n1 - a, n0 - b
-    chi = (n1 + n0) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1e-9)
-    good = np.flatnonzero((chi >= LEAST_CHI_SQUARE) & (a * max(n0, 1) > b * max(n1, 1)))
-    good = np.sort(good[np.argsort(-chi[good], kind="stable")[:n_terms]])
-    known = term[good]
-    # document frequencies over all documents, of the chosen terms
+    examples = sample.orderBy("doc_id").collect()  # at most per_label texts of each label
+    chunks = [pa.array([r["text"] for r in examples[k : k + 500]], pa.large_string()) for k in range(0, len(examples), 500)]
+    known = np.unique(np.concatenate([np.unique(terms(c)[0]) for c in chunks]))
+    # document frequencies over all documents, of the examples' terms
     everything = texts.count()
-    df = _aligned(document_frequency(texts, known).collect(), known)
+    df = _aligned(document_frequency(texts, known).toArrow(), known)
     idf = np.log((1 + everything) / (1 + df)) + 1
-    examples = sample.orderBy("doc_id").collect()  # at most per_label texts of each label
-    parts = [vectors(pa.array([r["text"] for r in examples[k : k + 500]], pa.large_string()), known, idf) for k in range(0, len(examples), 500)]
-    row = np.concatenate([p[0] + k * 500 for k, p in enumerate(parts)])
-    number, weight = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    parts = [vectors(c, known, idf) for c in chunks]
+    row = np.concatenate([(p[0] + k * 500).astype(np.int32) for k, p in enumerate(parts)])
+    number, weight = np.concatenate([p[1].astype(np.int32) for p in parts]), np.concatenate([p[2] for p in parts])
+    del parts
     toxic = np.array([r["toxic"] for r in examples])
     # each example stands for as many labelled rows of its class
     scale = np.array([total.get(k, 0) / max(size.get(k, (0, 0))[0], 1) for k in (0, 1)])
     some = np.unique(row)
     model = {"known": known, "idf": idf, "toxic": toxic[some], "ids": np.array([r["doc_id"] for r in examples])[some], "class_weight": scale}
-    model["index"] = BlockMaxIndex(np.searchsorted(some, row), number, weight, len(some), len(known))
+    model["index"] = BlockMaxIndex(np.searchsorted(some, row).astype(np.int32), number, weight, len(some), len(known))
     rest = np.setdiff1d(np.arange(len(examples)), some)
     share = scale[toxic[rest]]
     model["without"] = float(((share * toxic[rest]).sum() + total.get(1, 0) / sum(total.values())) / (share.sum() + 1))
@@ -235,17 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, n_terms:
     return model
 
 
-def _aligned(rows: list, terms: np.ndarray) -> np.ndarray:
+def _aligned(counts: pa.Table, terms: np.ndarray) -> np.ndarray:
     out = np.zeros(len(terms))
-    if rows:
-        out[np.searchsorted(terms, np.array([r["term"] for r in rows], np.int64).view(np.uint64))] = [r["n"] for r in rows]
+    out[np.searchsorted(terms, counts.column("term").to_numpy().view(np.uint64))] = counts.column("n").to_numpy()
     return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    model = shared.value
     index, (slope, shift) = model["index"], model["curve"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
@@ -266,7 +265,8 @@ def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     if model is None:
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("nearest"), F.array().cast("array<double>").alias("cosines"))
-    return texts.mapInArrow(lambda batches: _score(batches, model), "doc_id long, score double, nearest array<long>, cosines array<double>")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return texts.mapInArrow(lambda batches: _score(batches, shared), "doc_id long, score double, nearest array<long>, cosines array<double>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

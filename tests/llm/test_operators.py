@@ -17,6 +17,7 @@ from conftest import DATA  # noqa: E402
 from gristmill.llm import near_dedup as nd  # noqa: E402
 from gristmill.llm import neighbours as nb  # noqa: E402
 from gristmill.llm import registry  # noqa: E402
+from gristmill.llm import toxicity as tx  # noqa: E402
 from gristmill.llm.exact_dedup import exact_dedup, exact_dedup_rows, stream_state  # noqa: E402
 from gristmill.llm.language_id import fit as fit_languages  # noqa: E402
 from gristmill.llm.language_id import identify  # noqa: E402
@@ -301,3 +302,18 @@ def test_op7_recall(spread):
         hits += len(set(np.argsort(-s)[:20]) & set(part.vec_id))
     print(spread, hits / (20 * len(asked)))
     assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_op6_neighbours(spark, monkeypatch):
+    """Exact cosines over all terms of the examples; toxic words need not be frequent for a text to have neighbours."""
+    monkeypatch.setattr(tx, "BLOCK", 4)
+    monkeypatch.setattr(tx, "FIRST", 2)
+    rows = [(k, f"{t} Ünique{k}" if t else t) for k, t in ROWS]
+    labels = [(k, int(k % 3 == 0)) for k, t in rows if k % 2 == 0]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity(table, fit_toxicity(table, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    texts = dict(rows)
+    examples = {k: texts[k] for k, _ in labels if zlib.crc32(str(k).encode()) % 5 and texts[k] and texts[k].strip()}
+    for k, wanted in brute.nearest_examples(rows, examples).items():
+        assert np.allclose(got[k]["cosines"], [x for _, x in wanted], atol=1e-9) and len(got[k]["nearest"]) == len(wanted)
+    assert got[1]["nearest"]
