@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Words of every operator that counts words: runs of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,43 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make gives, kept in this Python worker for later tasks with the same key: one thing at a time."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Lets go of what an earlier operator kept in this Python worker, which Spark hands on from stage to stage."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until they are unlike all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of those with equal keys. Rows are dealt and sorted by the keys, as a join on them needs anyway."""
+    (before,) = fresh(df, "before")
+    w = Window.partitionBy(*keys).orderBy(*keys)
+    return df.withColumn(before, F.lag(F.lit(1)).over(w)).where(F.col(before).isNull()).drop(before)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column, one text after the other, and the offsets of the texts (one more than texts)."""
     if isinstance(column, pa.ChunkedArray):
@@ -67,6 +107,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the words of texts, and the first word of each text (one more than texts)."""
+    n = len(data)
+    space = np.r_[True, _SPACE[data], True]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(~space[1 : n + 1] & (space[:n] | edge[:n]))
+    end = np.flatnonzero(~space[1 : n + 1] & (space[2:] | edge[1:])) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
 def slices(batch: pa.RecordBatch | pa.Table, column: str, size: int) -> Iterator[pa.RecordBatch | pa.Table]:
     """Cuts a batch so that each part holds about size bytes of the column, or a single longer row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) if batch.num_rows else []

@@ -2,20 +2,26 @@
 
 Terms are words and their first bytes, in lower case. A bounded sample of labelled rows are the examples, and all their
 terms count; document frequencies of those terms are counted over all documents. A document's nearest examples by exact
-TF-IDF cosine over the terms are found with an inverted index whose postings lie in blocks of examples with the largest
-weight of each term in each block: the FIRST blocks with the highest bounds are scored, then all whose bound reaches the
-score of the last neighbour held. Neighbours vote, weighted by nearness and by the
-share of their class that was sampled; a logistic curve over left-one-out votes of the examples calibrates the votes.
-Evidence are the doc_ids and cosines of the nearest examples.
+TF-IDF cosine over the terms are found with an inverted index whose postings lie in blocks of examples that are alike, with
+the largest weight of each term in each block. Lists of terms that more than DENSE of the examples have are kept as whole
+rows, and one product adds them up for some documents at a time; the bounds of the other terms then tell which blocks may
+hold neighbours: the other lists are read in the FIRST blocks with the highest bounds, then in all whose bound reaches the
+score of the last neighbour held. Neighbours vote, weighted by nearness and by the share of their class that was sampled; a
+logistic curve over left-one-out votes of the examples calibrates the votes. Evidence are the doc_ids and cosines of the
+nearest examples.
 
 Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0, at most PER_LABEL rows of each label, equal texts
-once. A document without any term (also null or empty text) gets the share of toxic rows among examples without terms.
-Null labels are not learned; without labelled rows every score is 0. Repeated rows: each has its result. Ties between
-examples: the smaller doc_id first. A null doc_id counts as not held out.
+once. A document without any known term (also null or empty text) gets the share of toxic rows among examples without terms.
+Very long texts count whole. Null labels are not learned; without labelled rows every score is 0. Repeated rows: each has
+its result. Ties between examples: the smaller doc_id first. A null doc_id counts as not held out. Columns other than
+doc_id and text may have any names. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, letters, mix64, slices, table, utf8
+from .common import bounded_sample, cut, kept, letters, mix64, slices, table, utf8
 
 #: Labelled rows of each label that are learned from at most.
-PER_LABEL = 6000
+PER_LABEL = 1500
 NEIGHBOURS = 15
-BLOCK = 64
-FIRST = 16
+BLOCK = 256
+FIRST = 1
+DENSE = 0.06
+#: Examples whose votes calibrate the curve, at least, where there are as many.
+CALIBRATED = 2000
+#: Postings that are added up at a time, about.
+TOGETHER = 1_500_000
 PREFIXES = (4, 5, 6, 7)
 
 _LETTERS = letters()
@@ -70,93 +81,133 @@ def _held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Documents that have each term, of each task's rows; only: the sorted terms that count."""
-    kept, count = np.empty(0, np.uint64), np.empty(0, np.int64)
+def _places(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and term number of each occurrence of a known term."""
+    term, row = terms(texts)
+    if not len(known):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+    on = known[at] == term
+    return row[on], at[on]
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(count)], names=["term", "n"])
 
+def _counted(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Documents of each task's rows that have each of the known terms (sorted)."""
+    n = np.zeros(len(known), np.int64)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            term, row = terms(part.column("text"))
-            if only is not None:
-                on = _among(term, only)
-                term, row = term[on], row[on]
-            if not len(term):
-                continue
-            order = np.lexsort((row, term))
-            term, row = term[order], row[order]
-            first = np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])]
-            new, n = np.unique(term[first], return_counts=True)
-            term, at = np.unique(np.r_[kept, new], return_inverse=True)
-            count = np.bincount(at, weights=np.r_[count, n], minlength=len(term)).astype(np.int64)
-            kept = term
-            if len(kept) > 2_000_000:
-                yield out()
-                kept, count = np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(kept):
-        yield out()
-
-
-def _among(term: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(term), bool)
-    return known[np.minimum(np.searchsorted(known, term), len(known) - 1)] == term
+            n += np.bincount(counts(part.column("text"), known)[1], minlength=len(known))
+    on = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(known[on].view(np.int64)), pa.array(n[on])], names=["term", "n"])
 
 
-def document_frequency(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """term, n: rows of texts (lower case) that have the term."""
-    part = texts.select("text").mapInArrow(lambda batches: _counted(batches, only), "term long, n long")
+def document_frequency(texts: DataFrame, known: np.ndarray) -> DataFrame:
+    """term, n: rows of texts (lower case) that have each known term."""
+    part = texts.select("text").mapInArrow(lambda batches: _counted(batches, known), "term long, n long")
     return part.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def vectors(texts: pa.Array, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF vectors of unit length over the known terms: row, term number, weight; ordered by row."""
-    term, row = terms(texts)
-    on = _among(term, known)
-    code = row[on] * len(known) + np.searchsorted(known, term[on])
-    cell, count = np.unique(code, return_counts=True)
-    row, number = cell // max(len(known), 1), cell % max(len(known), 1)
+def counts(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and count of the known terms of each text; ordered by row."""
+    row, at = _places(texts, known)
+    cell, count = np.unique(row * max(len(known), 1) + at, return_counts=True)
+    return *np.divmod(cell, max(len(known), 1)), count
+
+
+def weighted(row: np.ndarray, number: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, with which each row has unit length."""
     weight = (1 + np.log(count)) * idf[number]
-    norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(texts)))
-    return row, number, weight / np.maximum(norm[row], 1e-300)
+    norm = np.sqrt(np.bincount(row, weights=weight * weight))
+    return weight / np.maximum(norm[row], 1e-300)
+
+
+def likeness_order(row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, size: int, dims: int = 128) -> np.ndarray:
+    """Rows so that like ones come together: halved along their main direction, in a sketch of dims, down to blocks of size."""
+    scrambled = mix64(number.astype(np.uint64) + np.uint64(1))
+    sign = 1 - 2 * (scrambled >> np.uint64(63)).astype(np.float64)
+    sketch = np.bincount(row.astype(np.int64) * dims + (scrambled % np.uint64(dims)).astype(np.int64), weights=weight * sign, minlength=n * dims).reshape(n, dims)
+    out, todo = [], [np.arange(n)]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        x = sketch[rows] - sketch[rows].mean(axis=0)
+        axis = np.random.default_rng(0).normal(size=dims)
+        for _ in range(20):
+            axis = x.T @ (x @ axis)
+            axis /= max(np.linalg.norm(axis), 1e-300)
+        rows = rows[np.argsort(x @ axis, kind="stable")]
+        half = -(-len(rows) // (2 * size)) * size
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 class BlockMaxIndex:
     """Inverted index of examples, in blocks, with each block's largest weight of each term."""
 
-    def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, terms: int):
-        order = np.argsort(number, kind="stable")  # rows ascend
-        self.row, self.weight, number = row[order], weight[order], number[order]
-        self.n, self.blocks = n, -(-n // BLOCK)
+    def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
+        self.ids, self.n, self.blocks = ids, len(ids), max(-(-len(ids) // BLOCK), 1)
+        often = np.bincount(number, minlength=terms) > DENSE * self.n
+        self.dense_row = np.where(often, np.cumsum(often) - 1, -1)
+        on = often[number]
+        self.dense = np.zeros((int(often.sum()), self.n))
+        self.dense[self.dense_row[number[on]], row[on]] = weight[on]
+        row, number, weight = row[~on], number[~on], weight[~on]
+        order = np.lexsort((row, number))
+        self.row, self.weight, number = row[order].astype(np.int32), weight[order], number[order]
         block = self.row // BLOCK
         first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else np.empty(0, np.int64)
         self.block, self.begin, self.end = block[first].astype(np.int32), first.astype(np.int32), np.r_[first[1:], len(number)].astype(np.int32)[: len(first)]
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
-        self.first = np.searchsorted(number[first], np.arange(terms + 1))
-
-    def nearest(self, number: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with the k largest cosines above 0, the smaller number first at ties, and the cosines."""
+        self.first = np.searchsorted(number[first], np.arange(terms + 1)).astype(np.int32)
+        self.postings = np.bincount(number, minlength=terms).astype(np.int32)
+
+    def nearest(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For n texts with these vectors (ordered by row): text, example and cosine of the k largest cosines above 0 of each
+        text, from the largest, the smaller doc_id first at ties; but: an example for each text that is left out."""
+        ends = np.searchsorted(row, np.arange(n + 1))
+        work = np.r_[0, np.cumsum(self.postings[number], dtype=np.int64)][ends]
+        out, begin = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+        while begin < n:
+            end = min(max(begin + 1, int(np.searchsorted(work, work[begin] + TOGETHER, side="right")) - 1), begin + max(1, TOGETHER // max(self.n, 1)), n)
+            on = slice(ends[begin], ends[end])
+            text, example, cosine = self._some(row[on] - begin, number[on], weight[on], end - begin, k, None if but is None else but[begin:end])
+            out.append((text + begin, example, cosine))
+            begin = end
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _some(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = self.dense_row[number]
+        asked = np.zeros((n, len(self.dense)))
+        asked[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        total = asked @ self.dense
         cell, of = _ranges(self.first[number], self.first[number + 1])
-        block, weight = self.block[cell], weight[of]
-        bound = np.bincount(block, weights=weight * self.most[cell], minlength=self.blocks)
-        left = bound > 0
-        rows, best = np.empty(0, np.int64), np.empty(0)
-        for some in (np.argsort(-bound, kind="stable")[:FIRST], slice(None)):
-            now = np.zeros(self.blocks, bool)
-            now[some] = left[some] & ((len(best) < k) | (bound[some] >= (best[-1] if len(best) else 0) - 1e-9))
-            left &= ~now
-            on = now[block]
+        text, weight = row[of], weight[of]
+        code = text * self.blocks + self.block[cell]
+        rest = np.bincount(code, weights=weight * self.most[cell], minlength=n * self.blocks).reshape(n, self.blocks)
+        bound = np.maximum.reduceat(total, np.arange(0, self.n, BLOCK), axis=1) + rest
+        left = rest > 0
+        now = np.zeros_like(left)
+        np.put_along_axis(now, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        for last in (False, True):
+            now &= left
+            on = now.ravel()[code]
             at, of = _ranges(self.begin[cell[on]], self.end[cell[on]])
-            score = np.bincount(self.row[at], weights=weight[on][of] * self.weight[at], minlength=self.n)
-            if but >= 0:
-                score[but] = 0
-            hit = np.flatnonzero(score > 0)
-            rows, scores = np.r_[rows, hit], np.r_[best, score[hit]]
-            top = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, best = rows[top], scores[top]
-        return rows, best
+            total += np.bincount((text[on] * self.n)[of] + self.row[at], weights=weight[on][of] * self.weight[at], minlength=total.size).reshape(total.shape)
+            if but is not None:
+                total[np.arange(n), but] = 0
+            least = np.partition(total, -k, axis=1)[:, -k] if self.n > k else np.zeros(n)
+            if not last:
+                left &= ~now
+                now = bound >= least[:, None] - 1e-9
+        text, example = np.nonzero((total > 0) & (total >= least[:, None] - 1e-11))
+        cosine = total[text, example]
+        order = np.lexsort((self.ids[example], -np.round(cosine, 12), text))
+        text = text[order]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        order = order[place < k]
+        return text[place < k], example[order], cosine[order]
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +217,11 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
 
 
-def _vote(model: dict, rows: np.ndarray, cosine: np.ndarray) -> float:
-    near = model["class_weight"][model["toxic"][rows]] / (np.sqrt(np.maximum(2 - 2 * cosine, 0)) + 0.1)
-    return float((near * model["toxic"][rows]).sum() / near.sum())
+def _votes(model: dict, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+    """Share of toxic votes among the neighbours of each of n texts; NaN without neighbours."""
+    near = model["class_weight"][model["toxic"][example]] / (np.sqrt(np.maximum(2 - 2 * cosine, 0)) + 0.1)
+    with np.errstate(invalid="ignore"):
+        return np.bincount(text, weights=near * model["toxic"][example], minlength=n) / np.bincount(text, weights=near, minlength=n)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -206,58 +259,66 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict
     everything = texts.count()
     df = _aligned(document_frequency(texts, known).toArrow(), known)
     idf = np.log((1 + everything) / (1 + df)) + 1
-    parts = [vectors(c, known, idf) for c in chunks]
+    parts = [counts(c, known) for c in chunks]
     row = np.concatenate([(p[0] + k * 500).astype(np.int32) for k, p in enumerate(parts)])
-    number, weight = np.concatenate([p[1].astype(np.int32) for p in parts]), np.concatenate([p[2] for p in parts])
-    del parts
+    number, count = (np.concatenate([p[k].astype(np.int32) for p in parts]) for k in (1, 2))
     toxic = np.array([r["toxic"] for r in examples])
     # each example stands for as many labelled rows of its class
     scale = np.array([total.get(k, 0) / max(size.get(k, (0, 0))[0], 1) for k in (0, 1)])
     some = np.unique(row)
-    model = {"known": known, "idf": idf, "toxic": toxic[some], "ids": np.array([r["doc_id"] for r in examples])[some], "class_weight": scale}
-    model["index"] = BlockMaxIndex(np.searchsorted(some, row).astype(np.int32), number, weight, len(some), len(known))
+    row = np.searchsorted(some, row).astype(np.int32)
+    weight = weighted(row, number, count, idf)
+    like = likeness_order(row, number, weight, len(some), BLOCK)
+    place = np.empty(len(some), np.int64)
+    place[like] = np.arange(len(some))
+    row, some = place[row].astype(np.int32), some[like]
+    # examples go to the tasks as counts, a few bytes each; each worker builds the index
+    model = {"known": known, "idf": idf, "row": row, "number": number, "count": count, "ids": np.array([r["doc_id"] for r in examples])[some], "toxic": toxic[some], "class_weight": scale}
+    index = index_of(model)
     rest = np.setdiff1d(np.arange(len(examples)), some)
     share = scale[toxic[rest]]
     model["without"] = float(((share * toxic[rest]).sum() + total.get(1, 0) / sum(total.values())) / (share.sum() + 1))
-    model["curve"] = (6.0, -3.0)
-    votes, on = [], []
-    at, own = np.searchsorted(row, some), np.searchsorted(row, some, side="right")
-    for k in range(0, len(some), max(1, len(some) // 2000)):
-        hit = model["index"].nearest(number[at[k] : own[k]], weight[at[k] : own[k]], NEIGHBOURS, but=k)
-        if len(hit[0]):
-            votes.append(_vote(model, *hit))
-            on.append(k)
-    if votes:
-        y = model["toxic"][on]
-        w = scale[y]
-        model["curve"] = _logistic(np.array(votes), y.astype(float), w / w.mean())
+    tried = np.arange(0, len(some), max(1, len(some) // CALIBRATED))
+    order = np.argsort(row, kind="stable")
+    order = order[np.isin(row[order], tried)]
+    votes = _votes(model, *index.nearest(np.searchsorted(tried, row[order]), number[order], weight[order], len(tried), NEIGHBOURS, tried), len(tried))
+    on = np.isfinite(votes)
+    y = model["toxic"][tried[on]]
+    w = scale[y]
+    model["curve"] = _logistic(votes[on], y.astype(float), w / w.mean()) if len(y) else (6.0, -3.0)
     return model
 
 
+def index_of(model: dict) -> BlockMaxIndex:
+    weight = weighted(model["row"], model["number"], model["count"], model["idf"])
+    return BlockMaxIndex(model["row"], model["number"], weight, model["ids"], len(model["known"]))
+
+
 def _aligned(counts: pa.Table, terms: np.ndarray) -> np.ndarray:
     out = np.zeros(len(terms))
     out[np.searchsorted(terms, counts.column("term").to_numpy().view(np.uint64))] = counts.column("n").to_numpy()
     return out
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
+_OUT = ["doc_id", "score", "nearest", "cosines"]
+
 
+def _score(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
+    def build() -> tuple[dict, BlockMaxIndex]:
+        model = pickle.loads(zlib.decompress(shared.value))
+        return model, index_of(model)
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model = shared.value
-    index, (slope, shift) = model["index"], model["curve"]
+    model, index = kept(key, build)
+    slope, shift = model["curve"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            row, number, weight = vectors(part.column("text"), model["known"], model["idf"])
-            score, near, cosines = np.full(part.num_rows, model["without"]), [[]] * part.num_rows, [[]] * part.num_rows
-            bounds = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-            for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(row)][: len(bounds)], strict=True):
-                rows, cosine = index.nearest(number[a:b], weight[a:b], NEIGHBOURS)
-                if len(rows):
-                    k = int(row[a])
-                    score[k] = 1 / (1 + np.exp(-(slope * _vote(model, rows, cosine) + shift)))
-                    near[k], cosines[k] = model["ids"][rows].tolist(), cosine.tolist()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array(near, _OUT.field(2).type), pa.array(cosines, _OUT.field(3).type)], schema=_OUT)
+            n, (row, number, count) = part.num_rows, counts(part.column("text"), model["known"])
+            text, example, cosine = index.nearest(row, number, weighted(row, number, count, model["idf"]), n, NEIGHBOURS)
+            votes = _votes(model, text, example, cosine, n)
+            score = np.where(np.isfinite(votes), 1 / (1 + np.exp(-(slope * votes + shift))), model["without"])
+            ends = pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32))
+            near, cosines = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (index.ids[example], cosine))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), near, cosines], names=_OUT)
 
 
 def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -265,8 +326,8 @@ def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     if model is None:
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("nearest"), F.array().cast("array<double>").alias("cosines"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return texts.mapInArrow(lambda batches: _score(batches, shared), "doc_id long, score double, nearest array<long>, cosines array<double>")
+    shared, key = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1)), uuid.uuid4().hex
+    return texts.mapInArrow(lambda batches: _score(batches, shared, key), "doc_id long, score double, nearest array<long>, cosines array<double>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
