@@ -9,8 +9,10 @@ pseudorandom permutation of its block numbers, a new one for each pass over the
 
 Sources stand in code-point order, null last, with weights 5, 2, 1 repeating. Targets share all words by weight; one that
 exceeds CAP times its source's size stops there, and the excess is shared again. A document gives each of its words at
-most CAP times. Null or empty text: size 0, taken 0. Repeated rows: each takes part. A source of size 0 has target 0.
-Empty table: no rows. Reruns agree: every draw and permutation depends on SEED and numbers only.
+most CAP times. Null or empty text: size 0, taken 0. Repeated rows and null doc_ids: each row takes part. Ties of equal
+rows: any order, they are alike. Very long texts lie in many blocks. A source of size 0 has target 0. Empty table: no
+rows. Columns other than doc_id, source and text may have any names. Reruns agree: every draw and permutation depends on
+SEED and numbers only. (A shard's draw among 10**9 slots or more, which exceeds the generator, is made by its normal limit.)
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, table
+from .common import WORD, cut, fresh, one_of_each, release, slices, table, utf8, words
 
 BLOCK = 128
 STRIP = 1 << 20
-STRIPS = 1 << 16
+STRIPS = 1 << 24
 SLOTS = 4096
 CAP = 3
 SEED = 17
@@ -124,6 +126,21 @@ def _draw(batches: Iterator[pa.RecordBatch], totals: list[int], blocks: list[int
                 at += n
 
 
+def _cut_out(batches: Iterator[pa.RecordBatch], whole: str, begins: str, ends: str) -> Iterator[pa.RecordBatch]:
+    """Texts cut to their runs of words, a bounded part of a batch at a time."""
+    release()
+    for batch in batches:
+        for part in slices(batch, "text", 8 << 20):
+            data, offsets = utf8(part.column("text"))
+            start, end, first = words(data, offsets)
+            texts = part.column("text").to_pylist()
+            for k in np.flatnonzero(~part.column(whole).to_numpy(zero_copy_only=False)).tolist():
+                at = [first[k] + np.array(part.column(c)[k].as_py(), np.int64) for c in (begins, ends)]
+                texts[k] = "\n".join(data[x:y].tobytes().decode() for x, y in zip(start[at[0]].tolist(), end[at[1] - 1].tolist(), strict=True))
+            part = part.drop_columns([whole, begins, ends])
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, part.schema.field("text").type))
+
+
 class Mix:
     """The mix of docs: its sources, its slots, and the runs of words of documents that fill blocks."""
 
@@ -176,12 +193,12 @@ class Mix:
 
     def filled(self) -> DataFrame:
         """Each slot's runs of words: slots joined to pieces by block number."""
-        return self.slots().join(self.pieces(), ["source_no", "block"])
+        return self.slots().hint("merge").join(self.pieces(), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every row."""
         uses = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
-        pieces = self.pieces().join(uses, ["source_no", "block"])
+        pieces = self.pieces().join(uses.hint("merge"), ["source_no", "block"])  # their number grows with the words
         key = ["source_no", "strip", "begin"]  # of rows with words; a strip has one row at each place
         per = pieces.groupBy(*key).agg(F.sum(F.col("uses") * (F.col("word_end") - F.col("word_begin"))).alias("taken"))
         some = self.placed.where("size > 0").join(per, key, "left").select("doc_id", "size", "source_size", "target", "taken")
@@ -192,15 +209,19 @@ class Mix:
         """Rows of docs as the mix takes them: for each pass over its source, a row with the words taken, cut from the text.
 
         A row that a pass takes whole keeps its text as it is; of others, the taken runs of words are joined by line breaks.
+        Of rows with the same doc_id, source and text, which each take part, any one lends its other columns to all.
+        Texts are shuffled once: rows are dealt by short keys, and the runs come to them.
         """
-        runs = self.filled().groupBy("source_no", "strip", "begin", "turn").agg(F.sort_array(F.collect_list(F.struct("word_begin", "word_end"))).alias("runs"))
-        taken = self.placed.where("size > 0").join(runs, ["source_no", "strip", "begin"]).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "same", "turn", "runs")
-        whole = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r.word_end - r.word_begin) == F.col("_size")
-        match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("same"))
-        once = docs.dropDuplicates(["doc_id", "source", "text"])  # repeated rows have as many rows in taken
-        words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-        part = F.array_join(F.transform("runs", lambda r: F.array_join(F.slice(words, (r.word_begin + 1).cast("int"), (r.word_end - r.word_begin).cast("int")), " ")), "\n")
-        return once.join(taken, match).withColumn("text", F.when(whole, F.col("text")).otherwise(part)).select(*docs.columns)
+        id_, source, same, whole, begins, ends = names = fresh(docs, "id", "source", "same", "whole", "begins", "ends")
+        keys = lambda d, s, h: {id_: F.coalesce(d.cast("long"), F.lit(-(1 << 63))), source: F.coalesce(F.concat(F.lit("s"), s.cast("string")), F.lit("")), same: h}
+        place = ["source_no", "strip", "begin"]
+        runs = self.filled().groupBy(*place, "turn").agg(F.sort_array(F.collect_list(F.struct("word_begin", "word_end"))).alias("runs"))
+        taken = self.placed.where("size > 0").join(runs.hint("merge"), place)
+        full = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r.word_end - r.word_begin) == F.col("size")
+        taken = taken.select(*(c.alias(n) for n, c in keys(F.col("doc_id"), F.col("source"), F.col("same")).items()), full.alias(whole), F.col("runs.word_begin").alias(begins), F.col("runs.word_end").alias(ends))
+        once = one_of_each(docs.withColumns(keys(F.col("doc_id"), F.col("source"), F.xxhash64("text"))), [id_, source, same])
+        pieces = once.join(taken.hint("merge"), [id_, source, same]).select(*docs.columns, whole, begins, ends)
+        return pieces.mapInArrow(lambda batches: _cut_out(batches, *names[3:]), docs.schema)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
