@@ -7,7 +7,8 @@ bytes of the two rows; rows whose bytes differ (a collision) are grouped by thei
 
 Texts are equal when identical; null counts as empty. Of equal texts the row with the largest doc_id stays (null is
 below all others). Repeated rows, the same doc_id and text, are copies like others; each has its row in the result, and
-all of those that carry the largest doc_id count as kept (``exact_dedup_rows`` lets one of them stay). Empty table: no rows.
+all of those that carry the largest doc_id count as kept (``exact_dedup_rows`` lets one of them stay). Very long texts are
+hashed and compared whole. Columns other than doc_id and text may have any names. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, shared_path, table
+from .common import cut, documents, fresh, one_of_each, shared_path, table
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: doc_id that stands for null within the operator.
@@ -63,18 +64,17 @@ def exact_dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
     state = cut(stream_state(arrivals, folder))
     hits = state.where("group_size > 1").select("digest", "stay_id")
-    # full bytes of the rows of each group that was hit, beside those of the row that stays
-    members = arrivals.select("id", "digest").join(hits, "digest")
-    texts = d.select("id", "text")
-    stays = hits.join(texts.withColumnRenamed("id", "stay_id"), "stay_id").where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
-    stays = stays.dropDuplicates(["digest"]).withColumnRenamed("text", "stay_text").select("digest", "stay_text")
-    others = members.where("id <> stay_id").select("id", "digest").distinct()
-    checked = others.join(texts, "id").where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
-    differ = cut(checked.join(stays, "digest").where("text <> stay_text").select("id", "digest", "text"))
+    # full bytes of the rows of each group that was hit, beside those of the row that stays; rows are found by id and digest,
+    # so that rows that only share an id (or have none) do not meet, and a large group is dealt evenly
+    own = d.select("id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    others = arrivals.select("id", "digest").join(hits, "digest").where("id <> stay_id").select("id", "digest").distinct()
+    stays = hits.withColumnRenamed("stay_id", "id").join(own, ["id", "digest"]).select("digest", F.col("text").alias("stay_text"))
+    stays = one_of_each(stays, ["digest"])
+    differ = cut(others.join(own, ["id", "digest"]).join(stays, "digest").where("text <> stay_text").select("digest"))
     group = arrivals.join(state, "digest").select("id", "digest", F.col("stay_id").alias("keep"), "group_size")
     if not differ.isEmpty():
-        bad = differ.select("digest").distinct()
-        split = d.withColumn("digest", F.unhex(F.sha2("text", 256))).join(bad, "digest", "left_semi")
+        bad = differ.distinct()
+        split = own.join(bad, "digest", "left_semi")
         kept = split.groupBy("digest", "text").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("group_size"))
         group = group.join(bad, "digest", "left_anti").unionByName(split.join(kept, ["digest", "text"]).select("id", "digest", "keep", "group_size"))
     plain = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
@@ -84,10 +84,11 @@ def exact_dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def exact_dedup_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one for each text."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("text_sha256"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of docs that stay, with all their columns: one for each text; of repeated rows, any one."""
+    id_, digest = fresh(docs, "id", "digest")
+    kept = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias(id_), F.unhex("text_sha256").alias(digest)).distinct()
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), digest: F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
+    return one_of_each(keyed.join(kept, [id_, digest], "left_semi"), [id_, digest]).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

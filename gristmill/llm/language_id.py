@@ -6,7 +6,9 @@ the smallest hash of doc_id among the training rows; scoring reads every whole t
 
 Null text, or text without a letter: ``und`` with score 0. Labels that are null are not learned; a language outside the
 table of families is a family of its own. With no labelled rows at all, every text is ``und``. Repeated rows and ties:
-each row has its result; equal votes go to the language with the larger summed margin, then the first in code order.
+each row has its result; equal votes go to the language with the larger summed margin, then the first in code order. Rows
+with a null doc_id are scored but not learned. Very long texts are read whole. Columns other than doc_id, text and lang may
+have any names. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, letters, slices, table, utf8
+from .common import bounded_sample, fresh, letters, release, slices, table, utf8
 
 #: Texts of each language that training takes at most.
 PER_LANGUAGE = 1500
@@ -166,13 +168,6 @@ def predict(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            lang, score = predict(model, part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang), pa.array(score)], schema=_OUT)
-
-
 def _hashed(n: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
@@ -201,15 +196,36 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     return scored
 
 
+def identified_rows(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of docs in which a language was found, with all their columns; nothing is shuffled."""
+    if model is None:
+        return docs.where("false")
+    (lower,) = fresh(docs, "lower")
+    flagged = docs.withColumn(lower, F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")))
+    return flagged.mapInArrow(lambda batches: _found(batches, model, lower), docs.schema)
+
+
+def _languages(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of lower-case texts, ``und`` where the text is null."""
+    valid = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    for part in slices(pa.RecordBatch.from_arrays([texts.take(pa.array(valid))], names=["text"]), "text", 2 << 20):
+        some, valid = valid[: part.num_rows], valid[part.num_rows :]
+        lang[some], score[some] = predict(model, part.column("text"))
+    return lang, score
+
+
+def _found(batches: Iterator[pa.RecordBatch], model: dict, lower: str) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in batches:
+        lang, _ = _languages(batch.column(lower), model)
+        yield batch.drop_columns([lower]).filter(pa.array(lang != "und"))
+
+
 def _known(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        valid = np.flatnonzero(batch.column("text").is_valid().to_numpy(zero_copy_only=False))
-        lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-        if len(valid):
-            out = list(_score(iter([batch.take(pa.array(valid))]), model))
-            lang[valid] = [x for b in out for x in b.column(1).to_pylist()]
-            score[valid] = np.concatenate([b.column(2).to_numpy() for b in out])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(lang), pa.string()), pa.array(score)], schema=_OUT)
+        lang, score = _languages(batch.column("text"), model)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score)], schema=_OUT)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
