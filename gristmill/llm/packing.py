@@ -4,7 +4,9 @@ Documents are dealt by doc_id to partitions; each partition packs on its own, a
 document longer than a window is first cut into full windows. The rests are taken from the longest to the shortest, and
 each goes to the open window with the least room that still holds it, which a segment tree over remaining room finds.
 A sequence whose length is a power of two needs no padding; all others are padded to the window.
-Null or empty text: a piece of the end id alone. Repeated rows: each is packed. Empty table: no rows.
+Null or empty text: a piece of the end id alone. Repeated rows: each is packed; rows with a null doc_id are dealt by their
+text. Ties in length: in the order of doc_id, then text. Columns other than doc_id and text may have any names. Empty
+table: no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents, table
 from .tokens import default_tokenizer, ids_of
@@ -110,7 +113,7 @@ def _partition(batches: Iterator[pa.RecordBatch], tokenizer: str, window: int, t
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, together: int = TOGETHER) -> DataFrame:
     """Pieces of documents with their place in a sequence; ids are little-endian unsigned 32-bit numbers."""
     tokenizer = tokenizer or default_tokenizer()
-    dealt = documents(docs).repartition("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = documents(docs).repartition(F.coalesce("doc_id", F.xxhash64("text"))).sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(lambda batches: _partition(batches, tokenizer, window, together), SCHEMA)
 
 

@@ -5,9 +5,10 @@ u32`` (the layout that training-data readers know), all little-endian. A payload
 number of ids u32 | ids``. Beside each shard lies an index of ``offset u64 | payload bytes u32`` for each frame, so that a
 reader can fetch frames in any order.
 
-Documents lie in ascending doc_id (null first, then by text), shard after shard. Each task writes its shard under a name
+Documents lie in ascending doc_id (null first, then by a hash of the text), shard after shard. Each task writes its shard under a name
 of its own attempt and returns that name; only returned names are in the manifest, so lost or repeated tasks do no harm.
-Null or empty text: a record of the end id alone. Repeated doc_ids: a record each. Empty table: no shard.
+Null or empty text: a record of the end id alone. Repeated doc_ids: a record each. Very long texts: one record. Columns
+other than doc_id and text may have any names. Empty table: no shard.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def _shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, flush
 def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, flush: int = 4 << 20) -> DataFrame:
     """Writes the documents' ids to folder, and returns the manifest: shard, path, n_records, n_tokens, n_bytes."""
     tokenizer = tokenizer or default_tokenizer()
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = documents(docs).withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     written = ordered.mapInArrow(lambda batches: _shard(batches, folder, tokenizer, flush), "shard int, path string, n_records long, n_tokens long, n_bytes long")
     written.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(written.schema).parquet(f"{folder}/manifest")

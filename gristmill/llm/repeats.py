@@ -7,9 +7,13 @@ fragments with such a seed go, equal ones once for each block of documents, to t
 collection is sorted column by column: each round inserts one symbol of every fragment, from its end to its start, into
 the Burrows-Wheeler transform of the collection and the lengths of common prefixes of neighbours, which lie in external
 files that each round reads and writes in sequence. Neighbours with common prefixes of LENGTH or more start with the same
-string; the smallest doc_id among them decides. A fragment whose seed has no other fragment needs no sorting.
+string; the smallest doc_id among them decides. A fragment whose seed has no other fragment needs no sorting. Fragments of
+a seed that very many have (a common line in ever other surroundings) are cut into single strings, which are dealt by
+their own hash and sorted there, so that no bucket grows with such a seed. Fragments and strings are told apart by 64-bit
+keys of their bytes until they are sorted.
 
-Null or empty text: nothing to remove, sha256 of no bytes. Texts shorter than LENGTH stay whole. Rows with the same
+Very long texts are cut like others. Columns other than doc_id and text may have any names; repeated rows are rows of one
+document. Null or empty text: nothing to remove, sha256 of no bytes. Texts shorter than LENGTH stay whole. Rows with the same
 doc_id do not remove each other's bytes. A null doc_id counts as larger than all others. Empty table: no rows.
 """
 
@@ -35,6 +39,8 @@ WIDTH = LENGTH + RUN - 1
 #: Bytes of text in a block of documents, and in the share of a bucket.
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
+#: Fragments of one seed, about, beyond which each of their strings goes to the bucket of its own hash.
+HOT = 1 << 15
 
 _LAST = (1 << 63) - 1
 
@@ -75,6 +81,16 @@ class Fragments:
         self.seed, self.start, self.strings, self.row = self.seed[keep], self.start[keep], self.strings[keep], self.row[keep]
         return self
 
+    def single(self, on: np.ndarray) -> np.ndarray:
+        """Cuts these fragments into single strings; returns which of the fragments are now such a string."""
+        times = np.where(on, self.strings, 1)
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        self.take(np.repeat(np.arange(len(on)), times))
+        on = np.repeat(on, times)
+        self.start = self.start + k
+        self.strings = np.where(on, 1, self.strings)
+        return on
+
     def contents(self) -> np.ndarray:
         """Bytes of each fragment, plus one and filled up with zeros, which no byte of UTF-8 becomes."""
         at = self.start[:, None] + np.arange(WIDTH)
@@ -196,12 +212,12 @@ def _table(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(columns[k], t) for k, t in types.items()})
 
 
-_SEEDS = {"bucket": pa.int64(), "block": pa.int64(), "seeds": pa.binary(), "several": pa.binary()}
-_SHARED = {"block": pa.int64(), "seeds": pa.binary()}
-_FRAGMENTS = {"bucket": pa.int64(), "block": pa.int64(), "seeds": pa.binary(), "strings": pa.binary(), "contents": pa.binary(), "docs": pa.binary(), "several": pa.binary()}
+_SEEDS = {"bucket": pa.int64(), "block": pa.int64(), "seeds": pa.binary(), "marks": pa.binary()}
+_SHARED = {"block": pa.int64(), "seeds": pa.binary(), "hot": pa.binary()}
+_FRAGMENTS = {"bucket": pa.int64(), "block": pa.int64(), "seeds": pa.binary(), "strings": pa.binary(), "contents": pa.binary(), "docs": pa.binary(), "several": pa.binary(), "hot": pa.binary()}
 _RUNS = {"block": pa.int64(), "runs": pa.binary()}
 _OUT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.int64())}
-_RUN = np.dtype([("seed", "<u8"), ("key", "<u8"), ("begin", "u1"), ("end", "u1"), ("doc", "<i8")])
+_RUN = np.dtype([("seed", "<u8"), ("key", "<u8"), ("begin", "u1"), ("end", "u1"), ("hot", "?"), ("doc", "<i8")])
 
 
 def _schema(types: dict[str, pa.DataType]) -> str:
@@ -218,7 +234,8 @@ def _rows(parts: Iterator, types: dict[str, pa.DataType], block: int) -> pa.Tabl
 
 
 def _seeds(docs: pa.Table, buckets: int) -> pa.Table:
-    """Each bucket's seeds of a block, and whether several of the block's documents have them."""
+    """Each bucket's seeds of a block; a byte tells whether several of the block's documents have the seed, and about how
+    many fragments (eight times the logarithm to base 2)."""
     f, ids = Fragments(docs.column("text")), docs.column("id").to_numpy()
     block = docs.column("block")[0].as_py()
     order = np.argsort(f.seed, kind="stable")
@@ -226,33 +243,37 @@ def _seeds(docs: pa.Table, buckets: int) -> pa.Table:
     high = seed >> np.uint64(16)
     starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(seed) else np.empty(0, np.int64)
     several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(starts) else np.empty(0, bool)
+    size = np.minimum(np.ceil(8 * np.log2(np.diff(np.r_[starts, len(seed)]))), 127).astype(np.uint8)
     seed = seed[starts]
-    return _rows(pack_rows((seed >> np.uint64(20)) % np.uint64(buckets), [_short(seed), several]), _SEEDS, block)
+    return _rows(pack_rows((seed >> np.uint64(20)) % np.uint64(buckets), [_short(seed), size << 1 | several]), _SEEDS, block)
 
 
 def _joined(t: pa.Table, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(column).to_pylist()), dtype)
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """Seeds of a bucket that two documents share, by block."""
-    seed, several = _whole(t.column("seeds")), _joined(t, "several", bool)
+def _shared(t: pa.Table, hot: int) -> pa.Table:
+    """Seeds of a bucket that two documents share, by block, and which of them have more than hot fragments."""
+    seed, mark = _whole(t.column("seeds")), _joined(t, "marks", np.uint8)
     block = np.repeat(t.column("block").to_numpy(), [len(s) // 6 for s in t.column("seeds").to_pylist()])
     order = np.argsort(seed, kind="stable")
-    seed, several, block = seed[order], several[order], block[order]
+    seed, mark, block = seed[order], mark[order], block[order]
     starts = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
     count = np.diff(np.r_[starts, len(seed)])
-    shared = np.repeat((count > 1) | np.logical_or.reduceat(several, starts), count)
-    parts = list(pack_rows(block[shared], [_short(seed[shared] << np.uint64(16))]))
-    return _table({"block": [p for p, _ in parts], "seeds": [c[0] for _, c in parts]}, _SHARED)
+    shared = np.repeat((count > 1) | np.bitwise_or.reduceat(mark & 1, starts).astype(bool), count)
+    many = np.repeat(np.add.reduceat(2.0 ** ((mark >> 1) / 8), starts) > hot, count)
+    parts = list(pack_rows(block[shared], [_short(seed[shared] << np.uint64(16)), many[shared]]))
+    return _table({"block": [p for p, _ in parts], "seeds": [c[0] for _, c in parts], "hot": [c[1] for _, c in parts]}, _SHARED)
 
 
 def _fragments(docs: pa.Table, seeds: pa.Table, buckets: int) -> pa.Table:
-    """Distinct fragments of a block that have shared seeds, for their buckets."""
+    """Distinct fragments of a block that have shared seeds, for their buckets; strings of hot seeds, for those of their hash."""
     if not docs.num_rows or not seeds.num_rows:
         return _rows(iter(()), _FRAGMENTS, 0)
     f = Fragments(docs.column("text"))
-    f.take(np.isin(f.seed >> np.uint64(16), _whole(seeds.column("seeds"))))
+    shared, many = _whole(seeds.column("seeds")), _joined(seeds, "hot", bool)
+    f.take(np.isin(f.seed >> np.uint64(16), shared))
+    hot = f.single(np.isin(f.seed >> np.uint64(16), shared[many]))
     doc = docs.column("id").to_numpy()[f.row]
     contents = f.contents()
     key = content_keys(contents)
@@ -260,8 +281,9 @@ def _fragments(docs: pa.Table, seeds: pa.Table, buckets: int) -> pa.Table:
     starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     first = order[starts]
     several = doc[order[np.r_[starts[1:], len(order)] - 1]] != doc[first]
-    columns = [f.seed[first], f.strings[first].astype(np.uint8), contents[first], doc[first], several]
-    return _rows(_squeezed(pack_rows((f.seed[first] >> np.uint64(20)) % np.uint64(buckets), columns)), _FRAGMENTS, docs.column("block")[0].as_py())
+    columns = [f.seed[first], f.strings[first].astype(np.uint8), contents[first], doc[first], several, hot[first]]
+    bucket = np.where(hot, key >> np.uint64(20), f.seed >> np.uint64(20))[first] % np.uint64(buckets)
+    return _rows(_squeezed(pack_rows(bucket, columns)), _FRAGMENTS, docs.column("block")[0].as_py())
 
 
 def _sorted(t: pa.Table) -> pa.Table:
@@ -269,7 +291,8 @@ def _sorted(t: pa.Table) -> pa.Table:
     each = _opened(t.column("strings"))
     block = np.repeat(t.column("block").to_numpy(), [len(s) for s in each])
     strings = np.frombuffer(b"".join(each), np.uint8)
-    seed, doc, several, contents = (np.frombuffer(b"".join(_opened(t.column(c))), d) for c, d in (("seeds", np.uint64), ("docs", np.int64), ("several", bool), ("contents", np.uint8)))
+    kinds = (("seeds", np.uint64), ("docs", np.int64), ("several", bool), ("hot", bool), ("contents", np.uint8))
+    seed, doc, several, hot, contents = (np.frombuffer(b"".join(_opened(t.column(c))), d) for c, d in kinds)
     contents = contents.reshape(-1, WIDTH)
     key = content_keys(contents)
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
@@ -289,7 +312,7 @@ def _sorted(t: pa.Table) -> pa.Table:
     ends = useful & np.column_stack([(mine[:, 1:] != mine[:, :-1]) | ~useful[:, 1:], np.ones(len(mine), bool)])
     row, begin = np.nonzero(begins)
     runs = np.empty(len(row), _RUN)
-    runs["seed"], runs["key"], runs["begin"], runs["end"], runs["doc"] = seed[row], key[row], begin, np.nonzero(ends)[1] + 1, mine[row, begin]
+    runs["seed"], runs["key"], runs["begin"], runs["end"], runs["hot"], runs["doc"] = seed[row], key[row], begin, np.nonzero(ends)[1] + 1, hot[row], mine[row, begin]
     parts = list(pack_rows(block[row], [runs]))
     return _table({"block": [p for p, _ in parts], "runs": [c[0] for _, c in parts]}, _RUNS)
 
@@ -301,6 +324,7 @@ def _applied(docs: pa.Table, found: pa.Table) -> pa.Table:
         f = Fragments(docs.column("text"))
         runs = np.sort(_joined(found, "runs", _RUN), order="key")
         f.take(np.isin(f.seed, runs["seed"]))
+        f.single(np.isin(f.seed, runs["seed"][runs["hot"]]))
         key, doc = content_keys(f.contents()), ids[f.row]
         low, high = (np.searchsorted(runs["key"], key, side=s) for s in ("left", "right"))
         fragment = np.repeat(np.arange(len(key)), high - low)
@@ -326,7 +350,7 @@ def _applied(docs: pa.Table, found: pa.Table) -> pa.Table:
     return _table(out, _OUT)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begins and ends of removed runs, by turns) of every row."""
     spark = docs.sparkSession
     d = documents(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text")
@@ -336,7 +360,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     by_block = d.groupBy("block")
     seeds = by_block.applyInArrow(lambda t: _seeds(t, buckets), _schema(_SEEDS))
-    shared = seeds.groupBy("bucket").applyInArrow(lambda t: _shared(t), _schema(_SHARED))
+    shared = seeds.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), _schema(_SHARED))
     fragments = by_block.cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _fragments(a, b, buckets), _schema(_FRAGMENTS))
     runs = fragments.groupBy("bucket").applyInArrow(lambda t: _sorted(t), _schema(_RUNS))
     return by_block.cogroup(runs.groupBy("block")).applyInArrow(lambda a, b: _applied(a, b), _schema(_OUT))

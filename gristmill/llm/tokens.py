@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import slices
+from .common import kept, slices
 
 #: Pieces of text whose ids a Python worker remembers (about 200 bytes each); beyond it, it starts anew.
 REMEMBERED = 800_000
@@ -32,14 +32,14 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before a single space that a character other than white space
     follows, and no merge crosses that cut, so what lies between such spaces is encoded once and remembered.
-    A text with other runs of white space after a space is encoded whole.
+    A text with other runs of white space after a space is encoded whole, and so is one that holds an added token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
@@ -84,7 +84,11 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one text after the other, and the offsets of the texts."""
-        lists = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
+        given = pc.fill_null(texts.cast(pa.string()), "")
+        added = np.zeros(len(given), bool)
+        for token in self.added:
+            added |= pc.match_substring(given, token).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(~added), given, ""), " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         parts = lists.flatten().dictionary_encode()
         piece, pieces = parts.indices.to_numpy(), parts.dictionary
@@ -110,6 +114,8 @@ class Encoder:
             heads[text] = self._whole(texts[int(text)].as_py())
             at_text = slice(bounds[text], bounds[text + 1])
             odd_part[at_text] = True
+        for text in np.flatnonzero(added).tolist():
+            heads[text] = self._whole(given[text].as_py())
         starts, lengths = ends[:-1][at][piece], np.diff(ends)[at][piece]
         lengths[odd_part] = 0
         starts[first] = len(pool) + np.r_[0, np.cumsum([len(h) for h in heads])][:-1]
@@ -126,15 +132,10 @@ def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     return pool[np.repeat(starts - (after - lengths), lengths) + np.arange(total)], np.r_[0, after]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker, which Spark uses for many tasks."""
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def ids_of(batch: pa.RecordBatch, path: str, size: int = 6 << 20) -> Iterator[tuple[int | None, bytes]]:

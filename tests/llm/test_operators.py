@@ -40,7 +40,7 @@ def prose(n):
 
 
 BASE = prose(80)
-ODD = [(900, None), (901, ""), (902, " \t\n"), (903, "a"), (904, "x" * 3000), (905, "😀 ünï  code\r\n"), (906, prose(5000))]
+ODD = [(900, None), (901, ""), (902, " \t\n"), (903, "a"), (904, "x" * 3000), (905, "😀 ünï  code\r\n"), (906, prose(5000)), (907, "end <|endoftext|> of a text  <|endoftext|>!")]
 #: Null and empty texts, repeats with other ids, shared passages, near copies.
 ROWS = [(k, prose(R.randint(1, 120))) for k in range(30)] + [(100 + k, BASE) for k in range(4)] + [(200 + k, f"{prose(10)} {BASE} {prose(10)}") for k in range(5)] + [(300 + k, BASE.replace(" ", " x ", k + 1)) for k in range(6)] + ODD
 
@@ -60,12 +60,12 @@ def encoded():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return {k: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for k, x in ROWS}
 
 
-def test_op1(docs, none):
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs).collect()}
+@pytest.mark.parametrize("hot", [1 << 15, 2])  # with 2, most shared seeds are hot ones
+def test_op1(docs, none, hot):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs, hot).collect()}
     assert got == brute.repeats(ROWS)
     assert remove_repeats(none).count() == 0
 
@@ -149,6 +149,48 @@ def test_op4(docs, none):
     assert Mix(none).taken().count() == 0
 
 
+def clashing(spark, rows):
+    """Rows with columns named as the operators name their own, and with rows repeated."""
+    names = ["_id", "id", "mark", "digest", "same", "runs", "turn", "whole", "begins", "ends", "before", "_source", "_size", "text_sha256", "TEXT_SHA256_".lower(), "place", "node"]
+    data = [(k, t, "en", f"s{i % 2}", *("x" for _ in names)) for i, (k, t) in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+
+
+def test_clashing_names_null_ids_and_repeated_rows(spark):
+    rows = [(1, BASE), (1, BASE), (1, BASE + " more"), (None, BASE + " less"), (None, prose(30)), (None, prose(40)), (None, None), (None, ""), (2, "a b"), (2, "a b"), (3, "A B"), (4, " ")]
+    table = clashing(spark, rows)
+    kept = exact_dedup_rows(table)
+    texts = [r["text"] for r in kept.collect()]
+    assert kept.columns == table.columns and sorted(x or "" for x in texts) == sorted({t or "" for _, t in rows})
+    near = nd.near_duplicate_rows(table)
+    texts = sorted(r["text"] or "" for r in near.collect())
+    # one of the four near copies of BASE, one of "a b" and "A B", both other prose rows, and all three rows without words
+    assert near.columns == table.columns and len(texts) == 7 and sum(t.startswith(BASE) for t in texts) == 1 and texts[:3] == ["", "", " "]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in nd.near_duplicates(table).collect())
+    assert got.count(("1", 76, "1")) == 2 and ("None", 77, "1") in got and got.count(("2", 1, "2")) == 2 and ("3", 1, "2") in got
+    mix = Mix(table, block=16, strip=64, slots=16)
+    out = mix.documents(table)
+    assert out.columns == table.columns and out.select(F.sum(F.regexp_count("text", F.lit(r"([^\x20\x09-\x0D]+)")))).first()[0] == mix.taken().agg(F.sum("taken")).first()[0]
+
+
+def test_op4_texts(docs):
+    """Each row's text holds the words of the slots that it fills, block by block."""
+    import re
+
+    mix = Mix(docs, block=16, strip=512, slots=64)
+    runs = {}
+    for r in mix.filled().join(mix.placed.where("size > 0"), ["source_no", "strip", "begin"]).collect():
+        runs.setdefault((r["doc_id"], r["turn"]), []).append((r["word_begin"], r["word_end"]))
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in ROWS}
+    wanted = sorted((k, " ".join(" ".join(words[k][a:b]) for a, b in sorted(x))) for (k, _), x in runs.items())
+    assert sorted((r["doc_id"], " ".join(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in mix.documents(docs).collect()) == wanted
+    # the slots of each source are the first of its passes, each pass over all its blocks
+    for k, (total, blocks) in enumerate(zip(mix.totals, mix.blocks)):
+        got = sorted((r["turn"], r["block"]) for r in mix.slots().where(f"source_no = {k}").collect())
+        assert len(got) == total == len(set(got)) and all(b in range(blocks) for _, b in got)
+        assert all(sum(t == turn for t, _ in got) == min(blocks, total - turn * blocks) for turn in {t for t, _ in got})
+
+
 def test_op4_draws():
     assert targets([100, 10], [1.0, 1.0]) == [80.0, 30.0]
     parts = [shard_counts([1000, 300, 0], 7, s) for s in range(7)]
