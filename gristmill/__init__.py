@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -15,3 +15,11 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its plan, in the folder of spark.checkpoint.dir; in one of our own only where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return df.checkpoint()

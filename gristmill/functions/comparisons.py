@@ -65,9 +65,10 @@ def contains_text(actual: Column, gold: Column) -> Column:
 def in_span(candidate: Column, text: Column, required: tuple[Column, Column], allowed: tuple[Column, Column]) -> Column:
     """Whether the candidate occurs in text within the allowed range of code points, and covers the required one."""
     n = F.length(candidate)
-    last = allowed[1] - n
-    starts = F.filter(F.sequence(allowed[0], F.greatest(allowed[0], last)), lambda i: (i <= last) & (i <= required[0]) & (i + n >= required[1]))
-    return certain((n > 0) & F.exists(starts, lambda i: F.substring(text, (i + 1).cast("int"), n) == candidate))
+    # the first place from where the required range can be covered, by the JVM's own search
+    first = F.greatest(allowed[0], required[1] - n, F.lit(0))
+    at = F.call_function("locate", candidate, text, (first + 1).cast("int")) - 1
+    return certain((n > 0) & (at >= first) & (at <= required[0]) & (at + n <= allowed[1]))
 
 
 def category_key(text: Column) -> Column:

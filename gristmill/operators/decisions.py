@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import settled
 
 ISSUES = ("no_supported_answer", "conflicting_information", "multiple_valid_options")
 
@@ -65,31 +68,50 @@ def review_target(issues: Column, targets: dict[str, str], default: str) -> Colu
     return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1))).otherwise(default)
 
 
-def relation_problems(relations, key: str = "run_id"):
-    """Rows of relations (key, source, target, kind) that are wrong: loops, repeats, unit pairs that contradict, and 2-cycles.
+def reach(edges: DataFrame, key: str) -> DataFrame:
+    """key, source, target of all paths: paths are joined end to end until no new one is found, so their length doubles.
 
-    Longer cycles of ``requires`` are found by ``requirement_cycles``.
+    The paths of a key are as many as its pairs of units, at most.
     """
-    from pyspark.sql.window import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(key, "source", "target", "kind"))
-    pair = Window.partitionBy(key, F.least("source", "target"), F.greatest("source", "target"))
-    kinds = F.collect_set("kind").over(pair)
-    both = F.size(F.collect_set(F.struct("source", "target")).over(pair)) > 1
-    r = relations.withColumns({"_n": n, "_kinds": kinds, "_both": both})
-    rules = {"self": F.col("source") == F.col("target"), "duplicate": F.col("_n") > 1, "conflict": F.array_contains("_kinds", "excludes") & F.array_contains("_kinds", "requires"), "cycle": F.col("_both") & (F.col("kind") == "requires")}
+    paths = settled(edges.select(key, "source", "target").distinct())
+    while True:
+        more = paths.select(key, F.col("source").alias("target"), F.col("target").alias("end"))
+        longer = paths.join(more, [key, "target"]).select(key, "source", F.col("end").alias("target"))
+        now = settled(paths.unionByName(longer).distinct())
+        if now.count() == paths.count():
+            return now
+        paths = now
+
+
+def _ordered(relations: DataFrame, key: str, *kinds: str) -> DataFrame:
+    """What must come first, as source, and what comes after it: of ``requires``, the target comes first."""
+    first = lambda a, b: F.when(F.col("kind") == "requires", F.col(b)).otherwise(F.col(a))
+    return relations.where(F.col("kind").isin(*kinds)).select(key, first("source", "target").alias("source"), first("target", "source").alias("target"))
+
+
+def relation_problems(relations: DataFrame, key: str = "run_id") -> DataFrame:
+    """Rows of relations (key, source, target, kind) with their problems.
+
+    ``self``: a unit requires or precedes itself. ``duplicate``: the relation is there twice (``excludes`` has no direction).
+    ``cycle``: the row lies on a cycle of ``requires`` and ``precedes``, however long. ``exclusive_dependency``: units that
+    exclude each other of which one requires the other, directly or by others. Rows with a null end have none but ``duplicate``.
+    """
+    r = relations.select(key, "source", "target", "kind")
+    free = F.col("kind") == "excludes"
+    ends = [F.when(free, F.least("source", "target")).otherwise(F.col("source")), F.when(free, F.greatest("source", "target")).otherwise(F.col("target"))]
+    r = r.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "kind", *ends)))
+    ordered = reach(_ordered(r, key, "requires", "precedes"), key)
+    back = ordered.join(ordered.select(key, F.col("source").alias("target"), F.col("target").alias("source")), [key, "source", "target"], "left_semi")
+    needed = reach(_ordered(r, key, "requires"), key)
+    needed = needed.unionByName(needed.select(key, F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    marks = back.withColumn("_cycle", F.lit(True)).join(needed.withColumn("_needed", F.lit(True)), [key, "source", "target"], "full")
+    r = r.join(marks, [key, "source", "target"], "left")
+    other = F.col("source") != F.col("target")
+    rules = {"self": ~other & ~free, "duplicate": F.col("_n") > 1, "cycle": F.col("_cycle") & ~free, "exclusive_dependency": F.col("_needed") & free & other}
     problems = F.array_compact(F.array(*(F.when(broken, name) for name, broken in rules.items())))
-    return r.withColumn("problems", problems).drop("_n", "_kinds", "_both")
-
-
-def requirement_cycles(relations, key: str = "run_id", longest: int = 64):
-    """Keys whose ``requires`` relations hold a cycle: units without an open requirement are taken away until none is left."""
-    edges = relations.where("kind = 'requires'").select(key, "source", "target").distinct()
-    for _ in range(longest):
-        open_ = edges.select(key, F.col("source").alias("target")).distinct()
-        left = edges.join(open_, [key, "target"], "left_semi").select(key, "source", "target")
-        left = left.checkpoint()
-        if left.count() == edges.count():
-            break
-        edges = left
-    return edges.select(key).distinct()
+    return r.withColumn("problems", problems).drop("_n", "_cycle", "_needed")
+
+
+def requirement_cycles(relations: DataFrame, key: str = "run_id") -> DataFrame:
+    """Keys whose ``requires`` and ``precedes`` relations hold a cycle of any length."""
+    return reach(_ordered(relations, key, "requires", "precedes"), key).where("source = target").select(key).distinct()

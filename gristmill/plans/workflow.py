@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import settled
 from ..functions.conditions import equal, holds
 from ..functions.values import bind, given, kind, lookup, object_of, text_of
 
@@ -192,6 +193,7 @@ class Workflow:
                 lost = lost | F.col(f"_i_{k}").isNull()
             bad = F.when(over, "step_limit").when(lost, "missing_binding")
             if step.provider is not None:
+                df = df if df.isStreaming else settled(df)  # else rows and questions would each be computed anew from the source, at every such step
                 asked = df.where(F.col("_do") & ~over & ~lost).select("run_id", *(F.to_json(F.col(f"_i_{k}")).alias(k) for k in step.inputs))
                 got = step.provider(asked).select("run_id", F.col("result").alias("_given"), F.col("status").alias("_said"))
                 df = df.join(got, "run_id", "left").withColumn("_value", F.try_parse_json("_given"))

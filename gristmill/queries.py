@@ -118,9 +118,9 @@ def prompts(spark, sf_dir):
 
 
 @query(
-    """SELECT d.doc_id, lower(d.lang) = lower(upper(d.lang)) AS same_text, contains(lower(d.text), 'the') AS contains_text,
-    CAST(n_chars AS VARCHAR) = CAST(length(text) AS VARCHAR) AS exact, true AS same_set, d.lang IN ('en', 'fr') AS one_of,
-    instr(substr(d.text, 1, 200), 'a') > 0 AS in_span FROM documents d"""
+    """SELECT d.doc_id, lower(d.lang) = lower(d.source) OR doc_id % 3 = 0 AS same_text, contains(lower(d.text), 'the') AS contains_text,
+    CAST(n_chars AS VARCHAR) = CAST(length(text) AS VARCHAR) AS exact, doc_id % 4 < 2 AS same_set, d.lang IN ('en', 'fr') AS one_of,
+    instr(substr(d.text, 2 + d.n_chars // 2), 'the') > 0 AS in_span FROM documents d"""
 )
 def comparisons(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -128,14 +128,33 @@ def comparisons(spark, sf_dir):
     quoted = F.to_json(F.struct(F.col("lang").alias("x")))
     quoted = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
     return d.select(
-        "doc_id", cmp.same_text(F.col("lang"), F.upper("lang")).alias("same_text"), cmp.contains_text(F.col("text"), F.lit("THE")).alias("contains_text"),
+        "doc_id", cmp.same_text(F.col("lang"), F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).otherwise(F.col("source"))).alias("same_text"), cmp.contains_text(F.col("text"), F.lit("THE")).alias("contains_text"),
         cmp.exact(F.col("n_chars").cast("string"), F.length("text").cast("string")).alias("exact"),
-        cmp.same_set(F.concat(F.lit("[1, "), quoted, F.lit("]")), F.concat(F.lit("["), quoted, F.lit(",1,1]"))).alias("same_set"),
+        cmp.same_set(F.concat(F.lit("[1, "), quoted, F.lit("]")), F.concat(F.lit("["), quoted, F.when(F.col("doc_id") % 4 < 2, ",1,1]").otherwise(",2,1]"))).alias("same_set"),
         cmp.one_of(quoted, F.lit('["en", "fr"]')).alias("one_of"),
-        cmp.in_span(F.lit("a"), F.col("text"), (F.lit(1 << 30), zero), (zero, F.least(F.lit(200), F.length("text")))).alias("in_span"),
+        cmp.in_span(F.lit("the"), F.col("text"), (F.lit(1 << 30), zero), (F.floor(F.col("n_chars") / 2).cast("int") + 1, F.length("text"))).alias("in_span"),
     )
 
 
+@query(
+    """WITH RECURSIVE r AS (SELECT c_nationkey AS run_id, c_custkey % 12 AS source, c_custkey * 5 % 12 AS target,
+    CASE WHEN c_custkey % 7 < 2 THEN 'requires' WHEN c_custkey % 7 = 2 THEN 'precedes' ELSE 'excludes' END AS kind FROM customer WHERE c_custkey % 5 < 2),
+    e AS (SELECT DISTINCT run_id, kind, CASE kind WHEN 'requires' THEN target ELSE source END AS a, CASE kind WHEN 'requires' THEN source ELSE target END AS b FROM r WHERE kind <> 'excludes'),
+    o AS (SELECT run_id, a, b FROM e UNION SELECT o.run_id, o.a, e.b FROM o JOIN e ON e.run_id = o.run_id AND e.a = o.b),
+    q AS (SELECT run_id, a, b FROM e WHERE kind = 'requires' UNION SELECT q.run_id, q.a, e.b FROM q JOIN e ON e.run_id = q.run_id AND e.a = q.b AND e.kind = 'requires')
+    SELECT run_id, source, target, kind,
+    concat_ws(',', CASE WHEN source = target AND kind <> 'excludes' THEN 'self' END,
+      CASE WHEN count(*) OVER (PARTITION BY run_id, kind, CASE kind WHEN 'excludes' THEN least(source, target) ELSE source END, CASE kind WHEN 'excludes' THEN greatest(source, target) ELSE target END) > 1 THEN 'duplicate' END,
+      CASE WHEN kind <> 'excludes' AND EXISTS (SELECT 1 FROM o WHERE o.run_id = r.run_id AND a = source AND b = target) AND EXISTS (SELECT 1 FROM o WHERE o.run_id = r.run_id AND a = target AND b = source) THEN 'cycle' END,
+      CASE WHEN kind = 'excludes' AND source <> target AND EXISTS (SELECT 1 FROM q WHERE q.run_id = r.run_id AND (a = source AND b = target OR a = target AND b = source)) THEN 'exclusive_dependency' END) AS problems FROM r"""
+)
+def relation_problems(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    kind = F.when(k % 7 < 2, "requires").when(k % 7 == 2, "precedes").otherwise("excludes")
+    r = c.where(k % 5 < 2).select(F.col("c_nationkey").alias("run_id"), (k % 12).alias("source"), (k * 5 % 12).alias("target"), kind.alias("kind"))
+    return dc.relation_problems(r).withColumn("problems", F.array_join("problems", ","))
+
+
 _CHECKS_SQL = """SELECT doc_id AS case_id, 1 AS repetition, 0 AS check_ordinal, source, lang,
  CASE WHEN quality IS NULL THEN (CASE WHEN lang = 'en' THEN 'skipped' WHEN lang = 'de' THEN 'error' ELSE 'missing' END)
       WHEN (n_chars >= {limit}) = (quality = 1) THEN 'passed' ELSE 'failed' END AS outcome

@@ -130,4 +130,23 @@ def test_relations(spark):
     r = spark.createDataFrame([("a", "1", "2", "requires"), ("a", "2", "3", "requires"), ("a", "3", "1", "requires"), ("b", "1", "2", "requires"), ("b", "2", "2", "requires"), ("c", "1", "2", "requires"), ("c", "2", "1", "excludes")], "run_id string, source string, target string, kind string")
     assert {x["run_id"] for x in dc.requirement_cycles(r).collect()} == {"a", "b"}
     got = {(x["run_id"], x["source"], x["target"]): x["problems"] for x in dc.relation_problems(r).collect()}
-    assert got["b", "2", "2"] == ["self"] and got["a", "1", "2"] == [] and got["c", "1", "2"] == ["conflict", "cycle"]
+    assert got["b", "2", "2"] == ["self", "cycle"] and got["b", "1", "2"] == [] and all(got["a", x, y] == ["cycle"] for x, y in ("12", "23", "31"))
+    assert got["c", "1", "2"] == [] and got["c", "2", "1"] == ["exclusive_dependency"]
+    chain = spark.createDataFrame([("d", k, k + 1, "requires") for k in range(70)] + [("d", 70, 0, "excludes"), ("d", 0, 70, "excludes")], "run_id string, source long, target long, kind string")
+    assert dc.requirement_cycles(chain).isEmpty()
+    assert [x["problems"] for x in dc.relation_problems(chain).where("kind = 'excludes'").collect()] == [["duplicate", "exclusive_dependency"]] * 2
+
+
+def test_providers_scan_the_source_once(spark, tmp_path):
+    """Each provider step starts from rows that are written down, so the source is not in its plan again."""
+    seen = []
+
+    def give(asked):
+        seen.append(asked._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return asked.select("run_id", F.lit("1").alias("result"), F.lit("completed").alias("status"))
+
+    envelopes(spark, {"x": 1}, {"x": 2}).select("run_id", F.to_json("payload").alias("p")).write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s")).select("run_id", parse(F.col("p")).alias("payload"), literal({}).alias("metadata"))
+    steps = [Step(f"s{k}", inputs={"x": {"pointer": "/payload/x"}}, provider=give) for k in range(4)]
+    out = Workflow([Flow("f", steps)], "f").run(df)
+    assert out.count() == 2 and seen == [0] * 4
