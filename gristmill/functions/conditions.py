@@ -131,7 +131,7 @@ def _operate(value: Column, name: str, argument: Any) -> Column:
             out = out | equal(value, wanted)
         return out if name == "in" else ~out
     if name in ORDER:
-        return certain(ORDER[name](number_of(value), F.lit(float(argument))))
+        return certain(_ordered(value, name, argument))
     if name == "matches":
         text = text_of(value)
         return certain((F.length(text) <= LONGEST) & text.rlike(full_match(argument)))
@@ -141,6 +141,14 @@ def _operate(value: Column, name: str, argument: Any) -> Column:
     return out
 
 
+def _ordered(value: Column, name: str, argument: Any) -> Column:
+    near = ORDER[name](number_of(value), F.lit(float(argument)))
+    if not isinstance(argument, int) or abs(argument) >= 10**38:
+        return near
+    whole = F.schema_of_variant(value).rlike(r"\A(BIGINT|DECIMAL\([0-9]+,0\))\z")  # whole numbers are compared exactly
+    return F.when(whole, ORDER[name](F.try_variant_get(value, "$", "decimal(38,0)"), F.lit(str(argument)).cast("decimal(38,0)"))).otherwise(near)
+
+
 def _note(value: Column, name: str, location: str) -> Column:
     what = kind(given(value))
     wrong = {"matches": what != "string", "length": what.isin("number", "boolean")} | dict.fromkeys(ORDER, what != "number")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 Context = Mapping[str, Column]
 
 _INDEX = re.compile(r"0|[1-9][0-9]{0,8}")
-_KINDS = {"VOID": "null", "BOOLEAN": "boolean", "BIGINT": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string"}
+_KINDS = {"VOID": "null", "BOOLEAN": "boolean", **dict.fromkeys(("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number"), "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
 
 
 def parse(text: Column) -> Column:
@@ -30,11 +30,8 @@ def literal(value: Any) -> Column:
 
 def kind(value: Column) -> Column:
     """null, boolean, number, string, array or object; NULL if absent."""
-    schema = F.schema_of_variant(value)
-    out = F.when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").when(schema.startswith("DECIMAL"), "number")
-    for name, own in _KINDS.items():
-        out = out.when(schema == name, own)
-    return out
+    known = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
+    return F.try_element_at(known, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def given(value: Column) -> Column:
@@ -84,6 +81,29 @@ def member(value: Column, token: str) -> Column:
     return F.coalesce(found, F.try_variant_get(value, f"$[{token}]", "variant")) if _INDEX.fullmatch(token) else found
 
 
+def lookup_static(document: Any, pointer: str) -> Any:
+    """What a pointer finds in a document that is no column."""
+    for token in tokens(pointer):
+        document = document[int(token)] if isinstance(document, list) else document[token]
+    return document
+
+
+def path_of(pointer: Column, indexes: bool) -> Column:
+    """A JSON pointer in a column as a path of variants; tokens that are indexes name items if so wanted, else members."""
+    names = F.transform(F.slice(F.split(pointer, "/"), 2, 64), lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    # a name with both quotes fits no path
+    quoted = lambda t: F.when(~t.contains('"'), F.concat(F.lit('["'), t, F.lit('"]'))).when(~t.contains("'"), F.concat(F.lit("['"), t, F.lit("']")))
+    step = (lambda t: F.when(t.rlike(r"\A(0|[1-9][0-9]{0,8})\z"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(quoted(t))) if indexes else quoted
+    steps = F.transform(names, step)
+    return F.when(~F.exists(steps, lambda t: t.isNull()), F.concat(F.lit("$"), F.array_join(steps, "")))
+
+
+def lookup_each(value: Column, pointer: Column) -> Column:
+    """What each row's own pointer finds in its value. Tokens that are indexes all name items, or all members."""
+    found = [F.try_variant_get(value, path_of(pointer, indexes), "variant") for indexes in (False, True)]
+    return F.coalesce(*found)
+
+
 def lookup(context: Context, pointer: str) -> Column:
     """What a pointer finds; the longest root of the context that the pointer goes through holds the document."""
     parts = tokens(pointer)

@@ -76,9 +76,9 @@ def flow_summary(attempts: DataFrame, records: DataFrame, scope: list[str]) -> D
 
 
 def duration_histogram(df: DataFrame, seconds: str, edges: list[float], *by: str) -> DataFrame:
-    """Number of durations in each bucket (up to and with its edge; the last has none)."""
+    """Number of durations in each bucket (up to and with its edge; the last has none); unknown durations have a null bucket."""
     bucket = F.array_position(F.array(*(F.lit(e) >= F.col(seconds) for e in edges)), True)
-    return df.groupBy(*by, F.when(bucket == 0, len(edges) + 1).otherwise(bucket).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by, F.when(F.col(seconds).isNotNull(), F.when(bucket == 0, len(edges) + 1).otherwise(bucket)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def grouped(df: DataFrame, value: Column, text: Column, ordinal: str) -> DataFrame:

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from .functions import comparisons as cmp
 from .functions.conditions import holds, trace
-from .functions.usage import Price, Pricing, failure_code, request_cost, retryable
-from .functions.values import bind, literal, number_of, parse, render, text_of
+from .functions.schemas import valid, violations
+from .functions.usage import Price, Pricing, failure_code, reported, request_cost, retryable
+from .functions.values import bind, bind_all, literal, number_of, parse, project, render, text_of
 from .operators import checks as ck
 from .operators import compare as cp
 from .operators import decisions as dc
+from .operators import evaluate as ev
 from .operators import metrics as mt
 from .operators import summaries as sm
 from .plans.collections import ledger, run_collection
 from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow
 from .sources.envelopes import decode
-from .sources.journal import latest
+from .sources.journal import latest, recorded_cases, to_run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,8 +139,8 @@ def comparisons(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT c_nationkey AS run_id, c_custkey % 12 AS source, c_custkey * 5 % 12 AS target,
-    CASE WHEN c_custkey % 7 < 2 THEN 'requires' WHEN c_custkey % 7 = 2 THEN 'precedes' ELSE 'excludes' END AS kind FROM customer WHERE c_custkey % 5 < 2),
+    """WITH RECURSIVE r AS (SELECT c_custkey // 24 AS run_id, c_custkey % 12 AS source, (c_custkey * 7 + c_custkey // 24) % 12 AS target,
+    CASE WHEN c_custkey % 7 < 2 THEN 'requires' WHEN c_custkey % 7 = 2 THEN 'precedes' ELSE 'excludes' END AS kind FROM customer),
     e AS (SELECT DISTINCT run_id, kind, CASE kind WHEN 'requires' THEN target ELSE source END AS a, CASE kind WHEN 'requires' THEN source ELSE target END AS b FROM r WHERE kind <> 'excludes'),
     o AS (SELECT run_id, a, b FROM e UNION SELECT o.run_id, o.a, e.b FROM o JOIN e ON e.run_id = o.run_id AND e.a = o.b),
     q AS (SELECT run_id, a, b FROM e WHERE kind = 'requires' UNION SELECT q.run_id, q.a, e.b FROM q JOIN e ON e.run_id = q.run_id AND e.a = q.b AND e.kind = 'requires')
@@ -151,7 +153,8 @@ def comparisons(spark, sf_dir):
 def relation_problems(spark, sf_dir):
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     kind = F.when(k % 7 < 2, "requires").when(k % 7 == 2, "precedes").otherwise("excludes")
-    r = c.where(k % 5 < 2).select(F.col("c_nationkey").alias("run_id"), (k % 12).alias("source"), (k * 5 % 12).alias("target"), kind.alias("kind"))
+    run = F.floor(k / 24)
+    r = c.select(run.alias("run_id"), (k % 12).alias("source"), ((k * 7 + run) % 12).alias("target"), kind.alias("kind"))
     return dc.relation_problems(r).withColumn("problems", F.array_join("problems", ","))
 
 
@@ -268,9 +271,9 @@ def step_summary(spark, sf_dir):
     return sm.step_summary(e.select(F.col("user_id").alias("run_id")).distinct(), r, [("f", "click"), ("f", "error"), ("f", "view")])
 
 
-@query("SELECT event_type, CAST(CASE WHEN value <= 1 THEN 1 WHEN value <= 10 THEN 2 WHEN value <= 50 THEN 3 ELSE 4 END AS INTEGER) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+@query("SELECT event_type, CAST(CASE WHEN value <= 1 THEN 1 WHEN value <= 10 THEN 2 WHEN value <= 50 THEN 3 WHEN value > 50 THEN 4 END AS INTEGER) AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def duration_histogram(spark, sf_dir):
-    return sm.duration_histogram(table(spark, sf_dir, "events").where("value IS NOT NULL"), "value", [1.0, 10.0, 50.0], "event_type")
+    return sm.duration_histogram(table(spark, sf_dir, "events"), "value", [1.0, 10.0, 50.0], "event_type")
 
 
 @query("SELECT true AS present, false AS member, props->>'$.k' AS key, count(*) AS n, min(event_id) AS group_ordinal FROM events GROUP BY ALL")
@@ -482,15 +485,15 @@ def workflow_runs(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT event_id, value AS v, 0 AS n FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, v * 2, n + 1 FROM r WHERE n = 0 OR (n < 4 AND v < 100))
+    """WITH RECURSIVE r AS (SELECT event_id, coalesce(value, user_id) AS v, 0 AS n FROM events UNION ALL SELECT event_id, v * 2, n + 1 FROM r WHERE n = 0 OR (n < 4 AND v < 100))
     SELECT event_id AS run_id, CAST(n AS INTEGER) AS attempts, v AS result, CASE WHEN v >= 100 THEN 'until' ELSE 'exhausted' END AS stopped_by FROM r QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC) = 1"""
 )
 def repeat_until(spark, sf_dir):
     double = Step("double", lambda i: F.try_variant_get(F.to_variant_object(F.struct((number_of(i["v"]) * 2).alias("x"))), "$.x", "variant"), {"v": {"pointer": "/payload/v"}})
     again = Repeat(4, {"pointer": "/flows/grow/result", "gte": 100}, {"v": {"pointer": "/flows/grow/result"}})
     flow = Flow("grow", [double], output={"pointer": "/steps/double/result"}, repeat=again)
-    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    runs = Workflow([flow], "grow").run(e.select(F.col("event_id").alias("run_id"), F.to_variant_object(F.struct(F.col("value").alias("v"))).alias("payload"), F.lit(None).cast("variant").alias("metadata")))
+    e = table(spark, sf_dir, "events").withColumn("v", F.coalesce("value", "user_id"))
+    runs = Workflow([flow], "grow").run(e.select(F.col("event_id").alias("run_id"), F.to_variant_object(F.struct("v")).alias("payload"), F.lit(None).cast("variant").alias("metadata")))
     return runs.select("run_id", F.col("grow.attempts").alias("attempts"), number_of(F.col("grow.result")).alias("result"), F.col("grow.stopped_by").alias("stopped_by"))
 
 
@@ -528,3 +531,149 @@ def envelopes(spark, sf_dir):
     body = F.concat(F.lit('{"payload": '), "props", F.when(F.col("event_id") % 3 == 0, ', "extra": 1}').otherwise(', "metadata": {}}'))
     d = decode(table(spark, sf_dir, "events").withColumn("value", body))
     return d.select("event_id", "error", number_of(bind({"/payload": F.col("payload")}, {"pointer": "/payload/k"})).cast("long").alias("k"))
+
+
+# schemas, and evaluation from end to end
+
+_SCHEMA = {
+    "type": "object",
+    "required": ["lang", "n_chars"],
+    "properties": {
+        "lang": {"enum": ["en", "de", "fr"], "minLength": 2},
+        "n_chars": {"$ref": "#/$defs/length", "exclusiveMaximum": 900},
+        "source": {"anyOf": [{"pattern": "[0-4]$"}, {"const": "src7"}]},
+        "quality": {"type": ["integer", "null"], "not": {"const": 0}},
+        "tags": {"items": {"type": "string", "pattern": "^(e|src)"}, "maxItems": 2, "uniqueItems": True, "contains": {"const": "en"}},
+    },
+    "additionalProperties": False,
+    "if": {"properties": {"lang": {"const": "en"}}},
+    "then": {"properties": {"quality": {"type": "integer"}}},
+    "$defs": {"length": {"type": "integer", "minimum": 100}},
+}
+_BROKEN_SQL = """nullif(concat_ws(';', CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN '/lang enum' END, CASE WHEN n_chars < 100 THEN '/n_chars minimum' END,
+ CASE WHEN n_chars >= 900 THEN '/n_chars exclusiveMaximum' END, CASE WHEN NOT (regexp_matches(source, '[0-4]$') OR source = 'src7') THEN '/source anyOf' END,
+ CASE WHEN quality = 0 THEN '/quality not' END, CASE WHEN lang[1] <> 'e' THEN '/tags items' END, CASE WHEN lang <> 'en' THEN '/tags contains' END,
+ CASE WHEN lang = 'en' AND quality IS NULL THEN 'if' END), '')"""
+
+
+@query(f"SELECT doc_id, {_BROKEN_SQL} IS NULL AS fits, coalesce({_BROKEN_SQL}, '') AS broken FROM documents LEFT JOIN labels USING (doc_id)")
+def schema_validation(spark, sf_dir):
+    d = _labelled(spark, sf_dir)
+    return d.select("doc_id", valid(F.col("doc"), _SCHEMA).alias("fits"), F.array_join(violations(F.col("doc"), _SCHEMA), ";").alias("broken"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 > 0 AS gt, o_orderkey % 3 >= 1 AS gte, o_orderkey % 3 < 1 AS lt, o_orderkey % 3 = 0 AS lte FROM orders")
+def wide_order(spark, sf_dir):
+    """Whole numbers beyond the doubles' precision are ordered exactly."""
+    big = 9_007_199_254_740_992
+    o = table(spark, sf_dir, "orders").withColumn("v", parse((F.col("o_orderkey") % 3 + big).cast("string")))
+    tests = {"gt": big, "gte": big + 1, "lt": big + 1, "lte": big}
+    return o.select("o_orderkey", *(holds({"": F.col("v")}, {"pointer": "", name: n}).alias(name) for name, n in tests.items()))
+
+
+_EVALUATED_SQL = """SELECT d.*, q.quality, n.no AS check_ordinal, CASE WHEN lang = 'de' THEN 'failed' WHEN n_chars < 100 THEN 'needs_review' ELSE 'completed' END AS status,
+ CASE WHEN doc_id % 10 = 9 THEN 'missing'
+  WHEN no = 0 THEN CASE WHEN lang = 'de' THEN 'error' WHEN (n_chars >= 500) = (coalesce(quality, 0) = 1) THEN 'passed' ELSE 'failed' END
+  WHEN no = 1 THEN CASE WHEN lang = 'de' THEN 'error' WHEN coalesce(source, '') = 'src1' OR lang = 'en' THEN 'passed' ELSE 'failed' END
+  WHEN no = 2 THEN CASE WHEN lang = 'de' THEN 'error' WHEN n_chars >= 100 THEN CASE WHEN contains(lower(source), 'c2') THEN 'passed' ELSE 'failed' END WHEN quality IS NULL THEN 'passed' ELSE 'failed' END
+  ELSE CASE WHEN lang = 'de' THEN 'error' WHEN n_chars >= 100 THEN CASE WHEN n_chars % 2 = 0 THEN 'passed' ELSE 'failed' END ELSE 'missing' END END AS outcome
+ FROM documents d LEFT JOIN labels q USING (doc_id) CROSS JOIN (VALUES (0), (1), (2), (3)) n(no)"""
+
+
+def _evaluated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Checks and runs of a rule on documents: four expectations of each, a tenth of the cases without a run, failed and reviewed runs."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("case_id", F.col("doc_id"))
+    q, n = F.col("quality"), F.col("n_chars")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    long_enough = F.when(n < 100, q.isNull())
+    wanted = [
+        ("/result/label", F.when(q == 1, '"good"').otherwise('"bad"'), "exact", False),
+        ("/result/tags", F.concat(F.lit("["), text(F.when(F.col("lang") == "en", F.col("source")).otherwise(F.lit("src1"))), F.lit(","), text(F.col("lang")), F.lit("]")), "set", False),
+        ("/result/origin~1name", F.when(n < 100, F.when(long_enough, "[null]").otherwise("[1]")).otherwise(F.when(F.lower("source").contains("c2"), F.concat(F.lit("["), text(F.col("source")), F.lit("]"))).otherwise("[1]")), "one_of", True),
+        ("/result/parts/1", F.when(n % 2 == 0, '"B  x"').otherwise('"c x"'), "text", False),
+    ]
+    checks = F.explode(F.array(*(F.struct(F.lit(k).alias("check_ordinal"), F.lit(p).alias("path"), e.alias("expected"), F.lit(c).alias("comparison"), F.lit(a).alias("absent_as_null")) for k, (p, e, c, a) in enumerate(wanted))))
+    gold = d.select("case_id", "lang", checks.alias("c")).select("case_id", "lang", "c.*")
+    own = d.where("doc_id % 10 <> 9").withColumn("run_id", F.concat(F.lit("r"), "doc_id"))
+    own = own.withColumn("status", F.when(F.col("lang") == "de", "failed").when(n < 100, "needs_review").otherwise("completed"))
+    label = F.when(n >= 500, '"good"').otherwise('"bad"')
+    extra = F.when(n >= 100, F.concat(F.lit(',"origin/name":'), text(F.col("source")), F.lit(',"parts":["a","b X"]'))).otherwise("")
+    document = F.concat(F.lit('{"result":{"label":'), label, F.lit(',"tags":['), text(F.col("lang")), F.lit(","), text(F.col("source")), F.lit("]"), extra, F.lit("}}"))
+    runs = own.select("run_id", "case_id", "lang", "status", parse(F.when(F.col("lang") != "de", document).otherwise("{}")).alias("document"))
+    return ev.evaluate(gold, runs, runs.select("run_id", F.lit("/result").alias("path"), "status")), runs
+
+
+@query(f"WITH x AS ({_EVALUATED_SQL}) SELECT doc_id AS case_id, check_ordinal, outcome FROM x")
+def evaluation_checks(spark, sf_dir):
+    return _evaluated(spark, sf_dir)[0].select("case_id", "check_ordinal", "outcome")
+
+
+@query(
+    f"""WITH x AS ({_EVALUATED_SQL}), r AS (SELECT doc_id, lang, any_value(status) AS status, bool_and(outcome = 'passed') AS ok FROM x WHERE doc_id % 10 <> 9 GROUP BY ALL),
+    c AS (SELECT lang, count(*) AS total, {', '.join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("passed", "failed", "missing", "skipped", "error"))},
+    count(*) FILTER (outcome = 'passed') / count(*) AS pass_rate, count(*) FILTER (outcome IN ('passed', 'failed')) / count(*) AS coverage FROM x GROUP BY lang)
+    SELECT c.*, count(r.doc_id) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'failed') AS stopped,
+    count(*) FILTER (status = 'failed') / count(r.doc_id) AS failure_rate, count(*) FILTER (status = 'needs_review') / count(r.doc_id) AS review_rate, count(*) FILTER (ok) / count(r.doc_id) AS case_pass_rate
+    FROM c LEFT JOIN r USING (lang) GROUP BY ALL"""
+)
+def evaluation_report(spark, sf_dir):
+    return ev.report(*_evaluated(spark, sf_dir), "lang")
+
+
+# what decisions return, journals, usage by model
+
+
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN source NOT IN ('src1', 'src2') OR lang NOT IN ('en', 'src1', 'src2') THEN 'unknown-option' END, CASE WHEN doc_id % 4 = 0 THEN 'duplicate-option' END,
+    CASE WHEN doc_id % 4 = 1 THEN 'too-few' END, CASE WHEN doc_id % 4 = 0 THEN 'too-many' END) AS choice,
+    concat_ws(',', CASE WHEN lang <> 'en' THEN 'missing:en' END, CASE WHEN source <> 'src1' THEN 'missing:src1' END, CASE WHEN lang <> 'en' THEN 'unknown:' || lang END, CASE WHEN source <> 'src1' THEN 'unknown:' || source END,
+    CASE WHEN doc_id % 3 = 0 THEN 'duplicate:' || lang END) AS questions,
+    contains(text, 'the ') OR contains(source, 'the ') AS subject FROM documents"""
+)
+def decision_outputs(spark, sf_dir):
+    d, no = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    chosen = F.when(no == 0, F.array("source", "lang", "source")).when(no == 1, F.array("source")).otherwise(F.array("source", "lang"))
+    chosen = F.when(no == 1, F.when(F.col("lang").isin("en", "src1", "src2"), chosen).otherwise(F.array("lang"))).otherwise(chosen)
+    asked = F.when(F.col("doc_id") % 3 == 0, F.array("lang", "source", "lang")).otherwise(F.array("lang", "source"))
+    join = lambda c: F.array_join(c, ",")
+    return d.select("doc_id", join(dc.choice_problems(chosen, ["en", "src1", "src2"], 2, 2)).alias("choice"), join(dc.question_problems(["en", "src1"], asked)).alias("questions"), dc.subject_found(F.lit("the "), F.array("text", "source")).alias("subject"))
+
+
+@query(
+    """SELECT c_custkey % 3 <> 0 AS recorded, count(*) AS n, CAST(sum(CASE WHEN c_custkey % 3 = 0 OR c_custkey % 6 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS to_run FROM customer GROUP BY ALL"""
+)
+def journal_cases(spark, sf_dir):
+    """Cases to run: those never recorded, and those recorded with another input (white space and order of keys apart)."""
+    k = F.col("c_custkey")
+    gold = table(spark, sf_dir, "customer").select(k.alias("case_id"), F.lit(1).alias("repetition"), F.concat(F.lit('{"a": '), k, F.lit(', "b": 1}')).alias("input"))
+    journal = gold.where("case_id % 3 <> 0").withColumn("input", F.concat(F.lit('{"b":1,"a":'), F.when(F.col("case_id") % 6 == 1, -F.col("case_id")).otherwise(F.col("case_id")), F.lit("}")))
+    known, left = recorded_cases(journal).withColumn("known", F.lit(1)), to_run(gold, journal).select("case_id", F.lit(1).alias("open"))
+    both = gold.join(known, "case_id", "left").join(left, "case_id", "left")
+    return both.groupBy(F.col("known").isNotNull().alias("recorded")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("open", F.lit(0))).cast("long").alias("to_run"))
+
+
+@query(
+    """SELECT event_type, 'm' || user_id % 3 AS model, count(*) AS requests, CASE WHEN bool_and(event_type <> 'error') THEN CAST(sum(user_id) AS BIGINT) END AS input_tokens, CAST(sum(event_id) AS BIGINT) AS output_tokens FROM events GROUP BY ALL"""
+)
+def usage_by_model(spark, sf_dir):
+    e, user = table(spark, sf_dir, "events"), F.col("user_id")
+    zero = F.when(F.col("event_type") == "error", 0).otherwise(1)  # a zero among the details alone is unknown
+    tokens = reported(F.when(zero == 1, user), user * zero)
+    r = e.select("event_type", F.concat(F.lit("m"), user % 3).alias("model"), F.lit(1).alias("requests"), tokens.alias("input_tokens"), F.col("event_id").alias("output_tokens"))
+    return sm.usage_by_model(r, "event_type")
+
+
+@query("SELECT CAST(sum(user_id) AS DOUBLE) / count(*) AS before_mean, CAST(sum(event_id) AS DOUBLE) / count(*) AS after_mean, CAST(sum(event_id) AS DOUBLE) / count(*) - CAST(sum(user_id) AS DOUBLE) / count(*) AS delta FROM events")
+def latency_comparison(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return cp.latency_comparison(e.select(F.col("user_id").cast("double").alias("seconds")), e.select(F.col("event_id").cast("double").alias("seconds")))
+
+
+@query("SELECT conv_id, CASE WHEN bool_and(role IS NOT NULL) THEN string_agg(role, ',' ORDER BY turn) END AS roles, 'n=' || count(*) AS said FROM conversations GROUP BY conv_id")
+def projections(spark, sf_dir):
+    """One field of every item of an array, and several bindings at once."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"), F.count(F.lit(1)).alias("n"))).alias("t")).withColumn("doc", parse(F.col("t")))
+    found = bind_all({"": F.col("doc")}, {"turns": {"pointer": "/turns"}, "n": {"first_of": ["/none", "/n"]}})
+    roles = F.array_join(F.transform(project(found["turns"], "/role"), text_of), ",")
+    return c.select("conv_id", roles.alias("roles"), render("n={{ n }}", found).alias("said"))
