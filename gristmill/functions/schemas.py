@@ -127,7 +127,8 @@ def _asserted(value: Column, word: str, arg: Any, schema: Mapping[str, Any], fit
             text = F.transform(items_of(value), lambda x: F.coalesce(F.concat(F.lit("n"), number_of(x).cast("string")), F.to_json(x)))
             return _of(value, "array", F.size(text) == F.size(F.array_distinct(text))) if arg else F.lit(True)
         case "patternProperties":
-            each = [F.forall(F.map_entries(fields_of(value)), lambda e, p=p, s=s: ~e.key.rlike(p) | fits(e.value, s)) for p, s in arg.items()]
+            one = lambda p, s: F.forall(F.map_entries(fields_of(value)), lambda e: ~e.key.rlike(p) | fits(e.value, s))
+            each = [one(p, s) for p, s in arg.items()]
             return _of(value, "object", total(map(certain, each)) == len(each))
         case "additionalProperties":
 
