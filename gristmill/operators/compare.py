@@ -53,6 +53,28 @@ def compare_totals(cases: DataFrame) -> DataFrame:
     return out.withColumns({f"{what}_delta": F.col(f"after_{what}") - F.col(f"before_{what}") for what in ("pass_rate", "coverage")})
 
 
+def _status_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """status, before, after: how many attempts of each side ended so; statuses that neither side has are left out."""
+    both = before.select("status", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select("status", F.lit(0).alias("b"), F.lit(1).alias("a")))
+    return both.groupBy("status").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+
+
+def compare_statuses(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Counts by status of two evaluations' attempts, and the difference: one row for each known status, zeros included."""
+    known = before.sparkSession.createDataFrame([(s,) for s in STATUS_RANK], "status string")
+    n = known.join(_status_counts(before, after), "status", "left").fillna(0, ["before", "after"])
+    return n.withColumn("delta", F.col("after") - F.col("before"))
+
+
+def compare_status_rates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Failure and review rates of both sides, and their differences: one row."""
+    n = _status_counts(before, after)
+    rate = lambda side, which: ratio(F.coalesce(F.sum(F.when(which, F.col(side))), F.lit(0)), F.sum(side))
+    parts = {"failure": F.col("status").isin("failed", "cancelled", "error"), "review": F.col("status") == "needs_review"}
+    out = n.agg(*(rate(side, which).alias(f"{side}_{name}_rate") for side in ("before", "after") for name, which in parts.items()))
+    return out.withColumns({f"{name}_rate_delta": F.col(f"after_{name}_rate") - F.col(f"before_{name}_rate") for name in parts})
+
+
 def case_samples(checks: DataFrame, side: str = "") -> DataFrame:
     """One sample for each source case, its repetitions pooled: passed checks and all checks."""
     return checks.groupBy("case_id").agg(F.count_if(F.col("outcome") == "passed").alias(f"{side}num"), F.count(F.lit(1)).alias(f"{side}den"))

@@ -29,10 +29,15 @@ def observed_state(gold: Column, pred: Column, present: Column, owner_status: Co
 
 
 def metric_summary(observations: DataFrame, *by: str) -> DataFrame:
-    """support, counts by state, accuracy and coverage of observations (state, gold, pred)."""
+    """support, counts by state, accuracy and coverage of observations (state, gold, pred).
+
+    Arrays of labels are correct where they are equal as sets.
+    """
     n = {s: F.count_if(F.col("state") == s) for s in STATES}
     support = F.count_if(F.col("state") != "excluded")
-    correct = F.count_if((F.col("state") == "observed") & F.col("gold").eqNullSafe(F.col("pred")))
+    many = observations.schema["gold"].dataType.typeName() == "array"
+    gold, pred = (F.array_sort(F.array_distinct(c)) if many else F.col(c) for c in ("gold", "pred"))
+    correct = F.count_if((F.col("state") == "observed") & gold.eqNullSafe(pred))
     return observations.groupBy(*by).agg(support.alias("support"), *(c.alias(s) for s, c in n.items()), correct.alias("correct"), ratio(correct, support).alias("accuracy"), ratio(n["observed"], support).alias("coverage"))
 
 
@@ -73,6 +78,17 @@ def micro_macro(counts: DataFrame) -> DataFrame:
     return pooled.unionByName(rates(counts).agg(*mean).select(F.lit("macro").alias("average"), *names))
 
 
+def field_gold(checks: DataFrame, path: str, fields: list[str]) -> DataFrame:
+    """case_id, field_no, field, gold: the first check of each case on the pointer of each field below path.
+
+    The catalog of fields belongs to the metric, not to the data, so it is the side that is broadcast.
+    """
+    pointers = [(k, f, f"{path}/{f.replace('~', '~0').replace('/', '~1')}") for k, f in enumerate(fields)]
+    catalog = checks.sparkSession.createDataFrame(pointers, "field_no int, field string, path string")
+    found = checks.join(F.broadcast(catalog), "path")
+    return found.groupBy("case_id", "field_no", "field").agg(F.min_by(F.struct("gold"), "check_ordinal").alias("first")).select("case_id", "field_no", "field", "first.gold")
+
+
 FIELD_OUTCOMES = ("correct_value", "correct_null", "hallucinated", "missed", "wrong_value", "unavailable")
 
 

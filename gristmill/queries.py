@@ -677,3 +677,85 @@ def projections(spark, sf_dir):
     found = bind_all({"": F.col("doc")}, {"turns": {"pointer": "/turns"}, "n": {"first_of": ["/none", "/n"]}})
     roles = F.array_join(F.transform(project(found["turns"], "/role"), text_of), ",")
     return c.select("conv_id", roles.alias("roles"), render("n={{ n }}", found).alias("said"))
+
+
+# fields' gold, sets of labels, changes of statuses
+
+_FIELD_PATHS = {"lang": "/result/lang", "a/b": "/result/a~1b", "c~d": "/result/c~0d", "none": "/result/none"}
+
+
+@query(
+    """SELECT doc_id AS case_id, CAST(0 AS INTEGER) AS field_no, 'lang' AS field, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS gold FROM documents
+    UNION ALL SELECT doc_id, 1, 'a/b', source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, 'c~d', NULL FROM documents WHERE doc_id % 5 = 0"""
+)
+def field_gold(spark, sf_dir):
+    d, no = table(spark, sf_dir, "documents"), F.col("doc_id")
+    check = lambda path, ordinal, gold: F.struct(F.lit(path).alias("path"), F.lit(ordinal).alias("check_ordinal"), gold.alias("gold"))
+    checks = [
+        check(_FIELD_PATHS["lang"], 5, F.col("lang")), check("/result", 1, F.col("text")), check("/result/lang/x", 0, F.col("text")),
+        F.when(no % 3 == 0, check(_FIELD_PATHS["lang"], 4, F.col("source"))), F.when(no % 2 == 0, check(_FIELD_PATHS["a/b"], 2, F.col("source"))),
+        F.when(no % 5 == 0, check(_FIELD_PATHS["c~d"], 3, F.lit(None).cast("string"))), F.when(no % 5 == 0, check(_FIELD_PATHS["c~d"], 6, F.col("lang"))),
+    ]
+    asked = d.select(no.alias("case_id"), F.explode(F.array(*checks)).alias("c")).where("c IS NOT NULL").select("case_id", "c.*")
+    return mt.field_gold(asked, "/result", list(_FIELD_PATHS))
+
+
+_SETS_STATE_SQL = "CASE conv_id % 7 WHEN 0 THEN 'excluded' WHEN 1 THEN 'missing' ELSE 'observed' END"
+
+
+@query(
+    f"""WITH c AS (SELECT {_SETS_STATE_SQL} AS state, list_sort(list(DISTINCT role)) AS gold, list_sort(list(DISTINCT role) FILTER (turn < 3)) AS pred FROM conversations GROUP BY conv_id)
+    SELECT count(*) FILTER (state <> 'excluded') AS support, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in mt.STATES)}, count(*) FILTER (state = 'observed' AND gold = pred) AS correct,
+    count(*) FILTER (state = 'observed' AND gold = pred) / count(*) FILTER (state <> 'excluded') AS accuracy, count(*) FILTER (state = 'observed') / count(*) FILTER (state <> 'excluded') AS coverage FROM c"""
+)
+def multilabel_summary(spark, sf_dir):
+    c, role = table(spark, sf_dir, "conversations"), F.col("role")
+    state = F.when(F.col("conv_id") % 7 == 0, "excluded").when(F.col("conv_id") % 7 == 1, "missing").otherwise("observed")
+    return mt.metric_summary(c.groupBy("conv_id").agg(F.collect_list(role).alias("gold"), F.collect_list(F.when(F.col("turn") < 3, role)).alias("pred")).withColumn("state", state))
+
+
+def _outcomes(spark, sf_dir, first, second) -> DataFrame:
+    no = F.col("doc_id")
+    one = lambda ordinal, outcome: F.struct(F.lit(ordinal).alias("check_ordinal"), outcome.alias("outcome"))
+    checks = F.array(one(0, F.when(no % first == 0, "passed").otherwise("failed")), one(1, F.when(no % second == 0, "passed").otherwise("missing")))
+    return table(spark, sf_dir, "documents").select(no.alias("case_id"), F.lit(0).alias("repetition"), F.explode(checks).alias("c")).select("case_id", "repetition", "c.*")
+
+
+def _statuses(spark, sf_dir, every, worst) -> DataFrame:
+    no = F.col("doc_id") % every
+    status = F.when(no == 0, worst).when(no == 1, "needs_review").otherwise("completed")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit(0).alias("repetition"), status.alias("status"))
+
+
+_STATUS_SQL = "CASE doc_id % {0} WHEN 0 THEN '{1}' WHEN 1 THEN 'needs_review' ELSE 'completed' END"
+_BOTH_SQL = f"s AS (SELECT doc_id, {_STATUS_SQL.format(7, 'failed')} AS b, {_STATUS_SQL.format(4, 'error')} AS c FROM documents)"
+_STATUS_RANK_SQL = "CASE {0} WHEN 'completed' THEN 2 WHEN 'needs_review' THEN 1 ELSE 0 END"
+
+
+@query(
+    f"""WITH {_BOTH_SQL}, x AS (SELECT {_STATUS_RANK_SQL.format('c')} - {_STATUS_RANK_SQL.format('b')} AS m, CAST(doc_id % 3 = 0 AS INTEGER) - CAST(doc_id % 2 = 0 AS INTEGER) AS p,
+    2 * CAST(doc_id % 2 = 0 AS INTEGER) - 2 * CAST(doc_id % 5 = 0 AS INTEGER) AS q FROM s)
+    SELECT CASE WHEN greatest(m, p, q) > 0 AND least(m, p, q) < 0 THEN 'mixed' WHEN greatest(m, p, q) > 0 THEN 'improved' WHEN least(m, p, q) < 0 THEN 'regressed' ELSE 'unchanged' END AS change, count(*) AS n FROM x GROUP BY 1"""
+)
+def variant_changes(spark, sf_dir):
+    sides = _outcomes(spark, sf_dir, 2, 5), _outcomes(spark, sf_dir, 3, 2)
+    statuses = _statuses(spark, sf_dir, 7, "failed"), _statuses(spark, sf_dir, 4, "error")
+    return cp.compare_cases(*sides, statuses).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_BOTH_SQL}, k AS (SELECT unnest([{', '.join(f"'{s}'" for s in ck.STATUS_RANK)}]) AS status)
+    SELECT status, (SELECT count(*) FROM s WHERE b = status) AS before, (SELECT count(*) FROM s WHERE c = status) AS after,
+    (SELECT count(*) FROM s WHERE c = status) - (SELECT count(*) FROM s WHERE b = status) AS delta FROM k"""
+)
+def variant_statuses(spark, sf_dir):
+    return cp.compare_statuses(_statuses(spark, sf_dir, 7, "failed"), _statuses(spark, sf_dir, 4, "error"))
+
+
+@query(
+    f"""WITH {_BOTH_SQL}, r AS (SELECT count(*) FILTER (b = 'failed') / count(*) AS before_failure_rate, count(*) FILTER (b = 'needs_review') / count(*) AS before_review_rate,
+    count(*) FILTER (c = 'error') / count(*) AS after_failure_rate, count(*) FILTER (c = 'needs_review') / count(*) AS after_review_rate FROM s)
+    SELECT *, after_failure_rate - before_failure_rate AS failure_rate_delta, after_review_rate - before_review_rate AS review_rate_delta FROM r"""
+)
+def variant_status_rates(spark, sf_dir):
+    return cp.compare_status_rates(_statuses(spark, sf_dir, 7, "failed"), _statuses(spark, sf_dir, 4, "error"))
