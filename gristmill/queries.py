@@ -93,13 +93,19 @@ def conditions(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN coalesce(quality = 1, false) THEN '/all/1 gt incompatible_type' WHEN quality IS NULL THEN '' ELSE '' END AS notes
-    FROM documents LEFT JOIN labels USING (doc_id)"""
+    """WITH l AS (SELECT doc_id, coalesce(quality = 1, false) AS good, quality IS NOT NULL AS rated, length(text) > 1024 AS long FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT doc_id, concat_ws(';', CASE WHEN good THEN '/any/0/all/1 gt incompatible_type' END, CASE WHEN rated THEN '/any/1/all/0/not matches incompatible_type' END,
+    CASE WHEN rated THEN '/any/2/all/0 length incompatible_type' END, CASE WHEN long THEN '/any/3 matches value_too_long' END) AS notes FROM l"""
 )
 def condition_trace(spark, sf_dir):
-    c = {"all": [{"pointer": "/d/quality", "equals": 1}, {"pointer": "/d/lang", "gt": 3}]}
-    notes = F.array_join(F.transform(trace({"/d": F.col("doc")}, c), lambda n: F.concat_ws(" ", n.location, n.operator, n.reason)), ";")
-    return _labelled(spark, sf_dir).select("doc_id", notes.alias("notes"))
+    """Notes of leaves in nested conditions; what a decided condition does not reach leaves none."""
+    both = _labelled(spark, sf_dir).withColumn("whole", F.to_variant_object(F.struct("text")))
+    ordered = {"all": [{"pointer": "/d/quality", "equals": 1}, {"pointer": "/d/lang", "gt": 3}]}
+    unlike = {"not": {"first_of": ["/d/quality", "/d/none"], "matches": "[01]"}}
+    sized = {"all": [{"pointer": "/d/quality", "length": {"gt": 0}}, {"pointer": "/d/lang", "lt": 3}]}
+    c = {"any": [ordered, {"all": [unlike, {"pointer": "/d/none", "present": True}]}, sized, {"pointer": "/t/text", "matches": ".*"}]}
+    notes = trace({"/d": F.col("doc"), "/t": F.col("whole")}, c)
+    return both.select("doc_id", F.array_join(F.transform(notes, lambda n: F.concat_ws(" ", n.location, n.operator, n.reason)), ";").alias("notes"))
 
 
 @query(
