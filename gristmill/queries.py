@@ -22,7 +22,7 @@ from .operators import summaries as sm
 from .plans.collections import ledger, run_collection
 from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow
 from .sources.envelopes import decode
-from .sources.journal import latest, recorded_cases, to_run
+from .sources.journal import latest, recorded_cases, replay, to_run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -765,3 +765,28 @@ def variant_statuses(spark, sf_dir):
 )
 def variant_status_rates(spark, sf_dir):
     return cp.compare_status_rates(_statuses(spark, sf_dir, 7, "failed"), _statuses(spark, sf_dir, 4, "error"))
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT user_id AS run_id FROM events), r AS (SELECT user_id AS run_id, event_type AS flow, min(value) AS seconds FROM events GROUP BY ALL),
+    w AS (SELECT run_id, flow, r.seconds FROM a CROSS JOIN (VALUES ('click'), ('error'), ('none')) s(flow) LEFT JOIN r USING (run_id, flow)),
+    x AS (SELECT *, CASE WHEN seconds IS NULL THEN NULL WHEN flow = 'error' THEN 'skipped' WHEN seconds < 5 THEN 'needs_review' ELSE 'completed' END AS status FROM w)
+    SELECT flow, count(status) AS invocations, count(*) FILTER (status IS NULL) AS no_record, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'needs_review') AS needs_review,
+    count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, {_LATENCY.format(s='seconds')} FROM x GROUP BY flow"""
+)
+def flow_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    r = e.groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("flow")).agg(F.min("value").alias("seconds"))
+    r = r.withColumn("status", F.when(F.col("flow") == "error", "skipped").when(F.col("seconds") < 5, "needs_review").otherwise("completed"))
+    return sm.flow_summary(e.select(F.col("user_id").alias("run_id")).distinct(), r, ["click", "error", "none"])
+
+
+@query("SELECT doc_id AS case_id, doc_id % 2 AS repetition, lang AS gold, source AS result FROM documents")
+def replayed(spark, sf_dir):
+    """Saved results beside gold whose input has the same content, with other spaces and its keys in another order."""
+    d = table(spark, sf_dir, "documents")
+    key = [F.col("doc_id").alias("case_id"), (F.col("doc_id") % 2).alias("repetition")]
+    n = F.col("n_chars").cast("string")
+    gold = d.select(*key, F.concat(F.lit('{"n": '), n, F.lit(', "a": [1, null]}')).alias("input"), F.col("lang").alias("gold"))
+    saved = d.select(*key, F.concat(F.lit('{"a":[1,null],"n":'), n, F.lit("}")).alias("input"), F.col("source").alias("result"))
+    return replay(gold, saved).select("case_id", "repetition", "gold", "result")

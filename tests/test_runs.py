@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.values import literal, parse
 from gristmill.operators import compare as cp
 from gristmill.operators import decisions as dc
+from gristmill.operators import metrics as mt
 from gristmill.plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow, identity_error
 from gristmill.sources import journal
 from gristmill.sources.envelopes import decode, read_envelopes, read_gold
@@ -150,3 +151,17 @@ def test_providers_scan_the_source_once(spark, tmp_path):
     steps = [Step(f"s{k}", inputs={"x": {"pointer": "/payload/x"}}, provider=give) for k in range(4)]
     out = Workflow([Flow("f", steps)], "f").run(df)
     assert out.count() == 2 and seen == [0] * 4
+
+
+def test_empty_evaluations(spark):
+    """Without rows, counts are 0, rates unknown, and no field has gold."""
+    none = spark.createDataFrame([], "case_id long, status string, path string, check_ordinal int, gold string")
+    counts = cp.compare_statuses(none, none).collect()
+    assert len(counts) == 5 and all(r["before"] == r["after"] == r["delta"] == 0 for r in counts)
+    (rates,) = cp.compare_status_rates(none, none).collect()
+    assert all(v is None for v in rates)
+    one_side = none.limit(0).unionByName(spark.createDataFrame([(1, "failed", "/r/x", 0, "g")], none.schema))
+    (rates,) = cp.compare_status_rates(none, one_side).collect()
+    assert rates["after_failure_rate"] == 1.0 and rates["after_review_rate"] == 0.0 and rates["failure_rate_delta"] is None
+    assert mt.field_gold(none, "/r", ["x"]).isEmpty() and mt.field_gold(one_side, "/r", []).isEmpty()
+    assert [tuple(r) for r in mt.field_gold(one_side, "/r", ["y", "x"]).collect()] == [(1, 1, "x", "g")]
