@@ -11,6 +11,7 @@ from .neighbours import op7_nearest_neighbours
 from .packing import op5_packing
 from .records import op2_token_records
 from .repeats import op1_suffix_dedup
+from .token_counts import op13_token_counts
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_cross_entropy": op8_cross_entropy,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL}
