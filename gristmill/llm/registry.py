@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .importance import OP11_SQL, op11_importance
 from .language_id import op10_language_id
 from .language_model import op8_cross_entropy
 from .mixing import op4_mixing
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_cross_entropy": op8_cross_entropy,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_importance": op11_importance,
     "op13_token_counts": op13_token_counts,
 }
 
-ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op11_importance": OP11_SQL}
