@@ -8,6 +8,7 @@ from .language_id import op10_language_id
 from .language_model import op8_cross_entropy
 from .mixing import op4_mixing
 from .near_dedup import OP3_SQL, op3_near_dedup
+from .negatives import OP12_SQL, op12_hard_negatives
 from .neighbours import op7_nearest_neighbours
 from .packing import op5_packing
 from .records import op2_token_records
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_importance": op11_importance,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
 }
 
-ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op11_importance": OP11_SQL}
+ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op11_importance": OP11_SQL, "op12_hard_negatives": OP12_SQL}
