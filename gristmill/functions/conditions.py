@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import check_pattern
 from .values import Context, bind, fields_of, given, items_of, kind, number_of, present, text_of
 
 SOURCES = {"pointer", "first_of", "literal"}
@@ -60,14 +61,18 @@ def _equal(value: Column, wanted: Any) -> Column:
     return out
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern, in the dialect of Python, as one that Java searches for: Unicode classes, line ends as there."""
+    re.compile(pattern)
+    return f"(?dU){re.sub(r'\(\?P<([A-Za-z][A-Za-z0-9]*)>', r'(?<\1>', pattern)}"
+
+
 def full_match(pattern: str) -> str:
     """A pattern, in the dialect of Python, as one that Java matches against the whole text."""
     if len(pattern) > 256:
         raise ValueError("a pattern has 256 characters at most")
-    re.compile(pattern)
-    if re.search(r"\([^()]*[+*}][^()]*\)\s*[+*{]", pattern):
-        raise ValueError("a repeated group that repeats inside takes exponential time")
-    return rf"(?dU)\A(?:{re.sub(r'\(\?P<([A-Za-z][A-Za-z0-9]*)>', r'(?<\1>', pattern)})\z"
+    check_pattern(pattern, LONGEST)
+    return rf"(?dU)\A(?:{java_pattern(pattern).removeprefix('(?dU)')})\z"
 
 
 def length_of(value: Column) -> Column:
@@ -131,7 +136,7 @@ def _operate(value: Column, name: str, argument: Any) -> Column:
             out = out | equal(value, wanted)
         return out if name == "in" else ~out
     if name in ORDER:
-        return certain(_ordered(value, name, argument))
+        return certain(ordered(value, name, argument))
     if name == "matches":
         text = text_of(value)
         return certain((F.length(text) <= LONGEST) & text.rlike(full_match(argument)))
@@ -141,7 +146,7 @@ def _operate(value: Column, name: str, argument: Any) -> Column:
     return out
 
 
-def _ordered(value: Column, name: str, argument: Any) -> Column:
+def ordered(value: Column, name: str, argument: Any) -> Column:
     near = ORDER[name](number_of(value), F.lit(float(argument)))
     if not isinstance(argument, int) or abs(argument) >= 10**38:
         return near

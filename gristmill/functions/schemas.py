@@ -1,6 +1,6 @@
 """JSON Schema (draft 2020-12) as Boolean columns over values.
 
-A schema is compiled to one expression; references to ``$defs`` are followed, unless they recur. ``format`` and the
+A schema is compiled to one expression; references to ``$defs`` are followed, unless they recur (see nested_schemas). ``format`` and the
 annotations assert nothing, and a keyword that is not known is refused. Items of arrays are told apart as JSON text, so
 1 and 1.0 inside items that are arrays or objects are two values to ``uniqueItems``.
 """
@@ -13,7 +13,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .conditions import ORDER, certain, equal
+from .conditions import ORDER, certain, equal, java_pattern, ordered
 from .values import fields_of, items_of, kind, lookup_static, member, number_of, text_of
 
 Schema = bool | Mapping[str, Any]
@@ -101,14 +101,14 @@ def _asserted(value: Column, word: str, arg: Any, schema: Mapping[str, Any], fit
         case "enum":
             return total(_same(value, x) for x in arg) > 0
         case "minimum" | "maximum" | "exclusiveMinimum" | "exclusiveMaximum":
-            return _of(value, "number", ORDER[BOUNDS[word]](number_of(value), F.lit(float(arg))))
+            return _of(value, "number", ordered(value, BOUNDS[word], arg))
         case "multipleOf":
             return _of(value, "number", F.rint(number_of(value) / F.lit(float(arg))) * F.lit(float(arg)) == number_of(value))
         case "minLength" | "maxLength" | "minItems" | "maxItems" | "minProperties" | "maxProperties":
             name, order = SIZES[word]
             return _of(value, name, ORDER[order](MEASURE[name](value), F.lit(arg)))
         case "pattern":
-            return _of(value, "string", text_of(value).rlike(arg))
+            return _of(value, "string", text_of(value).rlike(java_pattern(arg)))
         case "required":
             return _of(value, "object", F.size(F.array_except(F.array(*map(F.lit, arg)).cast("array<string>"), F.map_keys(fields_of(value)))) == 0)
         case "prefixItems":
@@ -127,7 +127,7 @@ def _asserted(value: Column, word: str, arg: Any, schema: Mapping[str, Any], fit
             text = F.transform(items_of(value), lambda x: F.coalesce(F.concat(F.lit("n"), number_of(x).cast("string")), F.to_json(x)))
             return _of(value, "array", F.size(text) == F.size(F.array_distinct(text))) if arg else F.lit(True)
         case "patternProperties":
-            one = lambda p, s: F.forall(F.map_entries(fields_of(value)), lambda e: ~e.key.rlike(p) | fits(e.value, s))
+            one = lambda p, s: F.forall(F.map_entries(fields_of(value)), lambda e: ~e.key.rlike(java_pattern(p)) | fits(e.value, s))
             each = [one(p, s) for p, s in arg.items()]
             return _of(value, "object", total(map(certain, each)) == len(each))
         case "additionalProperties":
@@ -135,7 +135,7 @@ def _asserted(value: Column, word: str, arg: Any, schema: Mapping[str, Any], fit
             def known(e: Column) -> Column:
                 named = e.key.isin(*schema.get("properties", {})) if schema.get("properties") else F.lit(False)
                 for p in schema.get("patternProperties", {}):
-                    named = named | e.key.rlike(p)
+                    named = named | e.key.rlike(java_pattern(p))
                 return named | fits(e.value, arg)
 
             return _of(value, "object", F.forall(F.map_entries(fields_of(value)), known))
@@ -156,5 +156,10 @@ def _asserted(value: Column, word: str, arg: Any, schema: Mapping[str, Any], fit
     raise ValueError(f"unknown keyword {word!r}")
 
 
+def asserted(value: Column, word: str, arg: Any, schema: Mapping[str, Any]) -> Column:
+    """What a keyword says of a value by itself; schemas inside it (propertyNames) do not recur."""
+    return _asserted(value, word, arg, schema, lambda v, s: _fits(v, s, s, ("",)))
+
+
 def _same(value: Column, wanted: Any) -> Column:
     return certain(F.is_variant_null(value)) if wanted is None else equal(value, wanted)

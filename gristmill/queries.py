@@ -790,3 +790,6 @@ def replayed(spark, sf_dir):
     gold = d.select(*key, F.concat(F.lit('{"n": '), n, F.lit(', "a": [1, null]}')).alias("input"), F.col("lang").alias("gold"))
     saved = d.select(*key, F.concat(F.lit('{"a":[1,null],"n":'), n, F.lit("}")).alias("input"), F.col("source").alias("result"))
     return replay(gold, saved).select("case_id", "repetition", "gold", "result")
+
+
+from . import more_queries  # noqa: E402, F401 - registers its queries
