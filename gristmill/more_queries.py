@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.values import parse
+from .operators import static_checks as sc
 from .operators.nested_schemas import validate
 from .queries import query, table
 
@@ -53,3 +55,93 @@ def nested_schema(spark, sf_dir):
     verdicts, broken = validate(threads(spark, sf_dir), "conv_id", "value", NESTED, REGISTRY)
     what = F.array_join(F.array_sort(F.collect_set(F.ltrim(F.concat_ws(" ", "place", "keyword")))), ";").alias("broken")
     return verdicts.join(broken.groupBy("conv_id").agg(what), "conv_id", "left").select("conv_id", "valid", F.coalesce("broken", F.lit("")).alias("broken"))
+
+
+# static checks of many workflows
+
+_GRAPH_SQL = """f AS (SELECT *, (rn - 1) // 8 AS part, CAST((rn - 1) % 8 AS BIGINT) AS i FROM (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)),
+ w AS (SELECT o_custkey || '-' || part AS workflow, 'f' || i AS flow, i, k, max(i) OVER (PARTITION BY o_custkey, part) AS last FROM f),
+ edges AS (SELECT workflow, '' AS source, 'f0' AS target FROM w WHERE i = 0
+  UNION ALL SELECT workflow, '', 'f1' FROM w WHERE i = 1 AND k % 4 = 1
+  UNION ALL SELECT workflow, flow, 'f' || (i + 1) FROM w WHERE i < last AND (k % 3 > 0 OR i + 2 > last)
+  UNION ALL SELECT workflow, flow, 'f' || (i + 2) FROM w WHERE i + 2 <= last AND k % 3 < 2
+  UNION ALL SELECT workflow, flow, '/end' FROM w WHERE i = last OR k % 5 = 0)"""
+
+
+def _graphs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Flows (one for each order) and edges of workflows: up to eight orders of a customer."""
+    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    f = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), rn.alias("rn"))
+    f = f.select(F.concat_ws("-", "o_custkey", F.floor(F.col("rn") / 8)).alias("workflow"), F.concat(F.lit("f"), F.col("rn") % 8).alias("flow"), (F.col("rn") % 8).cast("long").alias("i"), "k")
+    f = f.withColumn("last", F.max("i").over(Window.partitionBy("workflow")))
+    i, k, last = F.col("i"), F.col("k"), F.col("last")
+    name = lambda n: F.concat(F.lit("f"), n)
+    ends = lambda source, target, when: F.when(when, F.struct(source.alias("source"), target.alias("target")))
+    each = F.array_compact(
+        F.array(
+            ends(F.lit(sc.START), name(i), (i == 0) | (i == 1) & (k % 4 == 1)), ends(F.col("flow"), name(i + 1), (i < last) & ((k % 3 > 0) | (i + 2 > last))),
+            ends(F.col("flow"), name(i + 2), (i + 2 <= last) & (k % 3 < 2)), ends(F.col("flow"), F.lit(sc.END), (i == last) | (k % 5 == 0)),
+        )
+    )
+    return f, f.select("workflow", F.explode(each).alias("e")).select("workflow", "e.*")
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH_SQL}, live AS (SELECT workflow, target AS flow FROM edges WHERE source = '' UNION SELECT e.workflow, e.target FROM live JOIN edges e ON e.workflow = live.workflow AND e.source = live.flow),
+    around AS (SELECT w.workflow, w.flow AS gone, e.target AS flow FROM w JOIN edges e USING (workflow) WHERE e.source = '' AND e.target <> w.flow
+      UNION SELECT a.workflow, a.gone, e.target FROM around a JOIN edges e ON e.workflow = a.workflow AND e.source = a.flow AND e.target <> a.gone)
+    SELECT l.workflow, l.flow, w.flow AS dominator FROM live l JOIN w USING (workflow) WHERE l.flow <> w.flow AND (w.workflow, w.flow) IN (SELECT workflow, flow FROM live)
+     AND NOT EXISTS (SELECT 1 FROM around a WHERE a.workflow = l.workflow AND a.gone = w.flow AND a.flow = l.flow)"""
+)
+def flow_dominators(spark, sf_dir):
+    """Flows without which another is not reached; in SQL: what is not reached around them."""
+    reached = sc.reachable(_graphs(spark, sf_dir)[1])
+    return sc.dominators(reached).where((F.col("flow") != F.col("dominator")) & (F.col("dominator") != sc.START))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH_SQL}, live AS (SELECT workflow, target AS flow FROM edges WHERE source = '' UNION SELECT e.workflow, e.target FROM live JOIN edges e ON e.workflow = live.workflow AND e.source = live.flow),
+    r AS (SELECT workflow, flow, '/flows/f' || (i * 5 + k) % 9 || '/result' AS pointer, 'f' || (i * 5 + k) % 9 AS needed, k % 6 = 0 AS by_default FROM w UNION ALL SELECT workflow, '/end', '/flows/f' || k % 3 || '/result', 'f' || k % 3, false FROM w WHERE i = 0),
+    lost AS (SELECT DISTINCT r.workflow, r.flow AS reader, r.needed FROM r),
+    around AS (SELECT l.workflow, l.needed AS gone, e.target AS flow FROM (SELECT DISTINCT workflow, needed FROM lost) l JOIN edges e USING (workflow) WHERE e.source = '' AND e.target <> l.needed
+      UNION SELECT a.workflow, a.gone, e.target FROM around a JOIN edges e ON e.workflow = a.workflow AND e.source = a.flow AND e.target <> a.gone),
+    p AS (SELECT r.workflow, r.flow, r.pointer, CASE WHEN (r.workflow, r.needed) NOT IN (SELECT workflow, flow FROM live) THEN 'invalid_flow_reference'
+      WHEN NOT r.by_default AND (r.needed = r.flow OR (r.workflow, r.needed, r.flow) IN (SELECT workflow, gone, flow FROM around)) THEN 'unavailable_flow_reference' END AS problem
+      FROM r WHERE (r.workflow, r.flow) IN (SELECT workflow, flow FROM live))
+    SELECT * FROM p WHERE problem IS NOT NULL"""
+)
+def flow_availability(spark, sf_dir):
+    """Reads of results that may not be there, by flows and by the workflow's output."""
+    flows, edges = _graphs(spark, sf_dir)
+    edges = sc.reachable(edges)
+    target = lambda n: F.concat(F.lit("/flows/f"), n, F.lit("/result")).alias("pointer")
+    reads = flows.select("workflow", "flow", target((F.col("i") * 5 + F.col("k")) % 9), (F.col("k") % 6 == 0).alias("by_default"))
+    outputs = flows.where("i = 0").select("workflow", F.lit(sc.END).alias("flow"), target(F.col("k") % 3), F.lit(False).alias("by_default"))
+    live = edges.select("workflow", F.col("target").alias("flow")).distinct()
+    return sc.availability(edges, reads.unionByName(outputs).join(live, ["workflow", "flow"], "left_semi"))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH_SQL}, items AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+    worst AS (SELECT workflow, flow, (1 + k % 4) * (1 + k % 3 + coalesce(n, 0) * CASE WHEN k % 2 = 0 THEN 2 * (1 + 3 * 4) ELSE greatest(2 * (1 + 3 * 4), 5) END) + (k % 4) * CASE WHEN k % 7 < 3 THEN 5 ELSE 0 END AS worst FROM w LEFT JOIN items USING (k)),
+    path AS (SELECT e.workflow, e.target AS flow, [e.target] AS path, worst.worst AS total, CASE WHEN worst.worst > 1500 THEN e.target END AS crossing FROM edges e JOIN worst ON worst.workflow = e.workflow AND worst.flow = e.target WHERE e.source = ''
+      UNION ALL SELECT p.workflow, e.target, list_append(p.path, e.target), p.total + x.worst, coalesce(p.crossing, CASE WHEN p.total + x.worst > 1500 THEN e.target END)
+      FROM path p JOIN edges e ON e.workflow = p.workflow AND e.source = p.flow JOIN worst x ON x.workflow = e.workflow AND x.flow = e.target)
+    SELECT workflow, total, array_to_string(path, '>') AS path, crossing FROM path QUALIFY row_number() OVER (PARTITION BY workflow ORDER BY total DESC, path) = 1"""
+)
+def flow_budgets(spark, sf_dir):
+    """Worst cases of runs with attempts, retries and collections inside collections; in SQL: all paths."""
+    flows, edges = _graphs(spark, sf_dir)
+    k = F.col("k")
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    f = flows.join(items, "k", "left").fillna(0, ["n"])
+    own = f.select("workflow", "flow", (1 + k % 3).alias("steps"), (1 + k % 4).alias("attempts"))
+    helpers = flows.select("workflow").distinct().select("workflow", F.explode(F.array(*(F.struct(F.lit(n).alias("flow"), F.lit(s).alias("steps"), F.lit(a).alias("attempts")) for n, s, a in (("outer", 1, 2), ("inner", 4, 1), ("again", 5, 1))))).alias("h"))
+    own = own.unionByName(helpers.select("workflow", "h.*"))
+    call = lambda callee, kind, step, times: F.struct(F.lit(callee).alias("callee"), F.lit(kind).alias("kind"), F.lit(step).alias("step"), times.cast("long").alias("times"))
+    one = F.lit(1)
+    each = F.array_compact(F.array(call("outer", "item", "s", F.col("n")), F.when(k % 2 == 1, call("again", "item", "s", F.col("n"))), F.when(k % 7 < 3, call("again", "retry", "r", one))))
+    calls = f.select("workflow", "flow", F.explode(each).alias("c")).select("workflow", "flow", "c.*")
+    calls = calls.unionByName(flows.select("workflow").distinct().select("workflow", F.lit("outer").alias("flow"), call("inner", "item", "s", F.lit(3)).alias("c")).select("workflow", "flow", "c.*"))
+    found = sc.step_budgets(sc.reachable(edges), sc.worst_steps(own, calls), 1500)
+    return found.withColumn("path", F.array_join("path", ">"))
