@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import settled
 from ..functions.conditions import equal, holds
-from ..functions.values import bind, given, kind, lookup, object_of, text_of
+from ..functions.values import bind, given, kind, lookup, object_of, text_of, tokens
 
 Binding = Mapping[str, Any]
 #: What ends a run.
@@ -50,11 +51,19 @@ class Step:
 
 @dataclass(frozen=True)
 class Repeat:
-    """Up to ``max_attempts`` runs of a flow, until a condition over /flows holds; ``next_input`` binds the next input."""
+    """Up to ``max_attempts`` runs of a flow, until a condition over /flows holds; ``next_input`` binds keys of the next input
+    anew, beside those of the flow's own input.
+
+    ``retry``: a flow that runs between two attempts, on ``retry_input``; its record is that of a flow of its name. Its failure
+    ends the run, its review the repeat, and so does ``continue_when`` where it does not hold after it.
+    """
 
     max_attempts: int
     until: Mapping[str, Any]
     next_input: Mapping[str, Binding] = field(default_factory=dict)
+    retry: Flow | None = None
+    retry_input: Mapping[str, Binding] = field(default_factory=dict)
+    continue_when: Mapping[str, Any] | None = None
 
 
 @dataclass(frozen=True)
@@ -125,6 +134,25 @@ class Workflow:
             raise ValueError(f"never reached: {sorted(lost)}")
         return [by_name[n] for n in reversed(done)]
 
+    def unavailable(self) -> list[tuple[str, str]]:
+        """(where, pointer) of bindings without a default that read a flow which does not run before on every path."""
+        order, before = self.order(), {}
+        into: dict[str, list[str]] = {}
+        for source, target in self.edges():
+            into.setdefault(target, []).append(source)
+        for f in order:
+            common = [before[p] if p != "start" else frozenset() for p in into[f.name]]
+            before[f.name] = frozenset.intersection(*common) | {f.name}
+        ends = [before[f.name] for f in order if any(t in OUTCOMES for t in [*targets(f.next), f.on_review])]
+        out = []
+        for f in order:
+            again = f.repeat
+            helper = {again.retry.name} if again and again.retry else frozenset()
+            sides = [(f.input or {}, before[f.name] - {f.name})]
+            sides += [(again.next_input, before[f.name] | helper), (again.retry_input, before[f.name])] if again else []
+            out += [(f.name, p) for bindings, known in sides for b in bindings.values() for p in _lacking(b, known)]
+        return out + [("output", p) for p in _lacking(self.output or {"literal": None}, frozenset.intersection(*ends) if ends else frozenset())]
+
     def edges(self) -> list[tuple[str, str]]:
         return [("start", t) for t in targets(self.start)] + [(f.name, t) for f in self.order() for t in dict.fromkeys([*targets(f.next), f.on_review])]
 
@@ -135,6 +163,8 @@ class Workflow:
         """Runs of envelopes (run_id, payload and metadata as variants): status, payload, error, steps_used, transitions,
         and for each flow a struct of status, result, attempts, stopped_by and its steps."""
         order = self.order()
+        if lacking := self.unavailable():
+            raise ValueError(f"results that are not there on every path, and have no default: {lacking}")
         df = envelopes.select("run_id", "payload", "metadata")
         context = {"/payload": F.col("payload"), "/metadata": F.col("metadata")}
         first, wrong = _target(context, self.start)
@@ -148,7 +178,7 @@ class Workflow:
         lost = ~failed & out.isNull()
         df = df.withColumns({"_out": out, "error": F.when(lost, "missing_binding").otherwise(F.col("error")), "status": F.when(lost, "failed").otherwise(F.col("status"))})
         payload = F.when(F.col("status") == "failed", F.col("payload")).otherwise(F.col("_out")).alias("payload")
-        return df.select("run_id", "status", payload, "metadata", "error", "steps_used", "transitions", *(f.name for f in order))
+        return df.select("run_id", "status", payload, "metadata", "error", "steps_used", "transitions", *(n for f in order for n in _columns(f)))
 
     def _visit(self, df: DataFrame, flow: Flow, context: dict[str, Column]) -> DataFrame:
         here = F.col("status").isNull() & (F.col("current") == flow.name)
@@ -157,21 +187,20 @@ class Workflow:
         lost = F.col("_here") & F.col("_input").isNull()
         df = df.withColumns({"_active": F.col("_here") & ~lost, "_status": F.when(lost, "failed").otherwise("skipped"), "_error": F.when(lost, "missing_binding")})
         df = df.withColumns({"_result": F.lit(None).cast("variant"), "_attempts": F.lit(0), "_stopped": F.lit(None).cast("string"), "_steps": F.lit(None).cast(_steps_type(flow))})
-        for k in range(flow.repeat.max_attempts if flow.repeat else 1):
-            df = self._attempt(df, flow, context)
-            if flow.repeat:
-                df = _decide(df, flow, context, k + 1)
-        record = F.struct(F.col("_status").alias("status"), F.col("_result").alias("result"), F.col("_attempts").alias("attempts"), F.col("_stopped").alias("stopped_by"), F.col("_steps").alias("steps"))
-        df = df.withColumn(flow.name, record)
+        df = self._rounds(df, flow, context) if flow.repeat else self._attempt(df, flow).withColumn("_failure", F.lit(None).cast("string"))
+        record = [F.col(f"_{c}").alias(n) for c, n in (("status", "status"), ("result", "result"), ("error", "error"), ("attempts", "attempts"), ("stopped", "stopped_by"), ("steps", "steps"))]
+        df = df.withColumn(flow.name, F.struct(*record, *([F.col("_history").alias("history")] if flow.repeat else [])))
+        if flow.repeat and flow.repeat.retry:
+            df = df.withColumn(flow.repeat.retry.name, F.struct(*(F.col(f"_q_{c}").alias(c) for c in ("status", "result", "error", "attempts", "steps"))))
         after, wrong = _target(context | _records(flow), flow.next)
         status = F.col(f"{flow.name}.status")
         df = df.withColumns({"_target": F.when(status == "needs_review", flow.on_review).otherwise(after), "_wrong": (status == "completed") & wrong})
-        failed = F.col("_here") & ((status == "failed") | F.col("_wrong"))
+        failed = F.col("_here") & ((status == "failed") | F.col("_wrong") | F.col("_failure").isNotNull())
         moved = F.col("_here") & ~failed
         ends = moved & F.col("_target").isin(*OUTCOMES)
         df = df.withColumns(
             {
-                "error": F.when(failed, F.coalesce("_error", F.lit("invalid_input"))).otherwise(F.col("error")),
+                "error": F.when(failed, F.coalesce("_failure", "_error", F.lit("invalid_input"))).otherwise(F.col("error")),
                 "status": F.when(failed, "failed").when(ends, F.col("_target")).otherwise(F.col("status")),
                 "current": F.when(moved, F.col("_target")).otherwise(F.col("current")),
                 "transitions": F.when(moved, F.concat("transitions", F.array(F.struct(F.lit(flow.name).alias("source"), F.col("_target").alias("target"))))).otherwise(F.col("transitions")),
@@ -179,7 +208,60 @@ class Workflow:
         )
         return df.drop(*(c for c in df.columns if c.startswith("_")))
 
-    def _attempt(self, df: DataFrame, flow: Flow, context: dict[str, Column]) -> DataFrame:
+    def _rounds(self, df: DataFrame, flow: Flow, context: dict[str, Column]) -> DataFrame:
+        """Attempts of a repeated flow: each round works on the rows that go on, which are written down; the others are set aside."""
+        none = F.lit(None).cast("string")
+        fresh = {"_history": F.array().cast(HISTORY), "_failure": none}
+        if flow.repeat.retry:
+            fresh |= {"_q_status": none, "_q_result": none.cast("variant"), "_q_error": none, "_q_attempts": F.lit(0), "_q_steps": F.lit(None).cast(_steps_type(flow.repeat.retry))}
+        df = settled(df.withColumns(fresh))
+        parts, front = [df.where("NOT _active")], df.where("_active")
+        for k in range(flow.repeat.max_attempts):
+            front = self._attempt(front, flow)
+            front = front.withColumn("_history", F.concat("_history", F.array(_entry("attempt", k + 1, "_status", "_result", "_error"))))
+            front = settled(self._decide(front, flow, context, k + 1))
+            parts.append(front.where("NOT _active"))
+            front = front.where("_active")
+            if front.isEmpty():
+                break
+        return settled(reduce(DataFrame.unionByName, parts))
+
+    def _decide(self, df: DataFrame, flow: Flow, context: dict[str, Column], attempt: int) -> DataFrame:
+        """Whether rows go on to another attempt, with which input. First a failure stops, then a review, until, the last
+        attempt; then the retry flow runs, and may stop the repeat itself."""
+        again = flow.repeat
+        seen = context | _seen(flow.name, "_", "attempt")
+        stop = F.when(F.col("_status") == "failed", "failure").when(F.col("_status") == "needs_review", "review").when(holds(seen, again.until), "until").when(F.lit(attempt >= again.max_attempts), "exhausted")
+        df = df.withColumns({"_stopped": stop, "_failure": F.lit(None).cast("string")})
+        if again.retry:
+            df = self._retry(df, again, seen, attempt)
+            seen = seen | _seen(again.retry.name, "_q_", "retry")
+            if again.continue_when is not None:
+                df = df.withColumn("_stopped", F.coalesce("_stopped", F.when(~holds(seen, again.continue_when), "continue_when")))
+        bindings = {**(flow.input or {}), **again.next_input}
+        df = df.withColumn("_next", _object(seen, bindings) if bindings else F.col("_input"))
+        lost = F.col("_stopped").isNull() & F.col("_next").isNull()
+        df = df.withColumns({"_stopped": F.when(lost, "failure").otherwise(F.col("_stopped")), "_failure": F.when(lost, "missing_binding").otherwise(F.col("_failure")), "_input": F.coalesce("_next", "_input")})
+        return df.withColumn("_active", F.col("_stopped").isNull()).drop("_next")
+
+    def _retry(self, df: DataFrame, again: Repeat, seen: Mapping[str, Column], attempt: int) -> DataFrame:
+        """Runs the retry flow on rows that have not stopped."""
+        own = ("active", "input", "status", "result", "error", "attempts", "steps")
+        none = F.lit(None).cast("string")
+        df = df.withColumn("_go", F.col("_stopped").isNull()).withColumn("_asked", F.when(F.col("_go"), _object(seen, again.retry_input) if again.retry_input else F.col("payload")))
+        df = df.withColumnsRenamed({"_go": "_m_go", **{f"_{c}": f"_m_{c}" for c in own}})
+        lost = F.col("_m_go") & F.col("_asked").isNull()
+        start = {"_active": F.col("_m_go") & ~lost, "_input": F.col("_asked"), "_status": F.when(lost, "failed"), "_result": none.cast("variant"), "_error": F.when(lost, "missing_binding"), "_attempts": F.col("_q_attempts"), "_steps": F.col("_q_steps")}
+        df = self._attempt(df.withColumns(start), again.retry)
+        ran = F.col("_m_go")
+        df = df.withColumns({f"_q_{c}": F.when(ran, F.col(f"_{c}")).otherwise(F.col(f"_q_{c}")) for c in ("status", "result", "error", "attempts", "steps")})
+        df = df.withColumn("_history", F.when(ran, F.concat("_history", F.array(_entry("retry", attempt, "_status", "_result", "_error")))).otherwise(F.col("_history")))
+        df = df.drop(*(f"_{c}" for c in own), "_asked").withColumnsRenamed({f"_m_{c}": f"_{c}" for c in own})
+        failed, review = F.col("_m_go") & (F.col("_q_status") == "failed"), F.col("_m_go") & (F.col("_q_status") == "needs_review")
+        stop = F.when(failed, "failure").when(review, "review")
+        return df.withColumns({"_stopped": F.coalesce("_stopped", stop), "_failure": F.when(failed, F.col("_q_error")), "_status": F.when(review, "needs_review").otherwise(F.col("_status"))}).drop("_m_go")
+
+    def _attempt(self, df: DataFrame, flow: Flow) -> DataFrame:
         """Runs the flow's steps on active rows, one after the other, and keeps the record of the attempt."""
         inner = {"/payload": F.col("_input"), "/metadata": F.col("metadata")}
         df = df.withColumns({"_go": F.col("_active"), "_end": F.when(F.col("_active"), "completed"), "_why": F.lit(None).cast("string")})
@@ -194,7 +276,7 @@ class Workflow:
             bad = F.when(over, "step_limit").when(lost, "missing_binding")
             if step.provider is not None:
                 df = df if df.isStreaming else settled(df)  # else rows and questions would each be computed anew from the source, at every such step
-                asked = df.where(F.col("_do") & ~over & ~lost).select("run_id", *(F.to_json(F.col(f"_i_{k}")).alias(k) for k in step.inputs))
+                asked = df.where(F.col("_do") & ~over & ~lost).select("run_id", *(F.to_json(F.col(f"_i_{k}")).alias(k) for k in step.inputs)).distinct()  # rows with one run_id are one question
                 got = step.provider(asked).select("run_id", F.col("result").alias("_given"), F.col("status").alias("_said"))
                 df = df.join(got, "run_id", "left").withColumn("_value", F.try_parse_json("_given"))
                 out = Outcome(F.col("_value"), F.coalesce("_said", F.lit("failed")), F.when(F.coalesce("_said", F.lit("failed")) == "failed", "dependency_failure"))
@@ -214,7 +296,7 @@ class Workflow:
                     "_why": F.coalesce("_why", "_e"),
                 }
             ).drop("_do", "_e", "_given", "_said", "_value", *(f"_i_{k}" for k in step.inputs))
-            inner |= {f"/steps/{step.name}/status": _text(F.col(s)), f"/steps/{step.name}/result": F.col(r)}
+            inner |= {f"/steps/{step.name}/status": _text(F.col(s)), f"/steps/{step.name}/result": F.col(r), f"/steps/{step.name}/error": _error(F.when(F.col(s) == "failed", F.col("_why")))}
         result = bind(inner, flow.output) if flow.output is not None else F.col("_input")
         df = df.withColumn("_new", F.when(F.col("_end") != "failed", result))
         lost = F.col("_active") & (F.col("_end") == "completed") & F.col("_new").isNull()
@@ -225,18 +307,53 @@ class Workflow:
         return df.drop("_go", "_end", "_why", "_new", *(f"_{c}_{x.name}" for x in flow.steps for c in "sr"))
 
 
-def _decide(df: DataFrame, flow: Flow, context: dict[str, Column], attempt: int) -> DataFrame:
-    """Whether active rows go on to another attempt: a failure stops first, then a review, the condition, the last attempt."""
-    seen = context | {f"/flows/{flow.name}/status": _text(F.col("_status")), f"/flows/{flow.name}/result": F.col("_result")}
-    stop = F.when(F.col("_status") == "failed", "failure").when(F.col("_status") == "needs_review", "review").when(holds(seen, flow.repeat.until), "until").when(F.lit(attempt >= flow.repeat.max_attempts), "exhausted")
-    df = df.withColumn("_stopped", F.when(F.col("_active"), stop).otherwise(F.col("_stopped")))
-    df = df.withColumn("_active", F.col("_active") & F.col("_stopped").isNull())
-    if flow.repeat.next_input:
-        df = df.withColumn("_next", _object(seen, flow.repeat.next_input))
-        lost = F.col("_active") & F.col("_next").isNull()
-        df = df.withColumns({"_input": F.when(F.col("_active"), F.col("_next")).otherwise(F.col("_input")), "_stopped": F.when(lost, "failure").otherwise(F.col("_stopped")), "_error": F.when(lost, "missing_binding").otherwise(F.col("_error")), "_status": F.when(lost, "failed").otherwise(F.col("_status"))})
-        df = df.withColumn("_active", F.col("_active") & F.col("_stopped").isNull()).drop("_next")
-    return df
+#: Attempts of a repeated flow and runs of its retry flow, in order.
+HISTORY = "array<struct<role: string, attempt: int, status: string, result: variant, error: string>>"
+
+
+def _entry(role: str, attempt: int, status: str, result: str, error: str) -> Column:
+    return F.struct(F.lit(role).alias("role"), F.lit(attempt).alias("attempt"), F.col(status).alias("status"), F.col(result).alias("result"), F.col(error).alias("error"))
+
+
+def _attempts(history: Column, role: str) -> Column:
+    """The value of /flows/<name>/attempts."""
+
+    def one(x: Column) -> Column:
+        code = lambda: F.struct(x.error.alias("code")).alias("error")
+        head = (x.attempt.alias("attempt"), x.status.alias("status"))
+        good = F.to_variant_object(F.struct(*head, x.result.alias("result")))
+        return F.when(x.result.isNotNull(), good).when(x.error.isNotNull(), F.to_variant_object(F.struct(*head, code()))).otherwise(F.to_variant_object(F.struct(*head)))
+
+    return F.to_variant_object(F.transform(F.filter(history, lambda x: x.role == role), one))
+
+
+def _error(code: Column) -> Column:
+    return F.when(code.isNotNull(), F.to_variant_object(F.struct(code.alias("code"))))
+
+
+def _seen(name: str, prefix: str, role: str) -> dict[str, Column]:
+    """What conditions and bindings see of a flow while it repeats."""
+    root, at = f"/flows/{name}", lambda c: F.col(f"{prefix}{c}")
+    return {f"{root}/status": _text(at("status")), f"{root}/result": at("result"), f"{root}/error": _error(at("error")), f"{root}/attempts": _attempts(F.col("_history"), role)}
+
+
+def _lacking(binding: Binding, known: frozenset[str] | set[str]) -> list[str]:
+    """Pointers that a binding cannot do without, to records of flows that are not known to have run."""
+    if "default" in binding:
+        return []
+    if "fields" in binding:
+        return [p for b in binding["fields"].values() for p in _lacking(b, known)]
+    wanted = [binding["pointer"]] if "pointer" in binding else binding.get("first_of", [])
+
+    def there(pointer: str) -> bool:
+        parts = tokens(pointer)
+        return len(parts) < 3 or parts[0] != "flows" or parts[1] in known or parts[2] == "status"
+
+    return [] if any(map(there, wanted)) else list(wanted)
+
+
+def _columns(flow: Flow) -> list[str]:
+    return [flow.name, *([flow.repeat.retry.name] if flow.repeat and flow.repeat.retry else [])]
 
 
 def _text(column: Column) -> Column:
@@ -252,7 +369,13 @@ def _object(context: Mapping[str, Column], bindings: Mapping[str, Binding]) -> C
 
 
 def _records(flow: Flow) -> dict[str, Column]:
-    return {f"/flows/{flow.name}/status": _text(F.col(f"{flow.name}.status")), f"/flows/{flow.name}/result": F.col(f"{flow.name}.result")}
+    """What later flows and the output see of a flow, and of its retry flow."""
+    out = {}
+    for name in _columns(flow):
+        out |= {f"/flows/{name}/status": _text(F.col(f"{name}.status")), f"/flows/{name}/result": F.col(f"{name}.result"), f"/flows/{name}/error": _error(F.col(f"{name}.error"))}
+        if flow.repeat:
+            out[f"/flows/{name}/attempts"] = _attempts(F.col(f"{flow.name}.history"), "attempt" if name == flow.name else "retry")
+    return out
 
 
 def _steps_type(flow: Flow) -> str:
