@@ -88,20 +88,24 @@ def lookup_static(document: Any, pointer: str) -> Any:
     return document
 
 
-def path_of(pointer: Column, indexes: bool) -> Column:
-    """A JSON pointer in a column as a path of variants; tokens that are indexes name items if so wanted, else members."""
-    names = F.transform(F.slice(F.split(pointer, "/"), 2, 64), lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+def tokens_of(pointer: Column) -> Column:
+    """Unescaped tokens of a JSON pointer in a column."""
+    return F.transform(F.slice(F.split(pointer, "/"), 2, 64), lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+
+def member_each(value: Column, token: Column) -> Column:
+    """As member, with a token in a column."""
+    quoted = F.when(~token.contains('"'), F.concat(F.lit('$["'), token, F.lit('"]'))).when(~token.contains("'"), F.concat(F.lit("$['"), token, F.lit("']")))
+    index = F.when(token.rlike(r"\A(0|[1-9][0-9]{0,8})\z"), F.concat(F.lit("$["), token, F.lit("]")))
+    found = F.try_variant_get(value, F.coalesce(quoted, F.lit("$")), "variant")
     # a name with both quotes fits no path
-    quoted = lambda t: F.when(~t.contains('"'), F.concat(F.lit('["'), t, F.lit('"]'))).when(~t.contains("'"), F.concat(F.lit("['"), t, F.lit("']")))
-    step = (lambda t: F.when(t.rlike(r"\A(0|[1-9][0-9]{0,8})\z"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(quoted(t))) if indexes else quoted
-    steps = F.transform(names, step)
-    return F.when(~F.exists(steps, lambda t: t.isNull()), F.concat(F.lit("$"), F.array_join(steps, "")))
+    found = F.when(quoted.isNotNull(), found).otherwise(F.try_element_at(fields_of(value), token))
+    return F.coalesce(found, F.when(index.isNotNull(), F.try_variant_get(value, F.coalesce(index, F.lit("$")), "variant")))
 
 
 def lookup_each(value: Column, pointer: Column) -> Column:
-    """What each row's own pointer finds in its value. Tokens that are indexes all name items, or all members."""
-    found = [F.try_variant_get(value, path_of(pointer, indexes), "variant") for indexes in (False, True)]
-    return F.coalesce(*found)
+    """What each row's own pointer finds in its value, token by token."""
+    return F.aggregate(tokens_of(pointer), value, member_each)
 
 
 def lookup(context: Context, pointer: str) -> Column:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.values import parse
+from .functions.values import items_of, member, number_of, parse, text_of
+from .operators import records as rc
 from .operators import static_checks as sc
 from .operators.nested_schemas import validate
+from .plans.collections import collect
+from .plans.workflow import Flow, Outcome, Repeat, Step, Workflow
 from .queries import query, table
 
 # schemas of any depth
@@ -145,3 +148,102 @@ def flow_budgets(spark, sf_dir):
     calls = calls.unionByName(flows.select("workflow").distinct().select("workflow", F.lit("outer").alias("flow"), call("inner", "item", "s", F.lit(3)).alias("c")).select("workflow", "flow", "c.*"))
     found = sc.step_budgets(sc.reachable(edges), sc.worst_steps(own, calls), 1500)
     return found.withColumn("path", F.array_join("path", ">"))
+
+
+# records inside records
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations)
+    SELECT conv_id, turn, '/flows/f/steps/each/result/items/' || turn || '/steps/s/partial_result/items/' || turn % 3 || '/result/x' AS path,
+    '/flows/f/steps/each/result/items/' || turn || CASE WHEN role = 'user' THEN '/steps/s' || CASE WHEN turn % 3 < 2 THEN '/partial_result/items/' || turn % 3 ELSE '' END ELSE '' END AS owner_path,
+    CASE WHEN role <> 'user' THEN 'completed' WHEN turn % 3 < 2 THEN CASE WHEN n > 150 THEN 'failed' ELSE 'skipped' END ELSE 'failed' END AS owner_status FROM c"""
+)
+def nested_owners(spark, sf_dir):
+    """Checks inside collections inside collections find the record that they are about, or the last that is there."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", F.length("text").alias("n"))
+    inner = F.concat(F.lit('{"flow":"h","status":"'), F.when(F.col("n") > 150, "failed").otherwise("skipped"), F.lit('","result":{"x":1}}'))
+    steps = F.when(F.col("role") == "user", F.concat(F.lit(',"steps":{"s":{"status":"failed","kind":"flow_collection","partial_result":{"items":['), inner, F.lit(","), inner, F.lit("]}}}"))).otherwise("")
+    item = F.concat(F.lit('{"flow":"g","status":"completed"'), steps, F.lit("}"))
+    docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("item")))), lambda x: x.item), ",").alias("items"))
+    text = F.concat(F.lit('{"flows":{"f":{"status":"completed","steps":{"each":{"status":"completed","kind":"flow_collection","result":{"items":['), "items", F.lit("]}}}}}}"))
+    path = F.concat(F.lit("/flows/f/steps/each/result/items/"), "turn", F.lit("/steps/s/partial_result/items/"), F.col("turn") % 3, F.lit("/result/x"))
+    return rc.owners_in(c.select("conv_id", F.col("turn").cast("long").alias("turn"), path.alias("path")), docs.select("conv_id", parse(text).alias("document")), "conv_id")
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+    l AS (SELECT o.o_custkey, o.i, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS j, l_suppkey AS t FROM o JOIN lineitem ON l_orderkey = o_orderkey),
+    r AS (SELECT c_custkey AS run_id, NULL AS i, NULL AS j, c_nationkey AS t FROM customer UNION ALL SELECT o_custkey, i, NULL, CASE WHEN o_orderkey % 50 > 0 THEN o_orderkey % 97 END FROM o UNION ALL SELECT o_custkey, i, j, t FROM l),
+    p AS (SELECT run_id, '' AS path, t FROM r UNION ALL SELECT run_id, '' || i, t FROM r WHERE i IS NOT NULL UNION ALL SELECT run_id, i || '/' || j, t FROM r WHERE j IS NOT NULL)
+    SELECT run_id, path, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens_known, count(*) FILTER (t IS NULL) AS tokens_unknown, CASE WHEN count(*) = count(t) THEN CAST(sum(t) AS BIGINT) END AS tokens_total FROM p GROUP BY ALL"""
+)
+def nested_usage(spark, sf_dir):
+    """Tokens of runs, of their items and of the items of these, each with all that lies inside."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("i"))
+    lines = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    records = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.array().cast("array<int>").alias("path"), F.col("c_nationkey").cast("long").alias("t"))
+    records = records.unionByName(o.select(F.col("o_custkey").alias("run_id"), F.array("i").alias("path"), F.when(F.col("o_orderkey") % 50 > 0, F.col("o_orderkey") % 97).cast("long").alias("t")))
+    records = records.unionByName(lines.select(F.col("o_custkey").alias("run_id"), F.array("i", j).alias("path"), F.col("l_suppkey").cast("long").alias("t")))
+    return rc.roll_up(records, "run_id", "path", {"tokens": "t"}).withColumn("path", F.array_join("path", "/"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations),
+    t AS (SELECT conv_id, turn, role, n, CASE WHEN n % 5 = 0 THEN 'needs_review' WHEN n > 1200 THEN 'failed' ELSE 'completed' END AS inner_status FROM c),
+    u AS (SELECT *, CASE WHEN role = 'system' THEN CASE WHEN n > 150 THEN 'failed' ELSE 'completed' END ELSE inner_status END AS status FROM t),
+    f AS (SELECT *, min(CASE WHEN status = 'failed' THEN turn END) OVER (PARTITION BY conv_id) AS bad FROM u)
+    SELECT conv_id AS run_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'needs_review') THEN 'needs_review' ELSE 'completed' END AS status,
+    string_agg(CASE WHEN turn > bad THEN 'skipped' ELSE status END, ',' ORDER BY turn) AS items, CASE WHEN bool_or(status = 'failed') THEN 'item_failed' END AS error FROM f GROUP BY conv_id"""
+)
+def nested_collections(spark, sf_dir):
+    """Turns as items of a collection, each of which (but those of the system) is a collection of one item itself."""
+    size = lambda name, most, review: Step(name, lambda i: Outcome(i["n"], F.when(review(number_of(i["n"])), "needs_review").otherwise("completed"), F.when(~review(number_of(i["n"])) & (number_of(i["n"]) > most), "invalid_output")), {"n": {"pointer": "/payload/n"}})
+    leaf = Flow("leaf", [size("size", 1200, lambda n: n % 5 == 0)])
+    inside = Flow("talk", [collect("inner", {"pointer": "/payload/parts"}, [leaf])])
+    plain = Flow("plain", [size("size", 150, lambda n: F.lit(False))])
+    batch = Flow("batch", [collect("each", {"pointer": "/payload/items"}, [inside, plain])], output={"pointer": "/steps/each/result"})
+    n = F.struct(F.length("text").alias("n"))
+    part = F.to_variant_object(F.struct(F.array(F.struct(F.lit("p").alias("id"), F.lit("leaf").alias("flow"), n.alias("input"))).alias("parts")))
+    item = F.struct(F.concat(F.lit("t"), "turn").alias("id"), F.when(F.col("role") == "system", "plain").otherwise("talk").alias("flow"), F.when(F.col("role") == "system", F.to_variant_object(n)).otherwise(part).alias("input"))
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.sort_array(F.collect_list(F.struct("turn", F.to_json(item).alias("item")))).alias("all"))
+    payload = parse(F.concat(F.lit('{"items":['), F.array_join(F.transform("all", lambda x: x.item), ","), F.lit("]}")))
+    runs = Workflow([batch], "batch").run(c.select("run_id", payload.alias("payload"), F.lit(None).cast("variant").alias("metadata")))
+    each = F.coalesce(F.col("batch.steps.each.result"), F.col("batch.steps.each.partial_result"))
+    statuses = F.array_join(F.transform(items_of(member(each, "items")), lambda x: text_of(member(x, "status"))), ",")
+    return runs.select("run_id", "status", statuses.alias("items"), "error")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, coalesce(value, user_id) AS v, user_id % 7 AS step, event_type FROM events),
+    r AS (SELECT event_id, v, step, event_type, 1 AS n, v AS seen, CASE WHEN v < 0 THEN 'failure' WHEN v >= 150 THEN 'until' END AS stopped, false AS retried FROM e
+     UNION ALL SELECT event_id, v, step, event_type, n + 1, seen, CASE WHEN seen >= 150 THEN 'until' WHEN n + 1 >= 6 THEN 'exhausted' END, true FROM (
+       SELECT event_id, v, step, event_type, n, seen + step * n AS seen, retried,
+        CASE WHEN stopped IS NOT NULL THEN 'x' END AS x FROM r WHERE stopped IS NULL) q WHERE x IS NULL AND NOT (event_type = 'error' AND n = 3) AND NOT (step = 0) AND NOT (step = 6 AND n = 2)),
+    last AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC) AS k FROM r)
+    SELECT event_id AS run_id, CAST(n AS INTEGER) AS attempts, seen AS result, coalesce(stopped, CASE WHEN n >= 6 THEN 'exhausted' WHEN event_type = 'error' AND n = 3 THEN 'failure' WHEN step = 6 AND n = 2 THEN 'review' WHEN step = 0 THEN 'continue_when' END) AS stopped_by,
+     CASE WHEN stopped IS NULL AND event_type = 'error' AND n = 3 THEN 'failed' WHEN stopped IS NULL AND step = 6 AND n = 2 THEN 'needs_review' ELSE 'completed' END AS status,
+     CASE WHEN stopped IS NULL AND event_type = 'error' AND n = 3 THEN 'dependency_failure' END AS error,
+     CAST(n - 1 + (stopped IS NULL)::INTEGER AS INTEGER) AS retries FROM last WHERE k = 1"""
+)
+def repeat_retry(spark, sf_dir):
+    """Attempts with a retry flow between them, which can fail, ask for review, or leave nothing to continue with."""
+    as_value = lambda c: F.try_variant_get(F.to_variant_object(F.struct(c.alias("x"))), "$.x", "variant")
+    n = lambda i, k: number_of(i[k])
+    show = Step("show", lambda i: i["v"], {"v": {"pointer": "/payload/v"}})
+    more = Step(
+        "more", lambda i: Outcome(as_value(n(i, "step") * n(i, "attempt")), F.when((n(i, "step") == 6) & (n(i, "attempt") == 2), "needs_review").otherwise("completed"), F.when((text_of(i["type"]) == "error") & (n(i, "attempt") == 3), "dependency_failure")),
+        {"step": {"pointer": "/payload/step"}, "attempt": {"pointer": "/payload/attempt"}, "type": {"pointer": "/payload/type"}},
+    )
+    add = Step("add", lambda i: as_value(n(i, "a") + n(i, "b")), {"a": {"pointer": "/payload/seen"}, "b": {"pointer": "/steps/more/result"}})
+    retry = Flow("again", [more, add], output={"fields": {"sum": {"pointer": "/steps/add/result"}, "step": {"pointer": "/payload/step"}, "n": {"pointer": "/payload/attempt"}}})
+    last = [f"/flows/grow/attempts/{k}/attempt" for k in range(5, -1, -1)]
+    rounds = Repeat(
+        6, {"pointer": "/flows/grow/result", "gte": 150}, {"v": {"pointer": "/flows/again/result/sum"}}, retry,
+        {"seen": {"pointer": "/flows/grow/result"}, "step": {"pointer": "/payload/step"}, "type": {"pointer": "/payload/type"}, "attempt": {"first_of": last}}, {"pointer": "/flows/again/result/step", "gt": 0},
+    )
+    grow = Flow("grow", [show], input={"v": {"pointer": "/payload/v"}}, output={"pointer": "/steps/show/result"}, repeat=rounds)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.to_variant_object(F.struct(F.coalesce("value", "user_id").alias("v"), (F.col("user_id") % 7).alias("step"), F.col("event_type").alias("type"))).alias("payload"), F.lit(None).cast("variant").alias("metadata"))
+    runs = Workflow([grow], "grow").run(e)
+    return runs.select("run_id", F.col("grow.attempts").alias("attempts"), number_of(F.col("grow.result")).alias("result"), F.col("grow.stopped_by").alias("stopped_by"), "status", "error", F.size(F.filter("grow.history", lambda x: x.role == "retry")).alias("retries"))

@@ -38,8 +38,8 @@ class Step:
     """One step of a flow: ``run`` maps input columns to a value or an Outcome, inside the same program.
 
     ``provider`` is for what columns cannot express, such as calls to services: it gets the rows that need it, filtered
-    (run_id and a column for each input), and returns run_id, result (JSON text) and status, which are joined back.
-    Providers may be called again for the same row, so they only read.
+    (run_id and a column for each input), and returns run_id, result (JSON text), status and, if it likes, error (a code of
+    failure), which are joined back. What a failed row returns is its partial result. Providers may be called again for the same row, so they only read.
     """
 
     name: str
@@ -277,9 +277,11 @@ class Workflow:
             if step.provider is not None:
                 df = df if df.isStreaming else settled(df)  # else rows and questions would each be computed anew from the source, at every such step
                 asked = df.where(F.col("_do") & ~over & ~lost).select("run_id", *(F.to_json(F.col(f"_i_{k}")).alias(k) for k in step.inputs)).distinct()  # rows with one run_id are one question
-                got = step.provider(asked).select("run_id", F.col("result").alias("_given"), F.col("status").alias("_said"))
+                got = step.provider(asked)
+                code = F.col("error") if "error" in got.columns else F.lit(None).cast("string")
+                got = got.select("run_id", F.col("result").alias("_given"), F.col("status").alias("_said"), code.alias("_code"))
                 df = df.join(got, "run_id", "left").withColumn("_value", F.try_parse_json("_given"))
-                out = Outcome(F.col("_value"), F.coalesce("_said", F.lit("failed")), F.when(F.coalesce("_said", F.lit("failed")) == "failed", "dependency_failure"))
+                out = Outcome(F.col("_value"), F.coalesce("_said", F.lit("failed")), F.when(F.coalesce("_said", F.lit("failed")) == "failed", F.coalesce("_code", F.lit("dependency_failure"))))
             else:
                 out = step.run({k: F.col(f"_i_{k}") for k in step.inputs})
                 out = out if isinstance(out, Outcome) else Outcome(out)
@@ -287,7 +289,7 @@ class Workflow:
             df = df.withColumn("_e", F.when(F.col("_do"), error))
             status = F.when(~F.col("_do"), "skipped").when(F.col("_e").isNotNull(), "failed").otherwise(out.status if out.status is not None else F.lit("completed"))
             df = df.withColumn(s, status)
-            df = df.withColumn(r, F.when(F.col(s).isin(*OUTCOMES), out.result))
+            df = df.withColumns({r: F.when(F.col(s).isin(*OUTCOMES), out.result), f"_p_{step.name}": F.when(F.col(s) == "failed", out.result)})
             df = df.withColumns(
                 {
                     "steps_used": F.col("steps_used") + (F.col("_do") & ~over).cast("int"),
@@ -295,16 +297,16 @@ class Workflow:
                     "_go": F.col("_go") & (~F.col("_do") | (F.col(s) == "completed")),
                     "_why": F.coalesce("_why", "_e"),
                 }
-            ).drop("_do", "_e", "_given", "_said", "_value", *(f"_i_{k}" for k in step.inputs))
-            inner |= {f"/steps/{step.name}/status": _text(F.col(s)), f"/steps/{step.name}/result": F.col(r), f"/steps/{step.name}/error": _error(F.when(F.col(s) == "failed", F.col("_why")))}
+            ).drop("_do", "_e", "_given", "_said", "_code", "_value", *(f"_i_{k}" for k in step.inputs))
+            inner |= {f"/steps/{step.name}/status": _text(F.col(s)), f"/steps/{step.name}/result": F.col(r), f"/steps/{step.name}/error": _error(F.when(F.col(s) == "failed", F.col("_why"))), f"/steps/{step.name}/partial_result": F.col(f"_p_{step.name}")}
         result = bind(inner, flow.output) if flow.output is not None else F.col("_input")
         df = df.withColumn("_new", F.when(F.col("_end") != "failed", result))
         lost = F.col("_active") & (F.col("_end") == "completed") & F.col("_new").isNull()
         df = df.withColumns({"_why": F.when(lost, "missing_binding").otherwise(F.col("_why")), "_end": F.when(lost, "failed").otherwise(F.col("_end"))})
         keep = lambda new, old: F.when(F.col("_active"), F.col(new)).otherwise(F.col(old))
-        steps = F.struct(*(F.struct(F.col(f"_s_{x.name}").alias("status"), F.col(f"_r_{x.name}").alias("result")).alias(x.name) for x in flow.steps))
+        steps = F.struct(*(F.struct(F.col(f"_s_{x.name}").alias("status"), F.col(f"_r_{x.name}").alias("result"), F.col(f"_p_{x.name}").alias("partial_result")).alias(x.name) for x in flow.steps))
         df = df.withColumns({"_status": keep("_end", "_status"), "_result": keep("_new", "_result"), "_error": keep("_why", "_error"), "_attempts": F.col("_attempts") + F.col("_active").cast("int"), "_steps": F.when(F.col("_active"), steps).otherwise(F.col("_steps"))})
-        return df.drop("_go", "_end", "_why", "_new", *(f"_{c}_{x.name}" for x in flow.steps for c in "sr"))
+        return df.drop("_go", "_end", "_why", "_new", *(f"_{c}_{x.name}" for x in flow.steps for c in "srp"))
 
 
 #: Attempts of a repeated flow and runs of its retry flow, in order.
@@ -379,7 +381,7 @@ def _records(flow: Flow) -> dict[str, Column]:
 
 
 def _steps_type(flow: Flow) -> str:
-    return f"struct<{', '.join(f'`{s.name}`: struct<status: string, result: variant>' for s in flow.steps)}>"
+    return f"struct<{', '.join(f'`{s.name}`: struct<status: string, result: variant, partial_result: variant>' for s in flow.steps)}>"
 
 
 def _target(context: Mapping[str, Column], rule: str | Sequence | Cases) -> tuple[Column, Column]:

@@ -50,7 +50,7 @@ def test_absent_and_refused(spark):
 
 
 def test_lookup_each(spark):
-    doc = json.dumps({"a": [{"b/c": 1}, 2], "0": {"x y": "z"}, "": 3})
-    want = {"/a/0/b~1c": "1", "/a/1": "2", "/0/x y": '"z"', "/none": None, "/a/9": None, "/": "3", "": doc.replace(", ", ",").replace(": ", ":")}
+    doc = json.dumps({"a": [{"b/c": 1}, 2], "0": {"x y": "z", "1": [[5]]}, "": 3, "\"'": {"q": [7]}})
+    want = {"/a/0/b~1c": "1", "/a/1": "2", "/0/x y": '"z"', "/none": None, "/a/9": None, "/0/1/0/0": "5", "/a/00": None, "/\"'/q/0": "7", "/": "3", "": doc.replace(", ", ",").replace(": ", ":")}
     rows = spark.createDataFrame([(p,) for p in want], "p string").select("p", F.to_json(lookup_each(parse(F.lit(doc)), F.col("p"))).alias("found")).collect()
     assert {r.p: r.found if r.p else json.loads(r.found) for r in rows} == {p: w if p else json.loads(w) for p, w in want.items()}
