@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+import random
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .. import settled
 from .checks import OUTCOME_RANK, STATUS_RANK, ratio
 
 RESAMPLES, LEVEL, SEED = 2000, 0.95, 0
@@ -28,9 +35,13 @@ def unmatched(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 def compare_cases(baseline: DataFrame, candidate: DataFrame, statuses: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """change of each attempt (case_id, repetition): improved, regressed, mixed or unchanged, and its counts of checks.
 
-    Checks pair by (case_id, repetition, check_ordinal); a change of the run's status counts like that of a check.
+    Checks pair by (case_id, repetition, check_ordinal); a change of the run's status counts like that of a check. Sides that
+    do not fit, in their checks or their runs, are an error.
     """
     key = ["case_id", "repetition", "check_ordinal"]
+    for before, after, own in [(baseline, candidate, key), *([(*statuses, key[:2])] if statuses else [])]:
+        if not unmatched(before, after, own).isEmpty():
+            raise ValueError(f"the sides have other {own} than each other, or have some twice")
     sides = [df.select(*key, _rank("outcome", OUTCOME_RANK).alias(side), F.col("outcome").alias(f"{side}_outcome")) for df, side in ((baseline, "before"), (candidate, "after"))]
     pairs = sides[0].join(sides[1], key).withColumn("step", F.col("after") - F.col("before"))
     passed = lambda side: F.count_if(F.col(f"{side}_outcome") == "passed").alias(f"{side}_passed")
@@ -80,43 +91,100 @@ def case_samples(checks: DataFrame, side: str = "") -> DataFrame:
     return checks.groupBy("case_id").agg(F.count_if(F.col("outcome") == "passed").alias(f"{side}num"), F.count(F.lit(1)).alias(f"{side}den"))
 
 
-def _drawn(samples: DataFrame, columns: list[str], resamples: int, seed: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Cases, kinds of samples, and how often each kind is drawn in each resample.
+#: Cases whose samples one task keeps at a time, and picks that are handed out together.
+PICKS = 1 << 18
+
+
+def _streams(cases: int, resamples: int, seed: int, parts: int) -> list[tuple[int, int, bytes]]:
+    """(first resample, how many, state of the generator there) for each part of the resamples.
 
-    Equal samples are one kind, so a draw of cases is a multinomial draw of kinds; there are as many kinds as
-    combinations of counts of one case's checks, whatever the number of cases.
+    The picks of all resamples are one stream of one generator, and each pick takes as many of its words as it needs. The
+    driver runs through the stream once and keeps a state for each part: numbers are drawn, but none are kept.
     """
-    kinds = samples.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(*columns).collect()
-    values = np.array([[r[c] for c in columns] for r in kinds], float).reshape(-1, len(columns))
-    n = np.array([r["n"] for r in kinds], np.int64)
-    cases = int(n.sum())
-    return cases, values, np.random.default_rng(seed).multinomial(cases, n / cases, resamples) if cases else np.zeros((0, 0))
+    rng, out, at = random.Random(seed), [], 0
+    width = cases.bit_length()
+    for k in range(parts):
+        n = resamples * (k + 1) // parts - at
+        if n:
+            out.append((at, n, pickle.dumps(rng.getstate())))
+            left = n * cases
+            if k + 1 < parts:
+                while left:
+                    left -= sum(rng.getrandbits(width) < cases for _ in range(min(left, PICKS)))
+        at += n
+    return out
 
 
-def _bounds(statistics: np.ndarray, level: float) -> tuple[float, float] | None:
-    statistics = statistics[np.isfinite(statistics)]
-    if len(statistics) < 2:
-        return None
-    return tuple(float(x) for x in np.percentile(statistics, [50 * (1 - level), 50 * (1 + level)]))
+def _picked(state: bytes, cases: int, first: int, resamples: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each resample the cases that it draws, PICKS at a time."""
+    rng, width = random.Random(), cases.bit_length()
+    rng.setstate(pickle.loads(state))
+    for k in range(resamples):
+        left = cases
+        while left:
+            found = [x for x in (rng.getrandbits(width) for _ in range(min(left, PICKS))) if x < cases]
+            left -= len(found)
+            yield first + k, np.array(found, np.int64)
 
 
-def ratio_interval(samples: DataFrame, resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED) -> tuple[float, float] | None:
-    """Bootstrap interval of sum(num) / sum(den) over cases; None with fewer than two."""
-    cases, values, drawn = _drawn(samples, ["num", "den"], resamples, seed)
+def resample_sums(samples: DataFrame, columns: list[str], order: list[str], resamples: int, seed: int, parts: int = 64) -> tuple[int, DataFrame]:
+    """The number of cases, and resample with the sums of columns over the cases that it draws with replacement.
+
+    Cases are numbered in ``order``. The draws are those of one seeded generator, resample after resample; each task makes its
+    own resamples' draws from the generator's state there, and counts how often each case is drawn; counts meet the samples by
+    the case's number.
+    """
+    spark = samples.sparkSession
+    ids = settled(samples.select(*order, *columns))
+    # numbers by ranges: only the sizes of ranges pass the driver
+    ranged = settled(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    before = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    cases = sum(sizes.values())
     if cases < 2:
-        return None
-    with np.errstate(all="ignore"):
-        return _bounds((drawn @ values[:, 0]) / (drawn @ values[:, 1]), level)
+        return cases, spark.createDataFrame([], "resample int, " + ", ".join(f"{c} double" for c in columns))
+    offset = F.element_at(F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))), F.col("_part"))
+    numbered = ranged.withColumn("case", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset).cast("long")).select("case", *columns)
+    streams = spark.createDataFrame(_streams(cases, resamples, seed, min(parts, resamples)), "first int, n int, state binary").repartition(min(parts, resamples))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                for resample, picks in _picked(r["state"], cases, r["first"], r["n"]):
+                    case, times = np.unique(picks, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(case), resample, np.int32)), pa.array(case), pa.array(times)], names=["resample", "case", "times"])
+
+    drawn = streams.mapInArrow(draw, "resample int, case long, times long")
+    sums = drawn.join(numbered, "case").groupBy("resample").agg(*(F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in columns))
+    return cases, sums
+
+
+def _interval(statistics: DataFrame, level: float) -> tuple[float, float] | None:
+    """Percentiles between the two nearest of the statistics; None with fewer than two."""
+    at = [(1 - level) / 2, 1 - (1 - level) / 2]
+    r = statistics.where("x IS NOT NULL").agg(F.count("x").alias("n"), F.percentile("x", at).alias("p")).first()
+    return tuple(r["p"]) if r["n"] >= 2 else None
+
+
+def ratio_statistics(samples: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, order: str = "case_id") -> DataFrame:
+    """resample and x = sum(num) / sum(den) over the cases that it draws."""
+    _, sums = resample_sums(samples, ["num", "den"], [order], resamples, seed)
+    return sums.select("resample", ratio(F.col("num"), F.col("den")).alias("x"))
+
+
+def ratio_interval(samples: DataFrame, resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED, order: str = "case_id") -> tuple[float, float] | None:
+    """Bootstrap interval of sum(num) / sum(den) over cases; None with fewer than two."""
+    return _interval(ratio_statistics(samples, resamples, seed, order), level)
 
 
 def paired_difference_interval(baseline: DataFrame, candidate: DataFrame, resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED) -> tuple[float, float] | None:
-    """Bootstrap interval of the candidate's rate less the baseline's, both over the same drawn cases."""
+    """Bootstrap interval of the candidate's rate less the baseline's, both over the same drawn cases; sides that have other
+    cases than each other are an error."""
+    if not unmatched(baseline, candidate, ["case_id"]).isEmpty():
+        raise ValueError("paired samples are of the same cases")
     both = baseline.select("case_id", "num", "den").join(candidate.select("case_id", F.col("num").alias("num2"), F.col("den").alias("den2")), "case_id")
-    cases, v, drawn = _drawn(both, ["num", "den", "num2", "den2"], resamples, seed)
-    if cases < 2:
-        return None
-    with np.errstate(all="ignore"):
-        return _bounds((drawn @ v[:, 2]) / (drawn @ v[:, 3]) - (drawn @ v[:, 0]) / (drawn @ v[:, 1]), level)
+    _, sums = resample_sums(both, ["num", "den", "num2", "den2"], ["case_id"], resamples, seed)
+    return _interval(sums.select((ratio(F.col("num2"), F.col("den2")) - ratio(F.col("num"), F.col("den"))).alias("x")), level)
 
 
 def latency_comparison(baseline: DataFrame, candidate: DataFrame, replayed: bool = False) -> DataFrame:

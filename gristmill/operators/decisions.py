@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,17 +92,32 @@ def _ordered(relations: DataFrame, key: str, *kinds: str) -> DataFrame:
     return relations.where(F.col("kind").isin(*kinds)).select(key, first("source", "target").alias("source"), first("target", "source").alias("target"))
 
 
-def relation_problems(relations: DataFrame, key: str = "run_id") -> DataFrame:
+def relation_problems(relations: DataFrame, key: str = "run_id", units: DataFrame | None = None, predicates: DataFrame | None = None) -> DataFrame:
     """Rows of relations (key, source, target, kind) with their problems.
 
+    units (key, unit): the requests that there are; predicates (key, predicate): the questions that conditions may name. With
+    them, ``unknown_unit`` and ``unknown_predicate`` are problems too. A relation of kind ``if`` is a condition: its source is a
+    request, its target a predicate, and its column value what that must be; ``conflict``: another condition of the same
+    request and predicate wants another value.
+
     ``self``: a unit requires or precedes itself. ``duplicate``: the relation is there twice (``excludes`` has no direction).
     ``cycle``: the row lies on a cycle of ``requires`` and ``precedes``, however long. ``exclusive_dependency``: units that
     exclude each other of which one requires the other, directly or by others. Rows with a null end have none but ``duplicate``.
     """
-    r = relations.select(key, "source", "target", "kind")
-    free = F.col("kind") == "excludes"
+    given = relations if "value" in relations.columns else relations.withColumn("value", F.lit(None).cast("string"))
+    r = given.select(key, "source", "target", "kind", "value")
+    free, condition = F.col("kind") == "excludes", F.col("kind") == "if"
     ends = [F.when(free, F.least("source", "target")).otherwise(F.col("source")), F.when(free, F.greatest("source", "target")).otherwise(F.col("target"))]
-    r = r.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "kind", *ends)))
+    r = r.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "kind", *ends, "value")))
+    same = Window.partitionBy(key, "kind", "source", "target")
+    r = r.withColumn("_values", F.when(condition, F.min("value").over(same) != F.max("value").over(same)))
+    found: dict[str, Column] = {}
+    for known, name, sides in ((units, "unit", (("source", F.lit(True)), ("target", ~condition))), (predicates, "predicate", (("target", condition),))):
+        for end, concerned in sides if known is not None else ():
+            mark = f"_{name}_{end}"
+            r = r.join(known.select(key, F.col(name).alias(end), F.lit(True).alias(mark)).distinct(), [key, end], "left")
+            found[mark] = concerned & F.col(mark).isNull()
+    unknown = {n: reduce(or_, [c for m, c in found.items() if m.startswith(f"_{n[8:]}_")], F.lit(False)) for n in ("unknown_unit", "unknown_predicate")}
     ordered = reach(_ordered(r, key, "requires", "precedes"), key)
     back = ordered.join(ordered.select(key, F.col("source").alias("target"), F.col("target").alias("source")), [key, "source", "target"], "left_semi")
     needed = reach(_ordered(r, key, "requires"), key)
@@ -107,9 +125,9 @@ def relation_problems(relations: DataFrame, key: str = "run_id") -> DataFrame:
     marks = back.withColumn("_cycle", F.lit(True)).join(needed.withColumn("_needed", F.lit(True)), [key, "source", "target"], "full")
     r = r.join(marks, [key, "source", "target"], "left")
     other = F.col("source") != F.col("target")
-    rules = {"self": ~other & ~free, "duplicate": F.col("_n") > 1, "cycle": F.col("_cycle") & ~free, "exclusive_dependency": F.col("_needed") & free & other}
+    rules = unknown | {"conflict": F.col("_values"), "self": ~other & ~free & ~condition, "duplicate": F.col("_n") > 1, "cycle": F.col("_cycle") & ~free & ~condition, "exclusive_dependency": F.col("_needed") & free & other}
     problems = F.array_compact(F.array(*(F.when(broken, name) for name, broken in rules.items())))
-    return r.withColumn("problems", problems).drop("_n", "_cycle", "_needed")
+    return r.withColumn("problems", problems).drop("_n", "_cycle", "_needed", "_values", *found, *([] if "value" in relations.columns else ["value"]))
 
 
 def requirement_cycles(relations: DataFrame, key: str = "run_id") -> DataFrame:

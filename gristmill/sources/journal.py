@@ -17,9 +17,9 @@ def record(attempts: DataFrame, path: str) -> None:
 
 
 def latest(journal: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last record of each key."""
+    """The last record of each key; of records that are equal in order, the one that is largest in its other columns."""
     rest = [c for c in journal.columns if c not in key]
-    last = journal.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    last = journal.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order))).alias("r"))
     return last.select(*key, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
