@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 from .functions.values import items_of, member, number_of, parse, text_of
 from .operators import records as rc
 from .operators import static_checks as sc
+from .operators import suites as st
 from .operators.nested_schemas import validate
 from .plans.collections import collect
-from .plans.workflow import Flow, Outcome, Repeat, Step, Workflow
+from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow
 from .queries import query, table
 
 # schemas of any depth
@@ -247,3 +248,53 @@ def repeat_retry(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.to_variant_object(F.struct(F.coalesce("value", "user_id").alias("v"), (F.col("user_id") % 7).alias("step"), F.col("event_type").alias("type"))).alias("payload"), F.lit(None).cast("variant").alias("metadata"))
     runs = Workflow([grow], "grow").run(e)
     return runs.select("run_id", F.col("grow.attempts").alias("attempts"), number_of(F.col("grow.result")).alias("result"), F.col("grow.stopped_by").alias("stopped_by"), "status", "error", F.size(F.filter("grow.history", lambda x: x.role == "retry")).alias("retries"))
+
+
+# evaluations that run
+
+
+def sized_suite(spark, sf_dir) -> tuple[DataFrame, DataFrame, Workflow]:
+    """Cases of documents, four expectations of each, and a workflow that fails, asks for review, or goes on to a second flow."""
+    label = lambda c: F.try_variant_get(F.to_variant_object(F.struct(c.alias("x"))), "$.x", "variant")
+    n = lambda i: number_of(i["n"])
+    bound = {"n": {"pointer": "/payload/n"}}
+    rule = Step("rule", lambda i: Outcome(label(F.when(n(i) >= 500, "long").otherwise("short")), F.when(n(i) < 100, "needs_review").otherwise("completed"), F.when(n(i) % 50 == 7, "invalid_output")), bound)
+    mark = Step("mark", lambda i: F.to_variant_object(F.struct(F.when(n(i) % 2 == 0, "even").otherwise("odd").alias("kind"), F.array(F.struct((n(i) % 3).cast("int").alias("r")), F.struct((n(i) % 5).cast("int").alias("r"))).alias("parts"))), bound)
+    flows = [Flow("size", [rule], Cases("/flows/size/result", {"long": "detail"}, "completed"), output={"pointer": "/steps/rule/result"}), Flow("detail", [mark], output={"pointer": "/steps/mark/result"})]
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("case_id"), "lang", F.coalesce("n_chars", F.lit(0)).alias("n"), "quality")
+    cases = d.select("case_id", "lang", F.to_json(F.struct(F.struct("n").alias("payload"))).alias("input"))
+    quoted = F.when(F.coalesce("quality", F.lit(0)) == 1, '"long"').otherwise('"short"')
+    gold = [("/flows/size/result", quoted, "exact", False, None), ("/flows/detail/result/kind", F.lit('"even"'), "exact", False, None), ("/flows/detail/steps/mark/result/none", F.lit("null"), "exact", True, None), ("/flows/detail/result/parts", F.lit("[0,0]"), "sum_below_3", False, "/r")]
+    each = F.array(*(F.struct(F.lit(k).alias("check_ordinal"), F.lit(p).alias("path"), e.alias("expected"), F.lit(c).alias("comparison"), F.lit(a).alias("absent_as_null"), F.lit(x).cast("string").alias("each")) for k, (p, e, c, a, x) in enumerate(gold)))
+    return cases, d.select("case_id", F.explode(each).alias("e")).select("case_id", "e.*"), Workflow(flows, "size")
+
+
+def below_3(actual, expected):
+    return F.aggregate(F.from_json(actual, "array<int>"), F.lit(0), lambda a, x: a + x) < 3
+
+
+_SUITE_SQL = """d AS (SELECT doc_id AS case_id, lang, coalesce(n_chars, 0) AS n, coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id)),
+ r AS (SELECT *, CASE WHEN n % 50 = 7 THEN 'failed' WHEN n < 100 THEN 'needs_review' ELSE 'completed' END AS status, n % 50 <> 7 AND n >= 500 AS detail FROM d),
+ c AS (SELECT r.*, k, CASE k WHEN 0 THEN CASE WHEN status = 'failed' THEN 'error' WHEN (n >= 500) = (quality = 1) THEN 'passed' ELSE 'failed' END
+   WHEN 1 THEN CASE WHEN NOT detail THEN 'missing' WHEN n % 2 = 0 THEN 'passed' ELSE 'failed' END WHEN 2 THEN CASE WHEN detail THEN 'passed' ELSE 'missing' END
+   ELSE CASE WHEN NOT detail THEN 'missing' WHEN n % 3 + n % 5 < 3 THEN 'passed' ELSE 'failed' END END AS outcome FROM r CROSS JOIN range(4) t(k))"""
+
+
+@query(
+    f"""WITH {_SUITE_SQL}, a AS (SELECT lang, case_id, bool_and(outcome = 'passed') AS ok FROM c GROUP BY ALL), p AS (SELECT lang, count(*) FILTER (ok) / count(*) AS case_pass_rate FROM a GROUP BY lang),
+    x AS (SELECT lang, 2 * count(*) AS total, {', '.join(f"2 * count(*) FILTER (outcome = '{o}') AS {o}" for o in ("passed", "failed", "missing", "error"))}, count(*) FILTER (outcome = 'passed') / count(*) AS pass_rate FROM c GROUP BY lang),
+    y AS (SELECT lang, 2 * count(*) AS runs, 2 * count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'failed') / count(*) AS failure_rate, count(*) AS source_cases FROM r GROUP BY lang)
+    SELECT x.*, p.case_pass_rate, y.runs, y.needs_review, y.failure_rate, y.source_cases FROM x JOIN p ON p.lang IS NOT DISTINCT FROM x.lang JOIN y ON y.lang IS NOT DISTINCT FROM x.lang"""
+)
+def suite_report(spark, sf_dir):
+    """A report of a suite that ran twice for each case, by language."""
+    cases, gold, workflow = sized_suite(spark, sf_dir)
+    r = st.run_suite(cases, gold, workflow, 2, scorers={"sum_below_3": below_3}).report("lang")
+    return r.select("lang", "total", "passed", "failed", "missing", "error", "pass_rate", "case_pass_rate", "runs", "needs_review", "failure_rate", "source_cases")
+
+
+@query(f"WITH {_SUITE_SQL} SELECT case_id, CAST(k AS INTEGER) AS check_ordinal, outcome, CASE WHEN k = 0 THEN '/flows/size' WHEN detail THEN CASE WHEN k = 2 THEN '/flows/detail/steps/mark' ELSE '/flows/detail' END END AS owner_path FROM c")
+def suite_checks(spark, sf_dir):
+    """Every check of a suite that ran, with the record that it is about."""
+    cases, gold, workflow = sized_suite(spark, sf_dir)
+    return st.run_suite(cases, gold, workflow, scorers={"sum_below_3": below_3}).checks.select("case_id", "check_ordinal", "outcome", "owner_path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,17 @@ COMPARISONS = {"exact": cmp.exact, "set": cmp.same_set, "one_of": cmp.one_of}
 TEXTS = {"text": cmp.same_text, "contains": cmp.contains_text}
 
 
-def _matched(actual: Column, expected: Column, comparison: Column) -> Column:
-    """Whether JSON text fits the gold under the comparison that the row names; NULL if there is no such comparison."""
+def matched(actual: Column, expected: Column, comparison: Column, scorers: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> Column:
+    """Whether JSON text fits the gold under the comparison that the row names; NULL if there is no such comparison.
+
+    scorers: further comparisons of a caller by name, over JSON text and gold.
+    """
     plain = lambda c: text_of(parse(c))
     out = F.when(F.lit(False), F.lit(False))
     for name, fits in COMPARISONS.items():
         out = out.when(comparison == name, fits(actual, expected))
+    for name, fits in (scorers or {}).items():
+        out = out.when(comparison == name, F.coalesce(fits(actual, expected), F.lit(False)))
     for name, fits in TEXTS.items():
         out = out.when(comparison == name, fits(plain(actual), plain(expected)))
     return out
@@ -34,8 +41,8 @@ def evaluate(gold: DataFrame, runs: DataFrame, records: DataFrame) -> DataFrame:
     asked = gold.join(runs.select("run_id", "case_id", "document"), "case_id", "left")
     found = asked.withColumn("actual", F.to_json(lookup_each(F.col("document"), F.col("path")))).drop("document")
     known = owners(found, records, "run_id")
-    fits = _matched(F.col("actual"), F.col("expected"), F.col("comparison"))
-    as_null = _matched(F.lit("null"), F.col("expected"), F.col("comparison"))
+    fits = matched(F.col("actual"), F.col("expected"), F.col("comparison"))
+    as_null = matched(F.lit("null"), F.col("expected"), F.col("comparison"))
     return known.withColumn("outcome", outcome(F.col("actual").isNotNull(), fits, F.col("owner_status"), F.col("absent_as_null"), as_null))
 
 
