@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; in one of our own where that is unset."""
+    return f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its plan, in the folder of spark.checkpoint.dir; in one of our own only where that is unset."""
     sc = df.sparkSession.sparkContext

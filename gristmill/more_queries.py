@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import shared_path
 from .functions.values import items_of, member, number_of, parse, text_of
 from .operators import records as rc
 from .operators import static_checks as sc
@@ -14,6 +15,7 @@ from .operators.nested_schemas import validate
 from .plans.collections import collect
 from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow
 from .queries import query, table
+from .sources.journal import read_lines
 
 # schemas of any depth
 
@@ -298,3 +300,21 @@ def suite_checks(spark, sf_dir):
     """Every check of a suite that ran, with the record that it is about."""
     cases, gold, workflow = sized_suite(spark, sf_dir)
     return st.run_suite(cases, gold, workflow, scorers={"sum_below_3": below_3}).checks.select("case_id", "check_ordinal", "outcome", "owner_path")
+
+
+# journals
+
+
+@query(
+    """WITH e AS (SELECT 'c' || user_id % 200 AS case_id, 1 + CAST(event_id % 2 AS INTEGER) AS repetition, event_id, value FROM events WHERE event_type <> 'click')
+    SELECT case_id, repetition, event_id AS seconds, '{"value":' || CAST(event_id % 1000 AS VARCHAR) || '}' AS result FROM e QUALIFY row_number() OVER (PARTITION BY case_id, repetition ORDER BY event_id DESC) = 1"""
+)
+def journal_lines(spark, sf_dir):
+    """A journal of JSON lines in many files, two suites in it: of each case and repetition, the line that comes last."""
+    e = table(spark, sf_dir, "events")
+    suite = F.when(F.col("event_type") == "click", "other").otherwise("own")
+    head = F.concat(F.lit('{"kind":"attempt","identity":{"suite":"'), suite, F.lit('","n":1},"case_id":"c'), F.col("user_id") % 200, F.lit('","repetition":'), 1 + F.col("event_id") % 2)
+    text = F.concat(head, F.lit(',"input":"ä","seconds":'), "event_id", F.lit(',"result":{"value":'), F.col("event_id") % 1000, F.lit("}}"))
+    path = shared_path(spark, "journal")
+    e.select(text.alias("value"), "event_id").repartitionByRange(6, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return read_lines(spark, path, "own", '{"n": 1, "suite": "own"}').select("case_id", "repetition", F.col("seconds").cast("long").alias("seconds"), "result")

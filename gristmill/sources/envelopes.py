@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import fields_of, kind, member
+from .lines import read_placed
 
 DEEPEST = 64
 LONGEST = 1 << 20
@@ -30,9 +31,9 @@ def decode(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """One envelope on each line of the files at path; run_id is a digest of the line and its file."""
-    lines = spark.read.text(path)
-    return decode(lines.withColumn("run_id", F.sha2(F.concat_ws("\n", F.input_file_name(), "value"), 256)))
+    """One envelope on each line of the files at path; run_id is a digest of the file and the line's place there."""
+    lines = read_placed(spark, path)
+    return decode(lines.select("value", F.sha2(F.concat_ws("\n", "file", "place"), 256).alias("run_id")))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import settled
 from ..functions.comparisons import canonical
+from ..functions.values import kind, member, number_of, parse, text_of
 from ..operators.compare import unmatched
+from .lines import read_placed
 
 ATTEMPT = "identity string, case_id string, repetition int, written timestamp, input string, seconds double, result string"
 
@@ -29,9 +32,38 @@ def load(spark: SparkSession, path: str, identity: str) -> DataFrame:
     return latest(own, ["case_id", "repetition"], ["written"])
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Attempts of a journal of JSON lines; a torn line has no case and is left out."""
-    return spark.read.schema(ATTEMPT.replace("written timestamp, ", "")).json(path).where("case_id IS NOT NULL AND repetition IS NOT NULL")
+class OtherIdentity(ValueError):
+    """The journal holds this suite for another variant, configuration or target."""
+
+
+def read_lines(spark: SparkSession, path: str, suite: str | None = None, identity: str | None = None) -> DataFrame:
+    """The last attempt of each case and repetition in a journal of JSON lines, by place; with the suite and identity asked for.
+
+    A line is an object of kind ``attempt`` with identity (an object that names the suite), case_id, repetition from 1, input,
+    seconds from 0 and result (an object). Empty lines count for nothing, and neither does a torn line at the end of its file;
+    any other line that is no such record is an error, and so is a record of the same suite with another identity.
+    identity: JSON text; equal whatever the order of its keys. Files follow each other by name.
+    """
+    lines = read_placed(spark, path).where(F.trim("value") != "").withColumn("v", parse(F.col("value")))
+    of = lambda name: member(F.col("v"), name)
+    repetition, seconds = number_of(of("repetition")), number_of(of("seconds"))
+    good = (kind(F.col("v")) == "object") & (text_of(of("kind")) == "attempt") & (kind(of("identity")) == "object") & text_of(of("case_id")).isNotNull()
+    good = good & (repetition >= 1) & (repetition == F.floor(repetition)) & (seconds >= 0) & of("input").isNotNull() & (kind(of("result")) == "object")
+    good = F.coalesce(good, F.lit(False))
+    torn = F.col("last") & F.col("v").isNull()
+    own = F.lit(True) if suite is None else F.coalesce(text_of(member(of("identity"), "suite")) == suite, F.lit(False))
+    rows = settled(
+        lines.where(~torn).select(
+            "file", "place", good.alias("good"), own.alias("own"), F.to_json(of("identity")).alias("identity"), text_of(of("case_id")).alias("case_id"), repetition.cast("int").alias("repetition"),
+            F.to_json(of("input")).alias("input"), seconds.alias("seconds"), F.to_json(of("result")).alias("result"),
+        )
+    )
+    if bad := rows.where("NOT good").select("file", "place").first():
+        raise ValueError(f"no record at byte {bad['place']} of {bad['file']}")
+    rows = rows.where("own")
+    if identity is not None and not rows.where(canonical("identity") != canonical(F.lit(identity))).isEmpty():
+        raise OtherIdentity(f"the journal holds suite {suite!r} under another identity")
+    return latest(rows.drop("good", "own"), ["case_id", "repetition"], ["file", "place"])
 
 
 def recorded_cases(journal: DataFrame) -> DataFrame:
