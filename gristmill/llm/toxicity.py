@@ -1,18 +1,19 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
-Terms are words and their first bytes, in lower case. A bounded sample of labelled rows are the examples, and all their
-terms count; document frequencies of those terms are counted over all documents. A document's nearest examples by exact
-TF-IDF cosine over the terms are found with an inverted index whose postings lie in blocks of examples that are alike, with
+Terms are words and their first bytes, in lower case, each hashed to one of FEATURES features, as usual for texts of any
+vocabulary; document frequencies of all features are counted over all documents. A bounded sample of labelled rows are the
+examples. A document's nearest examples by exact TF-IDF cosine over all features of both are found with an inverted index whose postings lie in blocks of examples that are alike, with
 the largest weight of each term in each block. Lists of terms that more than DENSE of the examples have are kept as whole
 rows, and one product adds them up for some documents at a time; the bounds of the other terms then tell which blocks may
 hold neighbours: the other lists are read in the FIRST blocks with the highest bounds, then in all whose bound reaches the
-score of the last neighbour held. Neighbours vote, weighted by nearness and by the share of their class that was sampled; a
+score of the last neighbour held. Sums in single precision only choose candidates, by a margin; their cosines are then
+computed in double precision. Neighbours vote, weighted by nearness and by the share of their class that was sampled; a
 logistic curve over left-one-out votes of the examples calibrates the votes. Evidence are the doc_ids and cosines of the
 nearest examples.
 
 Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0, at most PER_LABEL rows of each label, equal texts
-once. A document without any known term (also null or empty text) gets the share of toxic rows among examples without terms.
-Very long texts count whole. Null labels are not learned; without labelled rows every score is 0. Repeated rows: each has
+once. A document without any feature of an example (also null or empty text) gets the share of toxic rows among examples without terms.
+Very long texts count whole. Null labels are not learned; a doc_id with both labels is toxic; without labelled rows every score is 0. Repeated rows: each has
 its result. Ties between examples: the smaller doc_id first. A null doc_id counts as not held out. Columns other than
 doc_id and text may have any names. Empty table: no rows.
 """
@@ -32,8 +33,12 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, cut, kept, letters, mix64, slices, table, utf8
 
 #: Labelled rows of each label that are learned from at most.
-PER_LABEL = 1500
+PER_LABEL = 6000
 NEIGHBOURS = 15
+#: Features that terms are hashed to (a power of two); frequencies take 8 bytes each, on the driver and in each worker.
+FEATURES = 1 << 20
+#: What single precision may be wrong by.
+MARGIN = 1e-4
 BLOCK = 256
 FIRST = 1
 DENSE = 0.06
@@ -49,7 +54,7 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms of lower-case texts and the row of each: words, and their first bytes."""
+    """Features of the terms of lower-case texts and the row of each: words, and their first bytes."""
     data, offsets = utf8(texts)
     n = len(data)
     b = _LETTERS[data]
@@ -74,49 +79,42 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s = start[on]
         hashes.append(mix64((sums[s + p] - sums[s]) * raise_[s] + np.uint64(2)))
         rows.append(row[on])
-    return np.concatenate(hashes), np.concatenate(rows)
+    return np.concatenate(hashes) >> np.uint64(65 - FEATURES.bit_length()), np.concatenate(rows)
 
 
 def _held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def _places(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and term number of each occurrence of a known term."""
-    term, row = terms(texts)
-    if not len(known):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
-    on = known[at] == term
-    return row[on], at[on]
+def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and count of the features of each text; ordered by row."""
+    feature, row = terms(texts)
+    cell, count = np.unique(row * FEATURES + feature.astype(np.int64), return_counts=True)
+    return *np.divmod(cell, FEATURES), count
 
 
-def _counted(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Documents of each task's rows that have each of the known terms (sorted)."""
-    n = np.zeros(len(known), np.int64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each task's rows that have each feature."""
+    n = np.zeros(FEATURES, np.int64)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            n += np.bincount(counts(part.column("text"), known)[1], minlength=len(known))
+            n += np.bincount(counts(part.column("text"))[1], minlength=FEATURES)
     on = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(known[on].view(np.int64)), pa.array(n[on])], names=["term", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(n[on])], names=["feature", "n"])
 
 
-def document_frequency(texts: DataFrame, known: np.ndarray) -> DataFrame:
-    """term, n: rows of texts (lower case) that have each known term."""
-    part = texts.select("text").mapInArrow(lambda batches: _counted(batches, known), "term long, n long")
-    return part.groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def counts(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number and count of the known terms of each text; ordered by row."""
-    row, at = _places(texts, known)
-    cell, count = np.unique(row * max(len(known), 1) + at, return_counts=True)
-    return *np.divmod(cell, max(len(known), 1)), count
+def document_frequency(texts: DataFrame) -> np.ndarray:
+    """Rows of texts (lower case) that have each feature: FEATURES numbers, whatever the input."""
+    part = texts.select("text").mapInArrow(_counted, "feature long, n long")
+    found = part.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(FEATURES, np.int64)
+    out[found.column("feature").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
-def weighted(row: np.ndarray, number: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights, with which each row has unit length."""
-    weight = (1 + np.log(count)) * idf[number]
+def weighted(row: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights, with which each row has unit length over all its features."""
+    weight = (1 + np.log(count)) * idf[feature]
     norm = np.sqrt(np.bincount(row, weights=weight * weight))
     return weight / np.maximum(norm[row], 1e-300)
 
@@ -148,10 +146,13 @@ class BlockMaxIndex:
 
     def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
         self.ids, self.n, self.blocks = ids, len(ids), max(-(-len(ids) // BLOCK), 1)
+        by_row = np.argsort(row, kind="stable")
+        self.own, self.own_number, self.own_weight = np.searchsorted(row[by_row], np.arange(self.n + 1)), number[by_row].astype(np.int32), weight[by_row]
+        self.terms = terms
         often = np.bincount(number, minlength=terms) > DENSE * self.n
         self.dense_row = np.where(often, np.cumsum(often) - 1, -1)
         on = often[number]
-        self.dense = np.zeros((int(often.sum()), self.n))
+        self.dense = np.zeros((int(often.sum()), self.n), np.float32)
         self.dense[self.dense_row[number[on]], row[on]] = weight[on]
         row, number, weight = row[~on], number[~on], weight[~on]
         order = np.lexsort((row, number))
@@ -178,8 +179,9 @@ class BlockMaxIndex:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _some(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = row, number, weight
         at = self.dense_row[number]
-        asked = np.zeros((n, len(self.dense)))
+        asked = np.zeros((n, len(self.dense)), np.float32)
         asked[row[at >= 0], at[at >= 0]] = weight[at >= 0]
         total = asked @ self.dense
         cell, of = _ranges(self.first[number], self.first[number + 1])
@@ -200,9 +202,9 @@ class BlockMaxIndex:
             least = np.partition(total, -k, axis=1)[:, -k] if self.n > k else np.zeros(n)
             if not last:
                 left &= ~now
-                now = bound >= least[:, None] - 1e-9
-        text, example = np.nonzero((total > 0) & (total >= least[:, None] - 1e-11))
-        cosine = total[text, example]
+                now = bound >= least[:, None] - MARGIN
+        text, example = np.nonzero((total > 0) & (total >= least[:, None] - MARGIN))
+        cosine = self._cosines(*whole, n, text, example)
         order = np.lexsort((self.ids[example], -np.round(cosine, 12), text))
         text = text[order]
         place = np.arange(len(text)) - np.searchsorted(text, text)
@@ -210,6 +212,19 @@ class BlockMaxIndex:
         return text[place < k], example[order], cosine[order]
 
 
+    def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, text: np.ndarray, example: np.ndarray) -> np.ndarray:
+        """Inner products of pairs of texts (ordered) and examples, in double precision."""
+        out, asked = np.zeros(len(text)), np.zeros(self.terms)
+        ends, pairs = np.searchsorted(row, np.arange(n + 1)), np.searchsorted(text, np.arange(n + 1))
+        for t in np.flatnonzero(np.diff(pairs)).tolist():
+            mine, on = slice(ends[t], ends[t + 1]), slice(pairs[t], pairs[t + 1])
+            asked[number[mine]] = weight[mine]
+            at, of = _ranges(self.own[example[on]], self.own[example[on] + 1])
+            out[on] = np.bincount(of, weights=asked[self.own_number[at]] * self.own_weight[at], minlength=on.stop - on.start)
+            asked[number[mine]] = 0
+        return out
+
+
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, and the range of each."""
     size = (end - begin).astype(np.int64)
@@ -242,7 +257,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict | None:
     """Index, examples and calibration from labelled rows that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~_held_out())
-    marks = cut(marks.dropDuplicates(["doc_id"]))
+    marks = cut(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     total = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total:
@@ -254,20 +269,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict
         return None
     examples = sample.orderBy("doc_id").collect()  # at most per_label texts of each label
     chunks = [pa.array([r["text"] for r in examples[k : k + 500]], pa.large_string()) for k in range(0, len(examples), 500)]
-    known = np.unique(np.concatenate([np.unique(terms(c)[0]) for c in chunks]))
-    # document frequencies over all documents, of the examples' terms
     everything = texts.count()
-    df = _aligned(document_frequency(texts, known).toArrow(), known)
-    idf = np.log((1 + everything) / (1 + df)) + 1
-    parts = [counts(c, known) for c in chunks]
+    idf = np.log((1 + everything) / (1 + document_frequency(texts))) + 1
+    parts = [counts(c) for c in chunks]
     row = np.concatenate([(p[0] + k * 500).astype(np.int32) for k, p in enumerate(parts)])
-    number, count = (np.concatenate([p[k].astype(np.int32) for p in parts]) for k in (1, 2))
+    feature, count = (np.concatenate([p[k].astype(np.int32) for p in parts]) for k in (1, 2))
+    known, number = np.unique(feature, return_inverse=True)
+    number = number.astype(np.int32)
     toxic = np.array([r["toxic"] for r in examples])
     # each example stands for as many labelled rows of its class
     scale = np.array([total.get(k, 0) / max(size.get(k, (0, 0))[0], 1) for k in (0, 1)])
     some = np.unique(row)
     row = np.searchsorted(some, row).astype(np.int32)
-    weight = weighted(row, number, count, idf)
+    weight = weighted(row, feature, count, idf)
     like = likeness_order(row, number, weight, len(some), BLOCK)
     place = np.empty(len(some), np.int64)
     place[like] = np.arange(len(some))
@@ -290,30 +304,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict
 
 
 def index_of(model: dict) -> BlockMaxIndex:
-    weight = weighted(model["row"], model["number"], model["count"], model["idf"])
+    weight = weighted(model["row"], model["known"][model["number"]], model["count"], model["idf"])
     return BlockMaxIndex(model["row"], model["number"], weight, model["ids"], len(model["known"]))
 
 
-def _aligned(counts: pa.Table, terms: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(terms))
-    out[np.searchsorted(terms, counts.column("term").to_numpy().view(np.uint64))] = counts.column("n").to_numpy()
-    return out
+def asked(texts: pa.Array, model: dict, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and weight of the examples' features in texts; the weights are those of texts with all their features."""
+    row, feature, count = counts(texts)
+    weight = weighted(row, feature, count, model["idf"])
+    on = number[feature] >= 0
+    return row[on], number[feature[on]], weight[on]
 
 
 _OUT = ["doc_id", "score", "nearest", "cosines"]
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
-    def build() -> tuple[dict, BlockMaxIndex]:
+    def build() -> tuple[dict, BlockMaxIndex, np.ndarray]:
         model = pickle.loads(zlib.decompress(shared.value))
-        return model, index_of(model)
+        number = np.full(FEATURES, -1, np.int32)
+        number[model["known"]] = np.arange(len(model["known"]))
+        return model, index_of(model), number
 
-    model, index = kept(key, build)
+    model, index, number = kept(key, build)
     slope, shift = model["curve"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            n, (row, number, count) = part.num_rows, counts(part.column("text"), model["known"])
-            text, example, cosine = index.nearest(row, number, weighted(row, number, count, model["idf"]), n, NEIGHBOURS)
+            n = part.num_rows
+            text, example, cosine = index.nearest(*asked(part.column("text"), model, number), n, NEIGHBOURS)
             votes = _votes(model, text, example, cosine, n)
             score = np.where(np.isfinite(votes), 1 / (1 + np.exp(-(slope * votes + shift))), model["without"])
             ends = pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32))

@@ -52,19 +52,20 @@ def losses(rows: list[tuple[int | None, str | None]], good: set[int], mix: float
     return [(k, len(t), target(t), background(t), target(t) - background(t)) for k, t in texts]
 
 
-def nearest_examples(rows: list[tuple[int, str | None]], examples: dict[int, str], k: int = 15) -> dict[int, list[tuple[int, float]]]:
-    """The examples (by the smallest doc_id of each text) with the largest TF-IDF cosines to each row."""
+def nearest_examples(rows: list[tuple[int, str | None]], examples: dict[int, str], features, k: int = 15) -> dict[int, list[tuple[int, float]]]:
+    """The examples (by the smallest doc_id of each text) with the largest TF-IDF cosines to each row, over all features of both.
+
+    features: those of one word.
+    """
 
     def counts(text):
-        words = re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())
-        return Counter(t for w in words for t in [w, *((w[:p], p) for p in (4, 5, 6, 7) if len(w) > p)])
+        return Counter(f for w in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()) for f in features(w))
 
     every = {d: counts(t or "") for d, t in rows}
     df = Counter(t for c in every.values() for t in c)
-    known = {t for d in examples for t in counts(examples[d])}
 
     def vector(c):
-        v = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 

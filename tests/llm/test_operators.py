@@ -3,10 +3,12 @@
 import random
 import sys
 import zlib
+from functools import lru_cache
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +233,8 @@ def test_op6(spark, none):
     model = fit_toxicity(d, labels)
     got = toxicity(d, model).join(labels, "doc_id").where("crc32(cast(doc_id AS string)) % 5 = 0").toPandas()
     assert ((got.score >= 0.5) == (got.toxic == 1)).mean() >= 0.9 and got.score.between(0, 1).all()
+    right = [got[got.toxic == k].score for k in (0, 1)]  # a constant score would give a half
+    assert np.mean([[(b > a) + (b == a) / 2 for a in right[0]] for b in right[1]]) >= 0.9
     odd = toxicity(spark.createDataFrame([(1, None), (2, ""), (None, "a" * 100_000)], "doc_id long, text string"), model).collect()
     assert all(0 <= r["score"] <= 1 for r in odd)
     assert toxicity(none, model).count() == 0 and fit_toxicity(d, labels.where("false")) is None
@@ -356,6 +360,13 @@ def test_op6_neighbours(spark, monkeypatch):
     got = {r["doc_id"]: r for r in toxicity(table, fit_toxicity(table, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
     texts = dict(rows)
     examples = {k: texts[k] for k, _ in labels if zlib.crc32(str(k).encode()) % 5 and texts[k] and texts[k].strip()}
-    for k, wanted in brute.nearest_examples(rows, examples).items():
+    features = lru_cache(maxsize=None)(lambda w: tx.terms(pa.array([w], pa.binary()))[0].tolist())
+    for k, wanted in brute.nearest_examples(rows, examples, features).items():
         assert np.allclose(got[k]["cosines"], [x for _, x in wanted], atol=1e-9) and len(got[k]["nearest"]) == len(wanted)
     assert got[1]["nearest"]
+    # a word of an example among many that no example has is far from it, also where all of them are new
+    word, own = "lonelyterm", next(k for k in range(950, 960) if zlib.crc32(str(k).encode()) % 5)
+    table = table.unionByName(spark.createDataFrame([(own, word)], table.schema))
+    odd = [(1, word), (2, " ".join([word, *(f"neu{chr(97 + k)}x" for k in range(20))]))]
+    near = toxicity(spark.createDataFrame(odd, "doc_id long, text string"), fit_toxicity(table, spark.createDataFrame([*labels, (own, 1)], "doc_id long, toxic int"))).orderBy("doc_id").collect()
+    assert near[0]["cosines"][0] > 0.99 and max(near[1]["cosines"]) < 0.5
