@@ -121,9 +121,9 @@ def weighted(row: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.nd
 
 def likeness_order(row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, size: int, dims: int = 128) -> np.ndarray:
     """Rows so that like ones come together: halved along their main direction, in a sketch of dims, down to blocks of size."""
-    scrambled = mix64(number.astype(np.uint64) + np.uint64(1))
-    sign = 1 - 2 * (scrambled >> np.uint64(63)).astype(np.float64)
-    sketch = np.bincount(row.astype(np.int64) * dims + (scrambled % np.uint64(dims)).astype(np.int64), weights=weight * sign, minlength=n * dims).reshape(n, dims)
+    scrambled = mix64(np.arange(1, int(number.max(initial=-1)) + 2, dtype=np.uint64))
+    sign, place = 1 - 2 * (scrambled >> np.uint64(63)).astype(np.float64), (scrambled % np.uint64(dims)).astype(np.int64)
+    sketch = np.bincount(row.astype(np.int64) * dims + place[number], weights=weight * sign[number], minlength=n * dims).reshape(n, dims)
     out, todo = [], [np.arange(n)]
     while todo:
         rows = todo.pop()
@@ -145,17 +145,17 @@ class BlockMaxIndex:
     """Inverted index of examples, in blocks, with each block's largest weight of each term."""
 
     def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
-        self.ids, self.n, self.blocks = ids, len(ids), max(-(-len(ids) // BLOCK), 1)
-        by_row = np.argsort(row, kind="stable")
-        self.own, self.own_number, self.own_weight = np.searchsorted(row[by_row], np.arange(self.n + 1)), number[by_row].astype(np.int32), weight[by_row]
-        self.terms = terms
+        """Postings are ordered by row."""
+        self.ids, self.n, self.blocks, self.terms = ids, len(ids), max(-(-len(ids) // BLOCK), 1), terms
+        self.own, self.own_number, self.own_weight = np.searchsorted(row, np.arange(self.n + 1)), number, weight
+        weight = weight.astype(np.float32)
         often = np.bincount(number, minlength=terms) > DENSE * self.n
         self.dense_row = np.where(often, np.cumsum(often) - 1, -1)
         on = often[number]
         self.dense = np.zeros((int(often.sum()), self.n), np.float32)
         self.dense[self.dense_row[number[on]], row[on]] = weight[on]
         row, number, weight = row[~on], number[~on], weight[~on]
-        order = np.lexsort((row, number))
+        order = np.argsort(number, kind="stable")
         self.row, self.weight, number = row[order].astype(np.int32), weight[order], number[order]
         block = self.row // BLOCK
         first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else np.empty(0, np.int64)
@@ -232,11 +232,51 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
 
 
-def _votes(model: dict, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
-    """Share of toxic votes among the neighbours of each of n texts; NaN without neighbours."""
-    near = model["class_weight"][model["toxic"][example]] / (np.sqrt(np.maximum(2 - 2 * cosine, 0)) + 0.1)
-    with np.errstate(invalid="ignore"):
-        return np.bincount(text, weights=near * model["toxic"][example], minlength=n) / np.bincount(text, weights=near, minlength=n)
+class Examples:
+    """The index of a model's examples, as each worker builds it from their features."""
+
+    def __init__(self, model: dict):
+        sizes = np.array([len(f) // 4 for f in model["features"]], np.int64)
+        some = np.flatnonzero(sizes)
+        feature = np.frombuffer(b"".join(model["features"]), "<i4")
+        weight = 1 + np.log(np.frombuffer(b"".join(model["counts"]), "<u4"))
+        weight *= model["idf"][feature]
+        row = np.repeat(np.arange(len(some), dtype=np.int32), sizes[some])
+        norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(some)))
+        weight /= np.maximum(norm, 1e-300)[row]
+        self.idf, self.number = model["idf"], np.full(FEATURES, -1, np.int32)
+        known = np.unique(feature)
+        self.number[known] = np.arange(len(known), dtype=np.int32)
+        number = self.number[feature]
+        like = likeness_order(row, number, weight, len(some), BLOCK)
+        # examples in their new order, one after the other
+        at, _ = _ranges(np.r_[0, np.cumsum(sizes[some])][like], np.cumsum(sizes[some])[like])
+        row = np.repeat(np.arange(len(some), dtype=np.int32), sizes[some][like])
+        self.index = BlockMaxIndex(row, number[at], weight[at], model["ids"][some][like], len(known))
+        self.toxic, self.class_weight = model["toxic"][some][like], model["class_weight"]
+
+    def asked(self, row: np.ndarray, feature: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number and weight of the examples' features in texts; the weights are those of texts with all their features."""
+        weight = weighted(row, feature, count, self.idf)
+        on = self.number[feature] >= 0
+        return row[on], self.number[feature[on]], weight[on]
+
+    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """Share of toxic votes among the neighbours of each of n texts; NaN without neighbours."""
+        near = self.class_weight[self.toxic[example]] / (np.sqrt(np.maximum(2 - 2 * cosine, 0)) + 0.1)
+        with np.errstate(invalid="ignore"):
+            return np.bincount(text, weights=near * self.toxic[example], minlength=n) / np.bincount(text, weights=near, minlength=n)
+
+    def left_out(self, some: np.ndarray) -> np.ndarray:
+        """Votes on some examples (places in the index), each left out of the search."""
+        own = self.index
+        at, of = _ranges(own.own[some], own.own[some + 1])
+        return self.votes(*own.nearest(of, own.own_number[at], own.own_weight[at], len(some), NEIGHBOURS, some), len(some))
+
+
+def examples_of(shared, key: str) -> Examples:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return kept(key, lambda: Examples(pickle.loads(zlib.decompress(shared.value))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -254,8 +294,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and counts of each example: what a long text has of them is bounded."""
+    for batch in batches:
+        for part in slices(batch, "text", 2 << 20):
+            row, feature, count = counts(part.column("text"))
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+            cut_up = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), cut_up(feature, "<i4"), cut_up(count, "<u4")], names=["doc_id", "toxic", "features", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict | None:
-    """Index, examples and calibration from labelled rows that are not held out."""
+    """Examples and calibration from labelled rows that are not held out. The driver gathers the examples' features, and
+    sends them to the workers, which build the index; left-one-out votes are made there too."""
+    spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~_held_out())
     marks = cut(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
@@ -263,79 +315,51 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict
     if not total:
         return None
     chosen = bounded_sample(marks, "toxic", "doc_id", per_label)
-    sample = cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("copies")))
-    size = {r["toxic"]: (r["n"], r["copies"]) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")).collect()}
-    if not size:
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    examples = sample.mapInArrow(_listed, "doc_id long, toxic int, features binary, counts binary").toArrow().sort_by("doc_id")  # at most per_label texts of each label
+    if not examples.num_rows:
         return None
-    examples = sample.orderBy("doc_id").collect()  # at most per_label texts of each label
-    chunks = [pa.array([r["text"] for r in examples[k : k + 500]], pa.large_string()) for k in range(0, len(examples), 500)]
+    toxic, ids = examples.column("toxic").to_numpy(), examples.column("doc_id").to_numpy()
+    features, numbers = (examples.column(c).to_pylist() for c in ("features", "counts"))
     everything = texts.count()
     idf = np.log((1 + everything) / (1 + document_frequency(texts))) + 1
-    parts = [counts(c) for c in chunks]
-    row = np.concatenate([(p[0] + k * 500).astype(np.int32) for k, p in enumerate(parts)])
-    feature, count = (np.concatenate([p[k].astype(np.int32) for p in parts]) for k in (1, 2))
-    known, number = np.unique(feature, return_inverse=True)
-    number = number.astype(np.int32)
-    toxic = np.array([r["toxic"] for r in examples])
     # each example stands for as many labelled rows of its class
-    scale = np.array([total.get(k, 0) / max(size.get(k, (0, 0))[0], 1) for k in (0, 1)])
-    some = np.unique(row)
-    row = np.searchsorted(some, row).astype(np.int32)
-    weight = weighted(row, feature, count, idf)
-    like = likeness_order(row, number, weight, len(some), BLOCK)
-    place = np.empty(len(some), np.int64)
-    place[like] = np.arange(len(some))
-    row, some = place[row].astype(np.int32), some[like]
-    # examples go to the tasks as counts, a few bytes each; each worker builds the index
-    model = {"known": known, "idf": idf, "row": row, "number": number, "count": count, "ids": np.array([r["doc_id"] for r in examples])[some], "toxic": toxic[some], "class_weight": scale}
-    index = index_of(model)
-    rest = np.setdiff1d(np.arange(len(examples)), some)
+    scale = np.array([total.get(k, 0) / max(int((toxic == k).sum()), 1) for k in (0, 1)])
+    model = {"features": features, "counts": numbers, "ids": ids, "toxic": toxic, "idf": idf, "class_weight": scale}
+    shared, key = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1)), uuid.uuid4().hex
+    some = sum(1 for f in features if f)
+    rest = np.array([not f for f in features])
     share = scale[toxic[rest]]
-    model["without"] = float(((share * toxic[rest]).sum() + total.get(1, 0) / sum(total.values())) / (share.sum() + 1))
-    tried = np.arange(0, len(some), max(1, len(some) // CALIBRATED))
-    order = np.argsort(row, kind="stable")
-    order = order[np.isin(row[order], tried)]
-    votes = _votes(model, *index.nearest(np.searchsorted(tried, row[order]), number[order], weight[order], len(tried), NEIGHBOURS, tried), len(tried))
-    on = np.isfinite(votes)
-    y = model["toxic"][tried[on]]
+    without = float(((share * toxic[rest]).sum() + total.get(1, 0) / sum(total.values())) / (share.sum() + 1))
+    step = max(1, some // CALIBRATED)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, at = examples_of(shared, key), batch.column("id").to_numpy() * step
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(e.left_out(at)), pa.array(e.toxic[at].astype(np.int32))], names=["vote", "toxic"])
+
+    made = spark.range(0, -(-some // step), 1, spark.sparkContext.defaultParallelism).mapInArrow(tried, "vote double, toxic int").toArrow()
+    vote, y = made.column("vote").to_numpy(), made.column("toxic").to_numpy()
+    vote, y = vote[np.isfinite(vote)], y[np.isfinite(vote)]
     w = scale[y]
-    model["curve"] = _logistic(votes[on], y.astype(float), w / w.mean()) if len(y) else (6.0, -3.0)
-    return model
-
-
-def index_of(model: dict) -> BlockMaxIndex:
-    weight = weighted(model["row"], model["known"][model["number"]], model["count"], model["idf"])
-    return BlockMaxIndex(model["row"], model["number"], weight, model["ids"], len(model["known"]))
-
-
-def asked(texts: pa.Array, model: dict, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number and weight of the examples' features in texts; the weights are those of texts with all their features."""
-    row, feature, count = counts(texts)
-    weight = weighted(row, feature, count, model["idf"])
-    on = number[feature] >= 0
-    return row[on], number[feature[on]], weight[on]
+    return {"shared": shared, "key": key, "without": without, "curve": _logistic(vote, y.astype(float), w / w.mean()) if len(y) else (6.0, -3.0)}
 
 
 _OUT = ["doc_id", "score", "nearest", "cosines"]
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
-    def build() -> tuple[dict, BlockMaxIndex, np.ndarray]:
-        model = pickle.loads(zlib.decompress(shared.value))
-        number = np.full(FEATURES, -1, np.int32)
-        number[model["known"]] = np.arange(len(model["known"]))
-        return model, index_of(model), number
-
-    model, index, number = kept(key, build)
+def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    e = examples_of(model["shared"], model["key"])
     slope, shift = model["curve"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             n = part.num_rows
-            text, example, cosine = index.nearest(*asked(part.column("text"), model, number), n, NEIGHBOURS)
-            votes = _votes(model, text, example, cosine, n)
+            text, example, cosine = e.index.nearest(*e.asked(*counts(part.column("text"))), n, NEIGHBOURS)
+            votes = e.votes(text, example, cosine, n)
             score = np.where(np.isfinite(votes), 1 / (1 + np.exp(-(slope * votes + shift))), model["without"])
             ends = pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32))
-            near, cosines = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (index.ids[example], cosine))
+            near, cosines = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (e.index.ids[example], cosine))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), near, cosines], names=_OUT)
 
 
@@ -344,8 +368,7 @@ def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     if model is None:
         return texts.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("nearest"), F.array().cast("array<double>").alias("cosines"))
-    shared, key = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1)), uuid.uuid4().hex
-    return texts.mapInArrow(lambda batches: _score(batches, shared, key), "doc_id long, score double, nearest array<long>, cosines array<double>")
+    return texts.mapInArrow(lambda batches: _score(batches, model), "doc_id long, score double, nearest array<long>, cosines array<double>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
