@@ -123,7 +123,11 @@ def likeness_order(row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: i
     """Rows so that like ones come together: halved along their main direction, in a sketch of dims, down to blocks of size."""
     scrambled = mix64(np.arange(1, int(number.max(initial=-1)) + 2, dtype=np.uint64))
     sign, place = 1 - 2 * (scrambled >> np.uint64(63)).astype(np.float64), (scrambled % np.uint64(dims)).astype(np.int64)
-    sketch = np.bincount(row.astype(np.int64) * dims + place[number], weights=weight * sign[number], minlength=n * dims).reshape(n, dims)
+    sketch = np.zeros((n, dims))
+    for begin in range(0, n, 1000):
+        some = slice(*np.searchsorted(row, [begin, begin + 1000]))
+        m = min(1000, n - begin)
+        sketch[begin : begin + m] = np.bincount((row[some].astype(np.int64) - begin) * dims + place[number[some]], weights=weight[some] * sign[number[some]], minlength=m * dims).reshape(m, dims)
     out, todo = [], [np.arange(n)]
     while todo:
         rows = todo.pop()
@@ -215,12 +219,13 @@ class BlockMaxIndex:
     def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, text: np.ndarray, example: np.ndarray) -> np.ndarray:
         """Inner products of pairs of texts (ordered) and examples, in double precision."""
         out, asked = np.zeros(len(text)), np.zeros(self.terms)
-        ends, pairs = np.searchsorted(row, np.arange(n + 1)), np.searchsorted(text, np.arange(n + 1))
-        for t in np.flatnonzero(np.diff(pairs)).tolist():
-            mine, on = slice(ends[t], ends[t + 1]), slice(pairs[t], pairs[t + 1])
+        ends, pairs, own = np.searchsorted(row, np.arange(n + 1)).tolist(), np.searchsorted(text, np.arange(n + 1)).tolist(), self.own
+        for t in range(n):
+            mine = slice(ends[t], ends[t + 1])
             asked[number[mine]] = weight[mine]
-            at, of = _ranges(self.own[example[on]], self.own[example[on] + 1])
-            out[on] = np.bincount(of, weights=asked[self.own_number[at]] * self.own_weight[at], minlength=on.stop - on.start)
+            for pair in range(pairs[t], pairs[t + 1]):
+                at = slice(own[example[pair]], own[example[pair] + 1])
+                out[pair] = asked[self.own_number[at]] @ self.own_weight[at]
             asked[number[mine]] = 0
         return out
 
@@ -238,8 +243,9 @@ class Examples:
     def __init__(self, model: dict):
         sizes = np.array([len(f) // 4 for f in model["features"]], np.int64)
         some = np.flatnonzero(sizes)
-        feature = np.frombuffer(b"".join(model["features"]), "<i4")
-        weight = 1 + np.log(np.frombuffer(b"".join(model["counts"]), "<u4"))
+        feature = np.frombuffer(b"".join(model.pop("features")), "<i4")
+        weight = np.log(np.frombuffer(b"".join(model.pop("counts")), "<u4").astype(np.float64))
+        weight += 1
         weight *= model["idf"][feature]
         row = np.repeat(np.arange(len(some), dtype=np.int32), sizes[some])
         norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(some)))
@@ -248,6 +254,7 @@ class Examples:
         known = np.unique(feature)
         self.number[known] = np.arange(len(known), dtype=np.int32)
         number = self.number[feature]
+        del feature
         like = likeness_order(row, number, weight, len(some), BLOCK)
         # examples in their new order, one after the other
         at, _ = _ranges(np.r_[0, np.cumsum(sizes[some])][like], np.cumsum(sizes[some])[like])
