@@ -257,9 +257,10 @@ class Examples:
         del feature
         like = likeness_order(row, number, weight, len(some), BLOCK)
         # examples in their new order, one after the other
-        at, _ = _ranges(np.r_[0, np.cumsum(sizes[some])][like], np.cumsum(sizes[some])[like])
+        begin = np.r_[0, np.cumsum(sizes[some])].tolist()
+        number, weight = (np.concatenate([x[begin[k] : begin[k + 1]] for k in like.tolist()] or [x]) for x in (number, weight))
         row = np.repeat(np.arange(len(some), dtype=np.int32), sizes[some][like])
-        self.index = BlockMaxIndex(row, number[at], weight[at], model["ids"][some][like], len(known))
+        self.index = BlockMaxIndex(row, number, weight, model["ids"][some][like], len(known))
         self.toxic, self.class_weight = model["toxic"][some][like], model["class_weight"]
 
     def asked(self, row: np.ndarray, feature: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
