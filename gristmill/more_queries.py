@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from . import shared_path
 from .functions.values import items_of, member, number_of, parse, text_of
 from .operators import records as rc
+from .operators import route_checks as rk
 from .operators import static_checks as sc
 from .operators import suites as st
 from .operators.nested_schemas import validate
@@ -318,3 +319,56 @@ def journal_lines(spark, sf_dir):
     path = shared_path(spark, "journal")
     e.select(text.alias("value"), "event_id").repartitionByRange(6, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
     return read_lines(spark, path, "own", '{"n": 1, "suite": "own"}').select("case_id", "repetition", F.col("seconds").cast("long").alias("seconds"), "result")
+
+
+# routes of many workflows
+
+_ROUTES_SQL = """o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ e AS (SELECT 'w' || o_custkey AS workflow, 'f' || rn // 6 AS flow, CAST(rn % 6 AS INTEGER) AS position, o_custkey AS c, k,
+  CASE WHEN rn % 6 = 5 OR rn = n - 1 THEN NULL WHEN k % 3 = 0 THEN ['equals', 'in', 'not_equals', 'not_in'][1 + (k // 3) % 4] ELSE ['gt', 'gte', 'lt', 'lte', 'equals'][1 + (k // 3) % 5] END AS operator,
+  CASE WHEN k % 3 = 0 THEN '/payload/kind' ELSE '/payload/n' END AS pointer, k // 7 % 6 AS a, k // 11 % 6 AS b FROM o)"""
+
+
+def _routes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries of routes (six orders of a customer each), on a pointer with some texts and on one with numbers from 1 to 4."""
+    by = Window.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).alias("rn"), F.count(F.lit(1)).over(by).alias("n"))
+    k, third = F.col("k"), F.floor(F.col("k") / 3).cast("int")
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    operator = F.when((F.col("rn") % 6 == 5) | (F.col("rn") == F.col("n") - 1), None).when(k % 3 == 0, pick(["equals", "in", "not_equals", "not_in"], third % 4)).otherwise(pick([*rk.ORDER, "equals"], third % 5))
+    a, b = (F.floor(k / d) % 6 for d in (7, 11))
+    one, two = (F.when(k % 3 == 0, F.concat(F.lit('"t'), x, F.lit('"'))).otherwise(x.cast("string")) for x in (a, b))
+    entries = o.select(F.concat(F.lit("w"), "o_custkey").alias("workflow"), F.concat(F.lit("f"), F.floor(F.col("rn") / 6)).alias("flow"), (F.col("rn") % 6).cast("int").alias("position"), F.when(k % 3 == 0, "/payload/kind").otherwise("/payload/n").alias("pointer"), operator.alias("operator"), F.when(operator.isin("in", "not_in"), F.array(one, two)).otherwise(F.array(one)).alias("operands"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("w"), "c_custkey").alias("workflow"), "c_custkey")
+    values = c.where("c_custkey % 5 > 0").select("workflow", F.lit("/payload/kind").alias("pointer"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_custkey") % 5)).alias("v")).select("workflow", "pointer", F.concat(F.lit('"t'), "v", F.lit('"')).alias("value"))
+    ranges = c.where("c_custkey % 4 > 0").select("workflow", F.lit("/payload/n").alias("pointer"), F.lit(1).alias("low"), F.lit(4).alias("high"))
+    return entries, values, ranges
+
+
+@query(
+    f"""WITH {_ROUTES_SQL},
+    dom AS (SELECT e.workflow, flow, position, operator, pointer, a, b, CASE WHEN x = -1 THEN NULL ELSE x / 2 END AS v FROM e CROSS JOIN range(-1, 9) t(x)
+      WHERE operator IS NOT NULL AND CASE WHEN pointer = '/payload/kind' THEN c % 5 > 0 AND (x = -1 OR x % 2 = 0 AND x / 2 <= c % 5) ELSE c % 4 > 0 AND (x = -1 OR x BETWEEN 2 AND 8) END),
+    m AS (SELECT *, CASE operator WHEN 'equals' THEN coalesce(v = a, false) WHEN 'in' THEN coalesce(v IN (a, b), false) WHEN 'not_equals' THEN coalesce(v <> a, true) WHEN 'not_in' THEN coalesce(v NOT IN (a, b), true)
+      WHEN 'gt' THEN coalesce(v > a, false) WHEN 'gte' THEN coalesce(v >= a, false) WHEN 'lt' THEN coalesce(v < a, false) ELSE coalesce(v <= a, false) END AS fits FROM dom),
+    f AS (SELECT *, min(CASE WHEN fits THEN position END) OVER (PARTITION BY workflow, flow, pointer, v) AS first FROM m),
+    g AS (SELECT workflow, flow, position, bool_and(fits) FILTER (v IS NOT NULL) AS every, bool_or(fits) FILTER (v IS NOT NULL) AS one, bool_and(fits) AS always, count(*) FILTER (fits AND first = position) AS own FROM f GROUP BY ALL),
+    h AS (SELECT e.workflow, e.flow, e.position, every, one, own, min(CASE WHEN always THEN e.position END) OVER (PARTITION BY e.workflow, e.flow) AS decided FROM e LEFT JOIN g ON g.workflow = e.workflow AND g.flow = e.flow AND g.position = e.position)
+    SELECT workflow, flow, position, 'condition_always_true' AS problem FROM h WHERE every UNION ALL SELECT workflow, flow, position, 'condition_always_false' FROM h WHERE NOT one
+    UNION ALL SELECT workflow, flow, position, 'route_unreachable_entry' FROM h WHERE coalesce(position > decided, false) OR coalesce(own = 0, false)"""
+)
+def route_problems(spark, sf_dir):
+    """Conditions and entries of routes that no value reaches; in SQL: all halves of the numbers, one by one."""
+    return rk.route_problems(*_routes(spark, sf_dir))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT 'w' || o_custkey AS workflow, o_custkey AS k, 't' || o_orderkey % 6 AS key FROM orders), v AS (SELECT 'w' || c_custkey AS workflow, 't' || x AS key FROM customer CROSS JOIN range(5) t(x) WHERE c_custkey % 5 > 0 AND x <= c_custkey % 5)
+    SELECT workflow, 'f' AS flow, key, 'unmatched_case' AS problem FROM c WHERE k % 5 > 0 AND (workflow, key) NOT IN (SELECT workflow, key FROM v)
+    UNION ALL SELECT workflow, 'f', key, 'uncovered_value' FROM v WHERE workflow IN (SELECT workflow FROM c) AND (workflow, key) NOT IN (SELECT workflow, key FROM c)
+    UNION ALL SELECT DISTINCT workflow, 'f', NULL, 'case_on_unknown_type' FROM c WHERE k % 5 = 0"""
+)
+def case_problems(spark, sf_dir):
+    """Cases that cannot match, and values without a case."""
+    cases = table(spark, sf_dir, "orders").select(F.concat(F.lit("w"), "o_custkey").alias("workflow"), F.lit("f").alias("flow"), F.lit("/payload/kind").alias("pointer"), F.concat(F.lit("t"), F.col("o_orderkey") % 6).alias("key"))
+    return rk.case_problems(cases, _routes(spark, sf_dir)[1])
