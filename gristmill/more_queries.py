@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shared_path
+from .functions import comparisons as cmp
+from .functions.usage import request_cost
 from .functions.values import items_of, member, number_of, parse, text_of
 from .operators import records as rc
 from .operators import route_checks as rk
 from .operators import static_checks as sc
 from .operators import suites as st
+from .operators import summaries as sm
 from .operators.nested_schemas import validate
 from .plans.collections import collect
-from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow
-from .queries import query, table
+from .plans.workflow import Cases, Flow, Outcome, Repeat, Step, Workflow, flow_input, run_flow
+from .queries import _COST_SQL, _PRICES, query, table
+from .sources import reports as rp
 from .sources.journal import read_lines
 
 # schemas of any depth
@@ -256,12 +260,12 @@ def repeat_retry(spark, sf_dir):
 # evaluations that run
 
 
-def sized_suite(spark, sf_dir) -> tuple[DataFrame, DataFrame, Workflow]:
+def sized_suite(spark, sf_dir, limit: int = 500) -> tuple[DataFrame, DataFrame, Workflow]:
     """Cases of documents, four expectations of each, and a workflow that fails, asks for review, or goes on to a second flow."""
     label = lambda c: F.try_variant_get(F.to_variant_object(F.struct(c.alias("x"))), "$.x", "variant")
     n = lambda i: number_of(i["n"])
     bound = {"n": {"pointer": "/payload/n"}}
-    rule = Step("rule", lambda i: Outcome(label(F.when(n(i) >= 500, "long").otherwise("short")), F.when(n(i) < 100, "needs_review").otherwise("completed"), F.when(n(i) % 50 == 7, "invalid_output")), bound)
+    rule = Step("rule", lambda i: Outcome(label(F.when(n(i) >= limit, "long").otherwise("short")), F.when(n(i) < 100, "needs_review").otherwise("completed"), F.when(n(i) % 50 == 7, "invalid_output")), bound)
     mark = Step("mark", lambda i: F.to_variant_object(F.struct(F.when(n(i) % 2 == 0, "even").otherwise("odd").alias("kind"), F.array(F.struct((n(i) % 3).cast("int").alias("r")), F.struct((n(i) % 5).cast("int").alias("r"))).alias("parts"))), bound)
     flows = [Flow("size", [rule], Cases("/flows/size/result", {"long": "detail"}, "completed"), output={"pointer": "/steps/rule/result"}), Flow("detail", [mark], output={"pointer": "/steps/mark/result"})]
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("case_id"), "lang", F.coalesce("n_chars", F.lit(0)).alias("n"), "quality")
@@ -276,11 +280,15 @@ def below_3(actual, expected):
     return F.aggregate(F.from_json(actual, "array<int>"), F.lit(0), lambda a, x: a + x) < 3
 
 
-_SUITE_SQL = """d AS (SELECT doc_id AS case_id, lang, coalesce(n_chars, 0) AS n, coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id)),
- r AS (SELECT *, CASE WHEN n % 50 = 7 THEN 'failed' WHEN n < 100 THEN 'needs_review' ELSE 'completed' END AS status, n % 50 <> 7 AND n >= 500 AS detail FROM d),
- c AS (SELECT r.*, k, CASE k WHEN 0 THEN CASE WHEN status = 'failed' THEN 'error' WHEN (n >= 500) = (quality = 1) THEN 'passed' ELSE 'failed' END
+def _suite_sql(limit: int = 500, name: str = "") -> str:
+    return f"""d{name} AS (SELECT doc_id AS case_id, lang, coalesce(n_chars, 0) AS n, coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id)),
+ r{name} AS (SELECT *, CASE WHEN n % 50 = 7 THEN 'failed' WHEN n < 100 THEN 'needs_review' ELSE 'completed' END AS status, n % 50 <> 7 AND n >= {limit} AS detail FROM d{name}),
+ c{name} AS (SELECT r{name}.*, k, CASE k WHEN 0 THEN CASE WHEN status = 'failed' THEN 'error' WHEN (n >= {limit}) = (quality = 1) THEN 'passed' ELSE 'failed' END
    WHEN 1 THEN CASE WHEN NOT detail THEN 'missing' WHEN n % 2 = 0 THEN 'passed' ELSE 'failed' END WHEN 2 THEN CASE WHEN detail THEN 'passed' ELSE 'missing' END
-   ELSE CASE WHEN NOT detail THEN 'missing' WHEN n % 3 + n % 5 < 3 THEN 'passed' ELSE 'failed' END END AS outcome FROM r CROSS JOIN range(4) t(k))"""
+   ELSE CASE WHEN NOT detail THEN 'missing' WHEN n % 3 + n % 5 < 3 THEN 'passed' ELSE 'failed' END END AS outcome FROM r{name} CROSS JOIN range(4) t(k))"""
+
+
+_SUITE_SQL = _suite_sql()
 
 
 @query(
@@ -372,3 +380,65 @@ def case_problems(spark, sf_dir):
     """Cases that cannot match, and values without a case."""
     cases = table(spark, sf_dir, "orders").select(F.concat(F.lit("w"), "o_custkey").alias("workflow"), F.lit("f").alias("flow"), F.lit("/payload/kind").alias("pointer"), F.concat(F.lit("t"), F.col("o_orderkey") % 6).alias("key"))
     return rk.case_problems(cases, _routes(spark, sf_dir)[1])
+
+
+@query(
+    f"""WITH {_suite_sql()}, {_suite_sql(900, "2")}, rank(name, k) AS (VALUES ('error', 0), ('missing', 0), ('skipped', 0), ('failed', 1), ('passed', 2), ('needs_review', 1), ('completed', 2)),
+    m AS (SELECT a.case_id, max(y.k - x.k) AS up, min(y.k - x.k) AS down, count(*) FILTER (a.outcome = 'passed') AS before, count(*) FILTER (b.outcome = 'passed') AS after FROM c a JOIN c2 b ON a.case_id = b.case_id AND a.k = b.k JOIN rank x ON x.name = a.outcome JOIN rank y ON y.name = b.outcome GROUP BY 1),
+    t AS (SELECT CASE WHEN up > 0 AND down < 0 THEN 'mixed' WHEN up > 0 THEN 'improved' WHEN down < 0 THEN 'regressed' ELSE 'unchanged' END AS change, before, after FROM m)
+    SELECT {', '.join(f"2 * count(*) FILTER (change = '{x}') AS {x}" for x in ("improved", "regressed", "mixed", "unchanged"))}, sum(before) / (4 * count(*)) AS before_pass_rate, sum(after) / (4 * count(*)) AS after_pass_rate,
+    (SELECT count(*) FILTER (status = 'failed') / count(*) FROM r) AS before_failure_rate, (SELECT count(*) FILTER (status = 'needs_review') / count(*) FROM r2) AS after_review_rate FROM t"""
+)
+def saved_comparison(spark, sf_dir):
+    """Two evaluations of a suite with different workflows, saved and compared from their files."""
+    paths = []
+    for limit in (500, 900):
+        cases, gold, workflow = sized_suite(spark, sf_dir, limit)
+        paths.append(shared_path(spark, "evaluation"))
+        rp.save(st.run_suite(cases, gold, workflow, 2, scorers={"sum_below_3": below_3}), paths[-1], 2)
+    totals = rp.compare_saved(spark, *paths)[1]
+    return totals.select("improved", "regressed", "mixed", "unchanged", "before_pass_rate", "after_pass_rate", "before_failure_rate", "after_review_rate")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '{"label":"' || CASE WHEN n >= 500 THEN 'long' ELSE 'short' END || '","n":' || n || '}' END AS input,
+    CASE WHEN n % 50 = 7 THEN 'failed' WHEN n < 100 THEN 'needs_review' ELSE 'completed' END AS status, CASE WHEN n % 50 <> 7 THEN CASE WHEN n >= 500 THEN 'long' ELSE 'short' END END AS result FROM d"""
+)
+def flow_alone(spark, sf_dir):
+    """The input that a later flow would get, given authored results for some rows, and runs of one flow by itself."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    _, _, workflow = sized_suite(spark, sf_dir)
+    later = Flow("later", [], input={"n": {"pointer": "/payload/n"}, "label": {"pointer": "/flows/size/result"}})
+    whole = Workflow([Flow("size", workflow.flows[0].steps, "later", output=workflow.flows[0].output), later], "size")
+    authored = F.when(F.col("doc_id") % 3 > 0, parse(F.when(F.col("n") >= 500, '"long"').otherwise('"short"')))
+    e = d.select(F.col("doc_id").alias("run_id"), F.to_variant_object(F.struct("n")).alias("payload"), F.lit(None).cast("variant").alias("metadata"))
+    runs = run_flow(whole, "size", e).select(F.col("run_id").alias("doc_id"), "status", F.when(F.col("status") != "failed", text_of(F.col("payload"))).alias("result"))
+    given = d.select("doc_id", F.to_json(flow_input(whole, "later", F.to_variant_object(F.struct("n")), F.lit(None).cast("variant"), {"size": authored})).alias("input"))
+    return given.join(runs, "doc_id")
+
+
+# oracles of amounts and spans
+
+
+@query(
+    f"""WITH r AS (SELECT l_returnflag, l_suppkey % 10 <> 0 OR l_returnflag = 'R' AS whole, l_linenumber % 4 = 0 AS none, {_COST_SQL} AS micro FROM lineitem)
+    SELECT l_returnflag, whole, count(*) FILTER (none OR micro IS NOT NULL) AS known, count(*) FILTER (NOT none AND micro IS NULL) AS unknown,
+    CASE WHEN count(*) = count(*) FILTER (none OR micro IS NOT NULL) THEN CAST(round_even(CAST(sum(CASE WHEN none THEN 0 ELSE micro END) AS DOUBLE), 0) AS BIGINT) END AS amount_micro FROM r GROUP BY ALL"""
+)
+def cost_totals(spark, sf_dir):
+    """Amounts of groups in which all requests have a price, or cost nothing, and of groups in which some have none."""
+    x = table(spark, sf_dir, "lineitem")
+    known = F.col("l_suppkey") % 10 != 0
+    x = x.withColumns({"amount": request_cost(_PRICES, F.col("l_partkey") * 100, F.col("l_suppkey"), F.when(known, F.col("l_partkey")), F.lit(None)), "currency": F.lit("USD"), "requests": F.when(F.col("l_linenumber") % 4 == 0, 0).otherwise(1), "whole": known | (F.col("l_returnflag") == "R")})
+    return sm.cost_summary(x, "l_returnflag", "whole").select("l_returnflag", "whole", "known", "unknown", (F.col("amount") * 1_000_000).cast("long").alias("amount_micro"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, length(text) // 2 AS p, length(text) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id,
+    instr(substr(text, greatest(p - 1, 0) + 1, p + 2 - greatest(p - 1, 0)), 'th') > 0 AS covers, instr(substr(text, greatest(p - 1, p) + 1, p + 2 - p), 'th') > 0 AS allowed FROM d"""
+)
+def spans_required(spark, sf_dir):
+    """Texts in whose middle a candidate stands: over the required character, and not before the allowed range."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("p", F.floor(F.length("text") / 2).cast("int"))
+    p, n = F.col("p"), F.length("text")
+    return d.select("doc_id", cmp.in_span(F.lit("th"), F.col("text"), (p, p + 1), (F.lit(0), n)).alias("covers"), cmp.in_span(F.lit("th"), F.col("text"), (p, p + 1), (p, n)).alias("allowed"))

@@ -8,7 +8,7 @@ comes out is the one that went in. A review ends a flow early; it leads where ``
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -400,6 +400,42 @@ def _target(context: Mapping[str, Column], rule: str | Sequence | Cases) -> tupl
     return out, F.lit(False)
 
 
+def _named(workflow: Workflow, flow: str) -> Flow:
+    for f in workflow.flows:
+        if f.name == flow:
+            return f
+    raise ValueError(f"unknown flow {flow!r}")
+
+
+def flow_input(workflow: Workflow, flow: str, payload: Column, metadata: Column, results: Mapping[str, Column] | None = None) -> Column:
+    """The input that a workflow binds for a flow, given authored results of flows before it, as of completed ones; NULL where
+    a binding without a default reads what is not given. Nothing runs."""
+    f = _named(workflow, flow)
+    context = {"/payload": payload, "/metadata": metadata}
+    for name, value in (results or {}).items():
+        context |= {f"/flows/{_named(workflow, name).name}/status": _text(F.lit("completed")), f"/flows/{name}/result": value}
+    return payload if f.input is None else _object(context, f.input)
+
+
+def run_flow(workflow: Workflow, flow: str, envelopes: DataFrame) -> DataFrame:
+    """Runs of one flow on payloads as its input, with its attempts; what comes after it in the workflow does not run."""
+    f = _named(workflow, flow)
+    alone = replace(f, next="completed", on_review="needs_review", input=None)
+    return Workflow([alone], flow, output={"pointer": f"/flows/{flow}/result"}, max_steps=workflow.max_steps).run(envelopes)
+
+
+def run_step(workflow: Workflow, flow: str, step: str, envelopes: DataFrame) -> DataFrame:
+    """Runs of one step on payloads as its flow's input, whatever its guard says; it must not read steps before it."""
+    f = _named(workflow, flow)
+    own = next((s for s in f.steps if s.name == step), None)
+    if own is None:
+        raise ValueError(f"unknown step {step!r}")
+    if any(p.startswith("/steps/") for b in own.inputs.values() for p in [b.get("pointer", ""), *b.get("first_of", [])]):
+        raise ValueError(f"{step!r} reads steps before it")
+    alone = Flow(flow, [replace(own, when=None)], output={"pointer": f"/steps/{step}/result"})
+    return Workflow([alone], flow, output={"pointer": f"/flows/{flow}/result"}, max_steps=workflow.max_steps).run(envelopes)
+
+
 def identity_error(metadata: Column, tenant: Column, principal: Column) -> Column:
     """forbidden where the metadata names another tenant or principal than the caller's."""
     other = lambda name, own: F.coalesce(~text_of(lookup({"": metadata}, f"/{name}")).eqNullSafe(own), F.lit(False)) & lookup({"": metadata}, f"/{name}").isNotNull()

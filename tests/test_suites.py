@@ -51,3 +51,28 @@ def test_repetitions_and_repeated_cases(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("c", 1), ("d", 2), ("d", 3), ("e", None), ("e", 1)], "case_id string, repetition int")
     assert sorted(map(tuple, st.repetition_problems(rows, 2).collect())) == [("b", "incomplete"), ("c", "repeated"), ("d", "incomplete"), ("e", "repeated")]
     assert st.run_suite(cases.where("false"), gold, w).checks.count() == 0
+
+
+def test_saved_evaluations(spark, tmp_path):
+    from gristmill.plans.workflow import flow_input, run_step
+    from gristmill.sources import reports as rp
+    from test_runs import envelopes
+
+    w = Workflow([Flow("a", [Step("s", lambda i: Outcome(i["x"]), {"x": {"pointer": "/payload/x"}}, when={"pointer": "/payload/none", "present": True})])], "a")
+    cases, gold = suite(spark, {"payload": {"x": 1}}, {"payload": {"x": 2}})
+    one, two, three = (f"file://{tmp_path}/{k}" for k in "123")
+    rp.save(st.run_suite(cases, gold, w), one)
+    rp.save(st.run_suite(cases.where("case_id = 'c0'"), gold, w), two)
+    assert rp.compare_saved(spark, one, one)[1].first()["unchanged"] == 2
+    with pytest.raises(ValueError):
+        rp.compare_saved(spark, one, two)
+    with pytest.raises(Exception):
+        rp.save(st.run_suite(cases, gold, w), one)
+    saved = st.run_suite(cases, gold, w, 2)
+    rp.save(saved._replace(attempts=saved.attempts.where("repetition = 2 OR case_id = 'c0'")), three, 2)
+    with pytest.raises(ValueError):
+        rp.read(spark, three)
+    assert run_step(w, "a", "s", envelopes(spark, {"x": 4})).select(F.to_json("payload")).first()[0] == "4"
+    for call in (lambda: flow_input(w, "none", F.lit(1), F.lit(1)), lambda: run_step(w, "a", "t", None), lambda: flow_input(w, "a", F.lit(1), F.lit(1), {"b": F.lit(1)})):
+        with pytest.raises(ValueError):
+            call()
