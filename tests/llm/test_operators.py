@@ -292,7 +292,8 @@ def test_op10(spark, none):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, wanted = registry.QUERIES[name](spark, DATA).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
     plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values.tolist()))
     assert plain(got) == plain(wanted)
