@@ -294,9 +294,11 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got, wanted = registry.QUERIES[name](spark, DATA).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
-    plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values.tolist()))
-    assert plain(got) == plain(wanted)
+    got, wanted = registry.QUERIES[name](spark, DATA), con.execute(registry.ORACLE_SQL[name])
+    names = sorted(got.columns)
+    at = [[c[0] for c in wanted.description].index(n) for n in names]
+    plain = lambda rows: sorted(map(str, rows))
+    assert plain(tuple(r) for r in got.select(*names).collect()) == plain(tuple(r[k] for k in at) for r in wanted.fetchall())
 
 
 def test_pipeline(spark, docs, tmp_path):
