@@ -44,8 +44,9 @@ FIRST = 1
 DENSE = 0.06
 #: Examples whose votes calibrate the curve, at least, where there are as many.
 CALIBRATED = 2000
-#: Postings that are added up at a time, about.
+#: Sums of texts and examples that are held at a time, about, and postings that are read at a time.
 TOGETHER = 1_500_000
+POSTINGS = 200_000
 PREFIXES = (4, 5, 6, 7)
 
 _LETTERS = letters()
@@ -149,72 +150,116 @@ class BlockMaxIndex:
     """Inverted index of examples, in blocks, with each block's largest weight of each term."""
 
     def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
-        """Postings are ordered by row."""
+        """Postings are ordered by row; they are dealt to their lists block after block, so nothing sorts all of them."""
         self.ids, self.n, self.blocks, self.terms = ids, len(ids), max(-(-len(ids) // BLOCK), 1), terms
         self.own, self.own_number, self.own_weight = np.searchsorted(row, np.arange(self.n + 1)), number, weight
-        weight = weight.astype(np.float32)
-        often = np.bincount(number, minlength=terms) > DENSE * self.n
-        self.dense_row = np.where(often, np.cumsum(often) - 1, -1)
-        on = often[number]
+        sizes = np.bincount(number, minlength=terms)
+        often = sizes > DENSE * self.n
+        self.dense_row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         self.dense = np.zeros((int(often.sum()), self.n), np.float32)
-        self.dense[self.dense_row[number[on]], row[on]] = weight[on]
-        row, number, weight = row[~on], number[~on], weight[~on]
-        order = np.argsort(number, kind="stable")
-        self.row, self.weight, number = row[order].astype(np.int32), weight[order], number[order]
-        block = self.row // BLOCK
-        first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else np.empty(0, np.int64)
-        self.block, self.begin, self.end = block[first].astype(np.int32), first.astype(np.int32), np.r_[first[1:], len(number)].astype(np.int32)[: len(first)]
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
-        self.first = np.searchsorted(number[first], np.arange(terms + 1)).astype(np.int32)
-        self.postings = np.bincount(number, minlength=terms).astype(np.int32)
+        self.postings = np.where(often, 0, sizes).astype(np.int32)
+        self.start = np.r_[0, np.cumsum(self.postings, dtype=np.int64)]
+        self.row, self.weight = np.empty(self.start[-1], np.min_scalar_type(self.n)), np.empty(self.start[-1], np.float32)
+        filled, cells = self.start[:-1].copy(), [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32))]
+        for block in range(self.blocks):
+            some = slice(self.own[block * BLOCK], self.own[min((block + 1) * BLOCK, self.n)])
+            r, k, w = row[some], number[some], weight[some].astype(np.float32)
+            on = self.dense_row[k] >= 0
+            self.dense[self.dense_row[k[on]], r[on]] = w[on]
+            r, k, w = r[~on], k[~on], w[~on]
+            if not len(k):
+                continue
+            order = np.argsort(k, kind="stable")
+            r, k, w = r[order], k[order], w[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            size, of = np.diff(np.r_[first, len(k)]), k[first]
+            at = np.repeat(filled[of] - first, size) + np.arange(len(k))
+            self.row[at], self.weight[at] = r, w
+            cells.append((of, filled[of], np.full(len(of), block, np.int32), np.maximum.reduceat(w, first)))
+            filled[of] += size
+        of, begin, block, most = (np.concatenate(x) for x in zip(*cells, strict=True))
+        order = np.argsort(begin, kind="stable")  # by term, then by block
+        self.begin, self.block, self.most = begin[order].astype(np.int32), block[order], most[order]
+        self.end = np.r_[self.begin[1:], len(self.row)].astype(np.int32)[: len(order)]
+        self.first = np.searchsorted(of[order], np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For n texts with these vectors (ordered by row): text, example and cosine of the k largest cosines above 0 of each
         text, from the largest, the smaller doc_id first at ties; but: an example for each text that is left out."""
         ends = np.searchsorted(row, np.arange(n + 1))
-        work = np.r_[0, np.cumsum(self.postings[number], dtype=np.int64)][ends]
-        out, begin = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
-        while begin < n:
-            end = min(max(begin + 1, int(np.searchsorted(work, work[begin] + TOGETHER, side="right")) - 1), begin + max(1, TOGETHER // max(self.n, 1)), n)
+        out, together = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], max(1, TOGETHER // max(self.n, 1))
+        for begin in range(0, n, together):
+            end = min(begin + together, n)
             on = slice(ends[begin], ends[end])
             text, example, cosine = self._some(row[on] - begin, number[on], weight[on], end - begin, k, None if but is None else but[begin:end])
             out.append((text + begin, example, cosine))
-            begin = end
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _some(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        whole = row, number, weight
         at = self.dense_row[number]
+        on = at >= 0
         asked = np.zeros((n, len(self.dense)), np.float32)
-        asked[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        asked[row[on], at[on]] = weight[on]
         total = asked @ self.dense
-        cell, of = _ranges(self.first[number], self.first[number + 1])
-        text, weight = row[of], weight[of]
-        code = text * self.blocks + self.block[cell]
-        rest = np.bincount(code, weights=weight * self.most[cell], minlength=n * self.blocks).reshape(n, self.blocks)
-        bound = np.maximum.reduceat(total, np.arange(0, self.n, BLOCK), axis=1) + rest
-        left = rest > 0
-        now = np.zeros_like(left)
-        np.put_along_axis(now, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-        for last in (False, True):
-            now &= left
-            on = now.ravel()[code]
-            at, of = _ranges(self.begin[cell[on]], self.end[cell[on]])
-            total += np.bincount((text[on] * self.n)[of] + self.row[at], weights=weight[on][of] * self.weight[at], minlength=total.size).reshape(total.shape)
-            if but is not None:
-                total[np.arange(n), but] = 0
-            least = np.partition(total, -k, axis=1)[:, -k] if self.n > k else np.zeros(n)
-            if not last:
-                left &= ~now
-                now = bound >= least[:, None] - MARGIN
-        text, example = np.nonzero((total > 0) & (total >= least[:, None] - MARGIN))
-        cosine = self._cosines(*whole, n, text, example)
+        high = np.maximum.reduceat(total, np.arange(0, self.n, BLOCK), axis=1)
+        ends = np.searchsorted(row[~on], np.arange(n + 1)).tolist()
+        lists, heavy = number[~on], weight[~on]
+        texts, examples = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for t in range(n):
+            mine = slice(ends[t], ends[t + 1])
+            found = self._candidates(total[t], high[t], lists[mine], heavy[mine], k, None if but is None else int(but[t]))
+            texts.append(np.full(len(found), t))
+            examples.append(found)
+        text, example = np.concatenate(texts), np.concatenate(examples)
+        cosine = self._cosines(row, number, weight, n, text, example)
         order = np.lexsort((self.ids[example], -np.round(cosine, 12), text))
         text = text[order]
         place = np.arange(len(text)) - np.searchsorted(text, text)
         order = order[place < k]
         return text[place < k], example[order], cosine[order]
 
+    def _candidates(self, total: np.ndarray, high: np.ndarray, lists: np.ndarray, weight: np.ndarray, k: int, but: int | None) -> np.ndarray:
+        """Examples that may be among the k nearest of one text; total: its products with the whole rows, high: their largest in
+        each block. All arrays are those of one text, so they stay in the processor's caches."""
+        cell, of = _ranges(self.first[lists], self.first[lists + 1])
+        block = self.block[cell]
+        rest = np.bincount(block, weights=weight[of] * self.most[cell], minlength=self.blocks)
+        bound, left = high + rest, rest > 0
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        on = (first & left)[block]
+        c = cell[on]
+        sums = total + self._sums(self.begin[c], self.end[c], weight[of[on]])
+        if but is not None:
+            sums[but] = 0
+        least = np.partition(sums, -k)[-k] if self.n > k else 0.0
+        more = left & ~first & (bound >= least - MARGIN)
+        if more.any():
+            if 2 * np.count_nonzero(more) > np.count_nonzero(left):  # whole lists are read faster than most of their blocks
+                sums = total + self._sums(self.start[lists], self.start[lists + 1], weight)
+            else:
+                on = more[block]
+                c = cell[on]
+                sums += self._sums(self.begin[c], self.end[c], weight[of[on]])
+            if but is not None:
+                sums[but] = 0
+            least = np.partition(sums, -k)[-k] if self.n > k else 0.0
+        return np.flatnonzero((sums > 0) & (sums >= least - MARGIN))
+
+    def _sums(self, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums over some runs of postings, each times a weight, for all examples; POSTINGS at a time, about."""
+        size = (end - begin).astype(np.int64)
+        until, weight, out, a = np.cumsum(size), weight.astype(np.float32), np.zeros(self.n), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(until, until[a] - size[a] + POSTINGS, side="right")))
+            s, stop = size[a:b], until[a:b] - (until[a] - size[a])
+            at = np.repeat(begin[a:b] - (stop - s), s)
+            at += np.arange(stop[-1])
+            part = self.weight[at]
+            part *= np.repeat(weight[a:b], s)
+            out += np.bincount(self.row[at], weights=part, minlength=self.n)
+            a = b
+        return out
 
     def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, text: np.ndarray, example: np.ndarray) -> np.ndarray:
         """Inner products of pairs of texts (ordered) and examples, in double precision."""
@@ -251,7 +296,8 @@ class Examples:
         norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(some)))
         weight /= np.maximum(norm, 1e-300)[row]
         self.idf, self.number = model["idf"], np.full(FEATURES, -1, np.int32)
-        known = np.unique(feature)
+        having = np.bincount(feature, minlength=FEATURES)
+        known = np.argsort(-having, kind="stable")[: np.count_nonzero(having)]  # frequent ones together, where caches keep them
         self.number[known] = np.arange(len(known), dtype=np.int32)
         number = self.number[feature]
         del feature
