@@ -318,6 +318,58 @@ def test_pipeline(spark, docs, tmp_path):
     assert 900 not in ids and 902 not in ids and len(ids & {100, 101, 102, 103}) <= 1 and set(range(30)) - ids <= {k for k, t in ROWS if len(t or "") < 12}
 
 
+def test_pipeline_rows(spark, docs, tmp_path):
+    """The pipeline's pieces are those that brute force gives: filters by hand, texts from the mix's slots, cuts and the number
+    of sequences by looking at every window."""
+    import re
+
+    import corpus_pipeline
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    last = {t: k for k, t in sorted(ROWS) if any(c.isalpha() for c in t or "")}  # of equal texts the largest doc_id
+    unique = [(k, t) for t, k in last.items()]
+    near = [(k, t) for k, t in unique if reachable(sets(unique))[k] == k]
+    mix = Mix(docs.where(F.col("doc_id").isin([k for k, _ in near])))
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t) for k, t in near}
+    assert {r["doc_id"]: r["size"] for r in mix.taken().collect()} == {k: len(w) for k, w in words.items()}
+    # a row for each turn of a document, with the words of its slots
+    rows = mix.documents(docs.where(F.col("doc_id").isin([*words]))).collect()
+    runs = {}
+    for r in mix.filled().join(mix.placed.where("size > 0"), ["source_no", "strip", "begin"]).collect():
+        runs.setdefault((r["doc_id"], r["turn"]), []).append((r["word_begin"], r["word_end"]))
+    assert sorted((r["doc_id"], " ".join(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in rows) == sorted((k, " ".join(w for a, b in sorted(x) for w in words[k][a:b])) for (k, _), x in runs.items())
+    from tokenizers import Tokenizer
+
+    t, pieces = Tokenizer.from_file(default_tokenizer()), []
+    for r in rows:
+        ids = np.array([*t.encode(r["text"], add_special_tokens=False).ids, 0], "<u4")
+        pieces += [(r["doc_id"], a, len(ids[a : a + 1024]), zlib.crc32(ids[a : a + 1024].tobytes()), len(ids)) for a in range(0, len(ids), 1024)]
+    assert sorted(zip(got.doc_id, got.start, got.length, got.ids_crc32, got.doc_tokens)) == sorted(pieces) and len(pieces) > len(near) > 30
+    for _, part in got.groupby(got.sequence_id // 2**40):
+        rooms: list[int] = []
+        for n in sorted(part.length, reverse=True):
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms[rooms.index(min(fits))] -= n
+            else:
+                rooms.append(1024 - n)
+        assert sorted(1024 - r for r in rooms) == sorted(part.groupby("sequence_id").length.sum())
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]]
+
+
+def test_pipeline_of_odd_tables(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    rows = [(None, BASE), (None, None), (1, None), (2, ""), (3, " "), (4, prose(30)), (4, prose(30)), (5, "12 34")]
+    clashing(spark, rows).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in got} <= {None, 4} and 4 in {r["doc_id"] for r in got}
+
+
 def test_op8_losses(spark, docs):
     """All words count, also those beyond the 2000 most frequent ones."""
     rows = [*ROWS, (None, "no id"), *((1000 + k, " ".join(f"Rare{k}x{j} the" for j in range(50))) for k in range(60))]
