@@ -10,6 +10,7 @@ from . import shared_path
 from .functions import comparisons as cmp
 from .functions.usage import request_cost
 from .functions.values import items_of, member, number_of, parse, text_of
+from .operators import decision_steps as ds
 from .operators import records as rc
 from .operators import route_checks as rk
 from .operators import static_checks as sc
@@ -442,3 +443,66 @@ def spans_required(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("p", F.floor(F.length("text") / 2).cast("int"))
     p, n = F.col("p"), F.length("text")
     return d.select("doc_id", cmp.in_span(F.lit("th"), F.col("text"), (p, p + 1), (F.lit(0), n)).alias("covers"), cmp.in_span(F.lit("th"), F.col("text"), (p, p + 1), (p, n)).alias("allowed"))
+
+
+# decision steps
+
+_LANE_SQL = """WITH o AS (SELECT o_orderkey, o_totalprice > 150000 AS urgent, CASE WHEN o_orderkey % 5 = 0 THEN 'not_answerable' WHEN o_orderkey % 7 = 0 THEN 'undetermined' ELSE 'answerable' END AS status,
+    o_orderkey % 11 = 0 AS odd, o_orderkey % 13 = 0 AS silent, o_orderkey % 17 = 0 AS torn, CASE WHEN o_orderkey % 11 = 0 THEN 'none' WHEN o_orderstatus = 'F' THEN 'fast' ELSE 'slow' END AS lane FROM orders)"""
+
+
+def _answers(spark, sf_dir, both: bool) -> DataFrame:
+    """Answers to one question on orders, or to two, of which the second comes first; some are torn, wrong or missing."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.when(k % 5 == 0, "not_answerable").when(k % 7 == 0, "undetermined").otherwise("answerable")
+    issue = F.when(status == "not_answerable", F.array(F.lit("no_supported_answer"))).when(status == "undetermined", F.array(F.lit("conflicting_information"))).otherwise(F.array().cast("array<string>"))
+    pick = F.when(k % 11 == 0, "none").when(F.col("o_orderstatus") == "F", "fast").otherwise("slow")
+    item = lambda q, s, i, a: F.struct(F.lit(q).alias("question"), s.alias("status"), i.alias("issues"), a.alias("answer"))
+    lane = item("lane", status, issue, F.when(status == "answerable", F.array(pick)).otherwise(F.array().cast("array<string>")))
+    urgent = item("urgent", F.lit("answerable"), F.array().cast("array<string>"), F.array((F.col("o_totalprice") > 150000).cast("string")))
+    listed = F.array(lane, F.when(k % 13 != 0, urgent)) if both else F.array(lane)
+    return o.select("o_orderkey", F.when(k % 17 == 0, "{").otherwise(F.to_json(F.struct(F.array_compact(listed).alias("results")))).alias("output"))
+
+
+@query(
+    f"""{_LANE_SQL}, p AS (SELECT *, CASE WHEN torn THEN 'malformed' ELSE concat_ws(',', CASE WHEN silent THEN 'missing:urgent' END, CASE WHEN status = 'answerable' AND odd THEN 'lane:unknown-option' END) END AS problems FROM o)
+    SELECT o_orderkey, problems, CASE WHEN problems = '' THEN 'urgent,lane' END AS answered, CASE WHEN problems = '' THEN CAST(urgent AS VARCHAR) END AS urgent,
+    CASE WHEN problems = '' THEN status = 'answerable' END AS answerable, CASE WHEN problems = '' THEN CASE status WHEN 'not_answerable' THEN 'no_supported_answer' ELSE '' END END AS issues FROM p"""
+)
+def decision_results(spark, sf_dir):
+    """Answers to two questions, in the order in which they were asked, or what is wrong with them."""
+    questions = ds.asked("triage", "", ["note"], [ds.Question("predicate", id="urgent", prompt="Is it urgent?", sources=("note",)), ds.Question("choice", ("fast", "slow"), "lane", "Which lane?", ("note",))])
+    x = _answers(spark, sf_dir, True).withColumn("d", ds.decision_result(F.col("output"), questions))
+    return x.select("o_orderkey", F.array_join("d.problems", ",").alias("problems"), F.array_join("d.results.question", ",").alias("answered"), F.col("d.results")[0].answer[0].alias("urgent"), F.col("d.answerable").alias("answerable"), F.array_join("d.issues", ",").alias("issues"))
+
+
+@query(
+    f"""{_LANE_SQL}, p AS (SELECT *, torn OR status = 'answerable' AND odd AS bad, o_orderkey % 3 = 0 AS asks FROM o), q AS (SELECT *, NOT bad AND status = 'not_answerable' AS desk FROM p)
+    SELECT o_orderkey, CASE WHEN bad THEN 'failed' WHEN status = 'answerable' OR desk AND NOT asks THEN 'completed' ELSE 'needs_review' END AS status, CASE WHEN bad THEN 'invalid_output' END AS error,
+    CASE WHEN desk THEN 3 WHEN bad THEN 1 ELSE 2 END AS transitions, CASE WHEN NOT bad THEN CASE status WHEN 'answerable' THEN lane WHEN 'not_answerable' THEN 'slow' END END AS selection,
+    CASE WHEN desk AND NOT asks THEN 'seen' END AS desk FROM q"""
+)
+def decision_workflow(spark, sf_dir):
+    """A workflow whose reviews lead where their issues say, as flows inherit it; a desk that may ask a person goes on without a result."""
+    (lane,) = ds.asked("lane", "Which lane?", ["note"], ds.Question("choice", ("fast", "slow")))
+    ask = Step("lane", lambda i: ds.decided(ds.decision_result(text_of(i["output"]), [lane], True, "slow", ["no_supported_answer"])), {"output": {"pointer": "/payload/output"}})
+    desk = Step("look", lambda i: Outcome(F.when(number_of(i["k"]) % 3 != 0, parse(F.lit('"seen"'))), F.when(number_of(i["k"]) % 3 == 0, "needs_review").otherwise("completed")), {"k": {"pointer": "/payload/o_orderkey"}})
+    flows = [Flow("triage", [ask], output={"pointer": "/steps/lane/result"}), Flow("desk", [desk], on_review="needs_review", output={"pointer": "/steps/look/result"})]
+    whole = Workflow(flows, "triage", on_review={"no_supported_answer": "desk", "default": "needs_review"})
+    x = _answers(spark, sf_dir, False)
+    runs = whole.run(x.select(F.col("o_orderkey").alias("run_id"), F.to_variant_object(F.struct("o_orderkey", "output")).alias("payload"), F.lit(None).cast("variant").alias("metadata")))
+    return runs.select(F.col("run_id").alias("o_orderkey"), "status", "error", F.size("transitions").alias("transitions"), F.try_variant_get("triage.result", "$.selection", "string").alias("selection"), F.try_variant_get("desk.result", "$", "string").alias("desk"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN text END AS text, CASE WHEN regexp_matches(text, '\S') THEN '{"lang":' || coalesce('"' || lang || '"', 'null') || ',"n":' || coalesce(n_chars, 0) || '}' END AS facts,
+    CASE WHEN regexp_matches(text, '\S') THEN 'tone: Is it kind? (text,facts)' END AS asked FROM documents"""
+)
+def decision_inputs(spark, sf_dir):
+    """What a question on a text and on a JSON value takes along; texts that are blank or missing are no input."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.to_variant_object(F.struct("text")))
+    facts = F.to_variant_object(F.struct(F.coalesce("n_chars", F.lit(0)).alias("n"), "lang"))
+    questions = ds.asked("tone", "Is it kind?", ["text", "facts"], ds.Question("predicate"))
+    x = d.select("doc_id", ds.decision_input(questions, {"text": member(F.col("text"), "text"), "facts": facts}, {"facts"}).alias("i"))
+    q = F.col("i.questions")[0]
+    return x.select("doc_id", F.col("i.sources")[0].text.alias("text"), F.col("i.sources")[1].text.alias("facts"), F.when(F.col("i").isNotNull(), F.concat(q.id, F.lit(": "), q.prompt, F.lit(" ("), F.array_join(q.sources, ","), F.lit(")"))).alias("asked"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import settled
 from ..functions.conditions import equal, holds
 from ..functions.values import bind, given, kind, lookup, object_of, text_of, tokens
+from ..operators.decisions import ISSUES, review_target
 
 Binding = Mapping[str, Any]
 #: What ends a run.
@@ -26,11 +28,17 @@ OUTCOMES = ("completed", "needs_review")
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a step makes of a row: a value, and a status or a code of failure where it has one."""
+    """What a step makes of a row: a value, and a status or a code of failure where it has one.
+
+    ``issues``: why it asks for a review; ``origin``: model or fallback, for a category that it selects. A row whose issues or
+    origin do not fit its status fails.
+    """
 
     result: Column
     status: Column | None = None
     error: Column | None = None
+    issues: Column | None = None
+    origin: Column | None = None
 
 
 @dataclass(frozen=True)
@@ -77,12 +85,16 @@ class Cases:
 
 @dataclass(frozen=True)
 class Flow:
-    """``next``: a target, a list of (condition, target) with a last (None, target), or Cases. Targets: flows or outcomes."""
+    """``next``: a target, a list of (condition, target) with a last (None, target), or Cases. Targets: flows or outcomes.
+
+    ``on_review``: a target, or targets by issue with a ``default``, where all issues of the review must agree on one; None for
+    the workflow's own.
+    """
 
     name: str
     steps: Sequence[Step]
     next: str | Sequence[tuple[Mapping | None, str]] | Cases = "completed"
-    on_review: str = "needs_review"
+    on_review: str | Mapping[str, str] | None = None
     input: Mapping[str, Binding] | None = None
     output: Binding | None = None
     repeat: Repeat | None = None
@@ -94,12 +106,24 @@ def targets(rule: str | Sequence | Cases) -> list[str]:
     return [*rule.targets.values(), rule.default] if isinstance(rule, Cases) else [t for _, t in rule]
 
 
+def review_targets(flow: Flow) -> list[str]:
+    return list(flow.on_review.values()) if isinstance(flow.on_review, Mapping) else [flow.on_review]
+
+
 @dataclass(frozen=True)
 class Workflow:
     flows: Sequence[Flow]
     start: str | Sequence[tuple[Mapping | None, str]] | Cases
     output: Binding | None = None
     max_steps: int = 128
+    #: Where reviews of flows lead that do not say it themselves.
+    on_review: str | Mapping[str, str] = "needs_review"
+
+    def __post_init__(self) -> None:
+        inherited = [replace(f, on_review=self.on_review) if f.on_review is None else f for f in self.flows]
+        object.__setattr__(self, "flows", inherited)
+        if any(isinstance(f.on_review, Mapping) and ("default" not in f.on_review or set(f.on_review) - {"default", *ISSUES}) for f in inherited):
+            raise ValueError("reviews by issue have a default, and name issues that there are")
 
     def order(self) -> list[Flow]:
         """Flows in topological order; a cycle, an unknown target or a flow out of reach is an error."""
@@ -117,9 +141,9 @@ class Workflow:
                 raise ValueError(f"cycle: {' -> '.join([*path, name])}")
             if name not in done:
                 f = by_name[name]
-                if f.on_review == "completed":
+                if "completed" in review_targets(f):
                     raise ValueError(f"{name}: a review never completes a run")
-                for t in [*targets(f.next), f.on_review]:
+                for t in [*targets(f.next), *review_targets(f)]:
                     visit(t, (*path, name))
                 done.append(name)
 
@@ -143,7 +167,7 @@ class Workflow:
         for f in order:
             common = [before[p] if p != "start" else frozenset() for p in into[f.name]]
             before[f.name] = frozenset.intersection(*common) | {f.name}
-        ends = [before[f.name] for f in order if any(t in OUTCOMES for t in [*targets(f.next), f.on_review])]
+        ends = [before[f.name] for f in order if any(t in OUTCOMES for t in [*targets(f.next), *review_targets(f)])]
         out = []
         for f in order:
             again = f.repeat
@@ -154,7 +178,7 @@ class Workflow:
         return out + [("output", p) for p in _lacking(self.output or {"literal": None}, frozenset.intersection(*ends) if ends else frozenset())]
 
     def edges(self) -> list[tuple[str, str]]:
-        return [("start", t) for t in targets(self.start)] + [(f.name, t) for f in self.order() for t in dict.fromkeys([*targets(f.next), f.on_review])]
+        return [("start", t) for t in targets(self.start)] + [(f.name, t) for f in self.order() for t in dict.fromkeys([*targets(f.next), *review_targets(f)])]
 
     def mermaid(self) -> str:
         return "\n".join(["flowchart TD", *(f"  {a} --> {b}" for a, b in self.edges())])
@@ -187,6 +211,8 @@ class Workflow:
         lost = F.col("_here") & F.col("_input").isNull()
         df = df.withColumns({"_active": F.col("_here") & ~lost, "_status": F.when(lost, "failed").otherwise("skipped"), "_error": F.when(lost, "missing_binding")})
         df = df.withColumns({"_result": F.lit(None).cast("variant"), "_attempts": F.lit(0), "_stopped": F.lit(None).cast("string"), "_steps": F.lit(None).cast(_steps_type(flow))})
+        if isinstance(flow.on_review, Mapping):
+            df = df.withColumn("_issues", F.array().cast("array<string>"))
         df = self._rounds(df, flow, context) if flow.repeat else self._attempt(df, flow).withColumn("_failure", F.lit(None).cast("string"))
         record = [F.col(f"_{c}").alias(n) for c, n in (("status", "status"), ("result", "result"), ("error", "error"), ("attempts", "attempts"), ("stopped", "stopped_by"), ("steps", "steps"))]
         df = df.withColumn(flow.name, F.struct(*record, *([F.col("_history").alias("history")] if flow.repeat else [])))
@@ -194,7 +220,11 @@ class Workflow:
             df = df.withColumn(flow.repeat.retry.name, F.struct(*(F.col(f"_q_{c}").alias(c) for c in ("status", "result", "error", "attempts", "steps"))))
         after, wrong = _target(context | _records(flow), flow.next)
         status = F.col(f"{flow.name}.status")
-        df = df.withColumns({"_target": F.when(status == "needs_review", flow.on_review).otherwise(after), "_wrong": (status == "completed") & wrong})
+        review = F.lit(flow.on_review if isinstance(flow.on_review, str) else flow.on_review["default"])
+        if isinstance(flow.on_review, Mapping) and len(flow.on_review) > 1:
+            named = {k: t for k, t in flow.on_review.items() if k != "default"}
+            review = review_target(F.col("_issues"), named, flow.on_review["default"])
+        df = df.withColumns({"_target": F.when(status == "needs_review", review).otherwise(after), "_wrong": (status == "completed") & wrong})
         failed = F.col("_here") & ((status == "failed") | F.col("_wrong") | F.col("_failure").isNotNull())
         moved = F.col("_here") & ~failed
         ends = moved & F.col("_target").isin(*OUTCOMES)
@@ -285,10 +315,17 @@ class Workflow:
             else:
                 out = step.run({k: F.col(f"_i_{k}") for k in step.inputs})
                 out = out if isinstance(out, Outcome) else Outcome(out)
-            error = F.coalesce(bad, out.error) if out.error is not None else bad
+                if out.issues is not None:  # all of it in one column: what its parts share is computed once
+                    given = {n: c for n, c in vars(out).items() if c is not None}
+                    df = df.withColumn("_whole", F.struct(*(c.alias(n) for n, c in given.items())))
+                    out = Outcome(**{n: F.col(f"_whole.{n}") for n in given})
+            codes = [c for c in (out.error, _unfit(out)) if c is not None]
+            error = F.coalesce(bad, *codes) if codes else bad
             df = df.withColumn("_e", F.when(F.col("_do"), error))
             status = F.when(~F.col("_do"), "skipped").when(F.col("_e").isNotNull(), "failed").otherwise(out.status if out.status is not None else F.lit("completed"))
             df = df.withColumn(s, status)
+            if isinstance(flow.on_review, Mapping) and out.issues is not None:
+                df = df.withColumn("_issues", F.when(F.col("_do"), F.coalesce(out.issues, F.array().cast("array<string>"))).otherwise(F.col("_issues")))
             df = df.withColumns({r: F.when(F.col(s).isin(*OUTCOMES), out.result), f"_p_{step.name}": F.when(F.col(s) == "failed", out.result)})
             df = df.withColumns(
                 {
@@ -297,7 +334,7 @@ class Workflow:
                     "_go": F.col("_go") & (~F.col("_do") | (F.col(s) == "completed")),
                     "_why": F.coalesce("_why", "_e"),
                 }
-            ).drop("_do", "_e", "_given", "_said", "_code", "_value", *(f"_i_{k}" for k in step.inputs))
+            ).drop("_do", "_e", "_given", "_said", "_code", "_value", "_whole", *(f"_i_{k}" for k in step.inputs))
             inner |= {f"/steps/{step.name}/status": _text(F.col(s)), f"/steps/{step.name}/result": F.col(r), f"/steps/{step.name}/error": _error(F.when(F.col(s) == "failed", F.col("_why"))), f"/steps/{step.name}/partial_result": F.col(f"_p_{step.name}")}
         result = bind(inner, flow.output) if flow.output is not None else F.col("_input")
         df = df.withColumn("_new", F.when(F.col("_end") != "failed", result))
@@ -309,6 +346,17 @@ class Workflow:
         return df.drop("_go", "_end", "_why", "_new", *(f"_{c}_{x.name}" for x in flow.steps for c in "srp"))
 
 
+def _unfit(out: Outcome) -> Column | None:
+    """A code of failure where issues or origin do not fit the status that a step gives."""
+    status = out.status if out.status is not None else F.lit("completed")
+    reviews, wrong = status == "needs_review", []
+    if out.issues is not None:
+        wrong.append((F.size(F.array_except(out.issues, F.array(*map(F.lit, ISSUES)))) > 0) | (F.size(out.issues) != F.size(F.array_distinct(out.issues))) | ((F.size(out.issues) > 0) & ~reviews))
+    if out.origin is not None:
+        wrong.append(out.origin.isNotNull() & (~out.origin.isin("model", "fallback") | (reviews != (out.origin == "fallback"))))
+    return F.when(reduce(or_, (F.coalesce(w, F.lit(False)) for w in wrong)), "invalid_output") if wrong else None
+
+
 #: Attempts of a repeated flow and runs of its retry flow, in order.
 HISTORY = "array<struct<role: string, attempt: int, status: string, result: variant, error: string>>"
 
