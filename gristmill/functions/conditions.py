@@ -87,6 +87,31 @@ def _leaf(condition: Mapping[str, Any]) -> tuple[dict, str, Any]:
     return source, ops[0], condition[ops[0]]
 
 
+#: Characters that a description has at most (a fixed value).
+DESCRIBED = 512
+
+
+def describe(condition: Mapping[str, Any]) -> str:
+    """Where a condition looks and by which operators, without the values that it compares with, so it may stand in logs and
+    on edges of drawn graphs."""
+    whole = _described(condition)
+    return whole if len(whole) <= DESCRIBED else whole[: DESCRIBED - 3] + "..."
+
+
+def _described(condition: Mapping[str, Any]) -> str:
+    if "not" in condition:
+        return f"not({_described(condition['not'])})"
+    group = next((name for name in ("all", "any") if name in condition), None)
+    if group:
+        return f"{group}({'; '.join(map(_described, condition[group]))})"
+    source, name, argument = _leaf(condition)
+    place = source.get("pointer")
+    if place is None:
+        place = f"first_of({', '.join(source['first_of'])})" if "first_of" in source else "literal"
+    said = {"length": lambda: f"length {' '.join(argument) if isinstance(argument, Mapping) else ''}".rstrip(), "present": lambda: f"present={str(argument).lower()}", "empty": lambda: f"empty={str(argument).lower()}"}
+    return f"{place or chr(34) * 2} {said[name]() if name in said else name}"
+
+
 def holds(context: Context, condition: Mapping[str, Any], depth: int = 8) -> Column:
     """Whether a condition holds."""
     return _compiled(context, condition, depth, "")[0]
