@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,48 +92,62 @@ def case_samples(checks: DataFrame, side: str = "") -> DataFrame:
     return checks.groupBy("case_id").agg(F.count_if(F.col("outcome") == "passed").alias(f"{side}num"), F.count(F.lit(1)).alias(f"{side}den"))
 
 
-#: Cases whose samples one task keeps at a time, and picks that are handed out together.
-PICKS = 1 << 18
+#: Picks that are handed out together, and cases whose counts and samples meet in one group.
+PICKS, BLOCK = 1 << 18, 1 << 12
 
 
+def _words(state: tuple) -> np.random.MT19937:
+    """numpy's generator at a state of Python's: both make the same 32-bit words, and getrandbits takes the high bits of one."""
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[1][:-1], np.uint32), "pos": state[1][-1]}}
+    return words
+
+
+def _next(words: np.random.MT19937, cases: int, left: int) -> np.ndarray:
+    """The picks that the next words give: of at most ``left``, and of PICKS; words that name no case give none."""
+    found = words.random_raw(min(left, PICKS)) >> np.uint64(32 - cases.bit_length())
+    return found[found < cases]
+
+
+@lru_cache(8)
 def _streams(cases: int, resamples: int, seed: int, parts: int) -> list[tuple[int, int, bytes]]:
     """(first resample, how many, state of the generator there) for each part of the resamples.
 
     The picks of all resamples are one stream of one generator, and each pick takes as many of its words as it needs. The
     driver runs through the stream once and keeps a state for each part: numbers are drawn, but none are kept.
     """
-    rng, out, at = random.Random(seed), [], 0
-    width = cases.bit_length()
+    words, out, at = _words(random.Random(seed).getstate()), [], 0
     for k in range(parts):
         n = resamples * (k + 1) // parts - at
         if n:
-            out.append((at, n, pickle.dumps(rng.getstate())))
+            out.append((at, n, pickle.dumps(words.state)))
             left = n * cases
             if k + 1 < parts:
                 while left:
-                    left -= sum(rng.getrandbits(width) < cases for _ in range(min(left, PICKS)))
+                    left -= len(_next(words, cases, left))
         at += n
     return out
 
 
-def _picked(state: bytes, cases: int, first: int, resamples: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each resample the cases that it draws, PICKS at a time."""
-    rng, width = random.Random(), cases.bit_length()
-    rng.setstate(pickle.loads(state))
-    for k in range(resamples):
-        left = cases
+def _counts(state: bytes, cases: int, resamples: int) -> Iterator[np.ndarray]:
+    """For each resample how often it draws each case."""
+    words = np.random.MT19937()
+    words.state = pickle.loads(state)
+    for _ in range(resamples):
+        left, counts = cases, np.zeros(cases, np.uint32)
         while left:
-            found = [x for x in (rng.getrandbits(width) for _ in range(min(left, PICKS))) if x < cases]
-            left -= len(found)
-            yield first + k, np.array(found, np.int64)
+            picks = _next(words, cases, left)
+            np.add.at(counts, picks, np.uint32(1))
+            left -= len(picks)
+        yield counts
 
 
 def resample_sums(samples: DataFrame, columns: list[str], order: list[str], resamples: int, seed: int, parts: int = 64) -> tuple[int, DataFrame]:
     """The number of cases, and resample with the sums of columns over the cases that it draws with replacement.
 
     Cases are numbered in ``order``. The draws are those of one seeded generator, resample after resample; each task makes its
-    own resamples' draws from the generator's state there, and counts how often each case is drawn; counts meet the samples by
-    the case's number.
+    own resamples' draws from the generator's state there, and counts how often each case is drawn. The counts of BLOCK cases
+    are one row, a byte a case, and meet the samples by the block's number.
     """
     spark = samples.sparkSession
     ids = settled(samples.select(*order, *columns))
@@ -143,20 +158,35 @@ def resample_sums(samples: DataFrame, columns: list[str], order: list[str], resa
     cases = sum(sizes.values())
     if cases < 2:
         return cases, spark.createDataFrame([], "resample int, " + ", ".join(f"{c} double" for c in columns))
+    if cases.bit_length() > 32:
+        raise ValueError("a pick is one word of the generator, of 32 bits")
     offset = F.element_at(F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))), F.col("_part"))
-    numbered = ranged.withColumn("case", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset).cast("long")).select("case", *columns)
+    case = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset
+    numbered = ranged.withColumn("case", case.cast("long")).select(F.floor(F.col("case") / BLOCK).cast("int").alias("block"), (F.col("case") % BLOCK).cast("int").alias("at"), *(F.col(c).cast("double").alias(c) for c in columns))
     streams = spark.createDataFrame(_streams(cases, resamples, seed, min(parts, resamples)), "first int, n int, state binary").repartition(min(parts, resamples))
+    size = BLOCK
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                for resample, picks in _picked(r["state"], cases, r["first"], r["n"]):
-                    case, times = np.unique(picks, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(case), resample, np.int32)), pa.array(case), pa.array(times)], names=["resample", "case", "times"])
-
-    drawn = streams.mapInArrow(draw, "resample int, case long, times long")
-    sums = drawn.join(numbered, "case").groupBy("resample").agg(*(F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in columns))
-    return cases, sums
+                for k, counts in enumerate(_counts(r["state"], cases, r["n"])):
+                    counts = counts if counts.max() > 255 else counts.astype(np.uint8)
+                    blocks = [counts[at : at + size].tobytes() for at in range(0, cases, size)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), r["first"] + k, np.int32)), pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary())], names=["resample", "block", "counts"])
+
+    def add_up(drawn: pa.Table, own: pa.Table) -> pa.Table:
+        values = np.zeros((own.num_rows, len(columns)))
+        for j, c in enumerate(columns):
+            values[own["at"].to_numpy(), j] = own[c].fill_null(0).to_numpy()  # as sum() passes over NULL
+        sums = np.empty((drawn.num_rows, len(columns)))
+        for k, counts in enumerate(drawn["counts"]):
+            bytes_ = counts.as_buffer()
+            sums[k] = np.frombuffer(bytes_, np.uint8 if bytes_.size == len(values) else np.uint32) @ values
+        return pa.table([drawn["resample"], *map(pa.array, sums.T)], names=["resample", *columns])
+
+    drawn = streams.mapInArrow(draw, "resample int, block int, counts binary")
+    parts_ = drawn.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(add_up, "resample int, " + ", ".join(f"{c} double" for c in columns))
+    return cases, parts_.groupBy("resample").agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def _interval(statistics: DataFrame, level: float) -> tuple[float, float] | None:

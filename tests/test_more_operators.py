@@ -43,6 +43,24 @@ def test_intervals(spark, monkeypatch, cases, parts, picks):
         cp.paired_difference_interval(da, db.where("case_id > 0"))
 
 
+def test_counts_in_blocks(spark, monkeypatch):
+    """Draws reach the samples as a byte for each case, in blocks, not as a row for each case of each resample."""
+    monkeypatch.setattr(cp, "BLOCK", 8)
+    a = [(k, k % 3, 1 + k % 2) for k in range(50)]
+    da = spark.createDataFrame(a, "case_id long, num long, den long")
+    assert cp.ratio_interval(da, 40, 0.9, 7) == pytest.approx(serial(a, 40, 0.9, 7), abs=1e-12)
+    rng = random.Random(7)
+    picks = [[rng.randrange(50) for _ in range(50)] for _ in range(40)]
+    counts = [c.tolist() for _, n, state in cp._streams(50, 40, 7, 6) for c in cp._counts(state, 50, n)]
+    assert counts == [[p.count(k) for k in range(50)] for p in picks]
+
+
+def test_draws_of_one_case_above_a_byte(spark, monkeypatch):
+    monkeypatch.setattr(cp, "_counts", lambda state, cases, n: iter([cp.np.array([300, 2], cp.np.uint32)] * n))
+    _, sums = cp.resample_sums(spark.createDataFrame([(0, 1, 10), (1, 5, None)], "case_id long, num long, den long"), ["num", "den"], ["case_id"], 3, 1)
+    assert {tuple(r) for r in sums.select("num", "den").collect()} == {(310.0, 3000.0)}
+
+
 def test_sides_that_do_not_fit(spark):
     schema = "case_id string, repetition int, check_ordinal int, outcome string"
     three = spark.createDataFrame([("a", 1, k, "passed") for k in range(3)], schema)
