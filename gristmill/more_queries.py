@@ -84,8 +84,8 @@ def _graphs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Flows (one for each order) and edges of workflows: up to eight orders of a customer."""
     rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     f = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), rn.alias("rn"))
-    f = f.select(F.concat_ws("-", "o_custkey", F.floor(F.col("rn") / 8)).alias("workflow"), F.concat(F.lit("f"), F.col("rn") % 8).alias("flow"), (F.col("rn") % 8).cast("long").alias("i"), "k")
-    f = f.withColumn("last", F.max("i").over(Window.partitionBy("workflow")))
+    f = f.select("o_custkey", F.concat_ws("-", "o_custkey", F.floor(F.col("rn") / 8)).alias("workflow"), F.concat(F.lit("f"), F.col("rn") % 8).alias("flow"), (F.col("rn") % 8).cast("long").alias("i"), "k")
+    f = f.withColumn("last", F.max("i").over(Window.partitionBy("o_custkey", "workflow"))).drop("o_custkey")  # dealt by customer already
     i, k, last = F.col("i"), F.col("k"), F.col("last")
     name = lambda n: F.concat(F.lit("f"), n)
     ends = lambda source, target, when: F.when(when, F.struct(source.alias("source"), target.alias("target")))
@@ -129,8 +129,7 @@ def flow_availability(spark, sf_dir):
     target = lambda n: F.concat(F.lit("/flows/f"), n, F.lit("/result")).alias("pointer")
     reads = flows.select("workflow", "flow", target((F.col("i") * 5 + F.col("k")) % 9), (F.col("k") % 6 == 0).alias("by_default"))
     outputs = flows.where("i = 0").select("workflow", F.lit(sc.END).alias("flow"), target(F.col("k") % 3), F.lit(False).alias("by_default"))
-    live = edges.select("workflow", F.col("target").alias("flow")).distinct()
-    return sc.availability(edges, reads.unionByName(outputs).join(live, ["workflow", "flow"], "left_semi"))
+    return sc.availability(edges, reads.unionByName(outputs), live_only=True)
 
 
 @query(
@@ -148,13 +147,14 @@ def flow_budgets(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     f = flows.join(items, "k", "left").fillna(0, ["n"])
     own = f.select("workflow", "flow", (1 + k % 3).alias("steps"), (1 + k % 4).alias("attempts"))
-    helpers = flows.select("workflow").distinct().select("workflow", F.explode(F.array(*(F.struct(F.lit(n).alias("flow"), F.lit(s).alias("steps"), F.lit(a).alias("attempts")) for n, s, a in (("outer", 1, 2), ("inner", 4, 1), ("again", 5, 1))))).alias("h"))
+    each_workflow = flows.where("i = 0").select("workflow")
+    helpers = each_workflow.select("workflow", F.explode(F.array(*(F.struct(F.lit(n).alias("flow"), F.lit(s).alias("steps"), F.lit(a).alias("attempts")) for n, s, a in (("outer", 1, 2), ("inner", 4, 1), ("again", 5, 1))))).alias("h"))
     own = own.unionByName(helpers.select("workflow", "h.*"))
     call = lambda callee, kind, step, times: F.struct(F.lit(callee).alias("callee"), F.lit(kind).alias("kind"), F.lit(step).alias("step"), times.cast("long").alias("times"))
     one = F.lit(1)
     each = F.array_compact(F.array(call("outer", "item", "s", F.col("n")), F.when(k % 2 == 1, call("again", "item", "s", F.col("n"))), F.when(k % 7 < 3, call("again", "retry", "r", one))))
     calls = f.select("workflow", "flow", F.explode(each).alias("c")).select("workflow", "flow", "c.*")
-    calls = calls.unionByName(flows.select("workflow").distinct().select("workflow", F.lit("outer").alias("flow"), call("inner", "item", "s", F.lit(3)).alias("c")).select("workflow", "flow", "c.*"))
+    calls = calls.unionByName(each_workflow.select("workflow", F.lit("outer").alias("flow"), call("inner", "item", "s", F.lit(3)).alias("c")).select("workflow", "flow", "c.*"))
     found = sc.step_budgets(sc.reachable(edges), sc.worst_steps(own, calls), 1500)
     return found.withColumn("path", F.array_join("path", ">"))
 

@@ -9,43 +9,97 @@ Tables, all with a column workflow:
 - calls (flow, callee, kind, step, times): a retry flow (kind ``retry``), or a flow that a collection step runs for each of up
   to ``times`` items (kind ``item``; several callees of one step are alternatives).
 
-Graphs are acyclic. All workflows are taken through the levels of their graphs together: a round settles the flows all of
-whose predecessors are settled, so the number of rounds is that of the longest path, not of flows or workflows. Flows that
-no round settles lie on a cycle, or behind one; they are reported, and nothing else is said of them.
+Graphs are acyclic. A workflow's tables meet in one row, in which a helper walks its flows in topological order: one shuffle
+by workflow, whatever the length of paths, and a task works on one graph at a time. Flows that have no place in the order lie
+on a cycle, or behind one; they are reported, and nothing else is said of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .. import settled
 
 START, END = "", "/end"
 
 _NODE = ["workflow", "flow"]
-
-
-def by_levels(nodes: DataFrame, before: DataFrame, settle: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """What ``settle`` makes of the ready nodes of each round, and of the rows settled before; before: (workflow, source, target).
-
-    settle gets (workflow, flow) of ready nodes and all settled rows so far, and returns rows with at least these columns.
-    """
-    edges = settled(before.select("workflow", "source", "target").distinct())
-    wanted = edges.groupBy("workflow", F.col("target").alias("flow")).agg(F.count(F.lit(1)).alias("wanted"))
-    waiting = settled(nodes.select(*_NODE).distinct().join(wanted, _NODE, "left").fillna(0, ["wanted"]))
-    ready, done = waiting.where("wanted = 0").select(*_NODE), None
-    while not ready.isEmpty():
-        new = settle(ready, done)
-        done = settled(new if done is None else done.unionByName(new))
-        known = done.select("workflow", F.col("flow").alias("source")).distinct()
-        have = edges.join(known, ["workflow", "source"]).groupBy("workflow", F.col("target").alias("flow")).agg(F.count(F.lit(1)).alias("have"))
-        rest = waiting.join(done.select(*_NODE).distinct(), _NODE, "left_anti")
-        ready = settled(rest.join(have, _NODE).where("have = wanted").select(*_NODE))
-    return done
+#: Workflows that are handed to the helper together.
+TOGETHER = 256
+
+
+def _each_workflow(rows: DataFrame, work: Callable[[list[tuple]], Iterator[tuple]], **fields: str) -> DataFrame:
+    """workflow and what ``work`` makes of all rows of one workflow (tuples in the order of their columns): tuples of ``fields``."""
+    grouped = rows.groupBy("workflow").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "workflow"))).alias("rows"))
+    types = [{"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}[t] for t in fields.values()]
+    names = ["workflow", *fields]
+
+    def values(column: pa.Array) -> list:
+        return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                some, lists = (c.slice(at, TOGETHER) for c in batch.columns)
+                each = list(zip(*map(values, lists.flatten().flatten()), strict=True))
+                ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+                out = [(w, *x) for w, i, j in zip(some.to_pylist(), ends, ends[1:], strict=False) for x in work(each[i:j])]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [some.type, *types], strict=True)], names=names)
+
+    workflow = rows.schema["workflow"].dataType.simpleString()
+    return grouped.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in {"workflow": workflow, **fields}.items()))
+
+
+def _in_order(nodes, edges: set[tuple[str, str]]) -> tuple[list[str], dict[str, list[str]]]:
+    """Nodes, each after all that lead to it, and what leads to each; nodes on a cycle or behind one are left out."""
+    before: dict[str, list[str]] = {n: [] for n in nodes}
+    after: dict[str, list[str]] = {}
+    for source, target in edges:
+        if target in before:
+            before[target].append(source)
+            after.setdefault(source, []).append(target)
+    left = {n: len(b) for n, b in before.items()}
+    order = [n for n, k in left.items() if not k]
+    for n in order:
+        for t in after.get(n, ()):
+            left[t] -= 1
+            if not left[t]:
+                order.append(t)
+    return order, before
+
+
+def _above(edges: set[tuple[str, str]]) -> dict[str, str | None]:
+    """Each node's nearest dominator, None where it has none but itself: where the ways up from all its predecessors meet."""
+    order, before = _in_order(dict.fromkeys(n for e in edges for n in e), edges)
+    above: dict[str, str | None] = {}
+    depth: dict[str | None, int] = {None: 0}
+    for n in order:
+        meet, *others = before[n] or [None]
+        for p in others:
+            while meet != p:
+                if depth[meet] >= depth[p]:
+                    meet = above[meet]
+                else:
+                    p = above[p]
+        above[n], depth[n] = meet, depth[meet] + 1
+    return above
+
+
+def _upwards(above: dict[str, str | None], node: str | None) -> Iterator[str]:
+    while node is not None:
+        yield node
+        node = above.get(node)
+
+
+def _dominators(rows: list[tuple]) -> Iterator[tuple]:
+    above = _above(set(rows))
+    return ((n, d) for n in above for d in _upwards(above, n))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("workflow", "source", "target").where("source IS NOT NULL AND target IS NOT NULL")
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -55,30 +109,27 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 def dominators(edges: DataFrame) -> DataFrame:
     """(workflow, flow, dominator): flows that lie on every path from the start to a flow, the flow itself among them."""
-    edges = settled(edges.select("workflow", "source", "target").distinct())
+    return _each_workflow(_ends(edges), _dominators, flow="string", dominator="string")
 
-    def settle(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        own = ready.withColumn("dominator", F.col("flow"))
-        if done is None:
-            return own
-        into = ready.join(edges.withColumnRenamed("target", "flow"), _NODE)
-        parents = into.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("parents"))
-        above = done.select("workflow", F.col("flow").alias("source"), "dominator")
-        common = into.join(above, ["workflow", "source"]).groupBy(*_NODE, "dominator").agg(F.count(F.lit(1)).alias("n"))
-        return own.unionByName(common.join(parents, _NODE).where("n = parents").select(*_NODE, "dominator"))
 
-    return by_levels(_nodes(edges), edges, settle)
+def _reachable(rows: list[tuple]) -> Iterator[tuple]:
+    after: dict[str, set[str]] = {}
+    for source, target in rows:
+        after.setdefault(source, set()).add(target)
+    seen = {START: None}
+    front = [START]
+    for n in front:
+        new = [t for t in after.get(n, ()) if t not in seen]
+        seen.update(dict.fromkeys(new))
+        front += new
+    for source in seen:
+        for target in after.get(source, ()):
+            yield source, target
 
 
 def reachable(edges: DataFrame) -> DataFrame:
     """The edges that a run can take; cycles are no obstacle."""
-    edges = settled(edges.select("workflow", "source", "target").distinct())
-    seen = front = settled(edges.where(F.col("source") == START).select("workflow", F.col("target").alias("source")).distinct())
-    while not front.isEmpty():
-        new = edges.join(front, ["workflow", "source"]).select("workflow", F.col("target").alias("source")).distinct()
-        front = settled(new.join(seen, ["workflow", "source"], "left_anti"))
-        seen = settled(seen.unionByName(front))
-    return edges.where(F.col("source") == START).unionByName(edges.join(seen, ["workflow", "source"], "left_semi"))
+    return _each_workflow(_ends(edges), _reachable, source="string", target="string")
 
 
 def unsettled(edges: DataFrame) -> DataFrame:
@@ -92,36 +143,90 @@ def needed_flow(pointer: Column) -> Column:
     return F.when(name != "", F.replace(F.replace(name, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
 
 
-def availability(edges: DataFrame, reads: DataFrame) -> DataFrame:
+def _availability(live_only: bool) -> Callable[[list[tuple]], Iterator[tuple]]:
+    def find(rows: list[tuple]) -> Iterator[tuple]:
+        edges = {r[:2] for r in rows if r[0] is not None}
+        above, live = _above(edges), {target for _, target in edges}
+        for source, _, flow, pointer, needed, by_default in rows:
+            if source is not None or live_only and flow not in live:
+                continue
+            if needed not in above or needed in (START, END):
+                yield flow, pointer, "invalid_flow_reference"
+            elif by_default is False and (needed == flow or needed not in _upwards(above, above.get(flow))):
+                yield flow, pointer, "unavailable_flow_reference"
+
+    return find
+
+
+def availability(edges: DataFrame, reads: DataFrame, live_only: bool = False) -> DataFrame:
     """(workflow, flow, pointer, problem) of reads that can fail: the flow does not run before on every path (and there is
-    no default), does not exist, or is the reader itself."""
-    dom = dominators(edges)
-    r = reads.select(*_NODE, "pointer", "by_default", needed_flow(F.col("pointer")).alias("needed")).where("needed IS NOT NULL")
-    known = dom.select("workflow", F.col("flow").alias("needed"), F.lit(True).alias("known")).distinct().where(~F.col("needed").isin(START, END))
-    before = dom.where("flow <> dominator").select(*_NODE, F.col("dominator").alias("needed"), F.lit(True).alias("before"))
-    r = r.join(known, ["workflow", "needed"], "left").join(before, [*_NODE, "needed"], "left")
-    problem = F.when(F.col("known").isNull(), "invalid_flow_reference").when(F.col("before").isNull() & ~F.col("by_default"), "unavailable_flow_reference")
-    return r.select(*_NODE, "pointer", problem.alias("problem")).where("problem IS NOT NULL")
+    no default), does not exist, or is the reader itself. live_only: only those by flows that an edge leads to."""
+    r = reads.select(*_NODE, "pointer", needed_flow(F.col("pointer")).alias("needed"), "by_default").where("needed IS NOT NULL")
+    rows = _ends(edges).unionByName(r, allowMissingColumns=True)
+    return _each_workflow(rows, _availability(live_only), flow="string", pointer="string", problem="string")
+
+
+def _worst_steps(rows: list[tuple]) -> Iterator[tuple]:
+    names = ("flow", "steps", "attempts", "callee", "kind", "step", "times")
+    all_ = [dict(zip(names, r, strict=True)) for r in rows]
+    flows = {r["flow"]: r for r in all_ if r["callee"] is None}
+    calls = [r for r in all_ if r["callee"] is not None]
+    of: dict[str, list[dict]] = {}
+    for r in calls:
+        of.setdefault(r["flow"], []).append(r)
+    edges = {(r["callee"], r["flow"]) for r in calls}
+    order, _ = _in_order(dict.fromkeys([*flows, *(c for c, _ in edges if c not in flows)]), edges)
+    worst: dict[str, int | None] = {}
+    for n in order:
+        if n not in flows or any(r["callee"] not in worst for r in of.get(n, ())):
+            continue  # it calls what is not there
+        steps, attempts = flows[n]["steps"], flows[n]["attempts"]
+        # of the callees of one step, the worst counts
+        each: dict[tuple, list[dict]] = {}
+        for r in of.get(n, ()):
+            each.setdefault((r["kind"], r["step"]), []).append(r)
+        more = {"item": 0, "retry": 0}
+        for (kind, _), some in each.items():
+            inner = max((worst[r["callee"]] for r in some if worst[r["callee"]] is not None), default=None)
+            if kind in more and inner is not None and some[0]["times"] is not None:
+                more[kind] += inner * some[0]["times"]
+        worst[n] = None if steps is None or attempts is None else attempts * (steps + more["item"]) + (attempts - 1) * more["retry"] if of.get(n) else steps * attempts
+        yield n, worst[n]
 
 
 def worst_steps(flows: DataFrame, calls: DataFrame) -> DataFrame:
     """(workflow, flow, worst): the steps that one run of a flow may visit, with all attempts, retries and items."""
-    flows = settled(flows.select(*_NODE, "steps", "attempts"))
-    calls = settled(calls.select(*_NODE, "callee", "kind", "step", "times"))
-
-    def settle(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        f = ready.join(flows, _NODE)
-        if done is None:
-            return f.select(*_NODE, (F.col("steps") * F.col("attempts")).cast("long").alias("worst"))
-        below = done.select("workflow", F.col("flow").alias("callee"), F.col("worst").alias("inner"))
-        each = ready.join(calls, _NODE).join(below, ["workflow", "callee"])
-        # of the callees of one step, the worst counts
-        each = each.groupBy(*_NODE, "kind", "step").agg((F.max("inner") * F.first("times")).alias("more"))
-        each = each.groupBy(*_NODE).agg(*(F.sum(F.when(F.col("kind") == k, F.col("more")).otherwise(0)).alias(k) for k in ("item", "retry")))
-        f = f.join(each, _NODE, "left").fillna(0, ["item", "retry"])
-        return f.select(*_NODE, (F.col("attempts") * (F.col("steps") + F.col("item")) + (F.col("attempts") - 1) * F.col("retry")).cast("long").alias("worst"))
-
-    return by_levels(flows, calls.select("workflow", F.col("callee").alias("source"), F.col("flow").alias("target")), settle)
+    own = flows.select(*_NODE, F.col("steps").cast("long").alias("steps"), F.col("attempts").cast("long").alias("attempts"))
+    other = calls.where("callee IS NOT NULL").select(*_NODE, "callee", "kind", "step", F.col("times").cast("long").alias("times"))
+    return _each_workflow(own.unionByName(other, allowMissingColumns=True), _worst_steps, flow="string", worst="long")
+
+
+def _budgets(limit: int) -> Callable[[list[dict]], Iterator[tuple]]:
+    def costliest(rows: list[tuple]) -> Iterator[tuple]:
+        edges = {r[:2] for r in rows if r[0] is not None}
+        cost = {target: worst or 0 for source, target, worst in rows if source is None}
+        order, before = _in_order(dict.fromkeys(n for e in edges for n in e), edges)
+        found: dict[str, tuple[int, str | None]] = {}  # total, and the flow before on the best path
+
+        def path(n: str | None) -> list[str]:
+            out = []
+            while n is not None and before[n]:
+                out.append(n)
+                n = found[n][1]
+            return out[::-1]
+
+        for n in order:
+            best = None
+            for p in before[n]:
+                if best is None or found[p][0] > found[best][0] or found[p][0] == found[best][0] and path(p) < path(best):
+                    best = p
+            found[n] = (0, None) if best is None else (found[best][0] + cost.get(n, 0), best)
+        if found:
+            most = max(total for total, _ in found.values())
+            way = min(path(n) for n, (total, _) in found.items() if total == most)
+            yield most, way, next((n for n in way if found[n][0] > limit), None)
+
+    return costliest
 
 
 def step_budgets(edges: DataFrame, worst: DataFrame, limit: int) -> DataFrame:
@@ -129,22 +234,6 @@ def step_budgets(edges: DataFrame, worst: DataFrame, limit: int) -> DataFrame:
 
     Of paths that cost the same, the one whose names come first. crossing is NULL where no path passes the limit.
     """
-    edges = settled(edges.where(F.col("target") != END).select("workflow", "source", "target").distinct())
-    cost = settled(worst.select(*_NODE, "worst"))
-
-    def settle(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        r = ready.join(cost, _NODE, "left").fillna(0, ["worst"])
-        if done is None:
-            none = F.array().cast("array<string>")
-            return r.select(*_NODE, F.lit(0).cast("long").alias("total"), none.alias("path"), F.lit(None).cast("string").alias("crossing"))
-        into = r.join(edges.withColumnRenamed("target", "flow"), _NODE)
-        into = into.join(done.select("workflow", F.col("flow").alias("source"), "total", "path", "crossing"), ["workflow", "source"])
-        # the largest total wins, then the smallest path
-        best = into.groupBy(*_NODE).agg(F.first("worst").alias("worst"), F.min(F.struct((-F.col("total")).alias("less"), "path", "crossing")).alias("b"))
-        total = F.col("worst") - F.col("b.less")
-        crossing = F.coalesce("b.crossing", F.when(total > limit, F.col("flow")))
-        return best.select(*_NODE, total.alias("total"), F.concat("b.path", F.array("flow")).alias("path"), crossing.alias("crossing"))
-
-    found = by_levels(_nodes(edges), edges, settle)
-    last = Window.partitionBy("workflow").orderBy(F.desc("total"), "path")  # the flows of one workflow
-    return found.withColumn("n", F.row_number().over(last)).where("n = 1").select("workflow", "total", "path", "crossing")
+    costs = worst.select("workflow", F.col("flow").alias("target"), F.col("worst").cast("long").alias("worst"))
+    rows = _ends(edges).where(F.col("target") != END).unionByName(costs, allowMissingColumns=True)
+    return _each_workflow(rows, _budgets(limit), total="long", path="array<string>", crossing="string")
