@@ -7,7 +7,7 @@ predicate holds one of true, false and unknown. The order of questions is the as
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
@@ -91,27 +91,40 @@ def decision_result(output: Column, questions: Sequence[Question], single: bool
     """Of answers (JSON text): problems; results in the order of the questions; answerable, whether all are; answer_key, the
     answer to a single question; issues of the open questions, none where one is undetermined; selection and origin (model or
     fallback) of a single choice. All but problems are NULL where there are any."""
-    results = F.from_json(output, RESULTS).results
-    items = [_answer_to(q, results) for q in questions]
+    if single and len(questions) != 1:
+        raise ValueError("a single question is one question")
+    # each text is parsed once, and each answer looked up once
+    return bound(F.from_json(output, RESULTS).results, lambda results: bound(F.struct(results.alias("all"), *(_answer_to(q, results).alias(f"q{k}") for k, q in enumerate(questions))), lambda x: _judged(x, questions, single, fallback, on)))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _judged(x: Column, questions: Sequence[Question], single: bool, fallback: str | None, on: Collection[str]) -> Column:
+    results, items = x["all"], [x[f"q{k}"] for k in range(len(questions))]
     none = F.array().cast("array<string>")
     problems = F.concat(question_problems([q.id for q in questions], F.transform(results, lambda r: r.question)), *(_broken(q, i) for q, i in zip(questions, items, strict=True)))
     problems = F.when(results.isNull() | F.exists(results, lambda r: r.question.isNull()), F.array(F.lit("malformed"))).otherwise(problems)
-    if single and len(questions) != 1:
-        raise ValueError("a single question is one question")
     answerable = reduce(and_, (i.status == "answerable" for i in items))
     undetermined = ~reduce(and_, (i.status != "undetermined" for i in items))
     open_issues = F.array_distinct(F.concat(*(F.when(i.status != "answerable", F.coalesce(i.issues, none)).otherwise(none) for i in items)))
     issues = F.when(undetermined, none).otherwise(open_issues)
     key = F.when(answerable, F.try_element_at(items[0].answer, F.lit(1))) if single else F.lit(None).cast("string")
-    selection, origin = key if single and questions[0].kind == "choice" else F.lit(None).cast("string"), F.lit(None).cast("string")
-    if single and questions[0].kind == "choice":
-        origin = F.when(answerable, "model")
-        if fallback is not None:
-            taken, how = with_fallback(key, items[0].status, issues, fallback, list(on))
-            selection, origin = taken, F.when(how == "fallback", how).otherwise(origin)
-    good = F.size(problems) == 0
-    parts = {"results": F.array(*items), "answerable": answerable, "answer_key": key, "issues": issues, "selection": selection, "origin": origin}
-    return F.struct(problems.alias("problems"), *(F.when(good, c).alias(n) for n, c in parts.items()))
+
+    def whole(y: Column) -> Column:
+        selection, origin = y.key if single and questions[0].kind == "choice" else F.lit(None).cast("string"), F.lit(None).cast("string")
+        if single and questions[0].kind == "choice":
+            origin = F.when(y.answerable, "model")
+            if fallback is not None:
+                taken, how = with_fallback(y.key, items[0].status, y.issues, fallback, list(on))
+                selection, origin = taken, F.when(how == "fallback", how).otherwise(origin)
+        parts = {"results": F.array(*items), "answerable": y.answerable, "answer_key": y.key, "issues": y.issues, "selection": selection, "origin": origin}
+        good = F.size(y.problems) == 0
+        return F.struct(y.problems.alias("problems"), *(F.when(good, c).alias(n) for n, c in parts.items()))
+
+    return bound(F.struct(problems.alias("problems"), answerable.alias("answerable"), key.alias("key"), issues.alias("issues")), whole)
 
 
 def decided(decision: Column) -> Outcome:

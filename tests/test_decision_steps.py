@@ -87,3 +87,11 @@ def test_wrong_reviews():
             Workflow([Flow("a", [])], "a", on_review=on_review)
     with pytest.raises(ValueError, match="review never completes"):
         Workflow([Flow("a", [])], "a", on_review={"no_supported_answer": "completed", "default": "needs_review"}).order()
+
+
+def test_answers_are_parsed_once(spark):
+    """However many rules look at the answers: the plan parses the text in one place."""
+    questions = ds.asked("triage", "", ["note"], [ds.Question("predicate", id="a", prompt="?", sources=("note",)), ds.Question("choice", ("x", "y"), "b", "?", ("note",))])
+    d = spark.createDataFrame([("{}",)], "output string").select(ds.decision_result(F.col("output"), questions).alias("d")).select("d.problems", "d.results", "d.answerable", "d.issues")
+    plan = d._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_json(") + plan.count("jsontostructs(") == 1
