@@ -89,3 +89,16 @@ def test_relations_of_unknown_units(spark):
 def test_latest_of_equal_times(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "z"), ("a", 1, "y")], "k string, t int, v string")
     assert journal.latest(rows, ["k"], ["t"]).first()["v"] == "z"
+
+
+def test_amounts_are_exact_where_doubles_are_not(spark):
+    """A sum of 3,305,330,912,271,254.7 millionths is 255 at its end; as a double it is 254.5, and 254 half to even."""
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from gristmill.operators import summaries as sm
+
+    x = spark.sql("SELECT CAST('3305330912.271254' AS DECIMAL(38, 12)) AS amount, 'USD' AS currency, 1 AS requests UNION ALL SELECT CAST('0.0000007' AS DECIMAL(38, 12)), 'USD', 1")
+    r = sm.cost_summary(x).select("amount", (F.col("amount") * 1_000_000).cast("long").alias("micro")).first()
+    assert r["amount"] == Decimal("3305330912.271255") and r["micro"] == 3305330912271255
