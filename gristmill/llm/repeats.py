@@ -23,6 +23,7 @@ import hashlib
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: Fragments of one seed, about, beyond which each of their strings goes to the bucket of its own hash.
 HOT = 1 << 15
+#: Fragments of a collection, about; those of one seed stay together.
+COLLECTION = 1 << 12
 
 _LAST = (1 << 63) - 1
 
@@ -112,17 +115,33 @@ def sort_collection(contents: np.ndarray, lengths: np.ndarray, folder: str) -> t
     """Burrows-Wheeler transform of a collection and common prefixes of neighbouring suffixes, symbol by symbol.
 
     Rows hold symbols 1 to 255, from the left; 0 is the end, and ends of different rows differ. The files in folder hold
-    the transform and the prefix lengths after each round.
+    the transform and the prefix lengths after each round. They only grow, and are written over in place: a file that is
+    truncated before it is written again can go to the disk each time it is closed.
     """
-    files = [Path(folder) / "transform", Path(folder) / "prefixes"]
+    with open(Path(folder) / "transform", "w+b") as transforms, open(Path(folder) / "prefixes", "w+b") as prefixes:
+        return _inserted(contents, lengths, (transforms, prefixes))
+
+
+def _read(files: tuple[BinaryIO, BinaryIO]) -> tuple[np.ndarray, np.ndarray]:
+    for f in files:
+        f.seek(0)
+    return tuple(np.fromfile(f, np.uint8) for f in files)
+
+
+def _write(file: BinaryIO, data: np.ndarray) -> None:
+    file.seek(0)
+    data.tofile(file)
+
+
+def _inserted(contents: np.ndarray, lengths: np.ndarray, files: tuple[BinaryIO, BinaryIO]) -> tuple[np.ndarray, np.ndarray]:
     m = len(contents)
     rows = np.arange(m)
-    contents[rows, lengths - 1].tofile(files[0])
-    np.zeros(m, np.uint8).tofile(files[1])
+    _write(files[0], contents[rows, lengths - 1])
+    _write(files[1], np.zeros(m, np.uint8))
     at, active = rows.copy(), rows
     for done in range(1, int(lengths.max()) + 1):
         active = active[lengths[active] >= done]
-        transform, prefix = (np.fromfile(f, np.uint8) for f in files)
+        transform, prefix = _read(files)
         t = len(transform)
         by_symbol = np.argsort(transform, kind="stable")
         ends = np.searchsorted(transform[by_symbol], 1)
@@ -154,13 +173,13 @@ def sort_collection(contents: np.ndarray, lengths: np.ndarray, folder: str) -> t
         grown = np.empty(t + len(new), np.uint8)
         grown[old] = transform
         grown[row] = np.where(left >= 0, contents[owner, left], 0)
-        grown.tofile(files[0])
+        _write(files[0], grown)
         grown[old] = prefix
         grown[row] = own
         grown[row[has_after] + 1] = behind
-        grown.tofile(files[1])
+        _write(files[1], grown)
         at[owner] = row
-    return tuple(np.fromfile(f, np.uint8) for f in files)
+    return _read(files)
 
 
 def smallest_by_string(contents: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -185,6 +204,14 @@ def smallest_by_string(contents: np.ndarray, lengths: np.ndarray, doc: np.ndarra
     return np.where(where >= 0, least[group[where]], _LAST)
 
 
+def collections(seed: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
+    """These fragments, those of one seed together, in parts of about COLLECTION: equal strings have equal seeds."""
+    which = which[np.argsort(seed[which], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, seed[which][1:] != seed[which][:-1]]) if len(which) else np.empty(0, np.int64)
+    part = starts // COLLECTION
+    return np.split(which, starts[1:][part[1:] != part[:-1]]) if len(which) else []
+
+
 def _squeezed(parts: Iterator[tuple[int, list[bytes]]]) -> Iterator[tuple[int, list[bytes]]]:
     """The columns of each part compressed, each behind its length."""
     for part, columns in parts:
@@ -301,8 +328,7 @@ def _sorted(t: pa.Table) -> pa.Table:
     owners, count = np.unique(seed[first], return_counts=True)
     alone = count[np.searchsorted(owners, seed[first])] == 1
     smallest = np.where(np.arange(RUN) < strings[first].astype(np.int64)[:, None], least[:, None], _LAST)
-    many = np.flatnonzero(~alone)
-    if len(many):
+    for many in collections(seed[first], np.flatnonzero(~alone)):
         at = first[many]
         smallest[many] = smallest_by_string(contents[at], strings[at].astype(np.int64) + LENGTH - 1, least[many])
     mine = smallest[same]
