@@ -1,15 +1,15 @@
 """Operator 12: hard negatives by a two-dimensional block matrix multiply.
 
-Anchors and rows are dealt to shards, and each shard is cut into chunks of DIMENSIONS. A task gets one chunk of an anchor
-shard and the same chunk of a row shard and makes their partial score tile of int64 inner products; the partial tiles of all
-chunks are shuffled to their tile and added, and only the best of each tile go on (the top k of each anchor, or of each
-window between an anchor and a positive). Two multiplications are made:
+Anchors and rows are cut into shards in the order of vec_id, and each shard into chunks of DIMENSIONS. Shards of anchors meet
+shards of rows in a grid: a task holds some anchors' shards and some rows' shards, adds the inner products of a pair of shards
+chunk by chunk, and keeps only the best of each anchor so far. Scores and copies of shards are never written down: rows are
+written once and read again by each task that meets them. Two multiplications are made:
 
-1. anchors by rows of the same group of labels, whose tiles give each anchor's first positives;
-2. anchors with the windows of their positives by all rows, whose tiles give the first negatives inside each window.
+1. anchors by rows of the same group of labels, which gives each anchor's first positives;
+2. anchors with the windows of their positives by all rows, which gives the first negatives inside each window.
 
-Every anchor meets every row once in 2, in blocks: the anchors are the stated set of queries. Shards are about equal, whatever
-the labels are: a label that holds most rows is cut into more shards, and no shard, tile or list grows with the table.
+Every anchor meets every row once in 2, in blocks: the anchors are the stated set of queries, so the time grows with anchors
+times rows, and the disk with rows. No shard, tile or list grows with the table, whatever the labels are.
 
 Components are floor(256 * x) as long; beyond its range they are its ends, and sums wrap as longs do. Missing components
 of shorter vectors count as 0. Rows with a null vec_id, label or vector, or with a null or non-finite component, take no
@@ -20,6 +20,8 @@ other than vec_id, label and embedding may have any names. Empty table, or no an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +38,10 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these hundredths of the positive's.
 LOW, HIGH = 50, 95
 
-_SHARD = "shard int, chunk int, ids binary, keys binary, labels binary, windows binary, width int, numbers binary"
-_TILE = "a int, b int, ids binary, keys binary, labels binary, windows binary, row_ids binary, row_labels binary, width int, scores binary"
-_TILE_NAMES, _TILE_TYPES = [f.split()[0] for f in _TILE.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int32(), pa.binary()]
+_SHARD = "group int, ids binary, keys binary, labels binary, windows binary, widths array<int>, numbers array<binary>"
+_SHARD_TYPES = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.binary())]
+_NAMES = [f.split()[0] for f in _SHARD.split(", ")]
+_BEST = "anchor_id long, anchor_key long, place long, other_id long, score long"
 
 
 def usable(vectors: DataFrame, relabel: Column | None = None) -> DataFrame:
@@ -71,9 +74,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a @ b.T
 
 
-def shard(rows: pa.Table, dimensions: int, length: int) -> pa.Table:
-    """A row for each chunk of dimensions of a shard; ids, keys, labels and windows go with the first."""
-    rows = rows.sort_by([("vec_id", "ascending"), ("key", "ascending")])
+def shard(rows: pa.Table, dimensions: int, length: int) -> list:
+    """One shard: its rows' ids, keys, labels and windows, and a block of numbers for each chunk of dimensions."""
     numbers = rows.column("numbers").combine_chunks()
     sizes = numbers.value_lengths().to_numpy(zero_copy_only=False)
     matrix = np.zeros((rows.num_rows, max(1, -(-length // dimensions)) * dimensions), np.int64)
@@ -81,97 +83,184 @@ def shard(rows: pa.Table, dimensions: int, length: int) -> pa.Table:
     matrix[at, np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = numbers.flatten().to_numpy(zero_copy_only=False)
     heads = [rows.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "key", "label")]
     heads.append(rows.column("windows").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes() if "windows" in rows.column_names else b"")
-    out = []
-    for k in range(matrix.shape[1] // dimensions):
-        out.append((rows.column("shard")[0].as_py(), k, *(heads if k == 0 else [b""] * 4), *narrow(matrix[:, k * dimensions : (k + 1) * dimensions])))
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int32(), pa.binary()]
-    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[f.split()[0] for f in _SHARD.split(", ")])
+    chunks = [narrow(matrix[:, k : k + dimensions]) for k in range(0, matrix.shape[1], dimensions)]
+    return [rows.column("group")[0].as_py(), *heads, [w for w, _ in chunks], [x for _, x in chunks]]
+
 
+def shards(rows: DataFrame, size: int, dimensions: int, length: int) -> DataFrame:
+    """Shards of at most size rows of one group, whose vec_ids rise from row to row."""
 
-def shards(rows: DataFrame, number: Column, dimensions: int, length: int) -> DataFrame:
-    return rows.withColumn("shard", number.cast("int")).groupBy("shard").applyInArrow(lambda t: shard(t, dimensions, length), _SHARD)
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            t = pa.table(batch)
+            waiting = t if waiting is None else pa.concat_tables([waiting, t])
+            while waiting.num_rows > size:
+                yield made(waiting.slice(0, size))
+                waiting = waiting.slice(size)
+        if waiting is not None and waiting.num_rows:
+            yield made(waiting)
 
+    def made(t: pa.Table) -> pa.RecordBatch:
+        group = t.column("group").to_numpy()
+        ends = np.r_[np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)].tolist()
+        out = [shard(t.slice(a, b - a), dimensions, length) for a, b in zip([0, *ends], ends, strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), _SHARD_TYPES, strict=True)], names=_NAMES)
 
-def partial_tile(anchors: pa.Table, rows: pa.Table, dimensions: int) -> pa.Table:
-    """The partial scores of one chunk of a pair of shards; a shard to which no row was dealt has none."""
-    if not anchors.num_rows or not rows.num_rows:
-        return pa.table([pa.array([], t) for t in _TILE_TYPES], names=_TILE_NAMES)
-    a, b = anchors.to_pylist()[0], rows.to_pylist()[0]
-    left, right = (wide(x["width"], x["numbers"]).reshape(-1, dimensions) for x in (a, b))
-    width, scores = narrow(product(left, right))
-    cells = [a["a"], a["b"], a["ids"], a["keys"], a["labels"], a["windows"], b["ids"], b["labels"], width, scores]
-    return pa.table([pa.array([c], t) for c, t in zip(cells, _TILE_TYPES, strict=True)], names=_TILE_NAMES)
+    order = ["group", "vec_id", "key"]
+    columns = [*order, "label", "numbers", *(c for c in rows.columns if c == "windows")]
+    return rows.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut_up, _SHARD)
 
 
-class Tile:
-    """The whole scores of a pair of shards: partial tiles added, with what the first chunk says of anchors and rows."""
+class Shard:
+    """A shard as a task reads it: numbers as floats where the scores that they make are exact in these."""
 
-    def __init__(self, parts: pa.Table):
-        cells = parts.to_pylist()
-        total = wide(cells[0]["width"], cells[0]["scores"])
+    def __init__(self, cells: dict, side: str, dimensions: int):
+        self.ids, self.keys, self.labels, self.windows = (np.frombuffer(cells[f"{side}_{c}"], "<i8") for c in ("ids", "keys", "labels", "windows"))
+        self.chunks = [wide(w, x).reshape(-1, dimensions) for w, x in zip(cells[f"{side}_widths"], cells[f"{side}_numbers"], strict=True)]
         with np.errstate(over="ignore"):
-            for c in cells[1:]:
-                total = total + wide(c["width"], c["scores"])
-        of = lambda name: np.frombuffer(next((c[name] for c in cells if c[name]), b""), "<i8")
-        self.ids, self.keys, self.labels, self.windows, self.row_ids, self.row_labels = map(of, ("ids", "keys", "labels", "windows", "row_ids", "row_labels"))
-        self.scores = total.reshape(len(self.ids), len(self.row_ids))
-
-    def ordered(self, r: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and vec_ids of rows with the anchor's label, or of the others, the best first."""
-        there = np.flatnonzero(((self.row_labels == self.labels[r]) == same) & (self.row_ids != self.ids[r]))
-        scores, ids = self.scores[r, there], self.row_ids[there]
-        order = np.argsort(~scores, kind="stable")  # ids rise within a shard
-        return scores[order], ids[order]
-
-
-_POSITIVES = "anchor_id long, anchor_key long, positive_id long, positive_score long"
-_NEGATIVES = "anchor_id long, anchor_key long, place long, positive_id long, positive_score long, negative_id long, negative_score long"
-
-
-def _rows(out: list[tuple], schema: str) -> pa.Table:
-    names = [f.split()[0] for f in schema.split(", ")]
-    return pa.table([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(len(names))], names=names)
-
-
-def first_positives(parts: pa.Table, most: int) -> pa.Table:
-    """The best rows of a tile with each anchor's own label."""
-    t, out = Tile(parts), []
-    for r in range(len(t.ids)):
-        scores, ids = t.ordered(r, True)
-        out += [(t.ids[r], t.keys[r], i, s) for s, i in zip(scores[:most], ids[:most], strict=True)]
-    return _rows(out, _POSITIVES)
-
-
-def first_negatives(parts: pa.Table, positives: int, most: int, low: int, high: int) -> pa.Table:
-    """The best rows of a tile inside the window of each anchor and positive."""
-    t, out = Tile(parts), []
-    windows = t.windows.reshape(len(t.ids), 1 + 2 * positives)
-    for r in range(len(t.ids)):
-        scores, ids = t.ordered(r, False)
-        for place in range(int(windows[r, 0])):
-            positive, score = (int(x) for x in windows[r, 1 + 2 * place : 3 + 2 * place])
-            least, largest = -(-low * score // 100), high * score // 100
-            begin = int(np.searchsorted(~scores, ~np.int64(largest), side="left"))
-            for s, i in zip(scores[begin : begin + most].tolist(), ids[begin : begin + most].tolist(), strict=True):
-                if s >= least:
-                    out.append((t.ids[r], t.keys[r], place, positive, score, i, s))
-    return _rows(out, _NEGATIVES)
-
-
-def tiles(anchors: DataFrame, rows: DataFrame, meets: Column, met_by: Column, dimensions: int):
-    """Partial tiles of pairs (a, b) of shards, grouped by pair; meets and met_by: arrays of the other side's shards."""
-    left = anchors.select(F.col("shard").alias("a"), F.explode(meets).alias("b"), *anchors.columns[1:])
-    right = rows.select(F.explode(met_by).alias("a"), F.col("shard").alias("b"), *rows.columns[1:])
-    keys = ["a", "b", "chunk"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda x, y: partial_tile(x, y, dimensions), _TILE)
-    return parts.groupBy("a", "b")
-
-
-def _counted(rows: DataFrame, group: Column, size: int) -> tuple[list[int], list[int]]:
-    """For each group of labels: its first shard and its number of shards."""
-    n = {r["g"]: r["count"] for r in rows.groupBy(group.alias("g")).count().collect()}  # GROUPS rows
-    many = [-(-n.get(g, 0) // size) for g in range(GROUPS)]
-    return [sum(many[:g]) for g in range(GROUPS)], many
+            self.norm = float(np.sqrt(sum((c.astype(np.float64) ** 2).sum(axis=1) for c in self.chunks)).max(initial=0))
+        self.floats = {}
+
+    def of(self, kind: type) -> list[np.ndarray]:
+        if kind not in self.floats:
+            self.floats[kind] = [c.astype(kind) for c in self.chunks]
+        return self.floats[kind]
+
+
+def scores(a: Shard, b: Shard) -> np.ndarray:
+    """Inner products of all rows of a with all of b, added chunk by chunk.
+
+    The sum of the products' absolute values is at most the product of both norms, so floats below their range of exact
+    whole numbers give the same sums as longs.
+    """
+    most = a.norm * b.norm
+    kind = np.float32 if most < 2.0**23 else np.float64 if most < 2.0**52 else None
+    if kind is not None:
+        pairs = list(zip(a.of(kind), b.of(kind), strict=True))
+        total = pairs[0][0] @ pairs[0][1].T
+        for x, y in pairs[1:]:
+            total += x @ y.T
+        return total
+    total = np.zeros((len(a.ids), len(b.ids)), np.int64)
+    with np.errstate(over="ignore"):
+        for x, y in zip(a.chunks, b.chunks, strict=True):
+            total += product(x, y)
+    return total
+
+
+class Best:
+    """The best most scores inside each of a shard of anchors' windows so far, ties to the smaller id."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, most: int):
+        self.low, self.high, self.most = low, high, most
+        self.score = np.zeros((len(low), most), np.int64)
+        self.id = np.zeros((len(low), most), np.int64)
+        self.n = np.zeros(len(low), np.int64)
+
+    def add(self, scores: np.ndarray, fits: np.ndarray | None, ids: np.ndarray) -> None:
+        """Takes scores of all anchors with rows of rising ids."""
+        if not len(ids) or not len(self.low):
+            return
+        full = self.n == self.most
+        # a score as low as the worst so far needs a smaller id
+        worst = self.score[:, -1] + np.where((ids[0] >= self.id[:, -1]) & (self.score[:, -1] < _MOST), 1, 0)
+        low = np.where(full, np.maximum(worst, self.low), self.low)
+        kind = scores.dtype
+        if kind != np.int64:  # scores are whole numbers below the range of kind; beyond it, no bound decides
+            edge = 1 << (24 if kind == np.float32 else 53)
+            inside = (scores >= np.clip(low, -edge, edge).astype(kind)[:, None]) & (scores <= np.clip(self.high, -edge, edge).astype(kind)[:, None])
+        else:
+            inside = (scores >= low[:, None]) & (scores <= self.high[:, None])
+        if fits is not None:
+            inside &= fits
+        row, column = np.nonzero(inside)
+        if not len(row):
+            return
+        found, other = scores[row, column].astype(np.int64), ids[column]
+        touched = np.unique(row)
+        old_row = np.repeat(touched, self.n[touched])
+        place = np.arange(len(old_row)) - np.repeat(np.cumsum(self.n[touched]) - self.n[touched], self.n[touched])
+        row, found, other = np.r_[row, old_row], np.r_[found, self.score[old_row, place]], np.r_[other, self.id[old_row, place]]
+        order = np.lexsort((other, ~found, row))
+        row, found, other = row[order], found[order], other[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        count = np.diff(np.r_[first, len(row)])
+        place = np.arange(len(row)) - np.repeat(first, count)
+        keep = place < self.most
+        self.score[row[keep], place[keep]], self.id[row[keep], place[keep]] = found[keep], other[keep]
+        self.n[row[first]] = np.minimum(count, self.most)
+
+
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
+
+
+class Positives:
+    """An anchors' shard's best rows with the anchor's own label."""
+
+    def __init__(self, anchors: Shard, most: int):
+        self.anchors = anchors
+        self.best = [Best(np.full(len(anchors.ids), _LEAST), np.full(len(anchors.ids), _MOST), most)]
+
+    def add(self, rows: Shard) -> None:
+        a = self.anchors
+        fits = (a.labels[:, None] == rows.labels) & (a.ids[:, None] != rows.ids)
+        if fits.any():
+            self.best[0].add(scores(a, rows), fits, rows.ids)
+
+
+class Negatives:
+    """An anchors' shard's best rows with other labels, inside the window of each of its positives."""
+
+    def __init__(self, anchors: Shard, positives: int, most: int, low: int, high: int):
+        self.anchors, self.best = anchors, []
+        windows = anchors.windows.reshape(len(anchors.ids), 1 + positives)
+        for place in range(positives):
+            there = windows[:, 0] > place
+            bounds = [(-(-low * s // 100), high * s // 100) for s in windows[:, 1 + place].tolist()]  # of any size
+            at = [np.array([min(max(b[k], _LEAST), _MOST) for b in bounds], np.int64) for k in (0, 1)]
+            empty = ~there | np.array([b[0] > b[1] or b[0] > _MOST or b[1] < _LEAST for b in bounds], bool)
+            self.best.append(Best(np.where(empty, 1, at[0]), np.where(empty, 0, at[1]), most))
+
+    def add(self, rows: Shard) -> None:
+        a = self.anchors
+        found = scores(a, rows)
+        fits = (a.labels[:, None] != rows.labels) & (a.ids[:, None] != rows.ids)
+        for b in self.best:
+            b.add(found, fits, rows.ids)
+
+
+def meet(anchors: DataFrame, rows: DataFrame, same_group: bool, dimensions: int, start) -> DataFrame:
+    """What is best of each anchor among the rows of each part of the grid; start: a state of an anchors' shard."""
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
+    a, b = side(anchors, "a"), side(rows, "b")
+    pairs = a.hint("shuffle_replicate_nl").join(b, (F.col("a_group") == F.col("b_group")) if same_group else F.lit(True), "inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, shard_ = None, None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cells = {n: batch.column(k)[r] for k, n in enumerate(batch.schema.names)}
+                mine = (cells["a_ids"].as_buffer().to_pybytes(), cells["a_keys"].as_buffer().to_pybytes())
+                if mine != key:
+                    if state is not None:
+                        yield best_rows(state)
+                    key, shard_ = mine, Shard({n: v.as_py() for n, v in cells.items() if n.startswith("a_")}, "a", dimensions)
+                    state = start(shard_)
+                state.add(Shard({n: v.as_py() for n, v in cells.items() if n.startswith("b_")}, "b", dimensions))
+        if state is not None:
+            yield best_rows(state)
+
+    return pairs.mapInArrow(run, _BEST)
+
+
+def best_rows(state: Positives | Negatives) -> pa.RecordBatch:
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for place, b in enumerate(state.best):
+        row, k = np.nonzero(np.arange(b.most) < b.n[:, None])
+        for column, x in zip(out, (state.anchors.ids[row], state.anchors.keys[row], np.full(len(row), place), b.id[row, k], b.score[row, k]), strict=True):
+            column.append(x.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=[f.split()[0] for f in _BEST.split(", ")])
 
 
 def hard_negatives(
@@ -184,43 +273,25 @@ def hard_negatives(
     """
     spark = vectors.sparkSession
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
-    v = cut(usable(vectors, relabel))
+    v = cut(usable(vectors, relabel).withColumn("group", F.pmod(F.xxhash64("label"), F.lit(GROUPS)).cast("int")))
     asked = v.where(anchors)
     length = v.agg(F.max(F.size("numbers"))).first()[0]
-    group = F.pmod(F.xxhash64("label"), F.lit(GROUPS)).cast("int")
-    first, many = _counted(v, group, size)
-    anchor_first, anchor_many = _counted(asked, group, anchor_size)
-    if not sum(anchor_many):
+    if length is None or asked.isEmpty():
         return spark.createDataFrame([], schema)
-    pick = lambda values, g: F.element_at(F.lit(values).cast("array<int>"), g + 1)
-    deal = lambda n: F.pmod(F.xxhash64("key", F.lit(12)), n)
-    rows = cut(shards(v, pick(first, group) + deal(pick(many, group)), dimensions, length))
-    asked_rows = shards(asked, pick(anchor_first, group) + deal(pick(anchor_many, group)), dimensions, length)
-
-    def others(mine: list[int], count: list[int], theirs: list[int], their_count: list[int]) -> Column:
-        """The other side's shards of the group that a shard belongs to."""
-        spans = [[b, b + m - 1] for a, n, b, m in zip(mine, count, theirs, their_count, strict=True) for _ in range(n)]
-        span = F.element_at(F.lit(spans).cast("array<array<int>>"), F.col("shard") + 1)
-        return F.when(span[0] <= span[1], F.sequence(span[0], span[1]))
-
-    grouped = tiles(asked_rows, rows, others(anchor_first, anchor_many, first, many), others(first, many, anchor_first, anchor_many), dimensions)
-    found = grouped.applyInArrow(lambda t: first_positives(t, positives), _POSITIVES)
-    w = Window.partitionBy("anchor_id", "anchor_key").orderBy(F.desc("positive_score"), "positive_id")  # ``positives`` rows of each tile
-    found = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= positives)
-    listed = found.groupBy("anchor_id", "anchor_key").agg(F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_score"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda x: F.array(x.positive_id, x.positive_score)))
-    windows = F.concat(F.array(F.size("p").cast("long")), flat, F.array_repeat(F.lit(0).cast("long"), 2 * (positives - F.size("p"))))
+    rows = cut(shards(v, size, dimensions, length))
+    found = meet(cut(shards(asked, anchor_size, dimensions, length)), rows, True, dimensions, lambda a: Positives(a, positives))
+    w = Window.partitionBy("anchor_id", "anchor_key").orderBy(F.desc("score"), "other_id")  # ``positives`` rows of each part
+    found = found.withColumn("place", F.row_number().over(w).cast("long") - 1).where(F.col("place") < positives)
+    found = cut(found.select("anchor_id", "anchor_key", "place", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")))
+    listed = found.groupBy("anchor_id", "anchor_key").agg(F.sort_array(F.collect_list(F.struct("place", "positive_score"))).alias("p"))
+    windows = F.concat(F.array(F.size("p").cast("long")), F.transform("p", lambda x: x.positive_score), F.array_repeat(F.lit(0).cast("long"), positives - F.size("p")))
     listed = listed.select(F.col("anchor_id").alias("vec_id"), F.col("anchor_key").alias("key"), windows.alias("windows"))
-    with_windows = cut(asked.join(listed, ["vec_id", "key"]))
-    n, m = -(-with_windows.count() // anchor_size), sum(many)
-    if not n:
-        return spark.createDataFrame([], schema)
-    all_of = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
-    grouped = tiles(shards(with_windows, deal(F.lit(n)), dimensions, length), rows, all_of(m), all_of(n), dimensions)
-    found = grouped.applyInArrow(lambda t: first_negatives(t, positives, negatives, low, high), _NEGATIVES)
-    w = Window.partitionBy("anchor_id", "anchor_key", "place").orderBy(F.desc("negative_score"), "negative_id")  # ``negatives`` rows of each tile
-    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= negatives)
-    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    asked = cut(shards(asked.join(listed, ["vec_id", "key"]), anchor_size, dimensions, length))
+    best = meet(asked, rows, False, dimensions, lambda a: Negatives(a, positives, negatives, low, high))
+    w = Window.partitionBy("anchor_id", "anchor_key", "place").orderBy(F.desc("score"), "other_id")  # ``negatives`` rows of each part
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= negatives)
+    best = best.join(found, ["anchor_id", "anchor_key", "place"])
+    return best.select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
