@@ -244,7 +244,7 @@ class Workflow:
         fresh = {"_history": F.array().cast(HISTORY), "_failure": none}
         if flow.repeat.retry:
             fresh |= {"_q_status": none, "_q_result": none.cast("variant"), "_q_error": none, "_q_attempts": F.lit(0), "_q_steps": F.lit(None).cast(_steps_type(flow.repeat.retry))}
-        df = settled(df.withColumns(fresh))
+        df = settled(df.withColumns(fresh).repartition("run_id"))  # a source of few files would keep all rounds in few tasks
         parts, front = [df.where("NOT _active")], df.where("_active")
         for k in range(flow.repeat.max_attempts):
             front = self._attempt(front, flow)
@@ -260,19 +260,21 @@ class Workflow:
         """Whether rows go on to another attempt, with which input. First a failure stops, then a review, until, the last
         attempt; then the retry flow runs, and may stop the repeat itself."""
         again = flow.repeat
-        seen = context | _seen(flow.name, "_", "attempt")
+        # all pointers into the attempts read one column, which is built once a row
+        df = df.withColumn("_tries", _attempts(F.col("_history"), "attempt"))
+        seen = context | _seen(flow.name, "_", F.col("_tries"))
         stop = F.when(F.col("_status") == "failed", "failure").when(F.col("_status") == "needs_review", "review").when(holds(seen, again.until), "until").when(F.lit(attempt >= again.max_attempts), "exhausted")
         df = df.withColumns({"_stopped": stop, "_failure": F.lit(None).cast("string")})
         if again.retry:
             df = self._retry(df, again, seen, attempt)
-            seen = seen | _seen(again.retry.name, "_q_", "retry")
+            seen = seen | _seen(again.retry.name, "_q_", _attempts(F.col("_history"), "retry"))
             if again.continue_when is not None:
                 df = df.withColumn("_stopped", F.coalesce("_stopped", F.when(~holds(seen, again.continue_when), "continue_when")))
         bindings = {**(flow.input or {}), **again.next_input}
         df = df.withColumn("_next", _object(seen, bindings) if bindings else F.col("_input"))
         lost = F.col("_stopped").isNull() & F.col("_next").isNull()
         df = df.withColumns({"_stopped": F.when(lost, "failure").otherwise(F.col("_stopped")), "_failure": F.when(lost, "missing_binding").otherwise(F.col("_failure")), "_input": F.coalesce("_next", "_input")})
-        return df.withColumn("_active", F.col("_stopped").isNull()).drop("_next")
+        return df.withColumn("_active", F.col("_stopped").isNull()).drop("_next", "_tries")
 
     def _retry(self, df: DataFrame, again: Repeat, seen: Mapping[str, Column], attempt: int) -> DataFrame:
         """Runs the retry flow on rows that have not stopped."""
@@ -381,10 +383,10 @@ def _error(code: Column) -> Column:
     return F.when(code.isNotNull(), F.to_variant_object(F.struct(code.alias("code"))))
 
 
-def _seen(name: str, prefix: str, role: str) -> dict[str, Column]:
+def _seen(name: str, prefix: str, attempts: Column) -> dict[str, Column]:
     """What conditions and bindings see of a flow while it repeats."""
     root, at = f"/flows/{name}", lambda c: F.col(f"{prefix}{c}")
-    return {f"{root}/status": _text(at("status")), f"{root}/result": at("result"), f"{root}/error": _error(at("error")), f"{root}/attempts": _attempts(F.col("_history"), role)}
+    return {f"{root}/status": _text(at("status")), f"{root}/result": at("result"), f"{root}/error": _error(at("error")), f"{root}/attempts": attempts}
 
 
 def _lacking(binding: Binding, known: frozenset[str] | set[str]) -> list[str]:

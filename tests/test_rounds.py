@@ -121,3 +121,38 @@ def test_owner_walks(spark):
     got = {r["p"]: (r["o"]["owner"], r["o"]["status"]) for r in df.collect()}
     assert {p: s for p, (_, s) in got.items()} == want
     assert got["/flows/f~1g/steps/c/partial_result/items/0/result"][0].endswith("items/0") and got["/flows/f~1g/steps/plain/result/items/0"][0].endswith("plain") and got["/flows/f~1g/steps/c/partial_result/items/00"][0].endswith("/c")
+
+
+def test_attempts_are_built_once(monkeypatch):
+    """However many pointers go into the attempts of a repeat, its expressions hold them once."""
+    from gristmill.plans import workflow as wf
+
+    built = []
+    whole = wf._attempts
+    monkeypatch.setattr(wf, "_attempts", lambda history, role: built.append(role) or whole(history, role))
+    seen = {}
+    monkeypatch.setattr(wf, "holds", lambda context, condition: seen.update(context) or F.lit(True))
+    monkeypatch.setattr(wf.Workflow, "_retry", lambda self, df, again, context, attempt: df)
+
+    class Rows:
+        """Stands for a DataFrame, and keeps the columns that it is given."""
+
+        def __init__(self):
+            self.given = {}
+
+        def withColumn(self, name, column):
+            self.given[name] = column
+            return self
+
+        def withColumns(self, columns):
+            self.given |= columns
+            return self
+
+        def drop(self, *names):
+            return self
+
+    rows = Rows()
+    repeat = wf.Repeat(3, {"pointer": "/flows/f/result", "present": True}, {"n": {"first_of": [f"/flows/f/attempts/{k}/attempt" for k in range(3)]}})
+    flow = wf.Flow("f", [], repeat=repeat)
+    wf.Workflow([flow], "f")._decide(rows, flow, {}, 1)
+    assert built == ["attempt"] and str(rows.given["_next"]).count("_tries") >= 3 and "_history" not in str(rows.given["_next"])
