@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import shared_path
+from . import dealt, shared_path
 from .functions import comparisons as cmp
 from .functions.usage import request_cost
 from .functions.values import items_of, member, number_of, parse, text_of
@@ -190,7 +190,9 @@ def nested_owners(spark, sf_dir):
 def nested_usage(spark, sf_dir):
     """Tokens of runs, of their items and of the items of these, each with all that lies inside."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("i"))
-    lines = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # a task keeps lines three times: sorted for the join, sorted by order, and summed by place
+    lines = dealt(items, "l_orderkey").join(dealt(o, "o_orderkey", of=items), F.col("l_orderkey") == F.col("o_orderkey"))
     j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
     records = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.array().cast("array<int>").alias("path"), F.col("c_nationkey").cast("long").alias("t"))
     records = records.unionByName(o.select(F.col("o_custkey").alias("run_id"), F.array("i").alias("path"), F.when(F.col("o_orderkey") % 50 > 0, F.col("o_orderkey") % 97).cast("long").alias("t")))
