@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fresh, letters, release, slices, table, utf8
+from .common import bounded_sample, cut, fresh, letters, release, slices, table, utf8
 
 #: Texts of each language that training takes at most.
 PER_LANGUAGE = 1500
@@ -64,15 +64,27 @@ def _counted(offsets: np.ndarray) -> np.ndarray:
     return np.maximum(sum(np.maximum(size - g + 1, 0) for g in GRAMS), 1)
 
 
-def _features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and values of each text: shares of its n-grams."""
-    data, offsets = utf8(texts)
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        key = np.concatenate(_grams(data[a:b]))
-        bucket, count = np.unique(key, return_counts=True)
-        out.append((bucket, SCALE * count / max(len(key), 1)))
-    return out
+class Features:
+    """Buckets and counts of the n-grams of each text, one text after the other; a text's values are shares of its n-grams."""
+
+    def __init__(self, texts: pa.Array):
+        data, offsets = utf8(texts)
+        bucket, count, ends, total = [np.empty(0, np.uint16)], [np.empty(0, np.uint32)], [0], []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            key = np.concatenate(_grams(data[a:b]))
+            some, n = np.unique(key, return_counts=True)
+            bucket.append(some.astype(np.uint16))
+            count.append(n.astype(np.uint32))
+            ends.append(ends[-1] + len(some))
+            total.append(max(len(key), 1))
+        self.bucket, self.count, self.ends, self.total = np.concatenate(bucket), np.concatenate(count), ends, total
+
+    def __len__(self) -> int:
+        return len(self.total)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        on = slice(self.ends[k], self.ends[k + 1])
+        return self.bucket[on], SCALE * self.count[on] / self.total[k]
 
 
 def _margins(texts: pa.Array, weights: list[np.ndarray]) -> np.ndarray:
@@ -90,10 +102,10 @@ def _margins(texts: pa.Array, weights: list[np.ndarray]) -> np.ndarray:
     return out + np.array([w[-1] for w in weights])[:, None]
 
 
-def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.0, rounds: int = 20) -> np.ndarray:
+def train_svm(rows: Features, y: np.ndarray, c: float = 10.0, rounds: int = 20) -> np.ndarray:
     """Weights and, last, the bias of a linear machine with squared hinge loss, by dual coordinate descent."""
     w, alpha, rng = np.zeros(BUCKETS + 1), np.zeros(len(rows)), np.random.default_rng(0)
-    q = np.array([(v * v).sum() + 1 for _, v in rows]) + 0.5 / c
+    q = np.array([(v * v).sum() + 1 for _, v in map(rows.__getitem__, range(len(rows)))]) + 0.5 / c
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(rows)):
@@ -111,25 +123,49 @@ def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float
     return w
 
 
-def train(texts: list[str], languages: list[str]) -> dict:
-    """Model from lower-case texts: families, and the machines between families and between languages of a family."""
-    rows = _features(pa.array(texts, pa.large_string()))
-    langs = np.array(languages)
-    family = np.array([FAMILY_OF.get(x, x) for x in languages])
+def _machines(languages: list[str]) -> tuple[list[str], list[tuple[int, str, str]], list[tuple[str, int, bool]]]:
+    """Families of the languages, the machines (number and the two that it tells apart: families first, then the languages of
+    each), and which machines learn from a language, on which side."""
+    families = sorted({FAMILY_OF.get(x, x) for x in languages})
+    pairs = list(combinations(families, 2))
+    learn = [(x, k, FAMILY_OF.get(x, x) == a) for k, (a, b) in enumerate(pairs) for x in languages if FAMILY_OF.get(x, x) in (a, b)]
+    for f in families:
+        for a, b in combinations([x for x in languages if FAMILY_OF.get(x, x) == f], 2):
+            learn += [(a, len(pairs), True), (b, len(pairs), False)]
+            pairs.append((a, b))
+    return families, [(k, a, b) for k, (a, b) in enumerate(pairs)], learn
 
-    def machines(group: np.ndarray, names: list[str]) -> list[tuple[str, str, np.ndarray]]:
-        out = []
-        for a, b in combinations(names, 2):
-            on = np.flatnonzero((group == a) | (group == b))
-            out.append((a, b, train_svm([rows[i] for i in on], np.where(group[on] == a, 1.0, -1.0)).astype(np.float32)))
-        return out
 
-    families = sorted(set(family))
-    return {
-        "families": families,
-        "between": machines(family, families),
-        "within": {f: (names := sorted(set(langs[family == f])), machines(np.where(family == f, langs, ""), names)) for f in families},
-    }
+def _learned(rows: pa.Table) -> pa.Table:
+    """The weights of one machine, from the lower-case texts of its two sides."""
+    release()
+    rows = rows.sort_by([("lang", "ascending"), ("text", "ascending")])
+    number, y = rows["machine"][0].as_py(), np.where(rows["first"].to_numpy(), 1.0, -1.0)
+    weights = train_svm(Features(rows["text"]), y).astype(np.float32)
+    return pa.table([pa.array([number], pa.int32()), pa.array([weights.tobytes()], pa.binary())], names=["machine", "weights"])
+
+
+def train(sample: DataFrame) -> dict | None:
+    """Model from lower-case texts with their languages: families, and the machines between families and between languages of a
+    family. Each machine is trained in a task of its own; the driver gets their weights."""
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if not languages:
+        return None
+    families, machines, learn = _machines(languages)
+    weights = {}
+    if learn:
+        sides = sample.sparkSession.createDataFrame(learn, "lang string, machine int, first boolean")
+        got = sample.join(F.broadcast(sides), "lang").groupBy("machine").applyInArrow(_learned, "machine int, weights binary").toArrow()
+        weights = {k: np.frombuffer(w, np.float32) for k, w in zip(got["machine"].to_pylist(), got["weights"].to_pylist(), strict=True)}
+    made = [(a, b, weights[k]) for k, a, b in machines]
+    between = len(families) * (len(families) - 1) // 2
+    within, at = {}, between
+    for f in families:
+        names = [x for x in languages if FAMILY_OF.get(x, x) == f]
+        n = len(names) * (len(names) - 1) // 2
+        within[f] = (names, made[at : at + n])
+        at += n
+    return {"families": families, "between": made[:between], "within": within}
 
 
 def _vote(names: list[str], machines: list, margins: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +214,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     chosen = bounded_sample(rows.select("doc_id", "lang"), "lang", "doc_id", per_language).withColumnRenamed("lang", "chosen")
     sample = rows.join(F.broadcast(chosen), (rows.doc_id == chosen.doc_id) & (rows.lang == chosen.chosen), "left_semi").select("text", "lang").dropDuplicates()
     # the chosen keys, per_language for each language at most, are broadcast: texts are not shuffled for them
-    got = sample.collect()  # at most per_language texts of each language
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["lang"], r["text"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    return train(cut(sample))  # at most per_language texts of each language
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -18,7 +18,7 @@ import brute  # noqa: E402
 from conftest import DATA  # noqa: E402
 from gristmill.llm import near_dedup as nd  # noqa: E402
 from gristmill.llm import neighbours as nb  # noqa: E402
-from gristmill.llm import registry  # noqa: E402
+from gristmill.llm import language_id, registry  # noqa: E402
 from gristmill.llm import toxicity as tx  # noqa: E402
 from gristmill.llm.exact_dedup import exact_dedup, exact_dedup_rows, stream_state  # noqa: E402
 from gristmill.llm.language_id import fit as fit_languages  # noqa: E402
@@ -289,6 +289,17 @@ def test_op10(spark, none):
     assert identify(none, model).count() == 0 and fit_languages(d.where("false")) is None
 
 
+def test_op10_machines_learn_in_tasks(spark, monkeypatch):
+    """The driver holds no texts and no features: it trains nothing itself."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wanted = identify(d, fit_languages(d)).toPandas()
+    monkeypatch.setattr(language_id, "train_svm", lambda *_: pytest.fail("trained by the driver"))
+    model = fit_languages(d)
+    assert identify(d, model).toPandas().equals(wanted)
+    one = d.where("lang = 'en'")
+    assert set(identify(one, fit_languages(one)).toPandas().lang_pred) <= {"en", "und"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
