@@ -2,11 +2,9 @@
 
 Terms are words and their first bytes, in lower case, each hashed to one of FEATURES features, as usual for texts of any
 vocabulary; document frequencies of all features are counted over all documents. A bounded sample of labelled rows are the
-examples. A document's nearest examples by exact TF-IDF cosine over all features of both are found with an inverted index whose postings lie in blocks of examples that are alike, with
-the largest weight of each term in each block. Lists of terms that more than DENSE of the examples have are kept as whole
-rows, and one product adds them up for some documents at a time; the bounds of the other terms then tell which blocks may
-hold neighbours: the other lists are read in the FIRST blocks with the highest bounds, then in all whose bound reaches the
-score of the last neighbour held. Sums in single precision only choose candidates, by a margin; their cosines are then
+examples. A document's nearest examples by exact TF-IDF cosine over all features of both are found with an inverted index.
+Lists of terms that more than DENSE of the examples have are kept as whole rows, and one product adds them up for some documents
+at a time, which are grouped so that they have many of these terms in common; the other lists are read whole. Sums in single precision only choose candidates, by a margin; their cosines are then
 computed in double precision. Neighbours vote, weighted by nearness and by the share of their class that was sampled; a
 logistic curve over left-one-out votes of the examples calibrates the votes. Evidence are the doc_ids and cosines of the
 nearest examples.
@@ -39,11 +37,14 @@ NEIGHBOURS = 15
 FEATURES = 1 << 20
 #: What single precision may be wrong by.
 MARGIN = 1e-4
+#: Examples whose postings are dealt to their lists at a time, while an index is built: FIRST blocks of BLOCK.
 BLOCK = 256
-FIRST = 1
+FIRST = 4
 DENSE = 0.06
 #: Examples whose votes calibrate the curve, at least, where there are as many.
 CALIBRATED = 2000
+#: Main directions by whose sides texts are grouped.
+AXES = 3
 #: Sums of texts and examples that are held at a time, about, and postings that are read at a time.
 TOGETHER = 1_500_000
 POSTINGS = 200_000
@@ -120,49 +121,22 @@ def weighted(row: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.nd
     return weight / np.maximum(norm[row], 1e-300)
 
 
-def likeness_order(row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, size: int, dims: int = 128) -> np.ndarray:
-    """Rows so that like ones come together: halved along their main direction, in a sketch of dims, down to blocks of size."""
-    scrambled = mix64(np.arange(1, int(number.max(initial=-1)) + 2, dtype=np.uint64))
-    sign, place = 1 - 2 * (scrambled >> np.uint64(63)).astype(np.float64), (scrambled % np.uint64(dims)).astype(np.int64)
-    sketch = np.zeros((n, dims))
-    for begin in range(0, n, 1000):
-        some = slice(*np.searchsorted(row, [begin, begin + 1000]))
-        m = min(1000, n - begin)
-        sketch[begin : begin + m] = np.bincount((row[some].astype(np.int64) - begin) * dims + place[number[some]], weights=weight[some] * sign[number[some]], minlength=m * dims).reshape(m, dims)
-    out, todo = [], [np.arange(n)]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= size:
-            out.append(rows)
-            continue
-        x = sketch[rows] - sketch[rows].mean(axis=0)
-        axis = np.random.default_rng(0).normal(size=dims)
-        for _ in range(20):
-            axis = x.T @ (x @ axis)
-            axis /= max(np.linalg.norm(axis), 1e-300)
-        rows = rows[np.argsort(x @ axis, kind="stable")]
-        half = -(-len(rows) // (2 * size)) * size
-        todo += [rows[half:], rows[:half]]
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-class BlockMaxIndex:
-    """Inverted index of examples, in blocks, with each block's largest weight of each term."""
+class InvertedIndex:
+    """Lists of the examples that have each term, and whole rows of weights for terms that many examples have."""
 
     def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
-        """Postings are ordered by row; they are dealt to their lists block after block, so nothing sorts all of them."""
-        self.ids, self.n, self.blocks, self.terms = ids, len(ids), max(-(-len(ids) // BLOCK), 1), terms
+        """Postings are ordered by row; they are dealt to their lists some examples at a time, so nothing sorts all of them."""
+        self.ids, self.n, self.terms = ids, len(ids), terms
         self.own, self.own_number, self.own_weight = np.searchsorted(row, np.arange(self.n + 1)), number, weight
         sizes = np.bincount(number, minlength=terms)
         often = sizes > DENSE * self.n
         self.dense_row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         self.dense = np.zeros((int(often.sum()), self.n), np.float32)
-        self.postings = np.where(often, 0, sizes).astype(np.int32)
-        self.start = np.r_[0, np.cumsum(self.postings, dtype=np.int64)]
+        self.start = np.r_[0, np.cumsum(np.where(often, 0, sizes), dtype=np.int64)]
         self.row, self.weight = np.empty(self.start[-1], np.min_scalar_type(self.n)), np.empty(self.start[-1], np.float32)
-        filled, cells = self.start[:-1].copy(), [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32))]
-        for block in range(self.blocks):
-            some = slice(self.own[block * BLOCK], self.own[min((block + 1) * BLOCK, self.n)])
+        filled = self.start[:-1].copy()
+        for begin in range(0, self.n, FIRST * BLOCK):
+            some = slice(self.own[begin], self.own[min(begin + FIRST * BLOCK, self.n)])
             r, k, w = row[some], number[some], weight[some].astype(np.float32)
             on = self.dense_row[k] >= 0
             self.dense[self.dense_row[k[on]], r[on]] = w[on]
@@ -175,39 +149,58 @@ class BlockMaxIndex:
             size, of = np.diff(np.r_[first, len(k)]), k[first]
             at = np.repeat(filled[of] - first, size) + np.arange(len(k))
             self.row[at], self.weight[at] = r, w
-            cells.append((of, filled[of], np.full(len(of), block, np.int32), np.maximum.reduceat(w, first)))
             filled[of] += size
-        of, begin, block, most = (np.concatenate(x) for x in zip(*cells, strict=True))
-        order = np.argsort(begin, kind="stable")  # by term, then by block
-        self.begin, self.block, self.most = begin[order].astype(np.int32), block[order], most[order]
-        self.end = np.r_[self.begin[1:], len(self.row)].astype(np.int32)[: len(order)]
-        self.first = np.searchsorted(of[order], np.arange(terms + 1)).astype(np.int32)
+        self.axes, self.middle = self._axes()
+
+    def _axes(self, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+        """Main directions of the whole rows, and where the examples' middle lies on them: they tell languages apart, about."""
+        axes = np.random.default_rng(0).normal(size=(len(self.dense), AXES)).astype(np.float32)
+        for _ in range(rounds):
+            on = self.dense.T @ axes
+            axes = np.linalg.qr(self.dense @ (on - on.mean(axis=0)))[0] if min(axes.shape) else axes
+        return axes, (self.dense.T @ axes).mean(axis=0) if self.n else np.zeros(axes.shape[1], np.float32)
+
+    def _whole_rows(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Weights of n texts for the terms that are whole rows."""
+        at, asked = self.dense_row[number], np.zeros((n, len(self.dense)), np.float32)
+        on = at >= 0
+        asked[row[on], at[on]] = weight[on]
+        return asked
 
     def nearest(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For n texts with these vectors (ordered by row): text, example and cosine of the k largest cosines above 0 of each
         text, from the largest, the smaller doc_id first at ties; but: an example for each text that is left out."""
         ends = np.searchsorted(row, np.arange(n + 1))
         out, together = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], max(1, TOGETHER // max(self.n, 1))
+        side = np.zeros(n, np.int64)
         for begin in range(0, n, together):
-            end = min(begin + together, n)
-            on = slice(ends[begin], ends[end])
-            text, example, cosine = self._some(row[on] - begin, number[on], weight[on], end - begin, k, None if but is None else but[begin:end])
-            out.append((text + begin, example, cosine))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            on = slice(ends[begin], ends[min(begin + together, n)])
+            asked = self._whole_rows(row[on] - begin, number[on], weight[on], min(together, n - begin))
+            side[begin : begin + together] = (asked @ self.axes > self.middle) @ (1 << np.arange(self.axes.shape[1]))
+        # texts on the same sides come together: they have many terms in common, and need fewer of the whole rows
+        order = np.argsort(side, kind="stable")
+        cuts = sorted({*range(0, n, together), *np.flatnonzero(np.diff(side[order])) + 1, n})
+        for begin, end in zip(cuts, cuts[1:]):
+            some = order[begin:end]
+            at, of = _ranges(ends[some], ends[some + 1])
+            text, example, cosine = self._some(of, number[at], weight[at], end - begin, k, None if but is None else but[some])
+            out.append((some[text], example, cosine))
+        text, example, cosine = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(text, kind="stable")
+        return text[order], example[order], cosine[order]
 
     def _some(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = self.dense_row[number]
-        on = at >= 0
-        asked = np.zeros((n, len(self.dense)), np.float32)
-        asked[row[on], at[on]] = weight[on]
-        total = asked @ self.dense
-        high = np.maximum.reduceat(total, np.arange(0, self.n, BLOCK), axis=1)
+        on = self.dense_row[number] >= 0
+        asked = self._whole_rows(row, number, weight, n)
+        used = np.flatnonzero(asked.any(axis=0))
+        total = asked[:, used] @ self.dense[used]
         ends = np.searchsorted(row[~on], np.arange(n + 1)).tolist()
-        lists, heavy = number[~on], weight[~on]
+        lists, heavy = number[~on], weight[~on].astype(np.float32)
+        begin, end = self.start[lists], self.start[lists + 1]
         texts, examples = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for t in range(n):
             mine = slice(ends[t], ends[t + 1])
-            found = self._candidates(total[t], high[t], lists[mine], heavy[mine], k, None if but is None else int(but[t]))
+            found = self._candidates(total[t], begin[mine], end[mine], heavy[mine], k, None if but is None else int(but[t]))
             texts.append(np.full(len(found), t))
             examples.append(found)
         text, example = np.concatenate(texts), np.concatenate(examples)
@@ -218,38 +211,11 @@ class BlockMaxIndex:
         order = order[place < k]
         return text[place < k], example[order], cosine[order]
 
-    def _candidates(self, total: np.ndarray, high: np.ndarray, lists: np.ndarray, weight: np.ndarray, k: int, but: int | None) -> np.ndarray:
-        """Examples that may be among the k nearest of one text; total: its products with the whole rows, high: their largest in
-        each block. All arrays are those of one text, so they stay in the processor's caches."""
-        cell, of = _ranges(self.first[lists], self.first[lists + 1])
-        block = self.block[cell]
-        rest = np.bincount(block, weights=weight[of] * self.most[cell], minlength=self.blocks)
-        bound, left = high + rest, rest > 0
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        on = (first & left)[block]
-        c = cell[on]
-        sums = total + self._sums(self.begin[c], self.end[c], weight[of[on]])
-        if but is not None:
-            sums[but] = 0
-        least = np.partition(sums, -k)[-k] if self.n > k else 0.0
-        more = left & ~first & (bound >= least - MARGIN)
-        if more.any():
-            if 2 * np.count_nonzero(more) > np.count_nonzero(left):  # whole lists are read faster than most of their blocks
-                sums = total + self._sums(self.start[lists], self.start[lists + 1], weight)
-            else:
-                on = more[block]
-                c = cell[on]
-                sums += self._sums(self.begin[c], self.end[c], weight[of[on]])
-            if but is not None:
-                sums[but] = 0
-            least = np.partition(sums, -k)[-k] if self.n > k else 0.0
-        return np.flatnonzero((sums > 0) & (sums >= least - MARGIN))
-
-    def _sums(self, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sums over some runs of postings, each times a weight, for all examples; POSTINGS at a time, about."""
-        size = (end - begin).astype(np.int64)
-        until, weight, out, a = np.cumsum(size), weight.astype(np.float32), np.zeros(self.n), 0
+    def _candidates(self, total: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray, k: int, but: int | None) -> np.ndarray:
+        """Examples that may be among the k nearest of one text; total: its products with the whole rows, begin and end: its lists.
+        All lists are read: a text's nearest examples are hardly nearer than others, so bounds would leave out few."""
+        sums, size, a = total.astype(np.float64), end - begin, 0
+        until = np.cumsum(size)
         while a < len(size):
             b = max(a + 1, int(np.searchsorted(until, until[a] - size[a] + POSTINGS, side="right")))
             s, stop = size[a:b], until[a:b] - (until[a] - size[a])
@@ -257,9 +223,12 @@ class BlockMaxIndex:
             at += np.arange(stop[-1])
             part = self.weight[at]
             part *= np.repeat(weight[a:b], s)
-            out += np.bincount(self.row[at], weights=part, minlength=self.n)
+            sums += np.bincount(self.row[at], weights=part, minlength=self.n)
             a = b
-        return out
+        if but is not None:
+            sums[but] = 0
+        least = np.partition(sums, -k)[-k] if self.n > k else 0.0
+        return np.flatnonzero((sums > 0) & (sums >= least - MARGIN))
 
     def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, text: np.ndarray, example: np.ndarray) -> np.ndarray:
         """Inner products of pairs of texts (ordered) and examples, in double precision."""
@@ -301,13 +270,11 @@ class Examples:
         self.number[known] = np.arange(len(known), dtype=np.int32)
         number = self.number[feature]
         del feature
-        like = likeness_order(row, number, weight, len(some), BLOCK)
-        # examples in their new order, one after the other
-        begin = np.r_[0, np.cumsum(sizes[some])].tolist()
-        number, weight = (np.concatenate([x[begin[k] : begin[k + 1]] for k in like.tolist()] or [x]) for x in (number, weight))
-        row = np.repeat(np.arange(len(some), dtype=np.int32), sizes[some][like])
-        self.index = BlockMaxIndex(row, number, weight, model["ids"][some][like], len(known))
-        self.toxic, self.class_weight = model["toxic"][some][like], model["class_weight"]
+        for a, b in zip((ends := np.r_[0, np.cumsum(sizes[some])].tolist()), ends[1:]):  # frequent terms of an example first
+            order = np.argsort(number[a:b])
+            number[a:b], weight[a:b] = number[a:b][order], weight[a:b][order]
+        self.index = InvertedIndex(row, number, weight, model["ids"][some], len(known))
+        self.toxic, self.class_weight = model["toxic"][some], model["class_weight"]
 
     def asked(self, row: np.ndarray, feature: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, number and weight of the examples' features in texts; the weights are those of texts with all their features."""

@@ -416,6 +416,25 @@ def test_op7_recall(spread):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def test_op6_groups_texts_for_whole_rows():
+    """Texts of unlike languages, mixed, are multiplied with the whole rows of their own terms only."""
+    rng = np.random.default_rng(3)
+    row, number = np.repeat(np.arange(400), 20), (rng.random((400, 40)).argsort(axis=1)[:, :20] + 40 * (np.arange(400) % 2)[:, None]).ravel()
+    index = tx.InvertedIndex(row, number.astype(np.int32), np.full(len(row), 20**-0.5), np.arange(400), 80)
+    assert len(index.dense) == 80 and not len(index.row)
+    used, whole = [], index._some
+    index._some = lambda r, k, w, n, *rest: (used.append(len(np.unique(k))), whole(r, k, w, n, *rest))[1]
+    text, example, cosine = index.nearest(row, number, index.own_weight, 400, 5, np.arange(400))
+    assert max(used) == 40
+    all_ = np.zeros((400, 80))
+    all_[row, number] = 20**-0.5
+    all_ = all_ @ all_.T
+    np.fill_diagonal(all_, 0)
+    for t in range(400):
+        wanted = np.lexsort((np.arange(400), -np.round(all_[t], 12)))[:5]
+        assert example[text == t].tolist() == wanted.tolist() and np.allclose(cosine[text == t], all_[t][wanted])
+
+
 def test_op6_neighbours(spark, monkeypatch):
     """Exact cosines over all terms of the examples; toxic words need not be frequent for a text to have neighbours."""
     monkeypatch.setattr(tx, "BLOCK", 4)
