@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column
@@ -95,12 +95,15 @@ def tokens_of(pointer: Column) -> Column:
 
 def member_each(value: Column, token: Column) -> Column:
     """As member, with a token in a column."""
-    quoted = F.when(~token.contains('"'), F.concat(F.lit('$["'), token, F.lit('"]'))).when(~token.contains("'"), F.concat(F.lit("$['"), token, F.lit("']")))
-    index = F.when(token.rlike(r"\A(0|[1-9][0-9]{0,8})\z"), F.concat(F.lit("$["), token, F.lit("]")))
-    found = F.try_variant_get(value, F.coalesce(quoted, F.lit("$")), "variant")
-    # a name with both quotes fits no path
-    found = F.when(quoted.isNotNull(), found).otherwise(F.try_element_at(fields_of(value), token))
-    return F.coalesce(found, F.when(index.isNotNull(), F.try_variant_get(value, F.coalesce(index, F.lit("$")), "variant")))
+    # whole objects and arrays are taken apart, since a path in a column would be parsed anew for each row and token
+    named = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), token)
+    index = F.when(token.rlike(r"\A(0|[1-9][0-9]{0,8})\z"), token.try_cast("int"))
+    return F.coalesce(named, F.when(index.isNotNull(), F.get(F.try_variant_get(value, "$", "array<variant>"), index)))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What body makes of a value that is computed once, however often body names it: inside lambdas too, where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def lookup_each(value: Column, pointer: Column) -> Column:

@@ -7,7 +7,7 @@ predicate holds one of true, false and unknown. The order of questions is the as
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.comparisons import canonical
-from ..functions.values import kind, text_of
+from ..functions.values import bound, kind, text_of
 from ..plans.workflow import Outcome
 from .decisions import answerability_problems, choice_problems, question_problems, with_fallback
 
@@ -97,11 +97,6 @@ def decision_result(output: Column, questions: Sequence[Question], single: bool
     return bound(F.from_json(output, RESULTS).results, lambda results: bound(F.struct(results.alias("all"), *(_answer_to(q, results).alias(f"q{k}") for k, q in enumerate(questions))), lambda x: _judged(x, questions, single, fallback, on)))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _judged(x: Column, questions: Sequence[Question], single: bool, fallback: str | None, on: Collection[str]) -> Column:
     results, items = x["all"], [x[f"q{k}"] for k in range(len(questions))]
     none = F.array().cast("array<string>")

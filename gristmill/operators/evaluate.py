@@ -23,7 +23,8 @@ def matched(actual: Column, expected: Column, comparison: Column, scorers: Mappi
     plain = lambda c: text_of(parse(c))
     out = F.when(F.lit(False), F.lit(False))
     for name, fits in COMPARISONS.items():
-        out = out.when(comparison == name, fits(actual, expected))
+        own = lambda c, name=name: F.when(comparison == name, c)
+        out = out.when(comparison == name, fits(own(actual), own(expected)))  # Python is called for every row: others give it nothing to parse
     for name, fits in (scorers or {}).items():
         out = out.when(comparison == name, F.coalesce(fits(actual, expected), F.lit(False)))
     for name, fits in TEXTS.items():

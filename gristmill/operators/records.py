@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import kind, member, member_each, text_of, tokens_of
+from ..functions.values import bound, kind, member, member_each, text_of, tokens_of
 
 #: Fixed value: the kind of steps that are collections.
 COLLECTION = "flow_collection"
@@ -26,15 +26,20 @@ def owner(document: Column, path: Column) -> Column:
     start = F.struct(F.lit("root").alias("state"), document.alias("node"), F.lit("").alias("at"), none.alias("owner"), none.alias("status"))
 
     def step(w: Column, token: Column) -> Column:
-        below = member_each(w.node, token)
+        # below an end nothing counts; what is found, and what it is, are each computed once a token
+        return bound(F.when(w.state != "end", member_each(w.node, token)), lambda below: bound(state(w, token, below), lambda after: moved(w, token, below, after)))
+
+    def state(w: Column, token: Column, below: Column) -> Column:
         object_ = kind(below) == "object"
         item = token.rlike(r"\A(0|[1-9][0-9]{0,3})\z") & (kind(w.node) == "array")
-        marked = (text_of(member(w.node, "kind")) == COLLECTION) & token.isin("result", "partial_result")
-        after = (
+        marked = token.isin("result", "partial_result") & (text_of(member(w.node, "kind")) == COLLECTION)
+        return (
             F.when((w.state == "root") & (token == "flows"), "flows").when((w.state == "flows") & object_, "flow").when((w.state == "flow") & (token == "steps"), "steps")
             .when((w.state == "steps") & object_, "step").when((w.state == "step") & marked, "ledger").when((w.state == "ledger") & (token == "items"), "items")
             .when((w.state == "items") & item & object_, "flow").otherwise("end")
         )
+
+    def moved(w: Column, token: Column, below: Column, after: Column) -> Column:
         at = F.concat(w.at, F.lit("/"), F.replace(F.replace(token, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
         record = after.isin("flow", "step")
         status = F.coalesce(text_of(member(below, "status")), none)
