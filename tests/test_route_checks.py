@@ -23,6 +23,23 @@ def test_problems(spark):
     ]
 
 
+def test_conditions_meet_elements_in_one_row(spark):
+    """No row for each condition and element: two joins by workflow, of tables that are read once; texts in odd forms too."""
+    rows = [
+        ("w", "a", 0, "/k", "in", ['"\\u0078"', " 1"]), ("w", "a", 1, "/k", "equals", ['"x"']), ("w", "a", 2, "/k", "equals", ["1.0"]), ("w", "a", 3, "/k", "equals", ["-0"]), ("w", "a", 4, None, None, None),
+        ("w", "b", 0, "/k", "not_in", ['"é"', '{"b":1, "a":2}']), ("w", "b", 1, "/k", "equals", ['{"a":2,"b":1}']), ("w", "b", 2, "/k", "equals", ["nonsense"]), ("w", "b", 3, None, None, None),
+        ("w", None, 0, "/k", "equals", ['"x"']), ("w", "c", None, "/k", "equals", ['"none"']), (None, "a", 0, "/k", "equals", ['"none"']), ("v", "a", 0, "/k", "equals", ['"x"']),
+    ]
+    values = [("w", "/k", v) for v in ('"x"', "1", "0", '{"a": 2, "b": 1}', '"\\u00e9"')]
+    got = rk.route_problems(spark.createDataFrame(rows, ENTRIES), spark.createDataFrame(values, "workflow string, pointer string, value string"), spark.createDataFrame([], "workflow string, pointer string, low int, high int"))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert sum(line.strip(" +-:*(0123456789)").startswith(("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) for line in plan.splitlines()) <= 2
+    assert sorted((r["flow"], r["position"], r["problem"]) for r in got.collect()) == [
+        ("a", 1, "route_unreachable_entry"), ("a", 2, "route_unreachable_entry"),
+        ("b", 2, "condition_always_false"), ("b", 2, "route_unreachable_entry"),
+    ]
+
+
 def test_cases(spark):
     cases = spark.createDataFrame([("w", "f", "/k", "x"), ("w", "f", "/k", "no"), ("w", "g", "/u", "x"), ("w", "g", "/u", "y")], "workflow string, flow string, pointer string, key string")
     values = spark.createDataFrame([("w", "/k", '"x"'), ("w", "/k", '"y"'), ("w", "/k", "3"), ("w", "/k", "null")], "workflow string, pointer string, value string")
