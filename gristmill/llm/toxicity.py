@@ -3,8 +3,9 @@
 Terms are words and their first bytes, in lower case, each hashed to one of FEATURES features, as usual for texts of any
 vocabulary; document frequencies of all features are counted over all documents. A bounded sample of labelled rows are the
 examples. A document's nearest examples by exact TF-IDF cosine over all features of both are found with an inverted index.
-Lists of terms that more than DENSE of the examples have are kept as whole rows, and one product adds them up for some documents
-at a time, which are grouped so that they have many of these terms in common; the other lists are read whole. Sums in single precision only choose candidates, by a margin; their cosines are then
+Examples come in blocks of like ones (of one language, about). Terms that more than DENSE of a block have are kept as whole rows
+there, and a product for each block adds them up for some documents at a time, which are grouped so that they have many of these
+terms in common; the other lists are read whole. Sums in single precision only choose candidates, by a margin; their cosines are then
 computed in double precision. Neighbours vote, weighted by nearness and by the share of their class that was sampled; a
 logistic curve over left-one-out votes of the examples calibrates the votes. Evidence are the doc_ids and cosines of the
 nearest examples.
@@ -40,7 +41,9 @@ MARGIN = 1e-4
 #: Examples whose postings are dealt to their lists at a time, while an index is built: FIRST blocks of BLOCK.
 BLOCK = 256
 FIRST = 4
-DENSE = 0.06
+#: Share of a block's examples that have a term, above which it is a whole row there; the same of all examples, for the main directions.
+DENSE = 0.08
+OFTEN = 0.06
 #: Examples whose votes calibrate the curve, at least, where there are as many.
 CALIBRATED = 2000
 #: Main directions by whose sides texts are grouped.
@@ -122,61 +125,93 @@ def weighted(row: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.nd
 
 
 class InvertedIndex:
-    """Lists of the examples that have each term, and whole rows of weights for terms that many examples have."""
+    """Lists of the examples that have each term, and whole rows of weights for terms that many examples of a block have.
+
+    A block are the examples on the same sides of the main directions, of one language about: a term that is frequent in one
+    language is a whole row there only. Inside the index examples have places, by which those of a block come together.
+    """
 
     def __init__(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, ids: np.ndarray, terms: int):
         """Postings are ordered by row; they are dealt to their lists some examples at a time, so nothing sorts all of them."""
         self.ids, self.n, self.terms = ids, len(ids), terms
         self.own, self.own_number, self.own_weight = np.searchsorted(row, np.arange(self.n + 1)), number, weight
-        sizes = np.bincount(number, minlength=terms)
-        often = sizes > DENSE * self.n
-        self.dense_row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        self.dense = np.zeros((int(often.sum()), self.n), np.float32)
-        self.start = np.r_[0, np.cumsum(np.where(often, 0, sizes), dtype=np.int64)]
-        self.row, self.weight = np.empty(self.start[-1], np.min_scalar_type(self.n)), np.empty(self.start[-1], np.float32)
+        self.axes, self.axis_of, self.middle, side = self._axes(row, number, weight)
+        self.example = np.argsort(side, kind="stable")
+        self.place = np.argsort(self.example, kind="stable")
+        self.cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(side[self.example])) + 1, self.n])
+        sizes = np.diff(self.cuts)
+        block = (np.searchsorted(self.cuts, self.place, side="right") - 1).astype(np.int8)
+        having = np.zeros((len(sizes), terms), np.int32)
+        of = block[row]
+        for b in range(len(sizes)):
+            having[b] = np.bincount(number[of == b], minlength=terms)
+        often = having > DENSE * sizes[:, None]
+        self.dense = np.flatnonzero(often.any(axis=0))  # terms that are a whole row in some block
+        self.dense_at = np.full(terms, -1, np.int32)
+        self.dense_at[self.dense] = np.arange(len(self.dense), dtype=np.int32)
+        self.dense_row = np.where(often[:, self.dense], np.cumsum(often[:, self.dense], axis=1) - 1, -1).astype(np.int32)
+        self.whole = [np.zeros((k, size), np.float32) for k, size in zip(often.sum(axis=1).tolist(), sizes.tolist(), strict=True)]
+        having[often] = 0
+        self.start = np.r_[0, np.cumsum(having.sum(axis=0), dtype=np.int64)]
+        self.postings = np.empty(self.start[-1], np.int64)  # of a place and a weight, which are read together
+        self.row, self.weight = self.postings.view(np.uint32)[::2], self.postings.view(np.float32)[1::2]
+        del having, often
         filled = self.start[:-1].copy()
         for begin in range(0, self.n, FIRST * BLOCK):
             some = slice(self.own[begin], self.own[min(begin + FIRST * BLOCK, self.n)])
-            r, k, w = row[some], number[some], weight[some].astype(np.float32)
-            on = self.dense_row[k] >= 0
-            self.dense[self.dense_row[k[on]], r[on]] = w[on]
+            r, k, w, o = self.place[row[some]], number[some], weight[some].astype(np.float32), of[some]
+            at = self.dense_at[k]
+            at = np.where(at >= 0, self.dense_row[o, at], -1) if len(self.dense) else at
+            on = at >= 0
+            for b, whole in enumerate(self.whole):
+                here = on & (o == b)
+                whole[at[here], r[here] - self.cuts[b]] = w[here]
             r, k, w = r[~on], k[~on], w[~on]
             if not len(k):
                 continue
             order = np.argsort(k, kind="stable")
             r, k, w = r[order], k[order], w[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            size, of = np.diff(np.r_[first, len(k)]), k[first]
-            at = np.repeat(filled[of] - first, size) + np.arange(len(k))
+            size, of_ = np.diff(np.r_[first, len(k)]), k[first]
+            at = np.repeat(filled[of_] - first, size) + np.arange(len(k))
             self.row[at], self.weight[at] = r, w
-            filled[of] += size
-        self.axes, self.middle = self._axes()
-
-    def _axes(self, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-        """Main directions of the whole rows, and where the examples' middle lies on them: they tell languages apart, about."""
-        axes = np.random.default_rng(0).normal(size=(len(self.dense), AXES)).astype(np.float32)
+            filled[of_] += size
+
+    def _axes(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Main directions of the terms that many examples have, the place of each term in them (or -1), where the examples'
+        middle lies on them, and the side of each example: they tell languages apart, about."""
+        often = np.bincount(number, minlength=self.terms) > OFTEN * self.n
+        axis_of = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        at = axis_of[number]
+        on = at >= 0
+        matrix = np.zeros((int(often.sum()), self.n), np.float32)
+        matrix[at[on], row[on]] = weight[on]
+        axes = np.random.default_rng(0).normal(size=(len(matrix), AXES)).astype(np.float32)
         for _ in range(rounds):
-            on = self.dense.T @ axes
-            axes = np.linalg.qr(self.dense @ (on - on.mean(axis=0)))[0] if min(axes.shape) else axes
-        return axes, (self.dense.T @ axes).mean(axis=0) if self.n else np.zeros(axes.shape[1], np.float32)
-
-    def _whole_rows(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """Weights of n texts for the terms that are whole rows."""
-        at, asked = self.dense_row[number], np.zeros((n, len(self.dense)), np.float32)
+            along = matrix.T @ axes
+            axes = np.linalg.qr(matrix @ (along - along.mean(axis=0)))[0] if min(axes.shape) else axes
+        along = matrix.T @ axes
+        middle = along.mean(axis=0) if self.n else np.zeros(axes.shape[1], np.float32)
+        return axes, axis_of, middle, self._side(along, middle)
+
+    @staticmethod
+    def _side(along: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        return (along > middle) @ (1 << np.arange(len(middle)))
+
+    def _sides(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """On which sides of the main directions n texts lie."""
+        at = self.axis_of[number]
         on = at >= 0
-        asked[row[on], at[on]] = weight[on]
-        return asked
+        row, at, weight = row[on], at[on], weight[on]
+        along = [np.bincount(row, weights=weight * axis[at], minlength=n) for axis in self.axes.T]
+        return self._side(np.stack(along, axis=1), self.middle)
 
     def nearest(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For n texts with these vectors (ordered by row): text, example and cosine of the k largest cosines above 0 of each
         text, from the largest, the smaller doc_id first at ties; but: an example for each text that is left out."""
         ends = np.searchsorted(row, np.arange(n + 1))
         out, together = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], max(1, TOGETHER // max(self.n, 1))
-        side = np.zeros(n, np.int64)
-        for begin in range(0, n, together):
-            on = slice(ends[begin], ends[min(begin + together, n)])
-            asked = self._whole_rows(row[on] - begin, number[on], weight[on], min(together, n - begin))
-            side[begin : begin + together] = (asked @ self.axes > self.middle) @ (1 << np.arange(self.axes.shape[1]))
+        side = self._sides(row, number, weight, n)
         # texts on the same sides come together: they have many terms in common, and need fewer of the whole rows
         order = np.argsort(side, kind="stable")
         cuts = sorted({*range(0, n, together), *np.flatnonzero(np.diff(side[order])) + 1, n})
@@ -189,20 +224,33 @@ class InvertedIndex:
         order = np.argsort(text, kind="stable")
         return text[order], example[order], cosine[order]
 
+    def _products(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Products of n texts with the whole rows of each block, by places."""
+        total, at = np.empty((n, self.n), np.float32), self.dense_at[number]
+        on = at >= 0
+        row, at, weight = row[on], at[on], weight[on]
+        for b, whole in enumerate(self.whole):
+            mine = self.dense_row[b, at]
+            on = mine >= 0
+            asked = np.zeros((n, len(whole)), np.float32)
+            asked[row[on], mine[on]] = weight[on]
+            used = np.flatnonzero(asked.any(axis=0))
+            # few rows are worth a copy of them
+            total[:, self.cuts[b] : self.cuts[b + 1]] = asked[:, used] @ whole[used] if len(used) < len(whole) / 2 else asked @ whole
+        return total
+
     def _some(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        on = self.dense_row[number] >= 0
-        asked = self._whole_rows(row, number, weight, n)
-        used = np.flatnonzero(asked.any(axis=0))
-        total = asked[:, used] @ self.dense[used]
-        ends = np.searchsorted(row[~on], np.arange(n + 1)).tolist()
-        lists, heavy = number[~on], weight[~on].astype(np.float32)
-        begin, end = self.start[lists], self.start[lists + 1]
+        total = self._products(row, number, weight, n)
+        begin, end = self.start[number], self.start[number + 1]
+        on = end > begin
+        ends = np.searchsorted(row[on], np.arange(n + 1)).tolist()
+        begin, end, heavy = begin[on], end[on], weight[on].astype(np.float32)
         texts, examples = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for t in range(n):
             mine = slice(ends[t], ends[t + 1])
-            found = self._candidates(total[t], begin[mine], end[mine], heavy[mine], k, None if but is None else int(but[t]))
+            found = self._candidates(total[t], begin[mine], end[mine], heavy[mine], k, None if but is None else int(self.place[but[t]]))
             texts.append(np.full(len(found), t))
-            examples.append(found)
+            examples.append(self.example[found])
         text, example = np.concatenate(texts), np.concatenate(examples)
         cosine = self._cosines(row, number, weight, n, text, example)
         order = np.lexsort((self.ids[example], -np.round(cosine, 12), text))
@@ -212,7 +260,7 @@ class InvertedIndex:
         return text[place < k], example[order], cosine[order]
 
     def _candidates(self, total: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray, k: int, but: int | None) -> np.ndarray:
-        """Examples that may be among the k nearest of one text; total: its products with the whole rows, begin and end: its lists.
+        """Places that may be among the k nearest of one text; total: its products with the whole rows, begin and end: its lists.
         All lists are read: a text's nearest examples are hardly nearer than others, so bounds would leave out few."""
         sums, size, a = total.astype(np.float64), end - begin, 0
         until = np.cumsum(size)
@@ -221,9 +269,9 @@ class InvertedIndex:
             s, stop = size[a:b], until[a:b] - (until[a] - size[a])
             at = np.repeat(begin[a:b] - (stop - s), s)
             at += np.arange(stop[-1])
-            part = self.weight[at]
-            part *= np.repeat(weight[a:b], s)
-            sums += np.bincount(self.row[at], weights=part, minlength=self.n)
+            read = self.postings.take(at)
+            part = read.view(np.float32)[1::2] * np.repeat(weight[a:b], s)
+            sums += np.bincount(read.view(np.uint32)[::2], weights=part, minlength=self.n)
             a = b
         if but is not None:
             sums[but] = 0
@@ -233,14 +281,15 @@ class InvertedIndex:
     def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, text: np.ndarray, example: np.ndarray) -> np.ndarray:
         """Inner products of pairs of texts (ordered) and examples, in double precision."""
         out, asked = np.zeros(len(text)), np.zeros(self.terms)
-        ends, pairs, own = np.searchsorted(row, np.arange(n + 1)).tolist(), np.searchsorted(text, np.arange(n + 1)).tolist(), self.own
+        ends, pairs = np.searchsorted(row, np.arange(n + 1)).tolist(), np.searchsorted(text, np.arange(n + 1)).tolist()
+        begin, end = self.own[example].tolist(), self.own[example + 1].tolist()
         for t in range(n):
-            mine = slice(ends[t], ends[t + 1])
-            asked[number[mine]] = weight[mine]
+            mine = number[ends[t] : ends[t + 1]]
+            asked[mine] = weight[ends[t] : ends[t + 1]]
             for pair in range(pairs[t], pairs[t + 1]):
-                at = slice(own[example[pair]], own[example[pair] + 1])
-                out[pair] = asked[self.own_number[at]] @ self.own_weight[at]
-            asked[number[mine]] = 0
+                at = slice(begin[pair], end[pair])
+                out[pair] = asked.take(self.own_number[at]) @ self.own_weight[at]
+            asked[mine] = 0
         return out
 
 

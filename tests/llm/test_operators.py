@@ -435,6 +435,25 @@ def test_op6_groups_texts_for_whole_rows():
         assert example[text == t].tolist() == wanted.tolist() and np.allclose(cosine[text == t], all_[t][wanted])
 
 
+def test_op6_whole_rows_by_language():
+    """Terms that are frequent in a language which few examples have are whole rows there, and take no room elsewhere."""
+    rng = np.random.default_rng(5)
+    n, few = 1000, np.arange(1000) % 10 == 3
+    row, number = np.repeat(np.arange(n), 20), (rng.random((n, 40)).argsort(axis=1)[:, :20] + 40 * few[:, None]).ravel()
+    weight = rng.random(len(row)) + 0.5
+    weight /= np.sqrt(np.bincount(row, weights=weight**2))[row]
+    index = tx.InvertedIndex(row, number.astype(np.int32), weight, np.arange(n)[::-1].copy(), 80)
+    assert not len(index.row) and sum(x.size for x in index.whole) == 40 * n
+    text, example, cosine = index.nearest(row, number, weight, n, 5, np.arange(n))
+    all_ = np.zeros((n, 80))
+    all_[row, number] = weight
+    all_ = all_ @ all_.T
+    np.fill_diagonal(all_, 0)
+    for t in range(n):
+        wanted = np.lexsort((index.ids, -np.round(all_[t], 12)))[:5]
+        assert example[text == t].tolist() == wanted.tolist() and np.allclose(cosine[text == t], all_[t][wanted])
+
+
 def test_op6_neighbours(spark, monkeypatch):
     """Exact cosines over all terms of the examples; toxic words need not be frequent for a text to have neighbours."""
     monkeypatch.setattr(tx, "BLOCK", 4)
